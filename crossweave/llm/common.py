@@ -5,10 +5,11 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel
 
 #: Parts into which the rows of one key are dealt before they meet.
 SALTS = 32
@@ -92,6 +93,8 @@ def binary_text(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit("")).cast("binary")
 
 
-def kept_for(df: DataFrame) -> DataFrame:
-    """df in memory, or on disk where memory lacks; recomputed if lost."""
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of few rows, so that what Python makes of a part stays small."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)

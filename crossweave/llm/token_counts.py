@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crossweave.llm.common import binary_text
+from crossweave.llm.common import binary_text, slices
 from crossweave.llm.tokens import WordIds, default_path, word_ids
 
 LEAF = 64  # chunks in a leaf
@@ -116,7 +116,7 @@ def count_trees(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = word_ids(path)
-        for batch in batches:
+        for batch in slices(batches):
             trees = [build(x.as_py(), encoder) for x in batch.column("body")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("body"), pa.array([t.to_bytes() for t in trees], pa.binary()), pa.array([int(t.sums[1, 1]) for t in trees], pa.int64())], ["doc_id", "body", "tree", "n_tokens"])
 
@@ -129,7 +129,7 @@ def edit_counts(trees: DataFrame, path: str | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = word_ids(path)
-        for batch in batches:
+        for batch in slices(batches):
             bodies, trees, counts, again = [], [], [], []
             for body, data, edits in zip(batch.column("body"), batch.column("tree"), batch.column("edits").to_pylist(), strict=True):
                 text, tree, n = body.as_py(), Tree.from_bytes(data.as_py()), 0

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from crossweave.llm import huffman
-from crossweave.llm.common import binary_text, stored, table_path
+from crossweave.llm.common import binary_text, slices, stored, table_path
 from crossweave.llm.tokens import default_path, word_ids
 
 END_ID = 2
@@ -34,13 +34,11 @@ HEAD = struct.Struct("<4sIQIQ")
 
 def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID) -> DataFrame:
     """doc_id, crc, ids (binary: u16, or u32 for larger vocabularies) of every row, end id included."""
-    from crossweave.llm.tokens import word_ids
-
     kind = np.uint16 if word_ids(path).size <= 1 << 16 else np.uint32
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = word_ids(path)
-        for batch in batches:
+        for batch in slices(batches):
             found = [np.append(x, np.uint32(end_id)) for x in encoder.encode(batch.column("body").to_pylist())]
             crc = pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in found], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), crc, pa.array([x.astype(kind).tobytes() for x in found], pa.binary())], ["doc_id", "crc", "ids"])
@@ -53,12 +51,8 @@ def id_counts(encoded: DataFrame, kind: type, size: int) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, np.int64)
-        for batch in batches:
-            for x in batch.column("ids"):
-                ids = np.frombuffer(x.as_buffer(), kind)
-                if len(ids):
-                    part = np.bincount(ids)
-                    total[: len(part)] += part
+        for batch in slices(batches, 4096):
+            total += np.bincount(np.frombuffer(b"".join(batch.column("ids").to_pylist()), kind), minlength=size)
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["id", "n"])
 

@@ -1,8 +1,8 @@
 """Token ids of whole texts by a word cache: white-space chunks are encoded once, then looked up.
 
 The tokenizer drops white space and never merges across it, so a text's ids are those of its chunks in order. Chunks are split at ASCII white
-space. A-Z is lower-cased first, as the tokenizer does itself, unless the text may hold a special token. A final . or , after a letter is a
-pre-token of its own. The cache is emptied when it is full; results don't depend on it.
+space. A-Z is lower-cased first, as the tokenizer does itself, unless the text may hold a special token. ASCII punctuation
+after a chunk's last letter is a pre-token of its own. The cache is emptied when it is full; results don't depend on it.
 """
 
 from __future__ import annotations
@@ -12,9 +12,11 @@ from itertools import repeat
 
 import numpy as np
 
-MOST_CACHED = 800_000
+MOST_CACHED = 1_000_000
 MOST_BYTES = 64  # of a cached chunk
-GROUP = 400_000  # chunks looked up at once
+GROUP = 200_000  # chunks looked up at once
+BETWEEN = b"\x01"  # one id, and no white space
+PUNCTUATION = bytes(b for b in range(0x21, 0x7F) if not chr(b).isalnum())
 
 
 class WordIds:
@@ -22,12 +24,8 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        vocabulary = self.tokenizer.get_vocab()
-        self.size = max(vocabulary.values()) + 1
-        self.ends = np.zeros(self.size, bool)
-        for k, v in vocabulary.items():
-            self.ends[v] = k.endswith("</w>")
-        self.marks = {m: self._encode([m.decode()])[0] for m in (b".", b",")}
+        self.size = max(self.tokenizer.get_vocab().values()) + 1
+        (self.between,) = self._encode([BETWEEN.decode()])[0]
         self._clear()
 
     def _clear(self) -> None:
@@ -39,51 +37,54 @@ class WordIds:
     def _encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _put(self, key: bytes, ids) -> int:
-        n = len(ids)
-        while self.used + n > len(self.flat):
+    def _put(self, keys: list[bytes], ids: np.ndarray, sizes: np.ndarray) -> None:
+        while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
-        if self.known + 2 > len(self.start):
+        while self.known + len(keys) + 1 > len(self.start):
             self.start = np.concatenate([self.start, np.zeros_like(self.start)])
-        self.flat[self.used : self.used + n] = ids
-        self.used += n
-        self.start[self.known + 1] = self.used
-        self.at[key] = self.known
-        self.known += 1
-        return self.known - 1
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.start[self.known + 1 : self.known + len(keys) + 1] = self.used + np.cumsum(sizes)
+        self.at.update(zip(keys, range(self.known, self.known + len(keys)), strict=True))
+        self.used += len(ids)
+        self.known += len(keys)
+
+    def _learn_apart(self, keys: list[bytes]) -> None:
+        got = self._encode([k.decode() for k in keys])
+        self._put(keys, np.fromiter((i for g in got for i in g), np.uint32), np.array([len(g) for g in got]))
 
     def _learn(self, missing: list[bytes]) -> None:
-        """Puts chunks into the cache. Plain words are encoded many at once; their ids part where a word ends."""
+        """Puts chunks into the cache. Many are encoded as one text, with a mark between them that no chunk holds."""
         stems: dict[bytes, None] = {}
-        later, plain, other = [], [], []
+        later, apart = [], []
         for m in missing:
-            stem, mark = m[:-1], m[-1:]
-            if mark in self.marks and stem and len(m) <= MOST_BYTES and stem.decode()[-1].isalpha():
-                later.append((m, stem, mark))
-                if stem not in self.at:
-                    stems[stem] = None
-            elif m not in self.at:
+            if len(m) > MOST_BYTES or BETWEEN in m or b"<|" in m:
+                apart.append(m)
+                continue
+            stem = m.rstrip(PUNCTUATION)
+            tail = m[len(stem) :]
+            if tail and stem and stem.decode()[-1].isalpha():
+                later.append((m, stem, tail))
+                stems[stem] = stems[tail] = None
+            else:
                 stems[m] = None
-        for w in stems:
-            (plain if w.isalpha() and len(w) <= MOST_BYTES else other).append(w)
-        for i in range(0, len(plain), 500):
-            some = plain[i : i + 500]
-            ids = np.array(self._encode([b" ".join(some).decode()])[0], np.uint32)
-            cuts = np.flatnonzero(self.ends[ids]) + 1
-            if len(cuts) != len(some):
-                other += some
+        keys = [k for k in stems if k not in self.at]
+        for i in range(0, len(keys), 1000):
+            some = keys[i : i + 1000]
+            ids = np.array(self._encode([(b" " + BETWEEN + b" ").join(some).decode()])[0], np.uint32)
+            mark = np.append(np.flatnonzero(ids == self.between), len(ids))
+            if len(mark) != len(some):
+                self._learn_apart(some)
                 continue
-            a = 0
-            for w, b in zip(some, cuts.tolist(), strict=True):
-                self._put(w, ids[a:b])
-                a = b
-        for i in range(0, len(other), 500):
-            for w, ids in zip(other[i : i + 500], self._encode([w.decode() for w in other[i : i + 500]]), strict=True):
-                self._put(w, ids)
-        for m, stem, mark in later:
-            k = self.at[stem]
-            if m not in self.at:
-                self._put(m, [*self.flat[self.start[k] : self.start[k + 1]].tolist(), *self.marks[mark]])
+            self._put(some, ids[ids != self.between], np.diff(np.concatenate([[-1], mark])) - 1)
+        if apart:
+            self._learn_apart(apart)
+        if later:
+            # ids of a stem, then those of its tail
+            k = np.array([(self.at[x], self.at[y]) for _, x, y in later]).reshape(-1)
+            size = self.start[k + 1] - self.start[k]
+            stop = np.cumsum(size)
+            ids = self.flat[np.repeat(self.start[k] - (stop - size), size) + np.arange(stop[-1])]
+            self._put([m for m, _, _ in later], ids, size.reshape(-1, 2).sum(1))
 
     def chunks(self, text: bytes) -> list[bytes]:
         return (text if b"<|" in text else text.lower()).split()
@@ -93,9 +94,11 @@ class WordIds:
         if self.known > MOST_CACHED:
             self._clear()
         got = np.fromiter(map(self.at.get, found, repeat(-1)), np.int64, len(found))
-        if (got < 0).any():
-            self._learn(list(dict.fromkeys(found[i] for i in np.flatnonzero(got < 0).tolist())))
-            got = np.fromiter(map(self.at.__getitem__, found), np.int64, len(found))
+        lacking = np.flatnonzero(got < 0)
+        if len(lacking):
+            missing = [found[i] for i in lacking.tolist()]
+            self._learn(list(dict.fromkeys(missing)))
+            got[lacking] = np.fromiter(map(self.at.__getitem__, missing), np.int64, len(missing))
         return got
 
     def counts(self, found: list[bytes]) -> np.ndarray:
