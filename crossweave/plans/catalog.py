@@ -1,4 +1,449 @@
-"""All queries and their SQL."""
+"""All queries over the test tables, each with the SQL that gives the same rows."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from crossweave.functions import replies, text
+from crossweave.operators import batching, labels, metrics, objective, profiles, refine, render, scorer
+from crossweave.plans import proxies as px
+from crossweave.plans.proxies import INNER, OUTER, SCORED, TIED, table
+from crossweave.sources import readers
+from crossweave.streaming import resume
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def r6(*names: str) -> list:
+    return [F.round(n, 6).alias(n) for n in names]
+
+
+# ---- metrics
+
+_AUTHORS = """steps AS (SELECT aid1 AS aid, 1 - pred + 0.0 AS q, sum(1 - label) AS pos, count(*) AS n FROM scored GROUP BY 1, 2),
+run AS (SELECT *, sum(pos) OVER w AS tp, sum(n) OVER w AS nn FROM steps WINDOW w AS (PARTITION BY aid ORDER BY q DESC ROWS UNBOUNDED PRECEDING)),
+sums AS (SELECT aid, CAST(sum(pos) AS DOUBLE) AS p, CAST(sum(n) AS BIGINT) AS sample_count, CAST(sum((n - pos) * (tp - pos / 2.0::DOUBLE)) AS DOUBLE) AS wins,
+    sum(CAST(pos AS DOUBLE) * CAST(tp AS DOUBLE) / CAST(nn AS DOUBLE)) AS gain FROM run GROUP BY aid),
+authors AS (SELECT aid, wins / (p * (sample_count - p)) AS auc, gain / p AS ap, sample_count, 1 - p / sample_count AS pos_ratio FROM sums WHERE p > 0 AND 2 * p <= sample_count)"""
+_AUTHOR_ROWS = "SELECT aid, round(auc, 6) AS auc, round(ap, 6) AS ap, sample_count, round(pos_ratio, 6) AS pos_ratio FROM authors"
+
+
+@query(f"WITH {SCORED}, {_AUTHORS} {_AUTHOR_ROWS}")
+def author_metrics(spark, d):
+    return metrics.author_metrics(px.scored(spark, d)).select("aid", *r6("auc", "ap"), "sample_count", *r6("pos_ratio"))
+
+
+@query(f"WITH {TIED}, {_AUTHORS} {_AUTHOR_ROWS}")
+def author_metrics_ties(spark, d):
+    return metrics.author_metrics(px.tied(spark, d)).select("aid", *r6("auc", "ap"), "sample_count", *r6("pos_ratio"))
+
+
+@query(f'WITH {SCORED}, {_AUTHORS} SELECT round(avg(ap), 6) AS "MAP", round(avg(auc), 6) AS "AUC", round(avg(auc) + avg(ap), 6) AS "AUC_MAP", count(*) AS n_authors FROM authors')
+def macro_auc_map(spark, d):
+    return metrics.macro(metrics.author_metrics(px.scored(spark, d))).select(*r6("MAP", "AUC", "AUC_MAP"), "n_authors")
+
+
+@query(f"WITH {SCORED} SELECT round(avg(CAST(CAST(pred >= 0.5 AS INT) = label AS INT)), 6) AS accuracy, count(*) AS n FROM scored")
+def global_accuracy(spark, d):
+    return metrics.accuracy(px.scored(spark, d)).select(*r6("accuracy"), "n")
+
+
+@query(f"""WITH {SCORED}, m AS (SELECT aid1, pid, pred, min(pred) OVER w AS a, max(pred) OVER w AS b FROM scored WINDOW w AS (PARTITION BY aid1))
+SELECT aid1, pid, round(CASE WHEN a = b THEN 0.5::DOUBLE ELSE (pred - a) / (b - a) END, 6) AS scaled FROM m""")
+def minmax_norm(spark, d):
+    return metrics.minmax(px.scored(spark, d), "pred", ["aid1"]).select("aid1", "pid", *r6("scaled"))
+
+
+# ---- keys, projections, unions
+
+@query("SELECT concat(o_orderkey, '-', o_custkey) AS pid, split_part(concat(o_orderkey, '-', o_custkey), '-', 1) AS paper_id FROM orders")
+def paper_id_extract(spark, d):
+    return table(spark, d, "orders").select(F.concat_ws("-", "o_orderkey", "o_custkey").alias("pid")).withColumn("paper_id", profiles.paper_id())
+
+
+@query("SELECT event_id, concat(user_id, '-', coalesce(CASE WHEN event_type = 'click' THEN event_type END, 'None')) AS pair FROM events")
+def pair_key(spark, d):
+    e = table(spark, d, "events").select("event_id", F.col("user_id").cast("string").alias("aid1"), F.when(F.col("event_type") == "click", F.col("event_type")).alias("aid2"))
+    return e.select("event_id", profiles.pair_key().alias("pair"))
+
+
+@query("""WITH a AS (SELECT l_returnflag AS name, CAST(l_suppkey AS VARCHAR) AS aid, l_partkey FROM lineitem), m AS (SELECT *, max(name) OVER (PARTITION BY aid) AS last FROM a)
+SELECT aid, name, count(*) AS n_papers FROM m WHERE name = last GROUP BY aid, name""")
+def flatten_profiles(spark, d):
+    x = table(spark, d, "lineitem").select(F.col("l_returnflag").alias("name"), F.col("l_suppkey").cast("string").alias("aid"))
+    return profiles.flatten_names(x).groupBy("aid", "name").agg(F.count("*").alias("n_papers"))
+
+
+@query("SELECT event_id, coalesce(CASE WHEN event_type = 'click' THEN value END, value / 1000) AS sim FROM events")
+def sim_coalesce(spark, d):
+    e = table(spark, d, "events").select("event_id", F.when(F.col("event_type") == "click", F.col("value")).alias("similarity"), (F.col("value") / 1000).alias("author_sim"))
+    return e.select("event_id", profiles.similarity(strict=True).alias("sim"))
+
+
+@query(f"WITH {SCORED} SELECT pid, abs(coalesce(CASE WHEN event_type <> 'error' THEN pred END, 0.5) - 0.5) AS confidence FROM scored")
+def confidence(spark, d):
+    return px.scored(spark, d).withColumn("pred", F.when(F.col("event_type") != "error", F.col("pred"))).select("pid", profiles.confidence().alias("confidence"))
+
+
+_PARTS = [("train", "click"), ("test", "view"), ("valid", "error")]
+
+
+@query("""SELECT part, aid1, pid, similarity FROM (
+SELECT 'train' AS part, CAST(user_id AS VARCHAR) AS aid1, CAST(event_id AS VARCHAR) AS pid, value AS similarity FROM events WHERE event_type = 'click'
+UNION ALL SELECT 'test', CAST(user_id AS VARCHAR), CAST(event_id AS VARCHAR), NULL FROM events WHERE event_type = 'view'
+UNION ALL SELECT 'valid', CAST(user_id AS VARCHAR), CAST(event_id AS VARCHAR), NULL FROM events WHERE event_type = 'error')""")
+def union_triples(spark, d):
+    e = table(spark, d, "events")
+    parts = [e.filter(F.col("event_type") == t).select(F.lit(p).alias("part"), F.col("user_id").alias("aid1"), F.col("event_id").alias("pid"), *([F.col("value").alias("similarity")] if p == "train" else [])) for p, t in _PARTS]
+    return readers.union_triples(*parts)
+
+
+@query(f"WITH {SCORED} SELECT pid, label FROM scored WHERE label = 1 UNION ALL SELECT pid, label FROM scored WHERE label = 0")
+def label_split_union(spark, d):
+    pos, neg = labels.split(px.scored(spark, d).select("pid", "label"))
+    return pos.union(neg)
+
+
+@query(f"""WITH {SCORED}, k AS (SELECT greatest(1, CAST(floor(count(*) FILTER (label = 1) / nullif(count(*) FILTER (label = 0), 0)) AS BIGINT)) AS k FROM scored)
+SELECT pid, label, unnest(range(1, CASE WHEN label = 0 THEN coalesce(k, 1) ELSE 1 END + 1)) AS copy FROM scored, k""")
+def upsample_negatives(spark, d):
+    return labels.upsample(px.scored(spark, d)).select("pid", "label", "copy")
+
+
+@query(f"WITH {SCORED} SELECT pid, label AS ori_label, CAST(1 - pred >= 0.9 AS INT) AS label FROM scored")
+def label_threshold(spark, d):
+    return labels.threshold(px.scored(spark, d).withColumn("soft_label", 1 - F.col("pred"))).select("pid", "ori_label", "label")
+
+
+# ---- filters and joins
+
+@query(f"WITH {SCORED} SELECT aid1 AS aid, pid FROM (SELECT *, count(*) OVER (PARTITION BY aid1) AS n FROM scored) WHERE n > 60")
+def min_profile(spark, d):
+    return profiles.min_profile(px.scored(spark, d).select(F.col("aid1").alias("aid"), "pid"), 60)
+
+
+_PAPERS = "papers AS (SELECT CAST(p_partkey AS VARCHAR) AS pid, p_name AS title, p_size FROM part)"
+
+
+def _papers(spark, d):
+    return table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("pid"), F.col("p_name").alias("title"), "p_size")
+
+
+@query(f"WITH {INNER}, {_PAPERS} SELECT aid, ord, pid FROM inn WHERE pid IN (SELECT pid FROM papers WHERE p_size > 25)")
+def known_papers_semi(spark, d):
+    return profiles.known(px.assignments(spark, d, "O"), _papers(spark, d).filter("p_size > 25")).select("aid", "ord", "pid")
+
+
+@query(f"""WITH {INNER}, {OUTER}, f AS (SELECT aid, arg_min(pid, ord) AS first_pid FROM outr GROUP BY aid)
+SELECT aid, ord, pid FROM inn JOIN f USING (aid) WHERE pid <> first_pid""")
+def self_exclusion(spark, d):
+    first = profiles.first_targets(px.assignments(spark, d, "F").withColumnRenamed("aid", "aid1"))
+    return profiles.without_first_target(px.assignments(spark, d, "O"), first).select("aid", "ord", "pid")
+
+
+@query(f"WITH {SCORED} SELECT pid, CASE WHEN pred >= 0.1 THEN aid1 END AS outer_aid FROM scored")
+def hybrid_gate(spark, d):
+    return px.scored(spark, d).select("pid", profiles.gated("aid1", "pred", 0.1).alias("outer_aid"))
+
+
+@query(f"WITH {SCORED} SELECT pid, CASE WHEN 1 - pred > 0.5 THEN 'consistent' ELSE 'inconsistent' END AS part FROM scored")
+def cs_ics_partition(spark, d):
+    return px.scored(spark, d).withColumn("sim", 1 - F.col("pred")).select("pid", profiles.consistency().alias("part"))
+
+
+@query(f"WITH {INNER}, {_PAPERS} SELECT aid, ord, pid, title FROM inn JOIN papers USING (pid)")
+def papers_inner(spark, d):
+    return profiles.assert_known(px.assignments(spark, d, "O"), _papers(spark, d)).join(_papers(spark, d), "pid").select("aid", "ord", "pid", "title")
+
+
+_AIDS = "aids AS (SELECT CAST(s_suppkey AS VARCHAR) AS aid FROM supplier WHERE s_acctbal > 0)"
+
+
+def _aids(spark, d):
+    return table(spark, d, "supplier").filter("s_acctbal > 0").select(F.col("s_suppkey").cast("string").alias("aid"))
+
+
+@query(f"WITH {INNER}, {_PAPERS}, {_AIDS} SELECT aid, ord, pid, title FROM aids JOIN inn USING (aid) JOIN papers USING (pid)")
+def profiles_inner(spark, d):
+    return profiles.profile_papers(_aids(spark, d), px.assignments(spark, d, "O"), _papers(spark, d)).select("aid", "ord", "pid", "title")
+
+
+@query(f"WITH {OUTER}, {_AIDS} SELECT aid, count(pid) AS n_papers FROM aids LEFT JOIN (SELECT * FROM outr WHERE ord % 50 = 49) o USING (aid) GROUP BY aid")
+def profiles_outer_left(spark, d):
+    lists = profiles.lists(px.assignments(spark, d, "F").filter("ord % 50 = 49"))
+    return _aids(spark, d).join(lists, "aid", "left").select("aid", F.size(F.coalesce("pids", F.array().cast("array<string>"))).cast("long").alias("n_papers"))
+
+
+@query(f"""WITH {INNER}, {_AIDS}, clean AS (SELECT aid, ord, pid FROM inn JOIN aids USING (aid) WHERE ord % 2 = 0)
+SELECT aid, ord, pid FROM clean UNION ALL SELECT aid, ord, pid FROM inn WHERE aid NOT IN (SELECT aid FROM clean)""")
+def clean_fallback(spark, d):
+    raw = px.assignments(spark, d, "O")
+    return profiles.with_fallback(raw.join(_aids(spark, d), "aid", "left_semi").filter("ord % 2 = 0"), raw)
+
+
+@query(f"WITH {SCORED} SELECT a.pid, coalesce(b.pred, 0.5) AS pred FROM scored a LEFT JOIN (SELECT * FROM scored WHERE event_type = 'click') b USING (pid)")
+def prior_scores_left(spark, d):
+    s = px.scored(spark, d)
+    prior = readers.last_wins(s.filter("event_type = 'click'"), ["pid"], "ord").select("pid", "pred")
+    return profiles.prior(s.select("pid"), prior)
+
+
+@query(f"""WITH {INNER}, {OUTER}, a AS (SELECT aid, count(*) AS n1 FROM inn GROUP BY aid), b AS (SELECT aid, count(*) AS n2 FROM outr GROUP BY aid),
+c AS (SELECT aid, count(*) AS common FROM (SELECT DISTINCT aid, pid FROM inn INTERSECT SELECT DISTINCT aid, pid FROM outr) GROUP BY aid)
+SELECT aid, coalesce(common, 0) AS common, round(least(coalesce(common, 0) / n1, coalesce(common, 0) / n2), 6) AS low, round(greatest(coalesce(common, 0) / n1, coalesce(common, 0) / n2), 6) AS high
+FROM a JOIN b USING (aid) LEFT JOIN c USING (aid)""")
+def profile_overlap(spark, d):
+    return profiles.overlap(px.assignments(spark, d, "O"), px.assignments(spark, d, "F")).select("aid", "common", *r6("low", "high"))
+
+
+@query("SELECT l_returnflag AS name, arg_max(CAST(l_suppkey AS VARCHAR), l_suppkey * 100000000 + l_orderkey) AS aid FROM lineitem GROUP BY 1")
+def last_aid_per_name(spark, d):
+    x = table(spark, d, "lineitem").select(F.col("l_returnflag").alias("name"), F.col("l_suppkey").cast("string").alias("aid"), (F.col("l_suppkey") * 100000000 + F.col("l_orderkey")).alias("ord"))
+    return profiles.last_aid(x)
+
+
+# ---- batches
+
+@query(f"WITH {INNER} SELECT aid, ord, pid FROM (SELECT *, row_number() OVER (PARTITION BY aid, pid ORDER BY ord) AS k FROM inn) WHERE k = 1")
+def dedupe_first(spark, d):
+    return batching.dedupe_first(px.assignments(spark, d, "O"), ["aid", "pid"]).select("aid", "ord", "pid")
+
+
+@query(f"WITH {SCORED}, x AS (SELECT aid1, pid, row_number() OVER (PARTITION BY aid1 ORDER BY ord) - 1 AS i FROM scored) SELECT aid1, pid, CAST(i // 10 AS INT) AS batch_id, CAST(i % 10 AS INT) AS pos FROM x")
+def fixed_batches(spark, d):
+    return batching.fixed(px.scored(spark, d), ["aid1"], 10, [F.col("ord")]).select("aid1", "pid", "batch_id", "pos")
+
+
+@query(f"""WITH {SCORED}, x AS (SELECT aid1, pid, row_number() OVER (PARTITION BY aid1 ORDER BY md5(concat('42-', aid1, '-', pid)), ord) - 1 AS i FROM scored)
+SELECT aid1, pid, CAST(i // 10 AS INT) AS batch_id, CAST(i % 10 AS INT) AS pos FROM x""")
+def random_turns(spark, d):
+    return batching.build_turns(px.scored(spark, d), ["aid1"], 10, "random", "42", False).select("aid1", "pid", "batch_id", "pos")
+
+
+@query(f"""WITH {SCORED}, x AS (SELECT aid1, pid, row_number() OVER (PARTITION BY aid1 ORDER BY abs(pred - 0.5) DESC, ord) - 1 AS i, CAST(ceil(count(*) OVER (PARTITION BY aid1) / 10) AS BIGINT) AS b FROM scored),
+y AS (SELECT aid1, pid, i // b AS r, CASE WHEN (i // b) % 2 = 0 THEN i % b ELSE b - 1 - i % b END AS batch_id FROM x),
+z AS (SELECT *, count(*) OVER (PARTITION BY aid1, batch_id) AS m FROM y)
+SELECT aid1, pid, CAST(batch_id AS INT) AS batch_id, CAST(CASE WHEN r < ceil(m / 2) THEN 2 * r ELSE 2 * (m - 1 - r) + 1 END AS INT) AS pos FROM z""")
+def snake_interleave(spark, d):
+    return batching.build_turns(px.scored(spark, d), ["aid1"], 10, "confidence", "42", True).select("aid1", "pid", "batch_id", "pos")
+
+
+@query(f"WITH {INNER} SELECT aid, pid, nth FROM (SELECT aid, pid, CAST(row_number() OVER (PARTITION BY aid ORDER BY md5(concat('42-', aid, '-', pid)), ord) AS INT) AS nth FROM inn) WHERE nth <= 20")
+def sample_profile_k(spark, d):
+    return profiles.sample(px.assignments(spark, d, "O"), 20, "42").select("aid", "pid", "nth")
+
+
+@query("""WITH x AS (SELECT CAST(o_custkey AS VARCHAR) AS aid, o_orderkey AS ord, CASE WHEN o_orderkey % 9 > 0 THEN CAST(year(o_orderdate) AS INT) END AS year FROM orders)
+SELECT aid, ord, nth FROM (SELECT *, CAST(row_number() OVER (PARTITION BY aid ORDER BY abs(coalesce(year, 0) - 1995), ord) AS INT) AS nth FROM x) WHERE nth <= 5""")
+def nearest_year_topk(spark, d):
+    o = table(spark, d, "orders").select(F.col("o_custkey").cast("string").alias("aid"), F.col("o_orderkey").alias("ord"), F.when(F.col("o_orderkey") % 9 > 0, F.year("o_orderdate")).alias("year"), F.lit(1995).alias("target_year"))
+    return profiles.nearest_year(o, 5).select("aid", "ord", "nth")
+
+
+@query("""WITH x AS (SELECT source, doc_id, n_chars, coalesce(sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM documents)
+SELECT source, doc_id, CAST(before AS BIGINT) AS before FROM x WHERE before < 20000""")
+def token_budget_prefix(spark, d):
+    docs = table(spark, d, "documents").select("source", "doc_id", "n_chars")
+    return batching.within_budget(docs, ["source"], "n_chars", F.lit(20000), [F.col("doc_id")]).select("source", "doc_id", "before")
+
+
+@query("""SELECT CAST(epoch AS INT) AS epoch, schedule, CAST(CASE WHEN schedule = 'exponential' THEN least(power(4, epoch), 10) ELSE least(epoch + 1, 10) END AS INT) AS num_turn
+FROM range(0, 8) t(epoch), (VALUES ('exponential'), ('linear')) s(schedule)""")
+def curriculum_num_turn(spark, d):
+    e = spark.range(8).select(F.col("id").cast("int").alias("epoch"))
+    both = [e.select("epoch", F.lit(s).alias("schedule"), batching.turns_at(F.col("epoch"), 10, s).alias("num_turn")) for s in ("exponential", "linear")]
+    return both[0].union(both[1])
+
+
+@query("""WITH x AS (SELECT conv_id, turn, list_transform(range(0, length(text) % 7 + 1), lambda i: CAST(i AS INT)) AS ids FROM conversations), y AS (SELECT *, max(len(ids)) OVER (PARTITION BY conv_id) AS m FROM x)
+SELECT conv_id, turn, array_to_string(list_resize(ids, m, 9), ',') AS input_ids, CAST(len(ids) AS INT) AS used, CAST(m AS INT) AS width FROM y""")
+def pad_batch(spark, d):
+    c = table(spark, d, "conversations").select("conv_id", "turn", F.transform(F.sequence(F.lit(0), F.char_length("text") % 7), lambda i: i.cast("int")).alias("ids"))
+    out = batching.pad(c, ["conv_id"], "ids", 9)
+    return out.select("conv_id", "turn", F.array_join("input_ids", ",").alias("input_ids"), F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x).alias("used"), F.size("labels").alias("width"))
+
+
+# ---- text
+
+_LISTS = "lists AS (SELECT aid, list(pid ORDER BY ord) AS pids FROM inn GROUP BY aid)"
+
+
+@query(f"WITH {INNER}, {_LISTS} SELECT aid, array_to_string(CASE WHEN len(pids) > 10 THEN list_concat(pids[1:8], pids[-2:]) ELSE pids END, ',') AS pids FROM lists")
+def cap_8_2(spark, d):
+    return profiles.lists(px.assignments(spark, d, "O")).select("aid", F.array_join(text.head_tail(F.col("pids")), ",").alias("pids"))
+
+
+@query("SELECT doc_id, array_to_string(string_split(text, ' ')[1:10], ' ') AS org FROM documents")
+def org_first_10_words(spark, d):
+    return table(spark, d, "documents").select("doc_id", text.first_words(F.col("text")).alias("org"))
+
+
+@query("WITH x AS (SELECT CAST(s_nationkey AS VARCHAR) AS aid, list(DISTINCT substr(s_name, 1, 12)) AS o FROM supplier GROUP BY 1) SELECT aid, CAST(len(o) AS INT) AS n_orgs, array_to_string(list_sort(o), ',') AS orgs FROM x")
+def distinct_orgs(spark, d):
+    x = table(spark, d, "supplier").groupBy(F.col("s_nationkey").cast("string").alias("aid")).agg(F.array_sort(F.array_distinct(F.collect_list(F.substring("s_name", 1, 12)))).alias("o"))
+    return x.select("aid", F.size("o").alias("n_orgs"), F.array_join("o", ",").alias("orgs"))
+
+
+def _part_papers(spark, d):
+    author = "named_struct('name', p_brand, 'org', p_type, 'OriginalAuthor', cast(null as string), 'OriginalAffiliation', cast(null as string), 'AuthorSequenceNumber', 1)"
+    p = table(spark, d, "part")
+    return p.select(F.col("p_partkey").cast("string").alias("pid"), F.col("p_name").alias("title"), F.expr(f"array({author})").alias("authors"), F.lit(None).cast("string").alias("venue"), F.when(F.col("p_size") > 10, F.col("p_size")).alias("year"), F.split("p_type", " ").alias("keywords"))
+
+
+_RENDERED = "'Title: ' || p_name || chr(10) || 'Authors: ' || p_brand || chr(10) || 'Organizations: ' || p_type || chr(10) || 'Venue: None' || chr(10) || 'Year: ' || CASE WHEN p_size > 10 THEN CAST(p_size AS VARCHAR) ELSE 'None' END || chr(10) || 'Keywords: ' || array_to_string(string_split(p_type, ' '), ', ') || chr(10)"
+
+
+@query(f"SELECT CAST(p_partkey AS VARCHAR) AS pid, {_RENDERED} AS text FROM part")
+def render_paper(spark, d):
+    return render.rendered(_part_papers(spark, d))
+
+
+@query(f"""WITH {INNER}, {OUTER}, {_PAPERS}, i AS (SELECT aid, list(title ORDER BY ord) AS t FROM inn JOIN papers USING (pid) WHERE ord < 5 GROUP BY aid),
+o AS (SELECT aid, list(title ORDER BY ord) AS t FROM outr JOIN papers USING (pid) WHERE ord < 5 GROUP BY aid)
+SELECT aid, 'Name: ' || aid || chr(10) || 'Internal profile: ' || array_to_string(i.t, '; ') || chr(10) || 'External profile: ' || array_to_string(o.t, '; ') || chr(10) || 'Profile similarity: 0.25' || chr(10) || 'Targets: ' ||
+array_to_string(list_transform(i.t[1:3], lambda x, k: CAST(k - 1 AS VARCHAR) || ': ' || x), '; ') AS prompt FROM i JOIN o USING (aid)""")
+def prompt_two_source(spark, d):
+    def side(status, out):
+        rows = px.assignments(spark, d, status).filter("ord < 5").join(_papers(spark, d), "pid").groupBy("aid").agg(F.array_sort(F.collect_list(F.struct("ord", "title"))).alias("x"))
+        return rows.select("aid", F.col("x.title").alias(out))
+
+    both = side("O", "inner").join(side("F", "outer"), "aid")
+    return both.select("aid", render.prompt_two_sources(F.col("aid"), F.col("inner"), F.col("outer"), F.lit(0.25), F.slice("inner", 1, 3)).alias("prompt"))
+
+
+@query("""WITH c AS (SELECT conv_id, list(text ORDER BY turn) AS t FROM conversations WHERE turn < 3 GROUP BY conv_id)
+SELECT conv_id, CAST(i AS INT) AS pos, CASE WHEN i = 0 THEN 'system' WHEN i % 2 = 1 THEN 'user' ELSE 'assistant' END AS role,
+CASE WHEN i = 0 THEN 'Judge each item.' WHEN i = 1 THEN 'Conversation' || chr(10) || t[1] WHEN i % 2 = 1 THEN t[(i + 1) // 2] ELSE '' END AS content
+FROM (SELECT conv_id, t, unnest(range(0, 2 * len(t) + 1)) AS i FROM c)""")
+def chat_transcript(spark, d):
+    c = table(spark, d, "conversations").filter("turn < 3").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("t"))
+    return c.select("conv_id", F.posexplode(render.chat(F.lit("Judge each item."), F.lit("Conversation"), F.col("t.text"))).alias("pos", "m")).select("conv_id", "pos", "m.role", "m.content")
+
+
+# ---- replies
+
+@query("SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k FROM events")
+def llm_json_parse(spark, d):
+    said = F.concat(F.lit("<think>so {</think>Here it is:\n```json\n"), F.col("props"), F.lit("\n```\n"))
+    return table(spark, d, "events").select("event_id", F.try_element_at(replies.scores(said), F.lit("k")).try_cast("double").alias("k"))
+
+
+@query("SELECT event_id, event_type AS reasoning, props AS content FROM events")
+def think_split(spark, d):
+    e = table(spark, d, "events").withColumn("c", F.concat(F.lit("<think>"), F.col("event_type"), F.lit("</think>\n"), F.col("props")))
+    return e.select("event_id", replies.reasoning(F.col("c")).alias("reasoning"), replies.answer(F.col("c")).alias("content"))
+
+
+def _reply():
+    return F.concat(F.lit('{"10": 3, "2": '), (F.col("event_id") % 7).cast("string"), F.lit(', "x": 1, "0": 1}'))
+
+
+
+@query("SELECT event_id, '1.0,' || CAST(event_id % 7 AS VARCHAR) || '.0,3.0' AS scores FROM events")
+def score_sort_int_key(spark, d):
+    return table(spark, d, "events").select("event_id", F.array_join(F.transform(replies.in_order(replies.scores(_reply())), lambda v: v.cast("string")), ",").alias("scores"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 2 = 0 THEN '1.0,' || CAST(event_id % 7 AS VARCHAR) || '.0,3.0' ELSE '0.5,0.5' END AS scores FROM events")
+def length_mismatch_default(spark, d):
+    n = F.when(F.col("event_id") % 2 == 0, 3).otherwise(2)
+    v = replies.for_items(replies.in_order(replies.scores(_reply())), n)
+    return table(spark, d, "events").select("event_id", F.array_join(F.transform(v, lambda x: x.cast("string")), ",").alias("scores"))
+
+
+@query("""SELECT event_id, CAST(pos AS INT) AS pos, CASE pos WHEN 0 THEN 1.0::DOUBLE WHEN 1 THEN value WHEN 2 THEN CAST(event_id % 7 AS DOUBLE) END AS new_pred FROM events, range(0, 3) t(pos)""")
+def batch_score_merge(spark, d):
+    e = table(spark, d, "events").select("event_id", "value", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("pos"), replies.scores(_reply()).alias("s"))
+    return e.select("event_id", "pos", refine.merged(F.col("s"), F.col("pos"), F.col("value")).alias("new_pred"))
+
+
+@query(f"WITH {SCORED} SELECT round(avg(abs((1 - pred) - pred)), 6) AS mean_change, round(max(abs((1 - pred) - pred)), 6) AS max_change, count(*) AS n_papers FROM scored")
+def refine_change_stats(spark, d):
+    return refine.change_stats(px.scored(spark, d).select(F.col("pred").alias("old_pred"), (1 - F.col("pred")).alias("new_pred"))).select(*r6("mean_change", "max_change"), "n_papers")
+
+
+@query("""WITH x AS (SELECT CAST(user_id AS VARCHAR) AS aid1, event_type AS aid2, CAST(event_id AS VARCHAR) AS pid, value, CAST(row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) - 1 AS BIGINT) AS i FROM events)
+SELECT aid1, aid2, 'unknown' AS name, CAST(i AS INT) AS batch_idx, pid, value AS old_pred FROM x""")
+def group_batches(spark, d):
+    e = table(spark, d, "events").select(F.col("user_id").cast("string").alias("aid1"), F.col("event_type").alias("aid2"), F.lit(None).cast("string").alias("name"), F.col("event_id").alias("ord"), F.array(F.col("event_id").cast("string")).alias("pids"), F.array("value").alias("preds"))
+    return refine.flatten_batches(refine.group_batches(e)).select("aid1", "aid2", "name", "batch_idx", "pid", "old_pred")
+
+
+# ---- objective
+
+_LOGITS = "logits AS (SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS no, CAST(embedding[2] AS DOUBLE) AS yes, label % 2 AS label, CAST(abs(embedding[3]) AS DOUBLE) / (1 + CAST(abs(embedding[3]) AS DOUBLE)) AS p_out, CAST(abs(embedding[4]) AS DOUBLE) / (1 + CAST(abs(embedding[4]) AS DOUBLE)) AS sim FROM embeddings), probs AS (SELECT *, 1 / (1 + exp(no - yes)) AS p FROM logits)"
+
+
+def _logits(spark, d):
+    at = lambda i: F.get("embedding", F.lit(i)).cast("double")
+    e = table(spark, d, "embeddings")
+    e = e.select("vec_id", at(0).alias("no"), at(1).alias("yes"), (F.col("label") % 2).alias("label"), (F.abs(at(2)) / (1 + F.abs(at(2)))).alias("p_out"), (F.abs(at(3)) / (1 + F.abs(at(3)))).alias("sim"))
+    return e.withColumn("p", objective.p_yes(F.col("no"), F.col("yes")))
+
+
+@query(f"WITH {_LOGITS} SELECT vec_id, round(p, 6) AS p, CAST(yes > no AS INT) AS predicted FROM probs")
+def softmax_yes(spark, d):
+    return _logits(spark, d).select("vec_id", *r6("p"), objective.argmax(F.col("no"), F.col("yes")).alias("predicted"))
+
+
+@query(f"WITH {_LOGITS} SELECT round(avg(-ln(CASE WHEN label = 1 THEN p ELSE 1 - p END)), 6) AS ce FROM probs")
+def ce_loss(spark, d):
+    return objective.loss(_logits(spark, d)).select(*r6("ce"))
+
+
+@query(f"""WITH {_LOGITS}, t AS (SELECT -ln(CASE WHEN label = 1 THEN p ELSE 1 - p END) AS c, CASE WHEN sim > 0.5 THEN least(p_out + sim - p - 1, 0) ELSE least(greatest(p_out, 1 - p_out) - sim + p - 1, 0) END AS s FROM probs)
+SELECT round(avg(c), 6) AS ce, round(avg(s), 6) AS psl, round(0.5 * avg(s) + 0.5 * avg(c), 6) AS loss FROM t""")
+def psl_loss(spark, d):
+    return objective.loss(_logits(spark, d), "psl").select(*r6("ce", "psl", "loss"))
+
+
+# ---- scoring and resuming
+
+def _requests(spark, d):
+    e = table(spark, d, "events")
+    return e.select(F.col("event_id").cast("string").alias("request_id"), F.concat(F.lit("Targets: "), F.col("event_type"), F.lit("; "), F.col("props")).alias("prompt"))
+
+
+@query()
+def llm_score_stub(spark, d):
+    done = scorer.call(_requests(spark, d))
+    return done.select("request_id", F.posexplode(replies.in_order(replies.scores(F.col("content")))).alias("pos", "score"))
+
+
+@query("SELECT CAST(event_id AS VARCHAR) AS request_id FROM events WHERE event_type <> 'click'")
+def resume_pending(spark, d):
+    r = _requests(spark, d)
+    done = table(spark, d, "events").filter("event_type = 'click'").select(F.col("event_id").cast("string").alias("request_id"))
+    return resume.pending(r, done).select("request_id")
+
+
+@query("""WITH x AS (SELECT CAST(l_suppkey AS VARCHAR) AS aid1, l_returnflag AS aid2, list(CAST(l_partkey AS VARCHAR) ORDER BY l_partkey) AS p, sum(l_linenumber) AS s FROM lineitem GROUP BY 1, 2)
+SELECT aid1, aid2, CAST(len(p) AS INT) AS n_pids, CASE WHEN aid2 <> 'A' THEN CAST(s AS VARCHAR) END AS content FROM x""")
+def result_reorder(spark, d):
+    x = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").cast("string").alias("aid1"), F.col("l_returnflag").alias("aid2")).agg(F.collect_list(F.col("l_partkey").cast("string")).alias("pids"), F.sum("l_linenumber").cast("string").alias("content"))
+    done = x.filter("aid2 <> 'A'").withColumn("pids", F.reverse("pids"))
+    return scorer.with_replies(x.drop("content"), done).select("aid1", "aid2", F.size("pids").alias("n_pids"), "content")
+
+
+@query(f"WITH {SCORED}, {_AUTHORS} {_AUTHOR_ROWS}")
+def second_pass_metrics(spark, d):
+    """Scores, dealt again by confidence, keep their metrics: the batches change the context and not the rows."""
+    s = px.scored(spark, d)
+    dealt = batching.build_turns(profiles.prior(s.drop("pred"), s.select("pid", "pred")), ["aid1"], 10, "confidence", "42", True)
+    return metrics.author_metrics(dealt).select("aid", *r6("auc", "ap"), "sample_count", *r6("pos_ratio"))
+
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
