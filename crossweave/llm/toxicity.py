@@ -126,7 +126,7 @@ def _sketch(found: list[bytes], n: int = 4) -> list[int]:
 def learn(rows: list[tuple[bytes, int]]) -> Grammar:
     """A grammar from texts and labels. Near copies among the toxic texts count once, so that their other words don't pass for insults."""
     bad: list[set[bytes]] = []
-    good: list[set[bytes]] = []
+    good: list[bytes] = []
     seen: set[tuple[int, int]] = set()
     for text, toxic in rows:
         found = words(text)
@@ -136,7 +136,7 @@ def learn(rows: list[tuple[bytes, int]]) -> Grammar:
                 bad.append(set(found))
             seen.update(marks)
         elif found:
-            good.append(set(found))
+            good.append(text)
 
     def parts(found: set[bytes]) -> set[bytes]:
         """Stems, and whole words with an end mark."""
@@ -144,7 +144,7 @@ def learn(rows: list[tuple[bytes, int]]) -> Grammar:
 
     hits = Counter(p for found in bad for p in parts(found))
     hits = {p: n for p, n in hits.items() if n >= LEAST_DOCS}
-    misses = Counter(p for found in good for p in parts(found) if p in hits)
+    misses = Counter(p for text in good for p in parts(set(words(text))) if p in hits)
     g = Grammar()
     keep = {}
     for p, n in hits.items():
