@@ -114,6 +114,11 @@ def test_drop_near_keeps_one_of_each_group(docs):
     assert sorted(map(str, want)) == sorted(str(r.doc_id) for r in got.collect())
 
 
+def test_drop_near_keeps_groups_without_ids(spark):
+    df = spark.createDataFrame([(None, "one text of some words"), (None, "quite another thing to read"), (None, "one text of some words"), (None, None)], "doc_id long, text string")
+    assert sorted(str(r.text) for r in simhash.drop_near(df).collect()) == ["None", "one text of some words", "quite another thing to read"]
+
+
 def test_shards_follow_the_law(spark, docs):
     df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").union(docs.select("doc_id", "text"))
     got = sharding.assign(df, {s: 1.0 for s in range(8)}, {s: 1.0 for s in range(9)}).collect()
