@@ -367,7 +367,8 @@ def length_mismatch_default(spark, d):
 
 @query("""SELECT event_id, CAST(pos AS INT) AS pos, CASE pos WHEN 0 THEN 1.0::DOUBLE WHEN 1 THEN value WHEN 2 THEN CAST(event_id % 7 AS DOUBLE) END AS new_pred FROM events, range(0, 3) t(pos)""")
 def batch_score_merge(spark, d):
-    e = table(spark, d, "events").select("event_id", "value", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("pos"), replies.scores(_reply()).alias("s"))
+    e = table(spark, d, "events").select("event_id", "value", replies.scores(_reply()).alias("s"))  # parsed once a reply, then dealt to its items
+    e = e.select("event_id", "value", "s", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("pos"))
     return e.select("event_id", "pos", refine.merged(F.col("s"), F.col("pos"), F.col("value")).alias("new_pred"))
 
 
@@ -420,7 +421,7 @@ def _requests(spark, d):
 
 @query()
 def llm_score_stub(spark, d):
-    done = scorer.call(_requests(spark, d))
+    done = scorer.call(_requests(spark, d), tasks=spark.sparkContext.defaultParallelism)
     return done.select("request_id", F.posexplode(replies.in_order(replies.scores(F.col("content")))).alias("pos", "score"))
 
 
