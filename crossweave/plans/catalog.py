@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from crossweave.functions import replies, text
 from crossweave.operators import batching, labels, metrics, objective, profiles, refine, render, scorer
+from crossweave.plans import pipeline
 from crossweave.plans import proxies as px
 from crossweave.plans.proxies import INNER, OUTER, SCORED, TIED, table
 from crossweave.sources import readers
@@ -448,3 +449,176 @@ def second_pass_metrics(spark, d):
     return metrics.author_metrics(dealt).select("aid", *r6("auc", "ap"), "sample_count", *r6("pos_ratio"))
 
 
+# ---- sources: JSON as the readers get it, a value for each profile, paper or group
+
+@query(f"WITH {INNER} SELECT 'in' AS source, 'raw' AS variant, aid, ord, pid FROM inn")
+def scan_flat_profiles(spark, d):
+    texts = profiles.lists(px.assignments(spark, d, "O")).select(F.to_json(F.create_map("aid", "pids")).alias("value"))
+    return readers.parse_flat(texts, "in").drop("name")
+
+
+@query(f"WITH {OUTER} SELECT 'S' || aid AS name, 'out' AS source, 'clean' AS variant, aid, ord, pid FROM outr")
+def scan_named_profiles(spark, d):
+    texts = profiles.lists(px.assignments(spark, d, "F")).select(F.to_json(F.create_map(F.concat(F.lit("S"), "aid"), F.create_map("aid", "pids"))).alias("value"))
+    return readers.parse_named(texts, "out", "clean")
+
+
+@query("SELECT CAST(p_partkey AS VARCHAR) AS pid, p_name AS title, p_brand AS author, CAST(CASE WHEN p_size > 10 THEN p_size END AS INT) AS year, string_split(p_type, ' ')[1] AS keyword FROM part")
+def scan_papers(spark, d):
+    p = _part_papers(spark, d)
+    texts = p.select(F.to_json(F.create_map("pid", F.struct(*[c for c in p.columns if c != "pid"]))).alias("value"))
+    return readers.parse_papers(texts).select("pid", "title", F.get("authors", F.lit(0))["name"].alias("author"), "year", F.get("keywords", F.lit(0)).alias("keyword"))
+
+
+@query("""SELECT CAST(user_id AS VARCHAR) AS aid1, CAST(event_id AS VARCHAR) AS pid, CAST(event_type <> 'error' AS INT) AS label, value AS similarity,
+CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS BIGINT) AS ord FROM events""")
+def scan_triples(spark, d):
+    e = table(spark, d, "events").select("event_id", F.struct("event_id", F.col("user_id").alias("aid1"), F.col("event_id").alias("pid"), (F.col("event_type") != "error").cast("int").alias("label"), F.col("value").alias("similarity")).alias("t"), "user_id")
+    texts = e.groupBy("user_id").agg(F.to_json(F.array_sort(F.collect_list("t"))).alias("value"))
+    return readers.parse_triples(texts).select("aid1", "pid", "label", "similarity", "ord")
+
+
+@query("SELECT CAST(event_id AS VARCHAR) AS pid, value / 500 AS pred FROM events")
+def scan_prior_scores(spark, d):
+    """Each score is given twice; the later one counts."""
+    one = lambda pred: F.struct(F.col("event_id").alias("pid"), pred.alias("pred"))
+    texts = table(spark, d, "events").select(F.to_json(F.array(one(F.lit(0.0)), one(F.col("value") / 500))).alias("value"))
+    return readers.parse_prior(texts)
+
+
+# ---- prompts of the other steps, and what they are made of
+
+_STYLED = _RENDERED.rpartition(" || chr(10) || 'Keywords: '")
+
+
+@query(f"SELECT CAST(p_partkey AS VARCHAR) AS pid, {_STYLED[0]} || 'Keywords: ' {_STYLED[2]} AS text FROM part")
+def render_paper_distill(spark, d):
+    return render.rendered(_part_papers(spark, d), style=render.Style("distill"))
+
+
+@query("SELECT CAST(p_partkey AS VARCHAR) AS pid, 'Title: ' || p_name || chr(10) || 'Organizations: ' || p_type || chr(10) AS text FROM part")
+def render_paper_features(spark, d):
+    return render.rendered(_part_papers(spark, d), ("title", "organization"), render.Style("model"))
+
+
+@query(f"""WITH {INNER}, s AS (SELECT aid, list('A' || pid ORDER BY (CAST(pid AS INT) * 7919) % 1000, ord) AS a FROM inn WHERE ord < 20 GROUP BY aid)
+SELECT aid, array_to_string(CASE WHEN len(a) > 10 THEN list_concat(a[1:8], a[-2:]) ELSE a END, ', ') AS authors FROM s""")
+def authors_by_sequence(spark, d):
+    """Authors in order of their sequence number, the middle of a long list left out."""
+    none = F.lit(None).cast("string")
+    number = ((F.col("pid").cast("int") * 7919) % 1000).alias("AuthorSequenceNumber")
+    author = F.struct(none.alias("name"), none.alias("org"), F.concat(F.lit("A"), "pid").alias("OriginalAuthor"), none.alias("OriginalAffiliation"), number)
+    x = px.assignments(spark, d, "O").filter("ord < 20").groupBy("aid").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", author.alias("a")))), lambda e: e["a"]).alias("authors"))
+    return x.select("aid", F.array_join(render.names(render.authors_in_order(F.col("authors"))), ", ").alias("authors"))
+
+
+_TITLES = f"{INNER}, {_PAPERS}, t AS (SELECT aid, list(title ORDER BY ord) AS t FROM inn JOIN papers USING (pid) WHERE ord < 5 GROUP BY aid)"
+_NUMBERED = "list_transform(t[1:3], lambda x, k: CAST(k - 1 AS VARCHAR) || ': ' || x)"
+
+
+def _titles(spark, d):
+    rows = px.assignments(spark, d, "O").filter("ord < 5").join(_papers(spark, d), "pid").groupBy("aid").agg(F.array_sort(F.collect_list(F.struct("ord", "title"))).alias("x"))
+    return rows.select("aid", F.col("x.title").alias("t"))
+
+
+@query(f"WITH {_TITLES} SELECT aid, 'Name: ' || aid || chr(10) || 'Profile: ' || array_to_string(t, '; ') || chr(10) || 'Targets: ' || array_to_string({_NUMBERED}, '; ') AS prompt FROM t")
+def prompt_one_source(spark, d):
+    return _titles(spark, d).select("aid", render.prompt_one_source(F.col("aid"), F.col("t"), F.slice("t", 1, 3)).alias("prompt"))
+
+
+@query(f"WITH {_TITLES} SELECT aid, 'Collection:' || chr(10) || array_to_string(t, chr(10)) || chr(10) || 'Targets:' || chr(10) || array_to_string({_NUMBERED}, chr(10)) AS prompt FROM t")
+def prompt_clean(spark, d):
+    return _titles(spark, d).select("aid", render.prompt_clean(F.col("t"), F.slice("t", 1, 3)).alias("prompt"))
+
+
+@query(f"""WITH {_TITLES} SELECT aid, 'Batch 0, ' || CAST(least(len(t), 3) AS VARCHAR) || ' items' || chr(10) || array_to_string(list_transform(t[1:3], lambda x, k: CAST(k - 1 AS VARCHAR) || ': ' || x || ' | 0.25'), chr(10)) ||
+chr(10) || 'Batch 1, 1 items' || chr(10) || '0: ' || t[1] || ' | 0.75' AS prompt FROM t""")
+def prompt_batches(spark, d):
+    batch = lambda i, items, s: F.struct(F.lit(i).alias("batch_idx"), F.transform(items, lambda x: F.struct(x.alias("text"), F.lit(s).alias("score"))).alias("items"))
+    both = F.array(batch(0, F.slice("t", 1, 3), 0.25), batch(1, F.slice("t", 1, 1), 0.75))
+    return _titles(spark, d).select("aid", render.prompt_batches(both).alias("prompt"))
+
+
+@query(f"WITH {_TITLES} SELECT aid, 'Judge each item.' || chr(10) || 'Profile of ' || aid || chr(10) || array_to_string(t, chr(10)) AS prompt FROM t")
+def prompt_flat(spark, d):
+    return _titles(spark, d).select("aid", render.flat(F.lit("Judge each item."), F.concat(F.lit("Profile of "), "aid"), F.col("t")).alias("prompt"))
+
+
+@query("SELECT doc_id, array_to_string(string_split(text, ' ')[1:32], ' ') AS text, CAST(len(string_split(text, ' ')[1:32]) AS INT) AS n FROM documents")
+def truncate_tokens(spark, d):
+    cut = table(spark, d, "documents").select("doc_id", text.first_tokens(F.split("text", " "), 32).alias("t"))
+    return cut.select("doc_id", F.array_join("t", " ").alias("text"), F.size("t").alias("n"))
+
+
+@query(f"WITH {INNER} SELECT aid, string_agg(pid, '-' ORDER BY pid) AS key FROM inn GROUP BY aid")
+def canonical_key(spark, d):
+    return profiles.lists(px.assignments(spark, d, "O")).select("aid", text.canonical(F.col("pids")).alias("key"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 4 < 3 THEN props END AS found FROM events")
+def any_json_value(spark, d):
+    said = F.when(F.col("event_id") % 4 == 0, F.col("props")).when(F.col("event_id") % 4 == 1, F.concat(F.lit("so:\n```json\n"), "props", F.lit("\n```"))).when(F.col("event_id") % 4 == 2, F.concat(F.lit("it is "), "props", F.lit("."))).otherwise(F.lit("none"))
+    return table(spark, d, "events").select("event_id", replies.any_json(said).alias("found"))
+
+
+# ---- predictions, reducers, examples
+
+@query("""SELECT user_id, pos, pid, pred, label FROM (SELECT user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS INT) AS pos, event_id AS pid, value / 500 AS pred, CAST(event_type <> 'error' AS INT) AS label FROM events)""")
+def zip_predictions(spark, d):
+    """Predictions, labels and ids of a batch, kept as three lists, back as rows by their place."""
+    x = table(spark, d, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", (F.col("value") / 500).alias("pred"), (F.col("event_type") != "error").cast("int").alias("label")))).alias("x"))
+    lists = x.select("user_id", F.col("x.event_id").alias("pids"), F.col("x.pred").alias("preds"), F.col("x.label").alias("labels"))
+    return lists.select("user_id", F.posexplode(F.arrays_zip("pids", "preds", "labels")).alias("pos", "z")).select("user_id", "pos", F.col("z.pids").alias("pid"), F.col("z.preds").alias("pred"), F.col("z.labels").alias("label"))
+
+
+@query(f"WITH {_LOGITS} SELECT round(avg(-ln(CASE label WHEN 1 THEN p WHEN 0 THEN 1 - p END)), 6) AS ce, count(*) AS n FROM probs WHERE vec_id % 3 > 0")
+def masked_ce_loss(spark, d):
+    """Rows without a label take no part."""
+    x = _logits(spark, d).withColumn("label", F.when(F.col("vec_id") % 3 > 0, F.col("label")))
+    return objective.loss(x).select(*r6("ce")).crossJoin(x.agg(F.count("label").alias("n")))
+
+
+@query("SELECT count(*) AS n_pairs, sum(n)::BIGINT AS n_papers FROM (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY 1, 2)")
+def pair_counts(spark, d):
+    return table(spark, d, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n")).agg(F.count("*").alias("n_pairs"), F.sum("n").alias("n_papers"))
+
+
+@query(f"WITH {SCORED} SELECT pid, CASE WHEN event_type = 'click' THEN pred ELSE 0.25 END AS soft_label FROM scored")
+def refined_soft_labels(spark, d):
+    s = px.scored(spark, d).select("aid1", F.lit("o").alias("aid2"), "pid", "pred", "event_type", F.lit(0.25).alias("soft_label"))
+    refined = s.filter("event_type = 'click'").select("aid1", "aid2", "pid", F.col("pred").alias("new_pred"))
+    return labels.soft_labels(s, refined).select("pid", "soft_label")
+
+
+@query(f"""WITH {INNER}, v AS (SELECT aid, pid, avg(CAST(ord % 5 AS DOUBLE) / 4) AS s FROM inn WHERE ord % 3 = 0 GROUP BY aid, pid)
+SELECT aid, ord, pid, 'clean' AS variant FROM inn LEFT JOIN v USING (aid, pid) WHERE coalesce(s >= 0.5, true)""")
+def voted_clean_profiles(spark, d):
+    a = px.assignments(spark, d, "O")
+    votes = a.filter("ord % 3 = 0").select("aid", "pid", ((F.col("ord") % 5).cast("double") / 4).alias("score"))
+    return labels.clean_profiles(a, votes).select("aid", "ord", "pid", "variant")
+
+
+@query(f"""WITH {SCORED}, s AS (SELECT aid1, pid, ord, label AS ori_label, CAST(1 - pred >= 0.9 AS INT) AS label FROM scored),
+k AS (SELECT greatest(1, CAST(floor(count(*) FILTER (label = 1) / nullif(count(*) FILTER (label = 0), 0)) AS BIGINT)) AS k FROM s),
+c AS (SELECT *, unnest(range(1, CASE WHEN label = 0 THEN coalesce(k, 1) ELSE 1 END + 1)) AS copy FROM s, k),
+x AS (SELECT *, row_number() OVER (PARTITION BY aid1, copy ORDER BY md5(concat('42-', aid1, '-', copy, '-', pid)), ord) - 1 AS i FROM c)
+SELECT aid1, pid, copy, ori_label, label, CAST(i // 10 AS INT) AS batch_id, CAST(i % 10 AS INT) AS pos FROM x""")
+def training_examples(spark, d):
+    t = px.scored(spark, d).select("aid1", "pid", "ord", "label", (1 - F.col("pred")).alias("soft_label"))
+    return pipeline.examples(t).select("aid1", "pid", "copy", "ori_label", "label", "batch_id", "pos")
+
+
+@query("""WITH x AS (SELECT source, doc_id, n_chars, coalesce(sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM documents)
+SELECT source, doc_id FROM x WHERE before < 40000 - 500 - length(source)""")
+def budgeted_profile(spark, d):
+    docs = table(spark, d, "documents").filter("source is not null").select("source", F.col("doc_id").alias("ord"), F.col("n_chars").alias("length"))
+    used = docs.select("source").distinct().withColumn("used", F.char_length("source"))
+    return pipeline.budgeted(docs, used, ["source"], 40000).select("source", F.col("ord").alias("doc_id"))
+
+
+@query()
+def distilled_scores(spark, d):
+    """The whole of label distillation with the stub for a scorer: prompts, replies, batches refined together."""
+    t = px.assignments(spark, d, "O").filter("ord < 30").select(F.lit(None).cast("string").alias("name"), F.col("aid").alias("aid1"), F.col("aid").alias("aid2"), "pid", "ord", F.lit(None).cast("double").alias("similarity"), F.lit(0.25).alias("author_sim"))
+    requests = pipeline.requests(t, px.assignments(spark, d, "O"), px.assignments(spark, d, "F"), _part_papers(spark, d))
+    return pipeline.distill(requests)

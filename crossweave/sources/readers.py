@@ -11,43 +11,68 @@ from pyspark.sql import functions as F
 from crossweave import schema
 
 
-def _json(spark: SparkSession, path: str, kind: str) -> DataFrame:
-    return spark.read.text(path, wholetext=True).select(F.from_json("value", kind).alias("v"))
+def _text(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.text(path, wholetext=True)
 
 
-def flat_profiles(spark: SparkSession, path: str, source: str, variant: str = "raw") -> DataFrame:
-    """{aid: [pid]} -> assignments without names."""
-    pairs = _json(spark, path, "map<string,array<string>>").select(F.explode("v").alias("aid", "pids"))
+def _json(texts: DataFrame, kind: str) -> DataFrame:
+    return texts.select(F.from_json("value", kind).alias("v"))
+
+
+def parse_flat(texts: DataFrame, source: str, variant: str = "raw") -> DataFrame:
+    """{aid: [pid]} in the column value -> assignments without names."""
+    pairs = _json(texts, "map<string,array<string>>").select(F.explode("v").alias("aid", "pids"))
     return pairs.select(F.lit(None).cast("string").alias("name"), F.lit(source).alias("source"), F.lit(variant).alias("variant"), "aid", F.posexplode("pids").alias("ord", "pid"))
 
 
-def named_profiles(spark: SparkSession, path: str, source: str, variant: str = "raw") -> DataFrame:
-    """{name: {aid: [pid]}} -> assignments."""
-    names = _json(spark, path, "map<string,map<string,array<string>>>").select(F.explode("v").alias("name", "m"))
+def parse_named(texts: DataFrame, source: str, variant: str = "raw") -> DataFrame:
+    """{name: {aid: [pid]}} in the column value -> assignments."""
+    names = _json(texts, "map<string,map<string,array<string>>>").select(F.explode("v").alias("name", "m"))
     pairs = names.select("name", F.explode("m").alias("aid", "pids"))
     return pairs.select("name", F.lit(source).alias("source"), F.lit(variant).alias("variant"), "aid", F.posexplode("pids").alias("ord", "pid"))
 
 
+def flat_profiles(spark: SparkSession, path: str, source: str, variant: str = "raw") -> DataFrame:
+    return parse_flat(_text(spark, path), source, variant)
+
+
+def named_profiles(spark: SparkSession, path: str, source: str, variant: str = "raw") -> DataFrame:
+    return parse_named(_text(spark, path), source, variant)
+
+
 def profiles(spark: SparkSession, path: str, source: str, variant: str = "raw") -> DataFrame:
     """Either shape: a file whose values aren't lists is taken as named."""
-    flat = _json(spark, path, "map<string,string>").select(F.explode("v").alias("k", "t")).limit(1).first()
+    flat = _json(_text(spark, path), "map<string,string>").select(F.explode("v").alias("k", "t")).limit(1).first()
     return named_profiles(spark, path, source, variant) if flat and flat.t.lstrip().startswith("{") else flat_profiles(spark, path, source, variant)
 
 
+def parse_papers(texts: DataFrame) -> DataFrame:
+    """{pid: paper} in the column value -> papers."""
+    return _json(texts, f"map<string,{schema.PAPER}>").select(F.explode("v").alias("pid", "p")).select("pid", "p.*")
+
+
 def papers(spark: SparkSession, path: str) -> DataFrame:
-    return _json(spark, path, f"map<string,{schema.PAPER}>").select(F.explode("v").alias("pid", "p")).select("pid", "p.*")
+    return parse_papers(_text(spark, path))
 
 
-def triples(spark: SparkSession, path: str) -> DataFrame:
-    """An array of objects, in file order; ids are strings."""
+def parse_triples(texts: DataFrame) -> DataFrame:
+    """An array of objects in the column value, in order; ids are strings."""
     kind = ",".join(c.strip().replace(" ", ":", 1) for c in schema.TRIPLES.split(",") if not c.strip().startswith("ord "))
-    rows = _json(spark, path, f"array<struct<{kind}>>")
+    rows = _json(texts, f"array<struct<{kind}>>")
     return rows.select(F.posexplode("v").alias("ord", "t")).select("t.*", F.col("ord").cast("long").alias("ord"))
 
 
+def triples(spark: SparkSession, path: str) -> DataFrame:
+    return parse_triples(_text(spark, path))
+
+
 def prior_scores(spark: SparkSession, path: str) -> DataFrame:
     """pid, pred; the last entry of a pid wins."""
-    rows = _json(spark, path, "array<struct<pid:string,pred:double>>").select(F.posexplode("v").alias("ord", "t")).select("ord", "t.*")
+    return parse_prior(_text(spark, path))
+
+
+def parse_prior(texts: DataFrame) -> DataFrame:
+    rows = _json(texts, "array<struct<pid:string,pred:double>>").select(F.posexplode("v").alias("ord", "t")).select("ord", "t.*")
     return last_wins(rows, ["pid"], "ord").select("pid", "pred")
 
 
