@@ -6,7 +6,8 @@ meet by one shuffle of (key, fingerprint), and candidates are verified by their
 a group of copies of any size adds one entry.
 
 In a bucket of equal keys only the links of a spanning forest are put out, not all pairs: entries already reached are not compared again. So a
-bucket full of near copies costs about one comparison an entry, and no link between different groups is lost.
+bucket full of near copies costs about one comparison an entry, and no link between different groups is lost. A bucket of more than LARGE entries
+is indexed once more by the same variants of the bits outside its segment, so that entries that met by chance are not compared with each other.
 
 Null and empty texts have the fingerprint zero and link like any other. Texts shorter than a shingle are one shingle. Null ids are kept as
 rows and never name a component that has another id. An empty table gives an empty result; other columns take no part.
@@ -27,6 +28,8 @@ from crossweave.llm.common import binary_text, components, cut, salt
 SHINGLE, DISTANCE = 4, 4
 SEGMENTS = ((0, 22), (22, 21), (43, 21))  # start and length; one segment differs in at most DISTANCE // 3 = 1 bits
 CHUNK = 1 << 14
+LARGE = 1 << 12  # entries of a bucket that is indexed again
+BLOCK = 256  # entries that meet in it and are compared place by place
 
 
 def fingerprint(text: bytes, k: int = SHINGLE) -> int:
@@ -84,6 +87,59 @@ def forest(x: np.ndarray, most: int = DISTANCE) -> list[tuple[np.ndarray, np.nda
     return out
 
 
+class Groups:
+    """Groups of entries 0..n-1, and the links that made them."""
+
+    def __init__(self, n: int):
+        self.root = np.arange(n)  # of each entry, the least entry of its group
+        self.links: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def link(self, a: np.ndarray, b: np.ndarray) -> None:
+        """Links entries a and b, but for those that are in one group already."""
+        apart = self.root[a] != self.root[b]
+        if not apart.any():
+            return
+        a, b = a[apart], b[apart]
+        self.links.append((a, b))
+        root = self.root
+        while (apart := root[a] != root[b]).any():
+            a, b = a[apart], b[apart]
+            np.minimum.at(root, np.maximum(root[a], root[b]), np.minimum(root[a], root[b]))
+            while not np.array_equal(over := root[root], root):
+                root = over
+        self.root = root
+
+
+def large_forest(x: np.ndarray, segment: tuple[int, int], most: int = DISTANCE) -> list[tuple[np.ndarray, np.ndarray]]:
+    """As forest, for many entries that agree in a segment but for a bit. Those within `most` bits agree, but for a bit, in one of three parts of the other bits too."""
+    start, length = segment
+    other = (x & np.uint64((1 << start) - 1)) | (x >> np.uint64(start + length) << np.uint64(start))
+    cuts = [(64 - length) * k // 3 for k in range(4)]
+    groups = Groups(len(x))
+    for low, high in zip(cuts, cuts[1:], strict=False):
+        part = other >> np.uint64(low) & np.uint64((1 << (high - low)) - 1)
+        for bit in range(high - low):
+            key = part & np.uint64(((1 << (high - low)) - 1) ^ (1 << bit))
+            by = np.argsort(key, kind="stable")
+            key = key[by]
+            starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            sizes = np.diff(np.append(starts, len(key)))
+            for s, m in zip(starts[sizes > BLOCK].tolist(), sizes[sizes > BLOCK].tolist(), strict=True):
+                some = by[s : s + m]
+                if (groups.root[some] != groups.root[some[0]]).any():
+                    some = some[np.argsort(x[some])]
+                    for a, b in forest(x[some], most):
+                        groups.link(some[np.searchsorted(x[some], a)], some[np.searchsorted(x[some], b)])
+            small = np.repeat(sizes, sizes) <= BLOCK
+            by, bucket = by[small], np.repeat(starts, sizes)[small]
+            for k in range(1, int(sizes[sizes <= BLOCK].max(initial=1))):  # each entry and the k-th after it in its bucket
+                same = np.flatnonzero(bucket[k:] == bucket[:-k])
+                a, b = by[same], by[same + k]
+                near = np.bitwise_count(x[a] ^ x[b]) <= most
+                groups.link(a[near], b[near])
+    return [(x[a], x[b]) for a, b in groups.links]
+
+
 def bucket_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From (key, fp) in order of key: links (a, b) within buckets."""
     key0, fp0 = np.empty(0, np.int32), np.empty(0, np.uint64)
@@ -96,7 +152,10 @@ def bucket_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         near = np.bitwise_count(fp[two] ^ fp[two + 1]) <= DISTANCE
         found.append((fp[two[near]], fp[two[near] + 1]))
         for s, n in zip(starts[sizes > 2], sizes[sizes > 2], strict=True):
-            found += forest(fp[s : s + n])
+            if n > LARGE:
+                found += large_forest(fp[s : s + n], next(g for g in SEGMENTS if g[0] <= key[s] >> 22 < g[0] + g[1]))
+            else:
+                found += forest(fp[s : s + n])
         a, b = (np.concatenate([f[i] for f in found]).view(np.int64) for i in (0, 1))
         pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1) if len(a) else np.empty((2, 0), np.int64)
         return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])

@@ -4,6 +4,7 @@ import hashlib
 import math
 import zlib
 
+import numpy as np
 import pytest
 import xxhash
 
@@ -107,6 +108,35 @@ def test_links_of_random_fingerprints_lose_nothing(spark):
         assert roots.get(s, s) == w
 
 
+@pytest.mark.parametrize("segment", simhash.SEGMENTS)
+@pytest.mark.parametrize("block", [4, simhash.BLOCK])
+def test_large_buckets_lose_nothing(monkeypatch, segment, block):
+    """Entries that agree in a segment but for a bit, many of them near: the groups of the second index are those of all pairs."""
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    rnd = np.random.default_rng(3)
+    start, length = segment
+    fixed = np.uint64(((1 << length) - 1) << start)
+    x = rnd.integers(0, 1 << 64, 250, np.uint64)
+    for _ in range(3):
+        x = np.concatenate([x, x ^ (np.uint64(1) << rnd.integers(0, 64, len(x)).astype(np.uint64)) ^ (np.uint64(1) << rnd.integers(0, 64, len(x)).astype(np.uint64))])
+    x = np.unique((x & ~fixed) | np.uint64(1 << start) * rnd.integers(0, 2, len(x)).astype(np.uint64))
+    links = simhash.large_forest(x, segment)
+    assert all((np.bitwise_count(a ^ b) <= simhash.DISTANCE).all() for a, b in links)
+    root = {v: v for v in x.tolist()}
+
+    def find(v):
+        while root[v] != v:
+            v = root[v]
+        return v
+
+    for a, b in links:
+        for u, v in zip(a.tolist(), b.tolist(), strict=True):
+            root[max(find(u), find(v))] = min(find(u), find(v))
+    got = [find(v) for v in x.tolist()]
+    assert got == brute_components(x.tolist(), x.tolist())
+    assert sum(len(a) for a, _ in links) < 2 * len(x)
+
+
 def test_drop_near_keeps_one_of_each_group(docs):
     got = simhash.drop_near(docs)
     assert got.columns == docs.columns
