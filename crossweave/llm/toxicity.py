@@ -1,7 +1,8 @@
 """Toxicity by a weighted finite-state pattern grammar over clauses.
 
-Transducers read the words of a clause: an insult transducer (a trie of stems and words, with weights learned from labels), a threat, a target, a
-negation and a reported-speech transducer (function words). Their composition scores a clause: the weight of its insults and threats, more if a
+Transducers read the word classes of a clause: an insult transducer (its arcs are stems and words, with weights learned from labels), a threat, a
+target, a negation and a reported-speech transducer (function words). Each is a table of states; they are composed once, by product, into one
+transducer that reads a clause in a single pass. It weighs a clause by its insults and, if a target stands in it, threats: more if a
 target stands in the clause, less if a negation stands shortly before, less if the clause reports speech. A document's matched clauses give a few
 sums, and a logistic function, fitted on the same labelled rows, turns them into a score.
 
@@ -18,6 +19,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 from itertools import repeat
 
 import numpy as np
@@ -39,10 +41,68 @@ TARGET = frozenset("you your yours u he she they him her them his their people d
 NEGATION = frozenset("not no never nobody isn aren wasn don doesn nicht kein keine nie pas jamais aucun ne ni nunca jamás tampoco".encode().split())
 REPORT = frozenset("said says say called calls wrote writes claimed quoted reported told sagte sagt nannte schrieb dit disait écrit appelé dijo dice llamó escribió".encode().split())
 INSULT_, THREAT_, TARGET_, NEGATION_, REPORT_ = 1, 2, 4, 8, 16
+CLASSES = 32
 NEGATION_REACH = 3
 FEATURES = 7
 
 
+@dataclass(frozen=True)
+class Transducer:
+    """A deterministic weighted transducer over sets of word classes, starting in state 0. It has two tapes, for insults and for threats.
+
+    step: the next state, by state and class; emit: the factor of a word's weight, by state, class and tape; final: the factor of the clause's sum,
+    by last state and tape; marks: what a last state tells, as bits.
+    """
+
+    step: np.ndarray
+    emit: np.ndarray
+    final: np.ndarray
+    marks: np.ndarray
+
+    def compose(self, other: Transducer) -> Transducer:
+        """Both at once: a state for each pair of states, factors multiplied."""
+        n, m = len(self.step), len(other.step)
+        return Transducer(
+            (self.step[:, None] * m + other.step[None]).reshape(n * m, CLASSES),
+            (self.emit[:, None] * other.emit[None]).reshape(n * m, CLASSES, 2),
+            (self.final[:, None] * other.final[None]).reshape(n * m, 2),
+            (self.marks[:, None] | other.marks[None]).reshape(n * m),
+        )
+
+
+def _has(kind: int) -> np.ndarray:
+    return np.arange(CLASSES) & kind > 0
+
+
+def _words(insult: np.ndarray, threat: np.ndarray) -> Transducer:
+    """One state, which takes the words of each tape."""
+    return Transducer(np.zeros((1, CLASSES), np.int64), np.stack([insult, threat], axis=-1)[None].astype(float), np.ones((1, 2)), np.zeros(1, np.int64))
+
+
+def _seen(kind: int, final: tuple[tuple[float, float], tuple[float, float]]) -> Transducer:
+    """Whether a word of a kind stands anywhere in the clause. final: factors of the tapes without and with one."""
+    return Transducer(np.stack([_has(kind), np.ones(CLASSES, bool)]).astype(np.int64), np.ones((2, CLASSES, 2)), np.array(final), np.array([0, kind]))
+
+
+def _after(kind: int, reach: int, factor: float) -> Transducer:
+    """Words of a kind, and the `reach` words after each, have a factor. States: words still in reach."""
+    left = np.arange(reach + 1)[:, None]
+    step = np.where(_has(kind), reach, np.maximum(left - 1, 0))
+    emit = np.where(_has(kind) | (left > 0), factor, 1.0)
+    return Transducer(step, np.stack([emit, emit], axis=-1), np.ones((reach + 1, 2)), np.zeros(reach + 1, np.int64))
+
+
+INSULTS = _words(_has(INSULT_), ~_has(INSULT_))
+THREATS = _words(np.ones(CLASSES), _has(THREAT_))
+TARGETS = _seen(TARGET_, ((1.0, 0.0), (1.25, 1.25)))  # without a target, threats count for nothing
+NEGATIONS = _after(NEGATION_, NEGATION_REACH, 0.5)
+REPORTS = _seen(REPORT_, ((1.0, 1.0), (0.6, 0.6)))
+CLAUSE = reduce(Transducer.compose, (INSULTS, THREATS, TARGETS, NEGATIONS, REPORTS))
+#: The composed tables as lists, which the loop over words reads: by state and class, the next state and the factors of both tapes.
+_ARCS = [[(int(t), float(a), float(b)) for t, (a, b) in zip(row, factors, strict=True)] for row, factors in zip(CLAUSE.step, CLAUSE.emit, strict=True)]
+_FINAL = [(float(a), float(b), int(m)) for (a, b), m in zip(CLAUSE.final, CLAUSE.marks, strict=True)]
+
+
 @dataclass
 class Grammar:
     """Word weights of the insult transducer: by stem (prefix) and by whole word; and the document model."""
@@ -69,6 +129,7 @@ class Grammar:
         """Classes of words, as bits."""
         if len(self.cache) > MOST_CACHED:
             self.cache.clear()
+            self.arcs.clear()
         got = np.fromiter(map(self.cache.get, found, repeat(-1)), np.int64, len(found))
         for i in np.flatnonzero(got < 0).tolist():
             w = found[i]
@@ -83,20 +144,21 @@ class Grammar:
 
     def clause(self, found: list[bytes]) -> tuple[float, int, bool, bool, bool]:
         """Weight of a clause's path, matches, and whether it has a target, a negation before a match, or reports speech."""
-        kinds = self.classes(found).tolist()
-        target = any(k & TARGET_ for k in kinds)
-        report = any(k & REPORT_ for k in kinds)
-        total, matches, negated, negation_at = 0.0, 0, False, -NEGATION_REACH - 1
-        for i, (w, k) in enumerate(zip(found, kinds, strict=True)):
-            if k & NEGATION_:
-                negation_at = i
-            if k & (INSULT_ | (THREAT_ if target else 0)):
-                weight = self.arcs.get(w) or self.insult(w) if k & INSULT_ else 1.0
-                near = i - negation_at <= NEGATION_REACH
-                negated |= near
-                matches += 1
-                total += weight * (0.5 if near else 1.0)
-        return total * (1.25 if target and matches else 1.0) * (0.6 if report else 1.0), matches, target and matches > 0, negated, report and matches > 0
+        state, insults, threats, n_insults, n_threats, near_insult, near_threat = 0, 0.0, 0.0, 0, 0, False, False
+        for word, kind in zip(found, self.classes(found).tolist(), strict=True):
+            state, insult, threat = _ARCS[state][kind]
+            if insult:
+                insults += insult * self.arcs[word]
+                n_insults += 1
+                near_insult |= insult < 1
+            elif threat:
+                threats += threat
+                n_threats += 1
+                near_threat |= threat < 1
+        by_insult, by_threat, marks = _FINAL[state]
+        matches = n_insults + (n_threats if by_threat else 0)
+        negated = near_insult or bool(by_threat and near_threat)
+        return by_insult * insults + by_threat * threats, matches, bool(marks & TARGET_ and matches), negated, bool(marks & REPORT_ and matches)
 
     def features(self, text: bytes) -> np.ndarray:
         out = np.zeros(FEATURES)

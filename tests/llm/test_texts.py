@@ -182,6 +182,30 @@ def test_toxicity_grammar():
     assert toxicity.learn([]).score(b"x") < 0.3
 
 
+def brute_clause(g, found):
+    """The rules of a clause, word by word."""
+    target, report = any(w in toxicity.TARGET for w in found), any(w in toxicity.REPORT for w in found)
+    total, matches, negated = 0.0, 0, False
+    for i, w in enumerate(found):
+        weight = g.insult(w) or (1.0 if w in toxicity.THREAT and target else 0.0)
+        if weight:
+            near = any(x in toxicity.NEGATION for x in found[max(0, i - toxicity.NEGATION_REACH) : i + 1])
+            total, matches, negated = total + weight * (0.5 if near else 1.0), matches + 1, negated or near
+    return total * (1.25 if target else 1.0) * (0.6 if report else 1.0), matches, target and matches > 0, negated, report and matches > 0
+
+
+def test_composed_transducers_match_the_rules():
+    g = toxicity.Grammar(stems={b"gron": 2.0, b"ki": 1.5}, whole={b"zed": 3.0, b"you": 0.7})
+    rnd = random.Random(8)
+    pool = [b"gronk", b"kill", b"zed", b"you", b"hurt", b"not", b"said", b"they", b"a", b"b", b"c", b"d"]
+    for _ in range(3000):
+        found = rnd.choices(pool, weights=[1, 1, 1, 1, 2, 1, 0.5, 0.5, 3, 3, 3, 3], k=rnd.randint(1, 12))
+        got, want = g.clause(found), brute_clause(g, found)
+        assert abs(got[0] - want[0]) < 1e-9 and got[1:] == want[1:], found
+    both = toxicity.NEGATIONS.compose(toxicity.TARGETS)
+    assert len(both.step) == len(toxicity.NEGATIONS.step) * len(toxicity.TARGETS.step) and len(toxicity.CLAUSE.step) == 16
+
+
 def test_toxicity_edges(spark):
     docs = spark.createDataFrame([(1, None, 5), (2, "", 5), (3, "x " * 30000, 5), (None, "x", 5), (1, None, 5)], "doc_id long, text string, score int")
     g = toxicity.train(docs, spark.createDataFrame([(1, 1), (9, 0), (None, 1), (2, None)], "doc_id long, toxic int"))
