@@ -7,7 +7,8 @@ target stands in the clause, less if a negation stands shortly before, less if t
 sums, and a logistic function, fitted on the same labelled rows, turns them into a score.
 
 Learning takes at most SAMPLE labelled rows, chosen by a hash of their id among the rows it may learn from (crc32 of the id as text, mod 4, not 2).
-Scores see the text only. Null and empty texts have no clause and get the score of a text without a match. Labels that are null, or that belong
+Scores see the text only. Null and empty texts have no clause and get the score of a text without a match, MOST_UNMATCHED at most: without a matched
+clause nothing is rejected. Labels that are null, or that belong
 to no document, are not used; where nothing can be learned, the grammar has no insults of its own and scores 0 or little. Equal texts
 have equal scores. An empty table gives an empty result; other columns take no part, and `drop_toxic` keeps them.
 """
@@ -33,6 +34,7 @@ SAMPLE = 8_000
 THRESHOLD = 0.3
 STEM_LENGTHS = tuple(range(3, 12))  # letters
 LEAST_DOCS, LEAST_SHARE = 5, 0.9
+MOST_UNMATCHED = 0.1  # score of a text without a match, whatever share of the labels is toxic
 MOST_CACHED = 400_000
 _CLAUSE = re.compile(rb"[.!?;:\n|]+")
 
@@ -222,6 +224,7 @@ def learn(rows: list[tuple[bytes, int]]) -> Grammar:
     x = np.array([np.append(g.features(t), 1.0) for t, _ in rows]).reshape(-1, FEATURES + 1)
     y = np.array([float(toxic) for _, toxic in rows])
     g.weights = fit(x, y)
+    g.weights[-1] = min(g.weights[-1], float(np.log(MOST_UNMATCHED / (1 - MOST_UNMATCHED))))
     return g
 
 

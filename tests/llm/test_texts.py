@@ -180,6 +180,7 @@ def test_toxicity_grammar():
     assert you > plain > no and plain > said
     assert g.score(b"you gronk") > 0.3 > g.score(b"plain words") and g.score(b"") == g.score(b"nothing")
     assert toxicity.learn([]).score(b"x") < 0.3
+    assert toxicity.learn([(b"one two", 1), (b"", 1), (b"three", 1)]).score(b"four") <= 0.1 + 1e-9
 
 
 def brute_clause(g, found):
