@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from crossweave.llm.common import table_path
 from crossweave.llm.decontamination import remove_spans
 from crossweave.llm.exact_dedup import drop_exact
+from crossweave.llm.near_texts import drop_near_texts
 from crossweave.llm.packing import pack_documents
-from crossweave.llm.simhash import drop_near
 from crossweave.llm.toxicity import drop_toxic, train
 
 
@@ -23,8 +23,8 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component."""
-    return drop_near(docs)
+    """One document of each component of texts whose five-word Jaccard similarity is 0.8 or more."""
+    return drop_near_texts(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,7 +39,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("toxicity", toxicity), ("exact dedup", exact_dedup), ("near dedup", near_dedup), ("decontamination", decontamination), ("packing", packing)]
 
-#: SimHash, the grammar and packing can't be expressed in SQL; tests hold run() against brute-force versions.
+#: MinHash, the grammar and packing can't be expressed in SQL; tests hold run() against brute-force versions.
 ORACLE_SQL = None
 
 

@@ -15,7 +15,7 @@ rows and never name a component that has another id. An empty table gives an emp
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import repeat
 
 import numpy as np
@@ -176,11 +176,11 @@ def link_fingerprints(fps: DataFrame) -> DataFrame:
     return ordered.mapInArrow(bucket_links, "a long, b long").distinct()
 
 
-def _grouped(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _grouped(docs: DataFrame, id_col: str, text_col: str, mark: Callable = fingerprints, link: Callable = link_fingerprints) -> DataFrame:
     """doc_id, body_hash, fp, root (smallest fingerprint of the component), component_id of every row. Rows go to their component by (fingerprint, part of the ids), so that copies spread."""
-    marked = cut(fingerprints(docs, id_col, text_col)).withColumn("_salt", salt(F.col("doc_id")))
+    marked = cut(mark(docs, id_col, text_col)).withColumn("_salt", salt(F.col("doc_id")))
     part = marked.groupBy("fp", "_salt").agg(F.min("doc_id").alias("least"))
-    roots = components(link_fingerprints(marked.select("fp").distinct()))
+    roots = components(link(marked.select("fp").distinct()))
     named = part.join(roots.withColumnRenamed("id", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
     tags = named.join(ids, "root").select("fp", "_salt", "root", "component_id")
@@ -192,9 +192,9 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return _grouped(docs, id_col, text_col).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: Callable = fingerprints, link: Callable = link_fingerprints) -> DataFrame:
     """docs, all columns, with one row of each component: the one with the smallest id; of rows equal in id, the first by text hash and content."""
-    stays = _grouped(docs, id_col, text_col).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    stays = _grouped(docs, id_col, text_col, mark, link).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
     stays = stays.groupBy("root").agg(F.min(F.struct("doc_id", "body_hash")).alias("k")).select(F.col("k.doc_id").alias("k_id"), F.col("k.body_hash").alias("k_hash"))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(binary_text(text_col)).alias("body_hash"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     won = rows.join(stays, F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("body_hash") == F.col("k_hash")), "left_semi")
