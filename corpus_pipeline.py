@@ -8,7 +8,7 @@ from crossweave.llm.common import table_path
 from crossweave.llm.decontamination import remove_spans
 from crossweave.llm.exact_dedup import drop_exact
 from crossweave.llm.near_texts import drop_near_texts
-from crossweave.llm.packing import pack_documents
+from crossweave.llm.packing import pack_tokens
 from crossweave.llm.toxicity import drop_toxic, train
 
 
@@ -33,8 +33,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in bins."""
-    return pack_documents(docs)
+    """Pieces of documents in bins, by their tokens."""
+    return pack_tokens(docs)
 
 
 STAGES = [("toxicity", toxicity), ("exact dedup", exact_dedup), ("near dedup", near_dedup), ("decontamination", decontamination), ("packing", packing)]

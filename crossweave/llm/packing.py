@@ -5,8 +5,8 @@ with the least room that holds it. Where none does, a bin is opened whose length
 still to be packed: cost(length) / min(length, piece + rest). At the end each bin shrinks to the shortest permitted length that holds its
 contents. Pieces are dealt by hash to groups of about GROUP pieces, each packed by one task, so that groups grow in number and not in size.
 
-A document's length is its UTF-8 bytes over BYTES_PER_TOKEN, rounded up, plus an end token; null texts are empty and have length 1. Of bins with equal room,
-the one changed last is taken; pieces of one length are taken in order of id and piece. Repeated rows are packed each. An empty table gives an empty
+A document's length is its tokens by the tokenizer of op8 and op9, plus an end token; null texts are empty and have length 1. `pack_documents` takes any
+column for a length, or estimates it as UTF-8 bytes over BYTES_PER_TOKEN, rounded up, plus an end token. Of bins with equal room, the one changed last is taken; pieces of one length are taken in order of id and piece. Repeated rows are packed each. An empty table gives an empty
 result; other columns take no part.
 """
 
@@ -19,6 +19,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from crossweave.llm.common import binary_text, slices, stored
+from crossweave.llm.tokens import default_path, word_ids
+
 LENGTHS = (512, 1024, 2048, 4096, 8192)
 BYTES_PER_TOKEN, GROUP = 4, 20_000
 OVERHEAD = 16.0  # cost of a bin, in tokens
@@ -65,6 +68,24 @@ def token_length(text_col: str = "text", bytes_per_token: int = BYTES_PER_TOKEN)
     return F.ceil(F.octet_length(F.coalesce(F.col(text_col), F.lit(""))) / F.lit(bytes_per_token)).cast("long") + 1
 
 
+def token_lengths(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
+    """doc_id, n (tokens and an end token) of every row."""
+    path = path or default_path()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = word_ids(path)
+        for batch in slices(batches):
+            n = np.array(encoder.lengths(batch.column("body").to_pylist()), np.int64) + 1
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n)], ["doc_id", "n"])
+
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), binary_text(text_col).alias("body")).mapInArrow(run, "doc_id long, n long")
+
+
+def pack_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, lengths: tuple[int, ...] = LENGTHS, group: int = GROUP) -> DataFrame:
+    """As pack_documents, by the tokens of the texts; these are counted once."""
+    return pack_documents(stored(token_lengths(docs, id_col, text_col, path), "token-lengths"), length=F.col("n"), lengths=lengths, group=group)
+
+
 def pack_documents(docs: DataFrame, id_col: str = "doc_id", length: Column | None = None, lengths: tuple[int, ...] = LENGTHS, group: int = GROUP) -> DataFrame:
     """doc_id, piece, start (in the document), n_tokens, bin_id, bin_offset, bin_length: a row for each piece."""
     top = max(lengths)
@@ -102,7 +123,7 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", length: Column | Non
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return pack_tokens(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 QUERIES = {"op2_packing": op2_packing}

@@ -106,6 +106,20 @@ class WordIds:
         k = self.look_up(found)
         return self.start[k + 1] - self.start[k]
 
+    def lengths(self, texts: list[bytes]) -> list[int]:
+        """Tokens of each text."""
+        out: list[int] = []
+        held: list[list[bytes]] = []
+        n = 0
+        for i, text in enumerate(texts):
+            held.append(self.chunks(text))
+            n += len(held[-1])
+            if n >= GROUP or i == len(texts) - 1:
+                upto = np.concatenate([[0], np.cumsum(self.counts([c for h in held for c in h]))])
+                out += np.diff(upto[np.concatenate([[0], np.cumsum([len(h) for h in held])])]).tolist()
+                held, n = [], 0
+        return out
+
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         """Ids of each text."""
         out: list[np.ndarray] = []
