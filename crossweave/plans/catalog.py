@@ -619,6 +619,6 @@ def budgeted_profile(spark, d):
 @query()
 def distilled_scores(spark, d):
     """The whole of label distillation with the stub for a scorer: prompts, replies, batches refined together."""
-    t = px.assignments(spark, d, "O").filter("ord < 30").select(F.lit(None).cast("string").alias("name"), F.col("aid").alias("aid1"), F.col("aid").alias("aid2"), "pid", "ord", F.lit(None).cast("double").alias("similarity"), F.lit(0.25).alias("author_sim"))
+    t = px.assignments(spark, d, "O").select(F.lit(None).cast("string").alias("name"), F.col("aid").alias("aid1"), F.col("aid").alias("aid2"), "pid", "ord", F.lit(None).cast("double").alias("similarity"), F.lit(0.25).alias("author_sim"))
     requests = pipeline.requests(t, px.assignments(spark, d, "O"), px.assignments(spark, d, "F"), _part_papers(spark, d))
     return pipeline.distill(requests)
