@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from functools import reduce
 from itertools import repeat
 
 import numpy as np
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crossweave.llm.common import binary_text, words
+from crossweave.llm.common import binary_text, stored, words
 from crossweave.llm.fm_index import FMIndex
 
 WINDOW = 10
@@ -164,7 +165,8 @@ def _finder(phrases: Phrases) -> Callable:
 def remove_spans(docs: DataFrame, items: DataFrame, text_col: str = "text", chars_col: str = "n_chars", most: int = ITEM_BYTES) -> DataFrame:
     """docs with the spans cut from their texts (and the count of characters, where there is such a column, set anew); all columns stay.
 
-    A text is searched again after a cut, until nothing is found: what a cut brings together may match. A document left without words goes.
+    A text is searched again after a cut, until nothing is found: what a cut brings together may match. A document left without words goes. Items of
+    several parts are all searched for before a cut, so that the parts give the rows of one.
     """
     schema = docs.schema
     counts = chars_col if chars_col in docs.columns else None
@@ -193,9 +195,29 @@ def remove_spans(docs: DataFrame, items: DataFrame, text_col: str = "text", char
 
         return run
 
-    for part in batched_items(items, most=most):
-        docs = docs.mapInArrow(cutter(Phrases(part)), schema)
-    return docs
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = dict(zip(schema.names, batch.column("doc").flatten(), strict=True))
+            spans = [[(x["start"], x["stop"]) for x in s] for s in batch.column("spans").to_pylist()]
+            texts = [cut_spans(t.encode(), s).decode() for t, s in zip(columns[text_col].to_pylist(), spans, strict=True)]
+            columns[text_col] = pa.array(texts, columns[text_col].type)
+            if counts:
+                columns[counts] = pa.array(list(map(len, texts)), columns[counts].type)
+            yield pa.RecordBatch.from_arrays(list(columns.values()), schema.names).filter(pa.array([bool(words(t.encode())) for t in texts], pa.bool_()))
+
+    parts = batched_items(items, most=most)
+    first = next(parts)
+    if next(parts, None) is None:
+        return docs.mapInArrow(cutter(Phrases(first)), schema)
+    clean, todo = [], docs
+    while True:
+        whole = todo.select(F.struct(*[F.col(f"`{c}`") for c in schema.names]).alias("doc"), F.col(text_col).alias("text"))
+        found = stored(find(whole, items, keep=("doc",), most=most), "spans")
+        clean.append(found.filter("size(hits.spans) = 0").select("doc.*"))
+        hit = found.filter("size(hits.spans) > 0")
+        if hit.isEmpty():
+            return reduce(DataFrame.union, clean)
+        todo = hit.select("doc", F.col("hits.spans").alias("spans")).mapInArrow(cut, schema)
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
