@@ -24,7 +24,9 @@ _TOKEN = re.compile(
     r"|<(?P<close>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^<>]*>",
     re.S | re.I,
 )
-_ATTR = re.compile(r"\b(?:class|id|role|aria-label|itemprop)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)|\b(hidden)\b|(display\s*:\s*none)", re.I)
+_ATTR = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
+_NAMING = frozenset("class id role aria-label itemprop".split())
+_NOT_SHOWN = re.compile(r"display\s*:\s*none", re.I)
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 AROUND = frozenset("nav header footer aside form menu dialog fieldset".split())
@@ -55,13 +57,20 @@ class Block:
 
 def _names(attrs: str) -> tuple[bool, bool]:
     """Whether the attributes name something beside the article, or the article."""
-    around = main = False
-    for value, hidden, none in _ATTR.findall(attrs):
-        found = value.strip("\"' ").lower()
-        parts = set(found.split()) | set(re.split(r"[\s_-]+", found))
-        around |= bool(hidden or none or parts & AROUND_NAMES)
-        main |= bool(parts & MAIN_NAMES)
-    return around, main
+    around = main = part_around = article = False
+    for name, value in _ATTR.findall(attrs):
+        name, found = name.lower(), value.strip("\"' ").lower()
+        if name in _NAMING:
+            whole = {x.replace("_", "-") for x in found.split()}
+            parts = set(re.split(r"[\s_-]+", found))
+            around |= bool(whole & AROUND_NAMES)
+            part_around |= bool(parts & AROUND_NAMES)
+            article |= bool(whole & MAIN_NAMES)
+            main |= bool((whole | parts) & MAIN_NAMES)
+        else:
+            around |= name == "hidden" or (name == "aria-hidden" and found == "true") or bool(name == "style" and _NOT_SHOWN.search(found))
+    # a part of a compound name ("has-sidebar") says nothing of an element with an article's name
+    return around or (part_around and not article), main
 
 
 def blocks(html: str) -> list[Block]:
