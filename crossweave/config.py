@@ -11,6 +11,7 @@ class EngineConfig:
     profile_sample: int = 100  # papers sampled from a profile for the model
     distill_sample: int = 20  # the same for label distillation
     clean_sample: int = 40  # the same for profile cleaning
+    clean_batch: int = 10  # papers that are judged at once there
     label_threshold: float = 0.9
     author_sim: float = 1.0
     upsample: bool = True

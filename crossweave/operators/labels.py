@@ -19,8 +19,8 @@ def upsample(df: DataFrame) -> DataFrame:
     """Rows with label 0 repeated k times, k = label-1 rows over label-0 rows, at least 1. Column copy numbers them."""
     counts = df.agg(F.count_if(F.col("label") == 1).alias("_p"), F.count_if(F.col("label") == 0).alias("_q"))
     k = F.greatest(F.lit(1), F.coalesce(F.try_divide("_p", "_q"), F.lit(1)).cast("long"))
-    both = df.crossJoin(F.broadcast(counts.select(k.alias("_k"))))  # one row
-    return both.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.when(F.col("label") == 0, F.col("_k")).otherwise(F.lit(1).cast("long"))))).drop("_k")
+    k = F.when(F.col("label") == 0, counts.select(k).scalar()).otherwise(F.lit(1).cast("long"))
+    return df.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), k)))
 
 
 def soft_labels(triples: DataFrame, refined: DataFrame) -> DataFrame:
@@ -31,5 +31,5 @@ def soft_labels(triples: DataFrame, refined: DataFrame) -> DataFrame:
 
 def clean_profiles(assignments: DataFrame, votes: DataFrame, cut: float = 0.5) -> DataFrame:
     """Assignments whose cleaning score reaches the cut; those without a score stay. votes: aid, pid, score."""
-    marks = votes.groupBy("aid", "pid").agg(F.avg("score").alias("_score"))
+    marks = votes.groupBy("aid", "pid").agg(F.round(F.avg("score"), 9).alias("_score"))  # whatever the order in which the votes are added
     return assignments.join(marks, ["aid", "pid"], "left").filter(F.coalesce(F.col("_score") >= cut, F.lit(True))).drop("_score").withColumn("variant", F.lit("clean"))

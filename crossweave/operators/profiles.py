@@ -30,10 +30,10 @@ def shuffle_key(seed: str, *keys: str) -> Column:
     return F.md5(F.concat_ws("-", F.lit(seed), *[F.col(k).cast("string") for k in keys]))
 
 
-def flatten_names(df: DataFrame, order: str = "name") -> DataFrame:
-    """Assignments without names: of an aid under several names, the last name's list stays."""
-    last = Window.partitionBy("aid")
-    return df.withColumn("_last", F.max(order).over(last)).filter(F.col(order) == F.col("_last")).drop("_last")
+def flatten_names(df: DataFrame, order: str = "name_ord") -> DataFrame:
+    """Assignments without names: of an aid under several names, the list of the name that comes last in the file stays."""
+    last = df.groupBy(F.col("aid").alias("_aid")).agg(F.max(order).alias("_last"))
+    return df.join(last, (F.col("aid") == F.col("_aid")) & (F.col(order) == F.col("_last")), "left_semi")
 
 
 def last_aid(df: DataFrame, name: str = "name", aid: str = "aid", order: str = "ord") -> DataFrame:
@@ -41,6 +41,14 @@ def last_aid(df: DataFrame, name: str = "name", aid: str = "aid", order: str = "
     return df.groupBy(name).agg(F.max_by(aid, order).alias(aid))
 
 
+def targets_of(aids: DataFrame, assignments: DataFrame) -> DataFrame:
+    """The papers of the named profiles, by name and aid; a pair that has none raises when rows are read."""
+    there = assignments.select("name", "aid").distinct().withColumn("_there", F.lit(True))
+    checked = F.when(F.col("_there"), F.col("aid")).otherwise(F.raise_error(F.concat(F.lit("unknown profile "), F.col("aid"))).cast("string"))
+    wanted = aids.select("name", "aid").distinct().join(there, ["name", "aid"], "left").select("name", checked.alias("aid"))
+    return wanted.join(assignments, ["name", "aid"])
+
+
 def with_fallback(clean: DataFrame, raw: DataFrame, level: str = "aid") -> DataFrame:
     """The clean lists, and the raw ones of what has no clean list. level: the key that decides, aid or name."""
     return clean.unionByName(raw.join(clean.select(level).distinct(), level, "left_anti").select(*clean.columns))
@@ -48,7 +56,8 @@ def with_fallback(clean: DataFrame, raw: DataFrame, level: str = "aid") -> DataF
 
 def min_profile(df: DataFrame, more_than: int = 5, aid: str = "aid") -> DataFrame:
     """Rows of profiles with more than so many papers."""
-    return df.withColumn("_n", F.count("*").over(Window.partitionBy(aid))).filter(F.col("_n") > more_than).drop("_n")
+    large = df.groupBy(aid).agg(F.count("*").alias("_n")).filter(F.col("_n") > more_than)
+    return df.join(large, aid, "left_semi")
 
 
 def known(df: DataFrame, papers: DataFrame, pid: str = "pid") -> DataFrame:
@@ -100,10 +109,12 @@ def sample(df: DataFrame, k: int, seed: str, aid: str = "aid", pid: str = "pid",
     return df.withColumn("nth", nth).filter(F.col("nth") <= k)
 
 
-def nearest_year(df: DataFrame, k: int, target: str = "target_year", year: str = "year", aid: str = "aid", order: str = "ord") -> DataFrame:
-    """The k papers of each profile with years nearest to its target; a missing year counts as 0."""
-    away = F.abs(F.coalesce(F.col(year), F.lit(0)) - F.col(target))
-    return df.withColumn("nth", F.row_number().over(Window.partitionBy(aid).orderBy(away, order))).filter(F.col("nth") <= k)
+def nearest_year(df: DataFrame, k: int, seed: str = "42", target: str = "target_year", year: str = "year", aid: str = "aid", pid: str = "pid", order: str = "ord") -> DataFrame:
+    """The k papers of each profile with years nearest to its target; a missing year counts as 0. Without a target (0), any k of them, as by `sample`."""
+    known = F.coalesce(F.col(target), F.lit(0)) != 0
+    away = F.when(known, F.abs(F.coalesce(F.col(year), F.lit(0)) - F.col(target)))
+    some = F.when(~known, shuffle_key(seed, aid, pid))
+    return df.withColumn("nth", F.row_number().over(Window.partitionBy(aid).orderBy(away, some, order))).filter(F.col("nth") <= k)
 
 
 def overlap(inner: DataFrame, outer: DataFrame, aid: str = "aid", pid: str = "pid") -> DataFrame:

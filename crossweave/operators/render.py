@@ -14,7 +14,7 @@ FEATURES = ("title", "author", "organization", "venue", "year", "keywords")
 
 @dataclass(frozen=True)
 class Style:
-    """clean: each line ends with a line break. distill: the year has none. model: organisations are made distinct before the cap, without a word cut."""
+    """clean: each line ends with a line break. distill: the year has none. model: organisations are made distinct before the cap, without a word cut, and names after it."""
 
     name: str = "clean"
 
@@ -33,14 +33,17 @@ def authors_in_order(authors: Column) -> Column:
     return F.when(F.get(authors, F.lit(0))["AuthorSequenceNumber"].isNotNull(), F.transform(numbered, lambda x: x["a"])).otherwise(authors)
 
 
-def names(authors: Column) -> Column:
-    return head_tail(F.transform(authors, lambda a: F.coalesce(a["name"], a["OriginalAuthor"], F.lit(""))))
+def names(authors: Column, style: Style = Style()) -> Column:
+    """The authors' names, the middle of a long list left out; made distinct after that for the model."""
+    capped = head_tail(F.transform(authors, lambda a: F.coalesce(a["name"], a["OriginalAuthor"], F.lit(""))))
+    return capped if style.cuts_words else F.array_distinct(capped)
 
 
 def organizations(authors: Column, style: Style) -> Column:
     every = F.transform(authors, lambda a: F.coalesce(a["org"], a["OriginalAffiliation"], F.lit("")))
-    if not style.cuts_words:
-        return head_tail(F.array_distinct(every))
+    if not style.cuts_words:  # it is the number of authors that makes a list long
+        distinct = F.array_distinct(every)
+        return F.when(F.size(authors) > 10, head_tail(distinct)).otherwise(distinct)
     return F.array_distinct(F.transform(head_tail(every), lambda o: first_words(o)))
 
 
@@ -50,7 +53,7 @@ def paper(features: tuple[str, ...] = FEATURES, style: Style = Style()) -> Colum
     none = F.lit("None")
     lines = {
         "title": F.concat(F.lit("Title: "), F.coalesce("title", none), F.lit("\n")),
-        "author": F.concat(F.lit("Authors: "), F.array_join(names(authors), ", "), F.lit("\n")),
+        "author": F.concat(F.lit("Authors: "), F.array_join(names(authors, style), ", "), F.lit("\n")),
         "organization": F.concat(F.lit("Organizations: "), F.array_join(organizations(authors, style), ", "), F.lit("\n")),
         "venue": F.concat(F.lit("Venue: "), F.coalesce("venue", none), F.lit("\n")),
         "year": F.concat(F.lit("Year: "), F.coalesce(F.col("year").cast("string"), none), F.lit(style.year_end)),
@@ -65,7 +68,7 @@ def numbered(items: Column) -> Column:
 
 
 def similarity_line(sim: Column) -> Column:
-    return F.coalesce(F.concat(F.lit("Profile similarity: "), F.format_string("%.2f", sim)), F.lit("Profile similarity: unknown"))
+    return F.concat(F.lit("Profile similarity: "), F.when(sim.isNull(), "unknown").otherwise(F.format_string("%.2f", sim)))  # a null would be formatted
 
 
 def prompt_two_sources(name: Column, inner: Column, outer: Column, sim: Column, targets: Column) -> Column:

@@ -19,13 +19,40 @@ from crossweave.functions import replies
 Scorer = Callable[[str, str], str]
 
 
+def _fixed(text: str) -> float:
+    """A score of two decimals, from the first byte of a text's MD5."""
+    import hashlib
+
+    return hashlib.md5(text.encode(), usedforsecurity=False).digest()[0] % 101 / 100
+
+
 def stub(prompt: str, system: str = "") -> str:
     """A fixed reply for each prompt: a score for each target, from its checksum."""
     import json
-    import zlib
 
     targets = prompt.rpartition("Targets:")[2].strip().split("; ")
-    return json.dumps({str(i): zlib.crc32(t.encode()) % 101 / 100 for i, t in enumerate(targets)})
+    return json.dumps({str(i): _fixed(t) for i, t in enumerate(targets)})
+
+
+def stub_batches(prompt: str, system: str = "") -> str:
+    """The same for the batches of a pair: a score for each line of each batch."""
+    import json
+
+    out: dict[str, dict[str, float]] = {}
+    for line in prompt.split("\n"):
+        if line.startswith("Batch "):
+            now = out.setdefault("batch_" + line.split()[1].rstrip(","), {})
+        elif line.partition(": ")[0].isdigit():
+            now[line.partition(": ")[0]] = _fixed(line)
+    return json.dumps(out)
+
+
+def stub_lines(prompt: str, system: str = "") -> str:
+    """The same for the lines that follow "Targets:"."""
+    import json
+
+    lines = prompt.rpartition("Targets:\n")[2].split("\n")
+    return json.dumps({line.partition(": ")[0]: _fixed(line) for line in lines if line.partition(": ")[0].isdigit()})
 
 
 def call(requests: DataFrame, scorer: Scorer = stub, system: str = "", attempts: int = 3, at_once: int = 8, tasks: int | None = None, valid: Callable[[str], bool] = bool) -> DataFrame:
@@ -51,6 +78,28 @@ def call(requests: DataFrame, scorer: Scorer = stub, system: str = "", attempts:
     return out.select("request_id", replies.answer(F.col("content")).alias("content"), replies.reasoning(F.col("content")).alias("reasoning"), "attempts").to(_schema())
 
 
+Positions = Callable[[str, list[str]], list[tuple[float, float]]]
+
+
+def stub_positions(context: str, targets: list[str]) -> list[tuple[float, float]]:
+    """Fixed logits (no, yes) for each target of a context."""
+    return [(_fixed(context), _fixed(t)) for t in targets]
+
+
+def call_positions(requests: DataFrame, scorer: Positions = stub_positions) -> DataFrame:
+    """request_id, pos, no, yes: a pair of logits for each target of requests (request_id, context, targets), scored in one context."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("no", pa.float64()), ("yes", pa.float64())]))
+        for batch in batches:
+            got = [scorer(c, t) for c, t in zip(batch.column("context").to_pylist(), batch.column("targets").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("request_id"), pa.array([[{"no": a, "yes": b} for a, b in g] for g in got], kind)], ["request_id", "logits"])
+
+    out = requests.select("request_id", F.coalesce("context", F.lit("")).alias("context"), F.coalesce("targets", F.array().cast("array<string>")).alias("targets"))
+    out = out.mapInArrow(run, "request_id string, logits array<struct<no:double,yes:double>>")
+    return out.select("request_id", F.posexplode("logits").alias("pos", "l")).select("request_id", "pos", "l.no", "l.yes")
+
+
 def _schema():
     from pyspark.sql.types import StructType
 

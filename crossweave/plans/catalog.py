@@ -4,15 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from crossweave.config import EngineConfig
 from crossweave.functions import replies, text
 from crossweave.operators import batching, labels, metrics, objective, profiles, refine, render, scorer
 from crossweave.plans import pipeline
 from crossweave.plans import proxies as px
 from crossweave.plans.proxies import INNER, OUTER, SCORED, TIED, table
-from crossweave.sources import readers
+from crossweave.sources import readers, sinks, storage
 from crossweave.streaming import resume
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,6 +34,11 @@ def r6(*names: str) -> list:
     return [F.round(n, 6).alias(n) for n in names]
 
 
+def fixed(text: str) -> str:
+    """SQL for the stub scorers' score of a text."""
+    return f"(CAST(('0x' || substr(md5({text}), 1, 2)) AS INT) % 101) / 100.0::DOUBLE"
+
+
 # ---- metrics
 
 _AUTHORS = """steps AS (SELECT aid1 AS aid, 1 - pred + 0.0 AS q, sum(1 - label) AS pos, count(*) AS n FROM scored GROUP BY 1, 2),
@@ -82,10 +88,14 @@ def pair_key(spark, d):
     return e.select("event_id", profiles.pair_key().alias("pair"))
 
 
-@query("""WITH a AS (SELECT l_returnflag AS name, CAST(l_suppkey AS VARCHAR) AS aid, l_partkey FROM lineitem), m AS (SELECT *, max(name) OVER (PARTITION BY aid) AS last FROM a)
-SELECT aid, name, count(*) AS n_papers FROM m WHERE name = last GROUP BY aid, name""")
+_NAMED = "named AS (SELECT l_returnflag AS name, CASE l_returnflag WHEN 'N' THEN 0 WHEN 'R' THEN 1 ELSE 2 END AS name_ord, CAST(l_suppkey AS VARCHAR) AS aid FROM lineitem)"
+
+
+@query(f"WITH {_NAMED}, m AS (SELECT *, max(name_ord) OVER (PARTITION BY aid) AS last FROM named) SELECT aid, name, count(*) AS n_papers FROM m WHERE name_ord = last GROUP BY aid, name")
 def flatten_profiles(spark, d):
-    x = table(spark, d, "lineitem").select(F.col("l_returnflag").alias("name"), F.col("l_suppkey").cast("string").alias("aid"))
+    """Names in an order of their own, as in a file; the last one's list stays."""
+    order = F.when(F.col("l_returnflag") == "N", 0).when(F.col("l_returnflag") == "R", 1).otherwise(2)
+    x = table(spark, d, "lineitem").select(F.col("l_returnflag").alias("name"), order.alias("name_ord"), F.col("l_suppkey").cast("string").alias("aid"))
     return profiles.flatten_names(x).groupBy("aid", "name").agg(F.count("*").alias("n_papers"))
 
 
@@ -183,17 +193,22 @@ def profiles_inner(spark, d):
     return profiles.profile_papers(_aids(spark, d), px.assignments(spark, d, "O"), _papers(spark, d)).select("aid", "ord", "pid", "title")
 
 
-@query(f"WITH {OUTER}, {_AIDS} SELECT aid, count(pid) AS n_papers FROM aids LEFT JOIN (SELECT * FROM outr WHERE ord % 50 = 49) o USING (aid) GROUP BY aid")
+_RICH = "rich AS (SELECT CAST(s_suppkey AS VARCHAR) AS aid FROM supplier WHERE s_acctbal > 3000)"
+
+
+@query(f"WITH {OUTER}, {_AIDS}, {_RICH} SELECT aid, count(pid) AS n_papers FROM aids LEFT JOIN (SELECT * FROM outr WHERE aid IN (SELECT aid FROM rich)) o USING (aid) GROUP BY aid")
 def profiles_outer_left(spark, d):
-    lists = profiles.lists(px.assignments(spark, d, "F").filter("ord % 50 = 49"))
+    """Some profiles have no list in the outer source."""
+    there = table(spark, d, "supplier").filter("s_acctbal > 3000").select(F.col("s_suppkey").cast("string").alias("aid"))
+    lists = profiles.lists(px.assignments(spark, d, "F").join(there, "aid", "left_semi"))
     return _aids(spark, d).join(lists, "aid", "left").select("aid", F.size(F.coalesce("pids", F.array().cast("array<string>"))).cast("long").alias("n_papers"))
 
 
-@query(f"""WITH {INNER}, {_AIDS}, clean AS (SELECT aid, ord, pid FROM inn JOIN aids USING (aid) WHERE ord % 2 = 0)
+@query(f"""WITH {INNER}, {_AIDS}, {_PAPERS}, clean AS (SELECT aid, ord, pid FROM inn JOIN aids USING (aid) WHERE pid IN (SELECT pid FROM papers WHERE p_size > 25))
 SELECT aid, ord, pid FROM clean UNION ALL SELECT aid, ord, pid FROM inn WHERE aid NOT IN (SELECT aid FROM clean)""")
 def clean_fallback(spark, d):
     raw = px.assignments(spark, d, "O")
-    return profiles.with_fallback(raw.join(_aids(spark, d), "aid", "left_semi").filter("ord % 2 = 0"), raw)
+    return profiles.with_fallback(profiles.known(raw.join(_aids(spark, d), "aid", "left_semi"), _papers(spark, d).filter("p_size > 25")).select(*raw.columns), raw)
 
 
 @query(f"WITH {SCORED} SELECT a.pid, coalesce(b.pred, 0.5) AS pred FROM scored a LEFT JOIN (SELECT * FROM scored WHERE event_type = 'click') b USING (pid)")
@@ -248,10 +263,15 @@ def sample_profile_k(spark, d):
     return profiles.sample(px.assignments(spark, d, "O"), 20, "42").select("aid", "pid", "nth")
 
 
-@query("""WITH x AS (SELECT CAST(o_custkey AS VARCHAR) AS aid, o_orderkey AS ord, CASE WHEN o_orderkey % 9 > 0 THEN CAST(year(o_orderdate) AS INT) END AS year FROM orders)
-SELECT aid, ord, nth FROM (SELECT *, CAST(row_number() OVER (PARTITION BY aid ORDER BY abs(coalesce(year, 0) - 1995), ord) AS INT) AS nth FROM x) WHERE nth <= 5""")
+@query("""WITH x AS (SELECT CAST(o_custkey AS VARCHAR) AS aid, o_orderkey AS ord, CAST(o_orderkey AS VARCHAR) AS pid, CASE WHEN o_orderstatus <> 'P' THEN CAST(year(o_orderdate) AS INT) END AS year, CASE WHEN c_acctbal > 0 THEN 1995 ELSE 0 END AS t
+FROM orders JOIN customer ON o_custkey = c_custkey)
+SELECT aid, ord, nth FROM (SELECT *, CAST(row_number() OVER (PARTITION BY aid ORDER BY CASE WHEN t <> 0 THEN abs(coalesce(year, 0) - t) END NULLS FIRST, CASE WHEN t = 0 THEN md5(concat('42-', aid, '-', pid)) END NULLS FIRST, ord) AS INT) AS nth FROM x) WHERE nth <= 5""")
 def nearest_year_topk(spark, d):
-    o = table(spark, d, "orders").select(F.col("o_custkey").cast("string").alias("aid"), F.col("o_orderkey").alias("ord"), F.when(F.col("o_orderkey") % 9 > 0, F.year("o_orderdate")).alias("year"), F.lit(1995).alias("target_year"))
+    """Papers without a year, and profiles without a target year (0), among them."""
+    targets = table(spark, d, "customer").select("c_custkey", F.when(F.col("c_acctbal") > 0, 1995).otherwise(0).alias("target_year"))
+    o = table(spark, d, "orders").join(targets, F.col("o_custkey") == F.col("c_custkey"))
+    year = F.when(F.col("o_orderstatus") != "P", F.year("o_orderdate")).alias("year")
+    o = o.select(F.col("o_custkey").cast("string").alias("aid"), F.col("o_orderkey").alias("ord"), F.col("o_orderkey").cast("string").alias("pid"), year, "target_year")
     return profiles.nearest_year(o, 5).select("aid", "ord", "nth")
 
 
@@ -293,9 +313,9 @@ def org_first_10_words(spark, d):
     return table(spark, d, "documents").select("doc_id", text.first_words(F.col("text")).alias("org"))
 
 
-@query("WITH x AS (SELECT CAST(s_nationkey AS VARCHAR) AS aid, list(DISTINCT substr(s_name, 1, 12)) AS o FROM supplier GROUP BY 1) SELECT aid, CAST(len(o) AS INT) AS n_orgs, array_to_string(list_sort(o), ',') AS orgs FROM x")
+@query("WITH x AS (SELECT CAST(c_nationkey AS VARCHAR) AS aid, list(DISTINCT c_mktsegment) AS o FROM customer GROUP BY 1) SELECT aid, CAST(len(o) AS INT) AS n_orgs, array_to_string(list_sort(o), ',') AS orgs FROM x")
 def distinct_orgs(spark, d):
-    x = table(spark, d, "supplier").groupBy(F.col("s_nationkey").cast("string").alias("aid")).agg(F.array_sort(F.array_distinct(F.collect_list(F.substring("s_name", 1, 12)))).alias("o"))
+    x = table(spark, d, "customer").groupBy(F.col("c_nationkey").cast("string").alias("aid")).agg(F.array_sort(F.array_distinct(F.collect_list("c_mktsegment"))).alias("o"))
     return x.select("aid", F.size("o").alias("n_orgs"), F.array_join("o", ",").alias("orgs"))
 
 
@@ -313,25 +333,50 @@ def render_paper(spark, d):
     return render.rendered(_part_papers(spark, d))
 
 
-@query(f"""WITH {INNER}, {OUTER}, {_PAPERS}, i AS (SELECT aid, list(title ORDER BY ord) AS t FROM inn JOIN papers USING (pid) WHERE ord < 5 GROUP BY aid),
-o AS (SELECT aid, list(title ORDER BY ord) AS t FROM outr JOIN papers USING (pid) WHERE ord < 5 GROUP BY aid)
-SELECT aid, 'Name: ' || aid || chr(10) || 'Internal profile: ' || array_to_string(i.t, '; ') || chr(10) || 'External profile: ' || array_to_string(o.t, '; ') || chr(10) || 'Profile similarity: 0.25' || chr(10) || 'Targets: ' ||
-array_to_string(list_transform(i.t[1:3], lambda x, k: CAST(k - 1 AS VARCHAR) || ': ' || x), '; ') AS prompt FROM i JOIN o USING (aid)""")
-def prompt_two_source(spark, d):
-    def side(status, out):
-        rows = px.assignments(spark, d, status).filter("ord < 5").join(_papers(spark, d), "pid").groupBy("aid").agg(F.array_sort(F.collect_list(F.struct("ord", "title"))).alias("x"))
-        return rows.select("aid", F.col("x.title").alias(out))
+def _picked(name: str, source: str, k: int) -> str:
+    """SQL for `_sampled`: the titles of at most k papers of each profile, and the mean size of these papers over 50, as a similarity."""
+    shuffled = f"SELECT *, row_number() OVER (PARTITION BY aid ORDER BY md5(concat('42-', aid, '-', pid)), ord) AS nth FROM {source}"
+    return f"{name} AS (SELECT aid, list(title ORDER BY nth) AS t, avg(p_size) / 50 AS sim FROM ({shuffled}) JOIN papers USING (pid) WHERE nth <= {k} GROUP BY aid)"
+
 
-    both = side("O", "inner").join(side("F", "outer"), "aid")
-    return both.select("aid", render.prompt_two_sources(F.col("aid"), F.col("inner"), F.col("outer"), F.lit(0.25), F.slice("inner", 1, 3)).alias("prompt"))
+def _dealt(name: str, source: str, n: int) -> str:
+    """SQL for `_batches`: the titles of all papers of each profile, dealt to batches of n at random."""
+    shuffled = f"SELECT *, row_number() OVER (PARTITION BY aid ORDER BY md5(concat('42-', aid, '-', pid)), ord) - 1 AS i FROM {source}"
+    return f"{name} AS (SELECT aid, CAST(i // {n} AS INT) AS batch_id, list(title ORDER BY i) AS b, list(p_size / 50.0::DOUBLE ORDER BY i) AS s FROM ({shuffled}) JOIN papers USING (pid) GROUP BY 1, 2)"
 
 
-@query("""WITH c AS (SELECT conv_id, list(text ORDER BY turn) AS t FROM conversations WHERE turn < 3 GROUP BY conv_id)
+def _sampled(spark, d, status, k):
+    rows = profiles.sample(px.assignments(spark, d, status), k, "42").join(_papers(spark, d), "pid")
+    rows = rows.groupBy("aid").agg(F.array_sort(F.collect_list(F.struct("nth", "title"))).alias("x"), (F.avg("p_size") / 50).alias("sim"))
+    return rows.select("aid", F.col("x.title").alias("t"), "sim")
+
+
+def _batches(spark, d, n):
+    rows = batching.random_turns(px.assignments(spark, d, "O"), ["aid"], n, "42").join(_papers(spark, d), "pid")
+    rows = rows.groupBy("aid", "batch_id").agg(F.array_sort(F.collect_list(F.struct("pos", "title", (F.col("p_size") / 50).alias("s")))).alias("x"))
+    return rows.select("aid", "batch_id", F.col("x.title").alias("b"), F.col("x.s").alias("s"))
+
+
+_NUMBERED = "list_transform(b, lambda x, k: CAST(k - 1 AS VARCHAR) || ': ' || x)"
+
+
+@query(f"""WITH {INNER}, {OUTER}, {_PAPERS}, {_picked("i", "inn", 20)}, {_picked("o", "outr", 20)}, {_dealt("dealt", "inn", 20)}
+SELECT aid, batch_id, 'Name: ' || aid || chr(10) || 'Internal profile: ' || array_to_string(i.t, '; ') || chr(10) || 'External profile: ' || array_to_string(o.t, '; ') || chr(10) || 'Profile similarity: ' ||
+CASE WHEN i.sim > 0.5 THEN printf('%.2f', round(o.sim * 4) / 4) ELSE 'unknown' END || chr(10) || 'Targets: ' || array_to_string({_NUMBERED}, '; ') AS prompt FROM dealt JOIN i USING (aid) JOIN o USING (aid)""")
+def prompt_two_source(spark, d):
+    """All targets in batches, each with a sample of both profiles; some pairs have no similarity."""
+    outer = _sampled(spark, d, "F", 20).select("aid", F.col("t").alias("outer"), (F.round(F.col("sim") * 4) / 4).alias("outer_sim"))
+    both = _batches(spark, d, 20).join(_sampled(spark, d, "O", 20), "aid").join(outer, "aid")
+    sim = F.when(F.col("sim") > 0.5, F.col("outer_sim"))
+    return both.select("aid", "batch_id", render.prompt_two_sources(F.col("aid"), F.col("t"), F.col("outer"), sim, F.col("b")).alias("prompt"))
+
+
+@query("""WITH c AS (SELECT conv_id, list(text ORDER BY turn) AS t FROM conversations GROUP BY conv_id)
 SELECT conv_id, CAST(i AS INT) AS pos, CASE WHEN i = 0 THEN 'system' WHEN i % 2 = 1 THEN 'user' ELSE 'assistant' END AS role,
 CASE WHEN i = 0 THEN 'Judge each item.' WHEN i = 1 THEN 'Conversation' || chr(10) || t[1] WHEN i % 2 = 1 THEN t[(i + 1) // 2] ELSE '' END AS content
 FROM (SELECT conv_id, t, unnest(range(0, 2 * len(t) + 1)) AS i FROM c)""")
 def chat_transcript(spark, d):
-    c = table(spark, d, "conversations").filter("turn < 3").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("t"))
+    c = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("t"))
     return c.select("conv_id", F.posexplode(render.chat(F.lit("Judge each item."), F.lit("Conversation"), F.col("t.text"))).alias("pos", "m")).select("conv_id", "pos", "m.role", "m.content")
 
 
@@ -420,7 +465,7 @@ def _requests(spark, d):
     return e.select(F.col("event_id").cast("string").alias("request_id"), F.concat(F.lit("Targets: "), F.col("event_type"), F.lit("; "), F.col("props")).alias("prompt"))
 
 
-@query()
+@query(f"WITH x AS (SELECT CAST(event_id AS VARCHAR) AS request_id, unnest([0, 1]) AS pos, unnest([event_type, trim(props)]) AS t FROM events) SELECT request_id, CAST(pos AS INT) AS pos, {fixed('t')} AS score FROM x")
 def llm_score_stub(spark, d):
     done = scorer.call(_requests(spark, d), tasks=spark.sparkContext.defaultParallelism)
     return done.select("request_id", F.posexplode(replies.in_order(replies.scores(F.col("content")))).alias("pos", "score"))
@@ -441,12 +486,24 @@ def result_reorder(spark, d):
     return scorer.with_replies(x.drop("content"), done).select("aid1", "aid2", F.size("pids").alias("n_pids"), "content")
 
 
-@query(f"WITH {SCORED}, {_AUTHORS} {_AUTHOR_ROWS}")
-def second_pass_metrics(spark, d):
-    """Scores, dealt again by confidence, keep their metrics: the batches change the context and not the rows."""
+@query(f"""WITH {SCORED}, p AS (SELECT aid1, pid, ord, CASE WHEN event_type <> 'view' THEN pred ELSE 0.5 END AS pred FROM scored),
+x AS (SELECT aid1, pid, pred, row_number() OVER (PARTITION BY aid1 ORDER BY abs(pred - 0.5) DESC, ord) - 1 AS i, CAST(ceil(count(*) OVER (PARTITION BY aid1) / 4) AS BIGINT) AS b FROM p),
+y AS (SELECT aid1, pid, pred, i // b AS r, CASE WHEN (i // b) % 2 = 0 THEN i % b ELSE b - 1 - i % b END AS batch_id FROM x),
+z AS (SELECT *, count(*) OVER (PARTITION BY aid1, batch_id) AS m FROM y)
+SELECT aid1, pid, pred, CAST(batch_id AS INT) AS batch_id, CAST(CASE WHEN r < ceil(m / 2) THEN 2 * r ELSE 2 * (m - 1 - r) + 1 END AS INT) AS pos FROM z""")
+def second_pass_examples(spark, d):
+    """Test examples with prior scores, which some targets lack, dealt again by confidence to batches of another size."""
     s = px.scored(spark, d)
-    dealt = batching.build_turns(profiles.prior(s.drop("pred"), s.select("pid", "pred")), ["aid1"], 10, "confidence", "42", True)
-    return metrics.author_metrics(dealt).select("aid", *r6("auc", "ap"), "sample_count", *r6("pos_ratio"))
+    config = EngineConfig(batching="confidence")
+    dealt = pipeline.examples(s.drop("pred"), s.filter("event_type <> 'view'").select("pid", "pred"), "test", config, num_turn=4)
+    return dealt.select("aid1", "pid", "pred", "batch_id", "pos")
+
+
+@query(f"WITH x AS (SELECT CAST(conv_id AS VARCHAR) AS request_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INT) AS pos, text FROM conversations) SELECT request_id, pos, {fixed('request_id')} AS no, {fixed('text')} AS yes FROM x")
+def position_scores(spark, d):
+    """A pair of logits for each target of a context."""
+    x = table(spark, d, "conversations").groupBy(F.col("conv_id").cast("string").alias("request_id")).agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("t"))
+    return scorer.call_positions(x.select("request_id", F.col("request_id").alias("context"), F.col("t.text").alias("targets")))
 
 
 # ---- sources: JSON as the readers get it, a value for each profile, paper or group
@@ -460,7 +517,7 @@ def scan_flat_profiles(spark, d):
 @query(f"WITH {OUTER} SELECT 'S' || aid AS name, 'out' AS source, 'clean' AS variant, aid, ord, pid FROM outr")
 def scan_named_profiles(spark, d):
     texts = profiles.lists(px.assignments(spark, d, "F")).select(F.to_json(F.create_map(F.concat(F.lit("S"), "aid"), F.create_map("aid", "pids"))).alias("value"))
-    return readers.parse_named(texts, "out", "clean")
+    return readers.parse_named(texts, "out", "clean").drop("name_ord")
 
 
 @query("SELECT CAST(p_partkey AS VARCHAR) AS pid, p_name AS title, p_brand AS author, CAST(CASE WHEN p_size > 10 THEN p_size END AS INT) AS year, string_split(p_type, ' ')[1] AS keyword FROM part")
@@ -496,52 +553,82 @@ def render_paper_distill(spark, d):
     return render.rendered(_part_papers(spark, d), style=render.Style("distill"))
 
 
+_MANY = """many AS (SELECT CAST(l_partkey AS VARCHAR) AS pid, list('S' || l_suppkey ORDER BY l_orderkey, l_linenumber, l_suppkey) AS a, list(n_name ORDER BY l_orderkey, l_linenumber, l_suppkey) AS o
+FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey GROUP BY 1)"""
+
+
+def _capped(x: str) -> str:
+    return f"CASE WHEN len({x}) > 10 THEN list_concat({x}[1:8], {x}[-2:]) ELSE {x} END"
+
+
+def _distinct(x: str) -> str:
+    return f"list_filter({x}, lambda v, k: list_position({x}, v) = k)"
+
+
+def _many_authors(spark, d):
+    """Papers with an author for each row of lineitem, numbered, some of them more than once."""
+    s = table(spark, d, "supplier").join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "n_name")
+    none = F.lit(None).cast("string")
+    number = F.row_number().over(Window.partitionBy("l_partkey").orderBy("l_orderkey", "l_linenumber", "l_suppkey"))
+    rows = table(spark, d, "lineitem").join(s, F.col("l_suppkey") == F.col("s_suppkey")).withColumn("n", number)
+    author = F.struct(F.concat(F.lit("S"), "l_suppkey").alias("name"), F.col("n_name").alias("org"), none.alias("OriginalAuthor"), none.alias("OriginalAffiliation"), F.col("n").alias("AuthorSequenceNumber"))
+    return rows.groupBy(F.col("l_partkey").cast("string").alias("pid")).agg(F.collect_list(author).alias("authors")).withColumns({c: none for c in ("title", "venue")} | {"year": F.lit(None).cast("int"), "keywords": F.lit(None).cast("array<string>")})
+
+
+@query(f"WITH {_MANY}, x AS (SELECT pid, {_capped('a')} AS a, {_capped('o')} AS o FROM many) SELECT pid, 'Authors: ' || array_to_string(a, ', ') || chr(10) || 'Organizations: ' || array_to_string({_distinct('o')}, ', ') || chr(10) AS text FROM x")
+def render_many_authors(spark, d):
+    return render.rendered(_many_authors(spark, d), ("author", "organization"))
+
+
+@query(f"""WITH {_MANY}, x AS (SELECT pid, len(a) AS n, {_capped('a')} AS a, {_distinct('o')} AS o FROM many)
+SELECT pid, 'Authors: ' || array_to_string({_distinct('a')}, ', ') || chr(10) || 'Organizations: ' || array_to_string(CASE WHEN n > 10 THEN {_capped('o')} ELSE o END, ', ') || chr(10) AS text FROM x""")
+def render_many_authors_model(spark, d):
+    return render.rendered(_many_authors(spark, d), ("author", "organization"), render.Style("model"))
+
+
 @query("SELECT CAST(p_partkey AS VARCHAR) AS pid, 'Title: ' || p_name || chr(10) || 'Organizations: ' || p_type || chr(10) AS text FROM part")
 def render_paper_features(spark, d):
     return render.rendered(_part_papers(spark, d), ("title", "organization"), render.Style("model"))
 
 
-@query(f"""WITH {INNER}, s AS (SELECT aid, list('A' || pid ORDER BY (CAST(pid AS INT) * 7919) % 1000, ord) AS a FROM inn WHERE ord < 20 GROUP BY aid)
+@query(f"""WITH {INNER}, s AS (SELECT aid, list('A' || pid ORDER BY (CAST(pid AS INT) * 7919) % 1000, ord) AS a FROM inn GROUP BY aid)
 SELECT aid, array_to_string(CASE WHEN len(a) > 10 THEN list_concat(a[1:8], a[-2:]) ELSE a END, ', ') AS authors FROM s""")
 def authors_by_sequence(spark, d):
     """Authors in order of their sequence number, the middle of a long list left out."""
     none = F.lit(None).cast("string")
     number = ((F.col("pid").cast("int") * 7919) % 1000).alias("AuthorSequenceNumber")
     author = F.struct(none.alias("name"), none.alias("org"), F.concat(F.lit("A"), "pid").alias("OriginalAuthor"), none.alias("OriginalAffiliation"), number)
-    x = px.assignments(spark, d, "O").filter("ord < 20").groupBy("aid").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", author.alias("a")))), lambda e: e["a"]).alias("authors"))
+    x = px.assignments(spark, d, "O").groupBy("aid").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", author.alias("a")))), lambda e: e["a"]).alias("authors"))
     return x.select("aid", F.array_join(render.names(render.authors_in_order(F.col("authors"))), ", ").alias("authors"))
 
 
-_TITLES = f"{INNER}, {_PAPERS}, t AS (SELECT aid, list(title ORDER BY ord) AS t FROM inn JOIN papers USING (pid) WHERE ord < 5 GROUP BY aid)"
-_NUMBERED = "list_transform(t[1:3], lambda x, k: CAST(k - 1 AS VARCHAR) || ': ' || x)"
-
-
-def _titles(spark, d):
-    rows = px.assignments(spark, d, "O").filter("ord < 5").join(_papers(spark, d), "pid").groupBy("aid").agg(F.array_sort(F.collect_list(F.struct("ord", "title"))).alias("x"))
-    return rows.select("aid", F.col("x.title").alias("t"))
-
-
-@query(f"WITH {_TITLES} SELECT aid, 'Name: ' || aid || chr(10) || 'Profile: ' || array_to_string(t, '; ') || chr(10) || 'Targets: ' || array_to_string({_NUMBERED}, '; ') AS prompt FROM t")
+@query(f"""WITH {INNER}, {_PAPERS}, {_picked("i", "inn", 100)}, {_dealt("dealt", "inn", 10)}
+SELECT aid, batch_id, 'Name: ' || aid || chr(10) || 'Profile: ' || array_to_string(t, '; ') || chr(10) || 'Targets: ' || array_to_string({_NUMBERED}, '; ') AS prompt FROM dealt JOIN i USING (aid)""")
 def prompt_one_source(spark, d):
-    return _titles(spark, d).select("aid", render.prompt_one_source(F.col("aid"), F.col("t"), F.slice("t", 1, 3)).alias("prompt"))
+    both = _batches(spark, d, 10).join(_sampled(spark, d, "O", 100), "aid")
+    return both.select("aid", "batch_id", render.prompt_one_source(F.col("aid"), F.col("t"), F.col("b")).alias("prompt"))
 
 
-@query(f"WITH {_TITLES} SELECT aid, 'Collection:' || chr(10) || array_to_string(t, chr(10)) || chr(10) || 'Targets:' || chr(10) || array_to_string({_NUMBERED}, chr(10)) AS prompt FROM t")
+@query(f"""WITH {INNER}, {_PAPERS}, {_picked("i", "inn", 40)}, {_dealt("dealt", "inn", 10)}
+SELECT aid, batch_id, 'Collection:' || chr(10) || array_to_string(t, chr(10)) || chr(10) || 'Targets:' || chr(10) || array_to_string({_NUMBERED}, chr(10)) AS prompt FROM dealt JOIN i USING (aid)""")
 def prompt_clean(spark, d):
-    return _titles(spark, d).select("aid", render.prompt_clean(F.col("t"), F.slice("t", 1, 3)).alias("prompt"))
+    both = _batches(spark, d, 10).join(_sampled(spark, d, "O", 40), "aid")
+    return both.select("aid", "batch_id", render.prompt_clean(F.col("t"), F.col("b")).alias("prompt"))
 
 
-@query(f"""WITH {_TITLES} SELECT aid, 'Batch 0, ' || CAST(least(len(t), 3) AS VARCHAR) || ' items' || chr(10) || array_to_string(list_transform(t[1:3], lambda x, k: CAST(k - 1 AS VARCHAR) || ': ' || x || ' | 0.25'), chr(10)) ||
-chr(10) || 'Batch 1, 1 items' || chr(10) || '0: ' || t[1] || ' | 0.75' AS prompt FROM t""")
+@query(f"""WITH {INNER}, {_PAPERS}, {_dealt("dealt", "inn", 20)},
+one AS (SELECT aid, batch_id, 'Batch ' || batch_id || ', ' || len(b) || ' items' || chr(10) || array_to_string(list_transform(b, lambda x, k: CAST(k - 1 AS VARCHAR) || ': ' || x || ' | ' || printf('%.2f', s[k])), chr(10)) AS t FROM dealt)
+SELECT aid, string_agg(t, chr(10) ORDER BY batch_id) AS prompt FROM one GROUP BY aid""")
 def prompt_batches(spark, d):
-    batch = lambda i, items, s: F.struct(F.lit(i).alias("batch_idx"), F.transform(items, lambda x: F.struct(x.alias("text"), F.lit(s).alias("score"))).alias("items"))
-    both = F.array(batch(0, F.slice("t", 1, 3), 0.25), batch(1, F.slice("t", 1, 1), 0.75))
-    return _titles(spark, d).select("aid", render.prompt_batches(both).alias("prompt"))
+    """All batches of a profile together, with their scores."""
+    items = F.transform(F.arrays_zip("b", "s"), lambda x: F.struct(x["b"].alias("text"), x["s"].alias("score")))
+    all_ = _batches(spark, d, 20).groupBy("aid").agg(F.array_sort(F.collect_list(F.struct(F.col("batch_id").alias("batch_idx"), items.alias("items")))).alias("all"))
+    return all_.select("aid", render.prompt_batches(F.col("all")).alias("prompt"))
 
 
-@query(f"WITH {_TITLES} SELECT aid, 'Judge each item.' || chr(10) || 'Profile of ' || aid || chr(10) || array_to_string(t, chr(10)) AS prompt FROM t")
+@query(f"WITH {INNER}, {_PAPERS}, {_picked('i', 'inn', 100)} SELECT aid, 'Judge each item.' || chr(10) || 'Profile of ' || aid || chr(10) || array_to_string(t, chr(10)) AS prompt FROM i")
 def prompt_flat(spark, d):
-    return _titles(spark, d).select("aid", render.flat(F.lit("Judge each item."), F.concat(F.lit("Profile of "), "aid"), F.col("t")).alias("prompt"))
+    return _sampled(spark, d, "O", 100).select("aid", render.flat(F.lit("Judge each item."), F.concat(F.lit("Profile of "), "aid"), F.col("t")).alias("prompt"))
 
 
 @query("SELECT doc_id, array_to_string(string_split(text, ' ')[1:32], ' ') AS text, CAST(len(string_split(text, ' ')[1:32]) AS INT) AS n FROM documents")
@@ -575,7 +662,8 @@ def zip_predictions(spark, d):
 def masked_ce_loss(spark, d):
     """Rows without a label take no part."""
     x = _logits(spark, d).withColumn("label", F.when(F.col("vec_id") % 3 > 0, F.col("label")))
-    return objective.loss(x).select(*r6("ce")).crossJoin(x.agg(F.count("label").alias("n")))
+    loss = objective.cross_entropy(F.col("p"), F.col("label"))
+    return x.agg(F.round(F.avg(loss), 6).alias("ce"), F.count("label").alias("n"))
 
 
 @query("SELECT count(*) AS n_pairs, sum(n)::BIGINT AS n_papers FROM (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY 1, 2)")
@@ -590,11 +678,11 @@ def refined_soft_labels(spark, d):
     return labels.soft_labels(s, refined).select("pid", "soft_label")
 
 
-@query(f"""WITH {INNER}, v AS (SELECT aid, pid, avg(CAST(ord % 5 AS DOUBLE) / 4) AS s FROM inn WHERE ord % 3 = 0 GROUP BY aid, pid)
+@query(f"""WITH {INNER}, {_PAPERS}, v AS (SELECT DISTINCT aid, pid, p_size / 50 AS s FROM inn JOIN papers USING (pid) WHERE p_size > 10)
 SELECT aid, ord, pid, 'clean' AS variant FROM inn LEFT JOIN v USING (aid, pid) WHERE coalesce(s >= 0.5, true)""")
 def voted_clean_profiles(spark, d):
     a = px.assignments(spark, d, "O")
-    votes = a.filter("ord % 3 = 0").select("aid", "pid", ((F.col("ord") % 5).cast("double") / 4).alias("score"))
+    votes = a.join(_papers(spark, d).filter("p_size > 10"), "pid").select("aid", "pid", (F.col("p_size") / 50).alias("score"))
     return labels.clean_profiles(a, votes).select("aid", "ord", "pid", "variant")
 
 
@@ -616,9 +704,125 @@ def budgeted_profile(spark, d):
     return pipeline.budgeted(docs, used, ["source"], 40000).select("source", F.col("ord").alias("doc_id"))
 
 
-@query()
+_TEXTS = f"texts AS (SELECT CAST(p_partkey AS VARCHAR) AS pid, {_RENDERED} AS text FROM part)"
+
+
+def _own_targets(spark, d):
+    return px.assignments(spark, d, "O").select(F.lit(None).cast("string").alias("name"), F.col("aid").alias("aid1"), F.col("aid").alias("aid2"), "pid", "ord", F.lit(None).cast("double").alias("similarity"), F.lit(0.25).alias("author_sim"))
+
+
+@query(f"""WITH {INNER}, {_TEXTS}, f AS (SELECT aid, pid, min(ord) AS ord FROM inn GROUP BY aid, pid),
+x AS (SELECT aid, pid, row_number() OVER (PARTITION BY aid ORDER BY md5(concat('42-', aid, '-', aid, '-', pid)), ord) - 1 AS i FROM f),
+y AS (SELECT aid, pid, i // 20 AS b, i % 20 AS pos, count(*) OVER (PARTITION BY aid, i // 20) AS m FROM x),
+z AS (SELECT aid, pid, b, pos, {fixed("pos || ': ' || CASE WHEN pos = m - 1 THEN rtrim(text, chr(10)) ELSE text END")} AS old FROM y JOIN texts USING (pid))
+SELECT aid AS aid1, aid AS aid2, 'unknown' AS name, pid, CAST(b AS INT) AS batch_idx, old AS old_pred, {fixed("pos || ': ' || pid || ' | ' || printf('%.2f', old)")} AS new_pred FROM z""")
 def distilled_scores(spark, d):
-    """The whole of label distillation with the stub for a scorer: prompts, replies, batches refined together."""
-    t = px.assignments(spark, d, "O").select(F.lit(None).cast("string").alias("name"), F.col("aid").alias("aid1"), F.col("aid").alias("aid2"), "pid", "ord", F.lit(None).cast("double").alias("similarity"), F.lit(0.25).alias("author_sim"))
-    requests = pipeline.requests(t, px.assignments(spark, d, "O"), px.assignments(spark, d, "F"), _part_papers(spark, d))
-    return pipeline.distill(requests)
+    """The whole of label distillation with stubs for scorers: prompts, replies, batches of a pair scored again together."""
+    own = px.assignments(spark, d, "O")
+    requests = pipeline.requests(_own_targets(spark, d), own, px.assignments(spark, d, "F"), _part_papers(spark, d))
+    return pipeline.distill(requests, second=scorer.stub_batches)
+
+
+@query(f"""WITH {INNER}, {_AIDS}, m AS (SELECT *, count(*) OVER (PARTITION BY aid) AS n FROM inn JOIN aids USING (aid)),
+x AS (SELECT aid, pid, row_number() OVER (PARTITION BY aid ORDER BY md5(concat('42-', aid, '-', pid)), ord) - 1 AS i FROM m WHERE n > 5),
+v AS (SELECT aid, pid, round(avg({fixed("(i % 10) || ': Title: ' || p_name")}), 9) AS s FROM x JOIN part ON pid = CAST(p_partkey AS VARCHAR) GROUP BY aid, pid)
+SELECT aid, ord, pid, 'clean' AS variant FROM inn LEFT JOIN v USING (aid, pid) WHERE coalesce(s >= 0.5, true)""")
+def self_clean(spark, d):
+    """The whole of profile cleaning with a stub for a scorer: profiles that targets name, large enough, judged in batches; papers voted out go."""
+    named = px.assignments(spark, d, "O").withColumn("name", F.concat(F.lit("S"), "aid"))
+    targets = _aids(spark, d).select(F.concat(F.lit("S"), "aid").alias("name"), F.col("aid").alias("aid1"))
+    requests = pipeline.clean_requests(targets, "aid1", named, _part_papers(spark, d))
+    return pipeline.clean(requests, named).select("aid", "ord", "pid", "variant")
+
+
+# ---- sinks, written and read back
+
+def _done(spark, d):
+    """Replies to some of the requests, one type of them empty."""
+    e = table(spark, d, "events").filter("event_type <> 'view'")
+    return e.select(F.col("event_id").cast("string").alias("request_id"), F.when(F.col("event_type") == "click", F.col("props")).otherwise("").alias("content"), F.lit("").alias("reasoning"), F.lit(1).alias("attempts"))
+
+
+@query(f"WITH {SCORED} SELECT 'n' AS name, aid1, event_type AS aid2, pid, 0 AS batch_idx, pred AS old_pred, 1 - pred AS new_pred FROM scored")
+def dumped_scores(spark, d):
+    at = storage.table_path(spark, "scores")
+    s = px.scored(spark, d)
+    sinks.dump_scores(s.select((1 - F.col("pred")).alias("new_pred"), F.col("pred").alias("old_pred"), F.lit("n").alias("name"), F.lit(0).alias("batch_idx"), "aid1", F.col("event_type").alias("aid2"), "pid", "ord"), at)
+    return spark.read.parquet(at)
+
+
+@query(f"WITH {SCORED} SELECT 0 AS version, pid, pred FROM scored UNION ALL SELECT 1 AS version, pid, 1 - pred AS pred FROM scored")
+def versioned_predictions(spark, d):
+    """Two dumps below one path; the second doesn't touch the first."""
+    at = storage.table_path(spark, "versions")
+    s = px.scored(spark, d).select("pid", "pred")
+    numbers = [sinks.dump_version(x, at) for x in (s, s.withColumn("pred", 1 - F.col("pred")))]
+    both = [spark.read.parquet(f"{at}/version={n}").select(F.lit(n).alias("version"), "pid", "pred") for n in numbers]
+    return both[0].union(both[1])
+
+
+@query("SELECT CAST(event_id AS VARCHAR) AS request_id, event_type <> 'click' AS empty, (SELECT count(*) FROM events WHERE event_type <> 'view') AS completed FROM events WHERE event_type <> 'view'")
+def unfinished_replies(spark, d):
+    """A snapshot, named by the number of its rows, read back and split."""
+    at = storage.table_path(spark, "snapshot")
+    n = sinks.snapshot(_done(spark, d), at)
+    empty, full = scorer.unfinished(resume.completed(spark, f"{at}/completed={n}"))
+    return empty.select("request_id", F.lit(True).alias("empty")).union(full.select("request_id", F.lit(False))).withColumn("completed", F.lit(n).cast("long"))
+
+
+@query(f"""WITH x AS (SELECT CAST(event_id AS VARCHAR) AS request_id, event_type, unnest([0, 1]) AS pos, unnest([event_type, trim(props)]) AS t FROM events)
+SELECT request_id, CAST(pos AS INT) AS pos, CASE WHEN event_type = 'click' THEN 2.0::DOUBLE ELSE {fixed('t')} END AS score FROM x""")
+def resumed_scores(spark, d):
+    """Some replies are there from a run before; the others are scored, in parts that are saved one by one; then the progress goes, and the replies stay."""
+    progress, out = storage.table_path(spark, "progress"), storage.table_path(spark, "replies")
+    before = resume.completed(spark, progress)
+    kept = _done(spark, d).filter("content <> ''").withColumn("content", F.lit('{"0": 2, "1": 2}'))
+    before.unionByName(kept).write.parquet(progress)
+    n = table(spark, d, "events").count()
+    done = resume.run_pending(_requests(spark, d), progress, scorer.call, every=max(1, n // 3))
+    sinks.dump(done, out)
+    sinks.remove(spark, progress)
+    left = resume.completed(spark, progress)
+    return left.unionByName(spark.read.parquet(out)).select("request_id", F.posexplode(replies.in_order(replies.scores(F.col("content")))).alias("pos", "score"))
+
+
+@query("""SELECT mode, CAST(user_id AS VARCHAR) AS aid1, CAST(event_id AS VARCHAR) AS pid FROM events
+JOIN (VALUES ('train', 'click'), ('eval', 'view'), ('test', 'error'), ('other', 'error')) m(mode, kind) ON event_type = kind""")
+def triples_by_mode(spark, d):
+    """Each mode has a file; any mode without one reads that of the tests."""
+    paths = {}
+    for mode, kind in (("train", "click"), ("eval", "view"), ("test", "error")):
+        paths[mode] = storage.table_path(spark, mode)
+        t = table(spark, d, "events").filter(F.col("event_type") == kind).select(F.struct(F.col("user_id").alias("aid1"), F.col("event_id").alias("pid")).alias("t"))
+        values = t.groupBy(F.pmod("t.pid", F.lit(4))).agg(F.to_json(F.collect_list("t")).alias("value")).select("value")
+        values.write.option("maxRecordsPerFile", 1).text(paths[mode])
+    out = [readers.triples_for(spark, mode, paths).select(F.lit(mode).alias("mode"), "aid1", "pid") for mode in ("train", "eval", "test", "other")]
+    return out[0].union(out[1]).union(out[2]).union(out[3])
+
+
+@query(f"""WITH {SCORED} SELECT prefix, count(*) AS n, round(avg(pred), 6) AS mean FROM scored, (VALUES ('test'), ('final')) p(prefix) GROUP BY prefix""")
+def metrics_log(spark, d):
+    """Rows of three evaluations, of which that during training is left out."""
+    at = storage.table_path(spark, "metrics")
+    row = px.scored(spark, d).agg(F.count("*").alias("n"), F.round(F.avg("pred"), 6).alias("mean"))
+    for prefix in ("test", "eval", "final"):
+        sinks.log_metrics(row, at, prefix)
+    return spark.read.schema("prefix string, n long, mean double").json(at)
+
+
+@query(f"""WITH {_LOGITS}, t AS (SELECT -ln(CASE WHEN label = 1 THEN p ELSE 1 - p END) AS c, CASE WHEN sim > 0.5 THEN least(p_out + sim - p - 1, 0) ELSE least(greatest(p_out, 1 - p_out) - sim + p - 1, 0) END AS s FROM probs),
+m AS (SELECT avg(c) AS c, avg(s) AS s FROM t)
+SELECT 'ce' AS kind, round(c, 6) AS loss FROM m UNION ALL SELECT 'psl', round(0.25 * s + 0.75 * c, 6) FROM m UNION ALL SELECT 'psl without an outer score', round(c, 6) FROM m""")
+def loss_by_kind(spark, d):
+    x = _logits(spark, d)
+    kinds = {"ce": objective.loss(x), "psl": objective.loss(x, "psl", alpha=0.25), "psl without an outer score": objective.loss(x.withColumn("p_out", F.lit(None).cast("double")), "psl")}
+    out = [loss.select(F.lit(k).alias("kind"), *r6("loss")) for k, loss in kinds.items()]
+    return out[0].union(out[1]).union(out[2])
+
+
+@query("SELECT CAST(event_id AS VARCHAR) AS aid1, 'a,b' AS pids, value AS author_sim, event_type AS prompt, CASE WHEN event_type = 'error' THEN '' ELSE props END AS content FROM events")
+def scan_scored_requests(spark, d):
+    """Requests with replies, as an earlier step has written them."""
+    e = table(spark, d, "events")
+    one = F.struct(F.col("event_id").alias("aid1"), F.array(F.lit("a"), F.lit("b")).alias("pids"), F.col("value").alias("author_sim"), F.col("event_type").alias("inputs"), F.when(F.col("event_type") == "error", "").otherwise(F.col("props")).alias("content"))
+    return readers.parse_scored(e.select(F.to_json(F.array(one)).alias("value"))).select("aid1", F.array_join("pids", ",").alias("pids"), "author_sim", "prompt", "content")

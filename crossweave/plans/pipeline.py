@@ -1,8 +1,8 @@
-"""The three lifecycles: label distillation, preparation of examples, evaluation with a second pass by confidence."""
+"""The lifecycles: cleaning of profiles, label distillation, preparation of examples, evaluation with a second pass by confidence."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crossweave.config import EngineConfig
@@ -48,6 +48,25 @@ def distill(requests: DataFrame, score: scorer.Scorer = scorer.stub, second: sco
     return rows.join(said, ["aid1", "aid2"], "left").withColumn("new_pred", refine.merged(mine, F.col("pos"), F.col("old_pred"))).drop("said", "pos")
 
 
+def clean_requests(triples: DataFrame, aid: str, assignments: DataFrame, papers: DataFrame, config: EngineConfig = EngineConfig()) -> DataFrame:
+    """Prompts for batches of a profile's own papers: the profiles that triples name (aid: aid1 or aid2), if they are large enough; papers that are known."""
+    mine = profiles.min_profile(profiles.targets_of(triples.select("name", F.col(aid).alias("aid")), assignments), config.min_profile)
+    text = render.rendered(papers)
+    rows = mine.withColumn("paper", profiles.paper_id()).join(text.withColumnRenamed("pid", "paper"), "paper")
+    batches = batching.random_turns(rows, ["aid"], config.clean_batch, config.seed).groupBy("aid", "batch_id").agg(F.array_sort(F.collect_list(F.struct("pos", "pid", "text"))).alias("t"))
+    some = profiles.sample(rows, config.clean_sample, config.seed).groupBy("aid").agg(F.array_sort(F.collect_list(F.struct("nth", "text"))).alias("p"))
+    prompt = render.prompt_clean(F.col("p.text"), F.col("t.text"))
+    return batches.join(some, "aid").select(F.concat_ws("-", "aid", "batch_id").alias("request_id"), "aid", "batch_id", F.col("t.pid").alias("pids"), prompt.alias("prompt"))
+
+
+def clean(requests: DataFrame, assignments: DataFrame, score: scorer.Scorer = scorer.stub_lines) -> DataFrame:
+    """The first step as a whole: replies to `clean_requests` as votes, and the assignments that the votes leave. Papers without a vote stay."""
+    done = requests.join(scorer.call(requests, score), "request_id", "left")
+    values = replies.for_items(replies.in_order(replies.scores(F.col("content"))), F.size("pids"))
+    votes = done.select("aid", F.explode(F.arrays_zip(F.col("pids").alias("pid"), values.alias("score"))).alias("v")).select("aid", "v.pid", "v.score")
+    return labels.clean_profiles(assignments, votes)
+
+
 def examples(triples: DataFrame, prior: DataFrame | None = None, mode: str = "train", config: EngineConfig = EngineConfig(), num_turn: int | None = None) -> DataFrame:
     """Targets in batches: labels by threshold and upsampled (train), dealt by confidence where scores are there (test)."""
     rows = triples
@@ -64,18 +83,8 @@ def evaluate(predictions: DataFrame) -> DataFrame:
     return metrics.macro(metrics.author_metrics(predictions))
 
 
-def turn_text(batched: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    """One row a batch with its texts in order."""
-    rows = batched.groupBy(*keys, "batch_id").agg(F.array_sort(F.collect_list(F.struct("pos", text))).alias("t"))
-    return rows.select(*keys, "batch_id", F.col(f"t.{text}").alias("texts"))
-
-
 def budgeted(profile: DataFrame, used: DataFrame, keys: list[str], most: int, reserve: int = 500, length: str = "length") -> DataFrame:
     """Profile items while the model's context has room beside what is used; used: keys and used."""
     rows = profile.join(used, keys)
     return batching.within_budget(rows, keys, length, F.lit(most - reserve) - F.col("used"), [F.col("ord")])
 
-
-def latest(df: DataFrame, keys: list[str], order: str) -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy(F.desc(order))
-    return df.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")

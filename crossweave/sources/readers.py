@@ -1,6 +1,7 @@
-"""Readers of profile maps, paper dictionaries, triples and scores, as JSON (one value a file) or Parquet.
+"""Readers of profile maps, paper dictionaries, triples and scores, as JSON or Parquet.
 
-Maps are parsed with a fixed schema and exploded; nothing is inferred, so that a file with millions of keys doesn't become as many columns.
+Maps are parsed with a fixed schema and exploded; nothing is inferred, so that a file with millions of keys doesn't become as many columns. A file is one JSON
+value, which one task reads whole, or, with `lines`, a value in each line, which can be split: that is the form for what doesn't fit a task.
 """
 
 from __future__ import annotations
@@ -11,8 +12,8 @@ from pyspark.sql import functions as F
 from crossweave import schema
 
 
-def _text(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.text(path, wholetext=True)
+def _text(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    return spark.read.text(path, wholetext=not lines)
 
 
 def _json(texts: DataFrame, kind: str) -> DataFrame:
@@ -26,18 +27,27 @@ def parse_flat(texts: DataFrame, source: str, variant: str = "raw") -> DataFrame
 
 
 def parse_named(texts: DataFrame, source: str, variant: str = "raw") -> DataFrame:
-    """{name: {aid: [pid]}} in the column value -> assignments."""
-    names = _json(texts, "map<string,map<string,array<string>>>").select(F.explode("v").alias("name", "m"))
-    pairs = names.select("name", F.explode("m").alias("aid", "pids"))
-    return pairs.select("name", F.lit(source).alias("source"), F.lit(variant).alias("variant"), "aid", F.posexplode("pids").alias("ord", "pid"))
+    """{name: {aid: [pid]}} in the column value -> assignments, with the name's place in the file."""
+    names = _json(texts, "map<string,map<string,array<string>>>").select(F.posexplode("v").alias("name_ord", "name", "m"))
+    pairs = names.select("name", "name_ord", F.explode("m").alias("aid", "pids"))
+    return pairs.select("name", F.lit(source).alias("source"), F.lit(variant).alias("variant"), "aid", F.posexplode("pids").alias("ord", "pid"), "name_ord")
 
 
-def flat_profiles(spark: SparkSession, path: str, source: str, variant: str = "raw") -> DataFrame:
-    return parse_flat(_text(spark, path), source, variant)
+def source_of(path: str) -> str:
+    """in or out, as the path of a named map tells."""
+    found = [s for s in ("in", "out") if f"name_aid_to_pids_{s}" in path]
+    if len(found) != 1:
+        raise ValueError(f"no source named in {path}")
+    return found[0]
 
 
-def named_profiles(spark: SparkSession, path: str, source: str, variant: str = "raw") -> DataFrame:
-    return parse_named(_text(spark, path), source, variant)
+def flat_profiles(spark: SparkSession, path: str, source: str, variant: str = "raw", lines: bool = False) -> DataFrame:
+    return parse_flat(_text(spark, path, lines), source, variant)
+
+
+def named_profiles(spark: SparkSession, path: str, source: str | None = None, variant: str = "raw", lines: bool = False) -> DataFrame:
+    """source: in or out; by default what the path tells. With `lines`, a line holds the profiles of whole names, and names have their place in it."""
+    return parse_named(_text(spark, path, lines), source or source_of(path), variant)
 
 
 def profiles(spark: SparkSession, path: str, source: str, variant: str = "raw") -> DataFrame:
@@ -51,8 +61,8 @@ def parse_papers(texts: DataFrame) -> DataFrame:
     return _json(texts, f"map<string,{schema.PAPER}>").select(F.explode("v").alias("pid", "p")).select("pid", "p.*")
 
 
-def papers(spark: SparkSession, path: str) -> DataFrame:
-    return parse_papers(_text(spark, path))
+def papers(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    return parse_papers(_text(spark, path, lines))
 
 
 def parse_triples(texts: DataFrame) -> DataFrame:
@@ -66,6 +76,17 @@ def triples(spark: SparkSession, path: str) -> DataFrame:
     return parse_triples(_text(spark, path))
 
 
+def scored_requests(spark: SparkSession, path: str) -> DataFrame:
+    """Requests with their replies, an array of objects: what an earlier step has written."""
+    return parse_scored(_text(spark, path))
+
+
+def parse_scored(texts: DataFrame) -> DataFrame:
+    kind = "struct<aid1:string,aid2:string,name:string,pids:array<string>,author_sim:double,inputs:string,content:string,reasoning_content:string>"
+    rows = _json(texts, f"array<{kind}>").select(F.posexplode("v").alias("ord", "r")).select("ord", "r.*")
+    return rows.withColumnsRenamed({"inputs": "prompt", "reasoning_content": "reasoning"})
+
+
 def prior_scores(spark: SparkSession, path: str) -> DataFrame:
     """pid, pred; the last entry of a pid wins."""
     return parse_prior(_text(spark, path))
@@ -87,8 +108,10 @@ def triples_for(spark: SparkSession, mode: str, paths: dict[str, str]) -> DataFr
 
 
 def union_triples(*parts: DataFrame) -> DataFrame:
-    """All rows, ids as strings, columns that a part lacks as null."""
-    out = parts[0]
-    for p in parts[1:]:
+    """All rows, ids as strings, columns that a part lacks as null. Where there is `ord`, places go on from part to part: it becomes (part, place) in one
+    number, so that the first of repeats across parts is that of the first part."""
+    numbered = [p.withColumn("ord", F.lit(i << 48) + F.col("ord")) if "ord" in p.columns else p for i, p in enumerate(parts)]
+    out = numbered[0]
+    for p in numbered[1:]:
         out = out.unionByName(p, allowMissingColumns=True)
     return out.withColumns({c: F.col(c).cast("string") for c in ("aid1", "aid2", "pid") if c in out.columns})

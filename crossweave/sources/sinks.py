@@ -5,11 +5,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from crossweave import schema
+from crossweave.sources.storage import delete
+
+_COLUMNS = [c.split()[0] for c in schema.REFINED.split(", ")]
+
 
 def dump(df: DataFrame, path: str, form: str = "parquet") -> None:
     df.write.mode("overwrite").format(form).save(path)
 
 
+def dump_scores(refined: DataFrame, path: str) -> None:
+    """The flat table of refined scores, its columns in order."""
+    dump(refined.select(*_COLUMNS), path)
+
+
+def save_name(path: str) -> str:
+    """What outputs made from a file are named by: its name up to the first dot."""
+    return path.rstrip("/").rpartition("/")[2].partition(".")[0]
+
+
+def snapshot(done: DataFrame, path: str) -> int:
+    """Writes finished rows below path, in a folder named by their number, and returns it."""
+    n = done.count()
+    done.write.mode("overwrite").parquet(f"{path}/completed={n}")
+    return n
+
+
 def versions(spark: SparkSession, path: str) -> list[int]:
     """Numbers of the folders version=N below path."""
     jvm = spark._jvm
@@ -34,6 +56,4 @@ def log_metrics(metrics: DataFrame, path: str, prefix: str) -> None:
         metrics.withColumn("prefix", F.lit(prefix)).write.mode("append").json(path)
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+remove = delete

@@ -27,9 +27,10 @@ def pending(requests: DataFrame, done: DataFrame, key: str = "request_id") -> Da
     return requests.join(done.select(key), key, "left_anti")
 
 
-def run_pending(requests: DataFrame, path: str, score: Callable[[DataFrame], DataFrame], parts: int = 1) -> DataFrame:
-    """Scores what is to do, in parts that are each saved when done, and returns all replies. Run again after a failure, it goes on where it was."""
+def run_pending(requests: DataFrame, path: str, score: Callable[[DataFrame], DataFrame], every: int = 100_000) -> DataFrame:
+    """Scores what is to do, in parts of about `every` requests that are each saved when done, and returns all replies. Run again after a failure, it goes on where it was."""
     spark = requests.sparkSession
+    parts = max(1, -(-pending(requests, completed(spark, path)).count() // every))
     for k in range(parts):
         some = requests.filter(F.pmod(F.xxhash64("request_id"), F.lit(parts)) == k) if parts > 1 else requests
         score(pending(some, completed(spark, path))).write.mode("append").parquet(path)

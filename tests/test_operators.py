@@ -229,10 +229,10 @@ def test_resume_goes_on_where_it_was(spark, tmp_path):
         return scorer.call(df)
 
     with pytest.raises(RuntimeError):
-        resume.run_pending(todo, at, score, parts=4)
+        resume.run_pending(todo, at, score, every=10)
     part = resume.completed(spark, at).count()
     assert 0 < part < 40
-    done = resume.run_pending(todo, at, score, parts=4)
+    done = resume.run_pending(todo, at, score, every=10)
     assert done.count() == 40 == done.select("request_id").distinct().count() and sum(calls) - calls[2] == 40
     whole = {r.request_id: r.content for r in scorer.call(todo).collect()}
     assert whole == {r.request_id: r.content for r in done.collect()}
@@ -245,3 +245,37 @@ def test_stream_scores_new_files_once(spark, tmp_path):
         todo.write.mode("append").parquet(src)
         resume.stream_pending(spark, src, "request_id string, prompt string", out, check, scorer.call)
         assert resume.completed(spark, out).count() == 10
+
+
+def test_json_lines_are_read_as_rows(spark, tmp_path):
+    at = tmp_path / "name_aid_to_pids_in.jsonl"
+    at.write_text("\n".join(json.dumps(x) for x in ({"b": {"1": ["p", "q"]}}, {"a": {"2": ["r"]}})))
+    rows = readers.named_profiles(spark, str(at), lines=True).collect()
+    assert sorted((r.name, r.source, r.aid, r.ord, r.pid) for r in rows) == [("a", "in", "2", 0, "r"), ("b", "in", "1", 0, "p"), ("b", "in", "1", 1, "q")]
+    for path in ("pids.json", "name_aid_to_pids_in_and_name_aid_to_pids_out"):
+        with pytest.raises(ValueError):
+            readers.source_of(path)
+
+
+def test_last_name_in_the_file_wins(spark):
+    texts = spark.createDataFrame([('{"z": {"1": ["p"], "2": ["q"]}, "a": {"1": ["r"]}}',)], "value string")
+    rows = profiles.flatten_names(readers.parse_named(texts, "in")).collect()
+    assert sorted((r.name, r.aid, r.pid) for r in rows) == [("a", "1", "r"), ("z", "2", "q")]
+
+
+def test_places_go_on_from_part_to_part(spark):
+    part = lambda p: spark.createDataFrame([(1, p, 0), (2, p, 1)], "aid1 int, pid string, ord long")
+    both = readers.union_triples(part("x"), part("y"))
+    assert [r.pid for r in batching.dedupe_first(both, ["aid1"]).collect()] == ["x", "x"]
+
+
+def test_targets_of_profiles_that_are_not_there(spark):
+    lists = spark.createDataFrame([("n", "1", 0, "p")], "name string, aid string, ord int, pid string")
+    wanted = spark.createDataFrame([("n", "1"), ("n", "1")], "name string, aid string")
+    assert [tuple(r) for r in profiles.targets_of(wanted, lists).collect()] == [("n", "1", 0, "p")]
+    with pytest.raises(Exception, match="unknown profile 2"):
+        profiles.targets_of(spark.createDataFrame([("n", "2")], "name string, aid string"), lists).collect()
+
+
+def test_names_of_outputs():
+    assert sinks.save_name("a/b/triples.v1.json") == "triples" and sinks.save_name("/x/plain") == "plain"
