@@ -1,11 +1,12 @@
 """Exact deduplication by two passes over Bloom filters; DataFrame operations only.
 
-Pass 1 hashes every text to PROBES cells of a filter and counts hits per cell. Cells hit at least twice form the second filter, a bitmap.
+Pass 1 hashes every text to a few cells of a filter and counts hits per cell. Cells hit at least twice form the second filter, a bitmap.
 Pass 2 probes that bitmap: a row of which some cell was hit once has no equal and passes straight through, without a shuffle. Only the other
 rows shuffle, and are compared by SHA-256 of the whole text.
 
-The bitmap holds at most `max_bits` bits (16 MB by default), which bounds what is broadcast. Beyond that bound more unique rows count as
-possible repeats and shuffle; the result is the same.
+The bitmap grows with the rows, CELLS_PER_ROW bits each, up to `max_bits` bits (128 MB by default, enough for 64 million rows), which bounds what is
+broadcast. Beyond that bound more unique rows count as possible repeats and shuffle (texts have one cell then, instead of two, where that lets more of
+them pass); the result is the same.
 
 Null texts count as empty and equal each other. Null ids sort below all others. Of rows equal in id and text, one is kept. An empty table gives
 an empty result. Other columns take no part, whatever their names.
@@ -13,54 +14,57 @@ an empty result. Other columns take no part, whatever their names.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from crossweave.llm.common import with_group
+from crossweave.llm.common import stored, with_group
 
-PROBES, CELLS_PER_ROW, MAX_BITS = 2, 16, 1 << 27
+PROBES, CELLS_PER_ROW, MAX_BITS = 2, 16, 1 << 30
+FEW_BITS = 2  # for a row; with fewer, one probe passes more unique rows than two
 BITMAP_BITS = 32768  # of Spark's bitmap functions
 
 
-def cells(body: Column, bits: int) -> list[Column]:
+def cells(body: Column, bits: int, probes: int = PROBES) -> list[Column]:
     """The filter cells of a text, from 1."""
-    return [F.pmod(F.xxhash64(body, F.lit(i)), F.lit(bits)) + F.lit(1) for i in range(PROBES)]
+    return [F.pmod(F.xxhash64(body, F.lit(i)), F.lit(bits)) + F.lit(1) for i in range(probes)]
 
 
 def filter_bits(rows: int, max_bits: int = MAX_BITS) -> int:
     return min(max_bits, max(BITMAP_BITS, 1 << (max(1, rows) * CELLS_PER_ROW - 1).bit_length()))
 
 
-def repeated_cells(bodies: DataFrame, bits: int) -> DataFrame:
+def repeated_cells(bodies: DataFrame, bits: int, probes: int = PROBES) -> DataFrame:
     """Pass 1: the bitmap of the cells that were hit at least twice, (bucket, bitmap), bits / 8 bytes at most."""
-    hits = bodies.select(F.explode(F.array(*cells(F.col("body"), bits))).alias("cell"))
+    hits = bodies.select(F.explode(F.array(*cells(F.col("body"), bits, probes))).alias("cell"))
     twice = hits.groupBy("cell").agg(F.count("*").alias("hits")).filter("hits > 1")
     return twice.groupBy(F.bitmap_bucket_number("cell").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("cell")).alias("bitmap"))
 
 
-def mark_repeats(df: DataFrame, bitmap: DataFrame, bits: int) -> DataFrame:
+def mark_repeats(df: DataFrame, bitmap: DataFrame, bits: int, probes: int = PROBES) -> DataFrame:
     """Pass 2: df (with body) and `maybe`, false where the row certainly has no equal."""
     out, small = df, F.broadcast(bitmap)  # at most bits / 8 bytes
-    for i, cell in enumerate(cells(F.col("body"), bits)):
+    for i, cell in enumerate(cells(F.col("body"), bits, probes)):
         out = out.withColumn(f"_at{i}", F.bitmap_bit_position(cell))
         out = out.withColumn(f"_bucket{i}", F.bitmap_bucket_number(cell)).join(small.select(F.col("bucket").alias(f"_bucket{i}"), F.col("bitmap").alias(f"_map{i}")), f"_bucket{i}", "left")
-    set_ = [F.expr(f"coalesce(shiftright(cast(conv(hex(substring(_map{i}, cast(_at{i} div 8 as int) + 1, 1)), 16, 10) as int), cast(_at{i} % 8 as int)) & 1, 0) = 1") for i in range(PROBES)]
+    set_ = [F.expr(f"coalesce(shiftright(cast(conv(hex(substring(_map{i}, cast(_at{i} div 8 as int) + 1, 1)), 16, 10) as int), cast(_at{i} % 8 as int)) & 1, 0) = 1") for i in range(probes)]
     maybe = set_[0]
     for x in set_[1:]:
         maybe = maybe & x
-    return out.withColumn("maybe", maybe).drop(*[f"{p}{i}" for i in range(PROBES) for p in ("_at", "_bucket", "_map")])
+    return out.withColumn("maybe", maybe).drop(*[f"{p}{i}" for i in range(probes) for p in ("_at", "_bucket", "_map")])
 
 
 def _marked(docs: DataFrame, id_col: str, text_col: str, max_bits: int, *more: Column) -> DataFrame:
     bodies = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("body"))
-    bits = filter_bits(docs.count(), max_bits)
+    rows = docs.count()
+    bits = filter_bits(rows, max_bits)
+    probes = PROBES if bits >= FEW_BITS * rows else 1
     base = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("body"), *more)
-    return mark_repeats(base, repeated_cells(bodies, bits), bits)
+    return mark_repeats(base, repeated_cells(bodies, bits, probes), bits, probes)
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
     """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256."""
-    marked = _marked(docs, id_col, text_col, max_bits).select("doc_id", "maybe", F.sha2(F.col("body"), 256).alias("text_sha256"))
+    marked = stored(_marked(docs, id_col, text_col, max_bits).select("doc_id", "maybe", F.sha2(F.col("body"), 256).alias("text_sha256")), "marked")  # so that texts are read twice only
     alone = marked.filter(~F.col("maybe")).select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
     rows = marked.filter("maybe").groupBy("doc_id", "text_sha256").agg(F.count("*").alias("copies"))
     grouped = with_group(rows, "text_sha256", "doc_id", {"keep_id": ("max", "doc_id"), "group_size": ("sum", "copies")})
@@ -71,8 +75,6 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def drop_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
     """docs, all columns, with one row of each group of equal texts: the one with the largest id; of rows equal in id too, the first by content."""
-    from pyspark.sql import Window
-
     marked = _marked(docs, id_col, text_col, max_bits, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     alone = marked.filter(~F.col("maybe")).select("row.*")
     rows = marked.filter("maybe").withColumn("sha", F.sha2("body", 256)).withColumn("has_id", F.col("doc_id").isNotNull())

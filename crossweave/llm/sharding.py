@@ -3,8 +3,8 @@
 Each shard draws a number from (key, shard) and the record goes to the shard with the largest weight / -ln(draw). Only the key, the shard's name
 and its weight decide, so one more shard takes records only into itself, about its share of them, and no other record moves.
 
-A record's slot is its place in its shard, without gaps. Rows of a shard are numbered in chunks, by a hash of key and text, whose counts are then summed up,
-so that no task gets a whole shard, or all rows of one key. Null keys are one key; null texts have no bytes. Rows with the same key share a
+A record's slot is its place in its shard, without gaps. Rows of a shard are numbered in chunks, by a hash of key, text and the partition that reads them,
+whose counts are then summed up, so that no task gets a whole shard, all rows of one key or all of many equal rows. Null keys are one key; null texts have no bytes. Rows with the same key share a
 shard; equal rows are numbered in any order. An empty table gives an empty result, and other columns take no part.
 """
 
@@ -35,7 +35,7 @@ def assign(docs: DataFrame, weights: dict[int, float], grown: dict[int, float] |
     key, body = F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     base = docs.select(key.alias("doc_id"), (F.octet_length(body) + F.lit(1)).cast("long").alias("size"), F.crc32(body).alias("text_crc32"), rendezvous(key, weights).cast("int").alias("shard"), (rendezvous(key, grown) if grown else F.lit(None)).cast("int").alias("grown_shard"))
     chunks = max(8, -(-docs.count() // (ROWS_PER_CHUNK * len(weights))))
-    base = base.withColumn("chunk", F.pmod(F.xxhash64(F.lit(SEED + 1), "doc_id", "text_crc32"), F.lit(chunks)))
+    base = base.withColumn("chunk", F.pmod(F.xxhash64(F.lit(SEED + 1), "doc_id", "text_crc32", F.spark_partition_id()), F.lit(chunks)))
     counts = base.groupBy("shard", "chunk").agg(F.count("*").alias("n"))
     before = Window.partitionBy("shard").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("shard", "chunk", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))

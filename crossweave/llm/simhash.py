@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from crossweave.llm.common import binary_text, components, cut, salt
+from crossweave.llm.common import binary_text, bounded, components, salt, salts, stored, tidied, whole_buckets, with_group
 
 SHINGLE, DISTANCE = 4, 4
 SEGMENTS = ((0, 22), (22, 21), (43, 21))  # start and length; one segment differs in at most DISTANCE // 3 = 1 bits
@@ -59,7 +59,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fps = np.fromiter((fingerprint(x.as_py()) for x in b.column("body")), np.uint64, b.num_rows).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("body_hash"), pa.array(fps)], ["doc_id", "body_hash", "fp"])
 
-    return base.mapInArrow(run, "doc_id long, body_hash long, fp long")
+    return base.mapInArrow(tidied(run), "doc_id long, body_hash long, fp long")
 
 
 def variants(fps: DataFrame) -> DataFrame:
@@ -142,15 +142,13 @@ def large_forest(x: np.ndarray, segment: tuple[int, int], most: int = DISTANCE)
 
 def bucket_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From (key, fp) in order of key: links (a, b) within buckets."""
-    key0, fp0 = np.empty(0, np.int32), np.empty(0, np.uint64)
-
-    def links(key: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
-        starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.empty(0, np.int64)
+    for key, signed in whole_buckets(batches, ("key", "fp")):
+        fp = signed.view(np.uint64)
+        starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         sizes = np.diff(np.append(starts, len(key)))
-        found = []
         two = starts[sizes == 2]
         near = np.bitwise_count(fp[two] ^ fp[two + 1]) <= DISTANCE
-        found.append((fp[two[near]], fp[two[near] + 1]))
+        found = [(fp[two[near]], fp[two[near] + 1])]
         for s, n in zip(starts[sizes > 2], sizes[sizes > 2], strict=True):
             if n > LARGE:
                 found += large_forest(fp[s : s + n], next(g for g in SEGMENTS if g[0] <= key[s] >> 22 < g[0] + g[1]))
@@ -158,33 +156,32 @@ def bucket_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 found += forest(fp[s : s + n])
         a, b = (np.concatenate([f[i] for f in found]).view(np.int64) for i in (0, 1))
         pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1) if len(a) else np.empty((2, 0), np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+
 
-    for batch in batches:
-        key = np.concatenate([key0, batch.column("key").to_numpy()])
-        fp = np.concatenate([fp0, batch.column("fp").to_numpy().view(np.uint64)])
-        end = int(np.searchsorted(key, key[-1])) if len(key) else 0  # the last bucket may go on
-        yield links(key[:end], fp[:end])
-        key0, fp0 = key[end:], fp[end:]
-    yield links(key0, fp0)
+def link_fingerprints(marked: DataFrame) -> DataFrame:
+    """(a, b): links that join all distinct fingerprints (column fp) within DISTANCE bits into their groups."""
+    conf = max(1, int(marked.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    fps = stored(marked.select("fp").distinct(), "distinct")
+    parts = max(conf, fps.counted["rows"] * 64 * 12 >> 26)
+    ordered = variants(fps.repartition(conf)).repartition(parts, "key").sortWithinPartitions("key")
+    return ordered.mapInArrow(tidied(bucket_links), "a long, b long").distinct()
 
 
-def link_fingerprints(fps: DataFrame) -> DataFrame:
-    """(a, b): links that join all distinct fingerprints within DISTANCE bits into their groups."""
-    n = max(1, int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    ordered = variants(fps).repartition(n, "key").sortWithinPartitions("key")
-    return ordered.mapInArrow(bucket_links, "a long, b long").distinct()
+def fingerprint_roots(marked: DataFrame) -> DataFrame:
+    """(id, root): the smallest fingerprint that each linked one reaches."""
+    return components(link_fingerprints(marked))
 
 
-def _grouped(docs: DataFrame, id_col: str, text_col: str, mark: Callable = fingerprints, link: Callable = link_fingerprints) -> DataFrame:
+def _grouped(docs: DataFrame, id_col: str, text_col: str, mark: Callable = fingerprints, link: Callable = fingerprint_roots) -> DataFrame:
     """doc_id, body_hash, fp, root (smallest fingerprint of the component), component_id of every row. Rows go to their component by (fingerprint, part of the ids), so that copies spread."""
-    marked = cut(mark(docs, id_col, text_col)).withColumn("_salt", salt(F.col("doc_id")))
-    part = marked.groupBy("fp", "_salt").agg(F.min("doc_id").alias("least"))
-    roots = components(link(marked.select("fp").distinct()))
+    parts = salts(docs.sparkSession)
+    marked = stored(mark(docs, id_col, text_col).withColumn("_part", salt(F.col("doc_id"), parts)), "fingerprints")
+    part = marked.groupBy("fp", "_part").agg(F.min("doc_id").alias("least"))
+    roots = link(marked)
     named = part.join(roots.withColumnRenamed("id", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    tags = named.join(ids, "root").select("fp", "_salt", "root", "component_id")
-    return marked.join(tags, ["fp", "_salt"]).drop("_salt")
+    tags = with_group(named, "root", "fp", {"component_id": ("min", "least")}).select("fp", "_part", "root", "component_id")
+    return marked.select("doc_id", "body_hash", "fp", "_part").join(tags, ["fp", "_part"]).drop("_part")
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -192,14 +189,28 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return _grouped(docs, id_col, text_col).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: Callable = fingerprints, link: Callable = link_fingerprints) -> DataFrame:
-    """docs, all columns, with one row of each component: the one with the smallest id; of rows equal in id, the first by text hash and content."""
-    stays = _grouped(docs, id_col, text_col, mark, link).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    stays = stays.groupBy("root").agg(F.min(F.struct("doc_id", "body_hash")).alias("k")).select(F.col("k.doc_id").alias("k_id"), F.col("k.body_hash").alias("k_hash"))
+def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: Callable = fingerprints, link: Callable = fingerprint_roots) -> DataFrame:
+    """docs, all columns, with one row of each component: the one with the smallest id; of rows equal in id, the first by text hash and content.
+
+    Ids and text hashes decide; whole rows shuffle only where more of them go than SMALL_TABLE, or where rows are equal in both.
+    """
+    grouped = _grouped(docs, id_col, text_col, mark, link)
+    found = stored(grouped.groupBy("doc_id", "body_hash").agg(F.min("root").alias("root"), F.min("component_id").alias("component_id"), F.count("*").alias("copies")), "groups")
+    first = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min(F.struct("doc_id", "body_hash")).alias("k"))
+    first = stored(first.select(F.col("k.doc_id").alias("k_id"), F.col("k.body_hash").alias("k_hash")), "first")
+    same = (F.col("doc_id").eqNullSafe(F.col("k_id"))) & (F.col("body_hash") == F.col("k_hash"))
+    stays = found.join(first, same, "left_semi")
+    keys = [F.col("doc_id").alias("k_id"), F.col("body_hash").alias("k_hash")]
+    goes = stored(found.join(first, same, "left_anti").select(*keys), "dropped")
+    repeated = stored(stays.filter("copies > 1").select(*keys), "repeated")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(binary_text(text_col)).alias("body_hash"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    won = rows.join(stays, F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("body_hash") == F.col("k_hash")), "left_semi")
+    for less in (goes, repeated):
+        rows, whole = rows.join(bounded(less), same, "left_anti"), rows
+    out = rows.select("row.*")
+    if not repeated.counted["rows"]:
+        return out
     nth = F.row_number().over(Window.partitionBy("doc_id", "body_hash").orderBy(F.to_json("row")))
-    return won.withColumn("nth", nth).filter("nth = 1").select("row.*")
+    return out.unionByName(whole.join(bounded(repeated), same, "left_semi").withColumn("nth", nth).filter("nth = 1").select("row.*"))
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

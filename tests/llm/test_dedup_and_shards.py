@@ -2,11 +2,13 @@
 
 import hashlib
 import math
+import struct
 import zlib
 
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from crossweave.llm import exact_dedup, sharding, simhash
 
@@ -178,3 +180,23 @@ def test_empty_tables(spark):
     assert exact_dedup.exact_groups(none).count() == 0 and exact_dedup.drop_exact(none).count() == 0
     assert simhash.near_groups(none).count() == 0 and simhash.drop_near(none).count() == 0
     assert sharding.assign(none, {0: 1.0}).count() == 0
+
+
+def test_draws_match_brute_force(spark):
+    """The shard of a key by weight / -ln(draw), draws made again from XXH64."""
+    def draw(key, shard):
+        h = 42
+        for kind, x in (("<i", sharding.SEED), *([("<q", key)] if key is not None else []), ("<i", shard)):
+            h = xxhash.xxh64_intdigest(struct.pack(kind, x), h)
+        return ((h & (1 << 52) - 1) + 0.5) / (1 << 52)
+
+    keys = [None, 0, -1, 1 << 62, *range(1, 2000)]
+    for weights in ({s: 1.0 for s in range(8)}, {2: 0.5, 3: 2.0, 7: 1.0}):
+        df = spark.createDataFrame([(k,) for k in keys], "id long").select("id", sharding.rendezvous(F.col("id"), weights).cast("int").alias("s"))
+        assert {r.id: r.s for r in df.collect()} == {k: max(weights, key=lambda s: (weights[s] / -math.log(draw(k, s)), -s)) for k in keys}
+
+
+def test_equal_rows_spread_over_chunks(spark):
+    df = spark.createDataFrame([(1, "same")] * 4000, "doc_id long, text string").repartition(8)
+    got = sharding.assign(df, {0: 1.0, 1: 1.0}).collect()
+    assert len({r.shard for r in got}) == 1 and sorted(r.slot for r in got) == list(range(4000))
