@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 
-MAX_BITS = 18
+MAX_BITS = 18  # or two more than the number of symbols needs, for large alphabets
+WINDOW_BITS = 25  # that the decoder can see at once, at any bit of a byte
 BLOCK = 2048  # symbols between checkpoints
 
 
-def code_lengths(counts: np.ndarray, most: int = MAX_BITS) -> np.ndarray:
+def code_lengths(counts: np.ndarray, most: int | None = None) -> np.ndarray:
     """Bits of each symbol, 0 where it doesn't occur; the best code with no more than `most` bits."""
     counts = np.asarray(counts, np.int64)
     used = np.flatnonzero(counts)
@@ -16,6 +17,8 @@ def code_lengths(counts: np.ndarray, most: int = MAX_BITS) -> np.ndarray:
     if len(used) <= 1:
         out[used] = 1
         return out
+    if most is None:
+        most = min(WINDOW_BITS, max(MAX_BITS, (len(used) - 1).bit_length() + 2))
     if len(used) > 1 << most:
         raise ValueError("too many symbols for codes that short")
     by = used[np.argsort(counts[used], kind="stable")]
@@ -70,7 +73,7 @@ def encode(ids: np.ndarray, lengths: np.ndarray, codes: np.ndarray, block: int =
 class Decoder:
     def __init__(self, lengths: np.ndarray):
         self.bits = int(lengths.max(initial=1))
-        codes, used = canonical(lengths), np.flatnonzero(lengths)
+        used = np.flatnonzero(lengths)
         used = used[np.lexsort((used, lengths[used]))]
         reach = 1 << (self.bits - lengths[used].astype(np.int64))
         self.symbol = np.zeros(1 << self.bits, np.uint32)
@@ -78,7 +81,6 @@ class Decoder:
         n = int(reach.sum())
         self.symbol[:n] = np.repeat(used, reach)
         self.length[:n] = np.repeat(lengths[used], reach)
-        del codes
 
     def decode(self, bits: bytes, starts: np.ndarray, n: int, block: int = BLOCK) -> np.ndarray:
         """n ids; the blocks are independent, and a step decodes one id of each."""

@@ -1,7 +1,7 @@
 """Token-ID output: all documents' ids in one order, in segments of canonical length-limited Huffman code, and the way back.
 
-1. Texts are encoded; ids go to a table in the shared folder, two or four bytes each. 2. Counts of all ids give one code; there are as many counts
-as the vocabulary has ids, which bounds what the driver gets. 3. Documents are put in order of their id by a range shuffle and written in
+1. Texts are encoded; ids go to a table in the shared folder, two or four bytes each, and each task's counts of ids with them. 2. Counts of all ids give
+one code; there are as many counts as the vocabulary has ids, which bounds what the driver gets. 3. Documents are put in order of their id by a range shuffle and written in
 segments of about SEGMENT ids. 4. Readers decode segments independently, by table, all blocks of a segment at once from bit-offset checkpoints.
 
 A segment is one binary value of a table that Spark writes, so that any storage Spark knows can hold it and half-written files of a lost executor
@@ -24,40 +24,57 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from crossweave.llm import huffman
-from crossweave.llm.common import binary_text, slices, stored, table_path
+from crossweave.llm.common import discard, portioned, stored, table_path, tidied, whole_text
 from crossweave.llm.tokens import default_path, word_ids
 
 END_ID = 2
 SEGMENT = 2_000_000
+SEGMENTS_PER_PART, MOST_PARTS = 2, 100_000
 HEAD = struct.Struct("<4sIQIQ")
 
 
 def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID) -> DataFrame:
-    """doc_id, crc, ids (binary: u16, or u32 for larger vocabularies) of every row, end id included."""
-    kind = np.uint16 if word_ids(path).size <= 1 << 16 else np.uint32
+    """doc_id, crc, ids (binary: u16, or u32 for larger vocabularies) of every row, end id included, with `counts` null; and from each task one row
+    of which only `counts` is set: how often each id occurs in the task's rows."""
+    size = word_ids(path).size
+    kind = id_type(size)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = word_ids(path)
-        for batch in slices(batches):
-            found = [np.append(x, np.uint32(end_id)) for x in encoder.encode(batch.column("body").to_pylist())]
+        encoder, total = word_ids(path), np.zeros(size, np.int64)
+        end = np.array([end_id], np.uint32)
+        for batch in portioned(batches):
+            found = [np.concatenate([x, end]) for x in encoder.encode(batch.column("body"))]
+            for some in range(0, len(found), 1024):
+                total += np.bincount(np.concatenate(found[some : some + 1024]), minlength=size)
             crc = pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in found], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), crc, pa.array([x.astype(kind).tobytes() for x in found], pa.binary())], ["doc_id", "crc", "ids"])
+            ids = pa.array([x.astype(kind).tobytes() for x in found], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), crc, ids, pa.nulls(len(found), pa.binary())], ["doc_id", "crc", "ids", "counts"])
+        some = np.flatnonzero(total)
+        packed = zlib.compress(some.astype("<u4").tobytes() + total[some].astype("<u8").tobytes(), 1)
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([packed], pa.binary())], ["doc_id", "crc", "ids", "counts"])
+
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("body")).mapInArrow(tidied(run), "doc_id long, crc long, ids binary, counts binary")
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), binary_text(text_col).alias("body")).mapInArrow(run, "doc_id long, crc long, ids binary")
 
+def id_type(size: int) -> type:
+    return np.uint16 if size <= 1 << 16 else np.uint32
 
-def id_counts(encoded: DataFrame, kind: type, size: int) -> np.ndarray:
-    """How often each id occurs."""
+
+def id_counts(encoded: DataFrame, size: int) -> np.ndarray:
+    """How often each id occurs, from the tasks' own counts; the driver gets a row for each id at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, np.int64)
-        for batch in slices(batches, 4096):
-            total += np.bincount(np.frombuffer(b"".join(batch.column("ids").to_pylist()), kind), minlength=size)
+        for batch in batches:
+            for x in batch.column("counts"):
+                raw = zlib.decompress(x.as_py())
+                n = len(raw) // 12
+                total[np.frombuffer(raw, "<u4", n)] += np.frombuffer(raw, "<u8", n, 4 * n).astype(np.int64)
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["id", "n"])
 
     out = np.zeros(size, np.int64)
-    for r in encoded.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toLocalIterator():
+    for r in encoded.filter("counts is not null").select("counts").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toLocalIterator():
         out[r.id] = r.n
     return out
 
@@ -89,9 +106,10 @@ def write_ids(docs: DataFrame, out: str, path: str | None = None, id_col: str =
     """Writes the ids of docs below `out`: tables segments (part, segment, n_ids, data) and code (lengths)."""
     spark, path = docs.sparkSession, path or default_path()
     size = word_ids(path).size
-    kind = np.uint16 if size <= 1 << 16 else np.uint32
+    kind = id_type(size)
     encoded = stored(encode_documents(docs, path, id_col, text_col, end_id), "ids")
-    lengths = huffman.code_lengths(id_counts(encoded, kind, size))
+    counts = id_counts(encoded, size)
+    lengths = huffman.code_lengths(counts)
     spark.createDataFrame([(bytearray(lengths.tobytes()),)], "lengths binary").coalesce(1).write.parquet(f"{out}/code")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,9 +130,12 @@ def write_ids(docs: DataFrame, out: str, path: str | None = None, id_col: str =
         if held:
             yield flush()
 
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ordered = encoded.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "crc").select(F.spark_partition_id().alias("part"), "doc_id", "ids")
+    parts = min(MOST_PARTS, max(1, -(-int(counts.sum()) // (SEGMENTS_PER_PART * SEGMENT))))
+    order = ("doc_id", "crc", "tie")  # the last, so that equal rows don't all go to one part
+    rows = encoded.filter("counts is null").select("doc_id", "crc", "ids", F.monotonically_increasing_id().alias("tie"))
+    ordered = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).select(F.spark_partition_id().alias("part"), "doc_id", "ids")
     ordered.mapInArrow(run, "part int, segment int, n_ids long, data binary").write.parquet(f"{out}/segments")
+    discard(encoded)
 
 
 def read_ids(spark: SparkSession, out: str) -> DataFrame:

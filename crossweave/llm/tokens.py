@@ -1,22 +1,36 @@
-"""Token ids of whole texts by a word cache: white-space chunks are encoded once, then looked up.
+"""Token ids of whole texts by a chunk cache: white-space chunks are encoded once, then looked up.
 
 The tokenizer drops white space and never merges across it, so a text's ids are those of its chunks in order. Chunks are split at ASCII white
-space. A-Z is lower-cased first, as the tokenizer does itself, unless the text may hold a special token. ASCII punctuation
-after a chunk's last letter is a pre-token of its own. The cache is emptied when it is full; results don't depend on it.
+space, made distinct and looked up in Arrow, batch by batch, so that Python sees new chunks only; a cached chunk takes its bytes and some 20 more.
+A-Z is lower-cased first, as the tokenizer does itself, unless the text may hold a special token. A chunk of lower-case Latin letters and then ASCII
+punctuation is two pre-tokens, which the tokenizer's model encodes directly; all other chunks go through the whole tokenizer. The cache is emptied when it
+is full; results don't depend on it.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from functools import cache
-from itertools import repeat
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+from crossweave.llm.common import bounds
 
 MOST_CACHED = 1_000_000
-MOST_BYTES = 64  # of a cached chunk
-GROUP = 200_000  # chunks looked up at once
-BETWEEN = b"\x01"  # one id, and no white space
-PUNCTUATION = bytes(b for b in range(0x21, 0x7F) if not chr(b).isalnum())
+BYTES = 4 << 20  # of texts looked up at once
+BETWEEN = "\x01"  # one id, and no white space
+#: Letters that stay as they are under NFC and lower-casing, whatever stands beside them, then ASCII punctuation, which never goes on from a letter.
+_LATIN = re.compile(r"([a-zß-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letters that stand for bytes 0-255 in a byte-level vocabulary: printable Latin-1 for itself, then the others from U+0100 on."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(0x100 + i) for i, b in enumerate(rest)}
 
 
 class WordIds:
@@ -24,121 +38,118 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.size = max(self.tokenizer.get_vocab().values()) + 1
-        (self.between,) = self._encode([BETWEEN.decode()])[0]
+        self.letters = _byte_letters()
+        self.tails: dict[str, list[int]] = {"": []}
+        (self.between,) = self._encode([BETWEEN])[0]
         self._clear()
 
     def _clear(self) -> None:
-        self.at: dict[bytes, int] = {}
+        self.keys = pa.array([""], pa.string())  # a chunk's place is its cache place
+        self.new: list[str] = []
         self.flat = np.empty(1 << 16, np.uint32)
         self.start = np.zeros(1 << 14, np.int64)
-        self.used = self.known = 0
+        self.used, self.known = 0, 1
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _put(self, keys: list[bytes], ids: np.ndarray, sizes: np.ndarray) -> None:
+    def _put(self, keys: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
         while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
         while self.known + len(keys) + 1 > len(self.start):
             self.start = np.concatenate([self.start, np.zeros_like(self.start)])
         self.flat[self.used : self.used + len(ids)] = ids
         self.start[self.known + 1 : self.known + len(keys) + 1] = self.used + np.cumsum(sizes)
-        self.at.update(zip(keys, range(self.known, self.known + len(keys)), strict=True))
+        self.new += keys
         self.used += len(ids)
         self.known += len(keys)
 
-    def _learn_apart(self, keys: list[bytes]) -> None:
-        got = self._encode([k.decode() for k in keys])
-        self._put(keys, np.fromiter((i for g in got for i in g), np.uint32), np.array([len(g) for g in got]))
+    def _put_lists(self, keys: list[str], ids: list[list[int]]) -> None:
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        self._put(keys, np.fromiter((i for x in ids for i in x), np.uint32, int(sizes.sum())), sizes)
 
-    def _learn(self, missing: list[bytes]) -> None:
-        """Puts chunks into the cache. Many are encoded as one text, with a mark between them that no chunk holds."""
-        stems: dict[bytes, None] = {}
-        later, apart = [], []
+    def _learn(self, missing: list[str]) -> None:
+        """Puts chunks into the cache. Those that are no Latin word are encoded many at a time, with a mark between them that no chunk holds."""
+        plain, ids, other, apart = [], [], [], []
+        tokenize, tails = self.model.tokenize, self.tails
         for m in missing:
-            if len(m) > MOST_BYTES or BETWEEN in m or b"<|" in m:
+            if found := _LATIN.fullmatch(m):
+                stem, tail = found.groups()
+                if tail not in tails:
+                    tails[tail] = self._encode([tail])[0]
+                if not stem.isascii():
+                    stem = stem.encode().decode("latin-1").translate(self.letters)
+                plain.append(m)
+                ids.append([t.id for t in tokenize(stem)] + tails[tail])
+            elif BETWEEN in m or "<|" in m:
                 apart.append(m)
-                continue
-            stem = m.rstrip(PUNCTUATION)
-            tail = m[len(stem) :]
-            if tail and stem and stem.decode()[-1].isalpha():
-                later.append((m, stem, tail))
-                stems[stem] = stems[tail] = None
             else:
-                stems[m] = None
-        keys = [k for k in stems if k not in self.at]
-        for i in range(0, len(keys), 1000):
-            some = keys[i : i + 1000]
-            ids = np.array(self._encode([(b" " + BETWEEN + b" ").join(some).decode()])[0], np.uint32)
-            mark = np.append(np.flatnonzero(ids == self.between), len(ids))
-            if len(mark) != len(some):
-                self._learn_apart(some)
-                continue
-            self._put(some, ids[ids != self.between], np.diff(np.concatenate([[-1], mark])) - 1)
+                other.append(m)
+        if plain:
+            self._put_lists(plain, ids)
+        for i in range(0, len(other), 1000):
+            some = other[i : i + 1000]
+            got = np.array(self._encode([f" {BETWEEN} ".join(some)])[0], np.uint32)
+            mark = np.append(np.flatnonzero(got == self.between), len(got))
+            if len(mark) == len(some):
+                self._put(some, got[got != self.between], np.diff(np.concatenate([[-1], mark])) - 1)
+            else:
+                apart += some
         if apart:
-            self._learn_apart(apart)
-        if later:
-            # ids of a stem, then those of its tail
-            k = np.array([(self.at[x], self.at[y]) for _, x, y in later]).reshape(-1)
-            size = self.start[k + 1] - self.start[k]
-            stop = np.cumsum(size)
-            ids = self.flat[np.repeat(self.start[k] - (stop - size), size) + np.arange(stop[-1])]
-            self._put([m for m, _, _ in later], ids, size.reshape(-1, 2).sum(1))
-
-    def chunks(self, text: bytes) -> list[bytes]:
-        return (text if b"<|" in text else text.lower()).split()
-
-    def look_up(self, found: list[bytes]) -> np.ndarray:
-        """Cache places of chunks."""
+            self._put_lists(apart, self._encode(apart))
+
+    def look_up(self, found: pa.Array) -> np.ndarray:
+        """Cache places of distinct chunks."""
         if self.known > MOST_CACHED:
             self._clear()
-        got = np.fromiter(map(self.at.get, found, repeat(-1)), np.int64, len(found))
-        lacking = np.flatnonzero(got < 0)
-        if len(lacking):
-            missing = [found[i] for i in lacking.tolist()]
-            self._learn(list(dict.fromkeys(missing)))
-            got[lacking] = np.fromiter(map(self.at.__getitem__, missing), np.int64, len(missing))
-        return got
-
-    def counts(self, found: list[bytes]) -> np.ndarray:
-        """Tokens of each chunk."""
-        k = self.look_up(found)
-        return self.start[k + 1] - self.start[k]
-
-    def lengths(self, texts: list[bytes]) -> list[int]:
+        got = pc.index_in(found, value_set=self.keys)
+        if got.null_count:
+            missing, base = found.filter(got.is_null()), self.known
+            self._learn(missing.to_numpy(zero_copy_only=False).tolist())
+            new, self.new = pa.array(self.new, pa.string()), []
+            self.keys = pa.concat_arrays([self.keys, new])
+            places = pc.index_in(missing, value_set=new).to_numpy().astype(np.int64) + base
+            out = got.fill_null(0).to_numpy().astype(np.int64)
+            out[got.is_null().to_numpy(zero_copy_only=False)] = places
+            return out
+        return got.to_numpy().astype(np.int64)
+
+    def chunks(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """For a string array without nulls, all chunks in order: where the ids of each begin in `flat`, how many they are, where each text's chunks begin and end."""
+        parts = pc.ascii_split_whitespace(pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts)))
+        bounds = parts.offsets.to_numpy().astype(np.int64)
+        each = parts.flatten().dictionary_encode()
+        k = self.look_up(each.dictionary)[each.indices.to_numpy()] if len(each) else np.empty(0, np.int64)
+        return self.start[k], self.start[k + 1] - self.start[k], bounds[:-1] - bounds[0], bounds[1:] - bounds[0]
+
+    def lengths(self, texts: pa.Array) -> np.ndarray:
         """Tokens of each text."""
-        out: list[int] = []
-        held: list[list[bytes]] = []
-        n = 0
-        for i, text in enumerate(texts):
-            held.append(self.chunks(text))
-            n += len(held[-1])
-            if n >= GROUP or i == len(texts) - 1:
-                upto = np.concatenate([[0], np.cumsum(self.counts([c for h in held for c in h]))])
-                out += np.diff(upto[np.concatenate([[0], np.cumsum([len(h) for h in held])])]).tolist()
-                held, n = [], 0
-        return out
-
-    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
+        out = [np.empty(0, np.int64)]
+        for some in portions(texts):
+            _, size, a, b = self.chunks(some)
+            upto = np.concatenate([[0], np.cumsum(size)])
+            out.append(upto[b] - upto[a])
+        return np.concatenate(out)
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """Ids of each text."""
         out: list[np.ndarray] = []
-        held: list[list[bytes]] = []
-        n = 0
-        for i, text in enumerate(texts):
-            held.append(self.chunks(text))
-            n += len(held[-1])
-            if n >= GROUP or i == len(texts) - 1:
-                k = self.look_up([c for h in held for c in h])
-                a, size = self.start[k], self.start[k + 1] - self.start[k]
-                ends = np.cumsum(size)
-                ids = self.flat[np.repeat(a - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
-                upto = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum([len(h) for h in held])])]
-                out += [ids[upto[j] : upto[j + 1]] for j in range(len(held))]
-                held, n = [], 0
+        for some in portions(texts):
+            at, size, a, b = self.chunks(some)
+            upto = np.concatenate([[0], np.cumsum(size)])
+            ids = self.flat[np.repeat(at - upto[:-1], size) + np.arange(upto[-1])]
+            out += [ids[s:t] for s, t in zip(upto[a].tolist(), upto[b].tolist(), strict=True)]
         return out
 
 
+def portions(texts: pa.Array, most: int | None = None) -> Iterator[pa.Array]:
+    """The array in slices of about `most` bytes, or one text."""
+    for i, n in bounds(texts, most or BYTES):
+        yield texts.slice(i, n)
+
+
 @cache
 def word_ids(path: str) -> WordIds:
     """One for each Python worker and file."""
