@@ -1,8 +1,8 @@
 """Edit-aware token counts: a segment tree of pre-tokens for each document.
 
-Leaves hold runs of white-space chunks: bytes and tokens; inner nodes hold sums. An edit replaces some bytes. Only the leaves that hold the
-edit and the byte on either side (the boundary context, since a chunk may now go on across the edit) are encoded again; the sums above
-are updated along their paths. The count of the whole text is the root's.
+Leaves hold runs of white-space chunks, with their text; nodes hold sums of code points and tokens. An edit replaces some code points. Only the
+leaves that hold the edit and the code point on either side (the boundary context, since a chunk may now go on across the edit) are encoded again; the
+sums above are updated along their paths. The count of the whole text is the root's. No edit reads the rest of the text.
 
 Edits are (pos, remove, insert): at code point pos of the text as it then is, remove so many code points and put insert there; they apply in
 order, and what lies beyond the end is ignored. Null texts are empty; a null insert is empty; documents without edits keep their counts. Repeated rows
@@ -11,7 +11,6 @@ are counted each. An empty table gives an empty result; other columns take no pa
 
 from __future__ import annotations
 
-import re
 import struct
 from collections.abc import Iterator
 
@@ -20,37 +19,59 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crossweave.llm.common import binary_text, slices
-from crossweave.llm.tokens import WordIds, default_path, word_ids
+from crossweave.llm.common import portioned, whole_text
+from crossweave.llm.tokens import WordIds, default_path, portions, word_ids
 
-LEAF = 64  # chunks in a leaf
+LEAF = 16  # chunks in a leaf
 SPLIT = 16 * LEAF  # a leaf of more chunks, after edits, makes the tree be dealt anew
 EDIT = "struct<pos:long,remove:long,insert:string>"
-_CHUNK = re.compile(rb"[^ \t-\r]+")
 _HEAD = struct.Struct("<4sI")
+_BODY = 1 << 20  # bytes of text whose trees are edited together
 
 
 class Tree:
-    """Sums of bytes and tokens; node 1 is the root, node i has children 2i and 2i + 1, leaves start at `width`."""
+    """Sums of code points and tokens; node 1 is the root, node i has children 2i and 2i + 1, leaves start at `width`."""
 
-    def __init__(self, sizes: np.ndarray, tokens: np.ndarray):
-        self.width = 1 << max(0, (len(sizes) - 1).bit_length())
+    def __init__(self, leaves: list[str], tokens: np.ndarray):
+        self.leaves = leaves
+        self.width = 1 << max(0, (len(leaves) - 1).bit_length())
         self.sums = np.zeros((2 * self.width, 2), np.int64)
-        self.sums[self.width : self.width + len(sizes)] = np.stack([sizes, tokens], axis=1)
+        self.sums[self.width : self.width + len(leaves), 0] = [*map(len, leaves)]
+        self.sums[self.width : self.width + len(leaves), 1] = tokens
         w = self.width
         while w > 1:
             self.sums[w // 2 : w] = self.sums[w : 2 * w : 2] + self.sums[w + 1 : 2 * w : 2]
             w //= 2
 
-    def leaf(self, byte: int) -> tuple[int, int]:
-        """The leaf that holds a byte, and the leaf's first byte; the last leaf with bytes for one at or beyond the end."""
-        byte = max(0, min(byte, int(self.sums[1, 0]) - 1))
+    @property
+    def tokens(self) -> int:
+        return int(self.sums[1, 1])
+
+    def text(self) -> str:
+        return "".join(self.leaves)
+
+    def leaf(self, point: int) -> tuple[int, int]:
+        """The leaf that holds a code point, and the leaf's first; the last leaf with text for one at or beyond the end."""
+        point = max(0, min(point, int(self.sums[1, 0]) - 1))
         i, start = 1, 0
         while i < self.width:
             left = int(self.sums[2 * i, 0])
-            i, start, byte = (2 * i, start, byte) if byte < left else (2 * i + 1, start + left, byte - left)
+            i, start, point = (2 * i, start, point) if point < left else (2 * i + 1, start + left, point - left)
         return i - self.width, start
 
+    def cut(self, pos: int, remove: int, insert: str) -> int:
+        """Makes an edit in the leaves, of which the first gets the whole region, and returns that leaf. Its tokens are not counted yet."""
+        n = int(self.sums[1, 0])
+        a = min(max(pos, 0), n)
+        b = min(a + max(remove, 0), n)
+        (first, start), (last, last_start) = self.leaf(a - 1), self.leaf(b)
+        region = self.leaves[first][: a - start] + insert + self.leaves[last][b - last_start :]
+        for k in range(first + 1, last + 1):
+            self.leaves[k] = ""
+            self.put(k, 0, 0)
+        self.leaves[first] = region
+        return first
+
     def put(self, leaf: int, size: int, tokens: int) -> None:
         i = leaf + self.width
         change = np.array([size, tokens]) - self.sums[i]
@@ -59,68 +80,66 @@ class Tree:
             i //= 2
 
     def to_bytes(self) -> bytes:
-        return _HEAD.pack(b"CWS1", self.width) + self.sums.astype("<i8").tobytes()
+        return _HEAD.pack(b"CWS2", self.width) + self.sums.astype("<i8").tobytes()
 
     @classmethod
-    def from_bytes(cls, data: bytes) -> Tree:
+    def from_bytes(cls, data: bytes, text: str) -> Tree:
+        """A tree from its sums and its text."""
         magic, width = _HEAD.unpack_from(data)
-        if magic != b"CWS1":
+        if magic != b"CWS2":
             raise ValueError("not a tree")
         out = cls.__new__(cls)
         out.width, out.sums = width, np.frombuffer(data, "<i8", 4 * width, _HEAD.size).reshape(-1, 2).astype(np.int64)
+        stops = np.cumsum(out.sums[width:, 0]).tolist()
+        out.leaves = [text[a:b] for a, b in zip([0, *stops], stops, strict=False)]
         return out
 
 
-def build(text: bytes, encoder: WordIds, leaf: int = LEAF) -> Tree:
-    found = encoder.chunks(text)
-    counts = encoder.counts(found) if found else np.zeros(0, np.int64)
-    starts = [0]
-    if len(found) > leaf:
-        starts += [m.start() for k, m in enumerate(_CHUNK.finditer(text)) if k and k % leaf == 0]
-    sums = np.add.reduceat(counts, np.arange(0, len(counts), leaf)) if len(counts) else np.zeros(1, np.int64)
-    return Tree(np.diff(np.append(starts, len(text))), sums)
-
-
-def byte_at(text: bytes, point: int) -> int:
-    """The byte at which a code point starts; the end for one beyond it."""
-    if point <= 0:
-        return 0
-    if text.isascii():
-        return min(point, len(text))
-    first = np.flatnonzero((np.frombuffer(text, np.uint8) & 0xC0) != 0x80)
-    return int(first[point]) if point < len(first) else len(text)
-
-
-def apply_edit(text: bytes, tree: Tree, edit: tuple[int, int, bytes], encoder: WordIds) -> tuple[bytes, Tree, int]:
-    """The text and its tree after an edit, and the tokens that were counted again."""
-    pos, remove, insert = edit
-    a = byte_at(text, pos)
-    b = byte_at(text, max(pos, 0) + max(remove, 0))
-    (first, start), (last, last_start) = tree.leaf(a - 1), tree.leaf(b)
-    stop = last_start + int(tree.sums[last + tree.width, 0])
-    region = text[start:a] + insert + text[b:stop]
-    out = text[:a] + insert + text[b:]
-    found = encoder.chunks(region)
-    tokens = int(encoder.counts(found).sum()) if found else 0
-    if len(found) > SPLIT:
-        return out, build(out, encoder), tokens
-    tree.put(first, len(region), tokens)
-    for k in range(first + 1, last + 1):
-        tree.put(k, 0, 0)
-    return out, tree, tokens
+def build(texts: pa.Array, encoder: WordIds, leaf: int = LEAF) -> list[Tree]:
+    """A tree for each text."""
+    out = []
+    for some in portions(texts):
+        _, size, a, b = encoder.chunks(some)
+        for text, s, t in zip(some.to_numpy(zero_copy_only=False).tolist(), a.tolist(), b.tolist(), strict=True):
+            points = np.frombuffer(text.encode("utf-32-le"), "<u4")
+            ink = np.concatenate([[False], (points != 32) & ((points < 9) | (points > 13))])
+            cuts = np.flatnonzero(ink[1:] & ~ink[:-1])[leaf::leaf].tolist()
+            leaves = [text[i:j] for i, j in zip([0, *cuts], [*cuts, len(text)], strict=True)]
+            counts = size[s if ink[1:2].any() else s + 1 : t]  # a text that begins with white space has an empty chunk first
+            out.append(Tree(leaves, np.add.reduceat(counts, np.arange(0, len(leaves) * leaf, leaf)) if len(counts) else np.zeros(1, np.int64)))
+    return out
+
+
+def edit(trees: list[Tree], edits: list[list[tuple[int, int, str]]], encoder: WordIds, leaf: int = LEAF) -> list[int]:
+    """Applies the edits of each tree to it, in order; returns the tokens that were counted again for each. Regions of many trees are encoded at once."""
+    again = [0] * len(trees)
+    for k in range(max(map(len, edits), default=0)):
+        todo = [i for i, e in enumerate(edits) if len(e) > k]
+        firsts = [trees[i].cut(*edits[i][k]) for i in todo]
+        regions = [trees[i].leaves[f] for i, f in zip(todo, firsts, strict=True)]
+        for i, f, region, n in zip(todo, firsts, regions, encoder.lengths(pa.array(regions, pa.string())).tolist(), strict=True):
+            trees[i].put(f, len(region), n)
+            again[i] += n
+            if len(region) > SPLIT and len(region.split()) > SPLIT:
+                trees[i] = build(pa.array([trees[i].text()], pa.string()), encoder, leaf)[0]
+    return again
+
+
+def _log(column: pa.Array) -> list[list[tuple[int, int, str]]]:
+    return [[(e["pos"] or 0, e["remove"] or 0, e["insert"] or "") for e in x or [] if e is not None] for x in column.to_pylist()]
 
 
 def count_trees(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
-    """doc_id, body (the text's bytes), tree, n_tokens of every row."""
+    """doc_id, body (the text), tree, n_tokens of every row."""
     path = path or default_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = word_ids(path)
-        for batch in slices(batches):
-            trees = [build(x.as_py(), encoder) for x in batch.column("body")]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("body"), pa.array([t.to_bytes() for t in trees], pa.binary()), pa.array([int(t.sums[1, 1]) for t in trees], pa.int64())], ["doc_id", "body", "tree", "n_tokens"])
+        for batch in portioned(batches, most=_BODY):
+            trees = build(batch.column("body"), encoder)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("body"), pa.array([t.to_bytes() for t in trees], pa.binary()), pa.array([t.tokens for t in trees], pa.int64())], ["doc_id", "body", "tree", "n_tokens"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), binary_text(text_col).alias("body")).mapInArrow(run, "doc_id long, body binary, tree binary, n_tokens long")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("body")).mapInArrow(run, "doc_id long, body string, tree binary, n_tokens long")
 
 
 def edit_counts(trees: DataFrame, path: str | None = None) -> DataFrame:
@@ -129,27 +148,39 @@ def edit_counts(trees: DataFrame, path: str | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = word_ids(path)
-        for batch in slices(batches):
-            bodies, trees, counts, again = [], [], [], []
-            for body, data, edits in zip(batch.column("body"), batch.column("tree"), batch.column("edits").to_pylist(), strict=True):
-                text, tree, n = body.as_py(), Tree.from_bytes(data.as_py()), 0
-                for e in edits or []:
-                    if e is not None:
-                        text, tree, k = apply_edit(text, tree, (e["pos"] or 0, e["remove"] or 0, (e["insert"] or "").encode()), encoder)
-                        n += k
-                bodies.append(text)
-                trees.append(tree.to_bytes())
-                counts.append(int(tree.sums[1, 1]))
-                again.append(n)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(bodies, pa.binary()), pa.array(trees, pa.binary()), batch.column("n_tokens"), pa.array(counts, pa.int64()), pa.array(again, pa.int64())], ["doc_id", "body", "tree", "n_before", "n_tokens", "n_recounted"])
-
-    return trees.mapInArrow(run, "doc_id long, body binary, tree binary, n_before long, n_tokens long, n_recounted long")
-
-
-def derived_edits(body: str = "body", n: int = 3) -> F.Column:
+        for batch in portioned(batches, most=_BODY):
+            trees = [Tree.from_bytes(data.as_py(), body.as_py()) for data, body in zip(batch.column("tree"), batch.column("body"), strict=True)]
+            again = edit(trees, _log(batch.column("edits")), encoder)
+            made = [pa.array([t.text() for t in trees], pa.string()), pa.array([t.to_bytes() for t in trees], pa.binary()), batch.column("n_tokens"), pa.array([t.tokens for t in trees], pa.int64()), pa.array(again, pa.int64())]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *made], ["doc_id", "body", "tree", "n_before", "n_tokens", "n_recounted"])
+
+    return trees.mapInArrow(run, "doc_id long, body string, tree binary, n_before long, n_tokens long, n_recounted long")
+
+
+def count_edits(docs: DataFrame, edits: F.Column, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
+    """Both at once, where the trees need not be kept: doc_id, n_before, n_after, n_recounted, tree_nodes (of the tree after the edits). edits: a column of `body`."""
+    path = path or default_path()
+    names = ["doc_id", "n_before", "n_after", "n_recounted", "tree_nodes"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = word_ids(path)
+        for batch in portioned(batches, most=_BODY):
+            trees = build(batch.column("body"), encoder)
+            before = [t.tokens for t in trees]
+            again = edit(trees, _log(batch.column("edits")), encoder)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x, pa.int64()) for x in (before, [t.tokens for t in trees], again, [2 * t.width for t in trees]))], names)
+
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("body")).withColumn("edits", edits)
+    return base.mapInArrow(run, ", ".join(f"{n} long" for n in names))
+
+
+def derived_edits(body: str | F.Column = "body", n: int = 3) -> F.Column:
     """n edits for a text, from its checksum: a stand-in for an edit log, so that the query needs no other table."""
+
+    text = F.col(body) if isinstance(body, str) else body
+
     def one(k: int) -> F.Column:
-        at = F.pmod(F.xxhash64(F.crc32(body), F.lit(k)), F.octet_length(body) + F.lit(1))
+        at = F.pmod(F.xxhash64(F.crc32(text.cast("binary")), F.lit(k)), F.octet_length(text) + F.lit(1))
         return F.struct(at.alias("pos"), F.lit(4 * k).cast("long").alias("remove"), F.lit(("re", " new words ", "")[k % 3]).alias("insert"))
 
     return F.array(*[one(k) for k in range(n)])
@@ -157,9 +188,7 @@ def derived_edits(body: str = "body", n: int = 3) -> F.Column:
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of every document, before and after three edits; tree_nodes: nodes of its tree."""
-    trees = count_trees(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    after = edit_counts(trees.withColumn("edits", derived_edits()))
-    return after.select("doc_id", "n_before", F.col("n_tokens").alias("n_after"), "n_recounted", ((F.octet_length("tree") - 8) / 16).cast("long").alias("tree_nodes"))
+    return count_edits(spark.read.parquet(f"{sf_dir}/documents.parquet"), derived_edits())
 
 
 QUERIES = {"op8_token_counts": op8_token_counts}
