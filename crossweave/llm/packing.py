@@ -5,9 +5,10 @@ with the least room that holds it. Where none does, a bin is opened whose length
 still to be packed: cost(length) / min(length, piece + rest). At the end each bin shrinks to the shortest permitted length that holds its
 contents. Pieces are dealt by hash to groups of about GROUP pieces, each packed by one task, so that groups grow in number and not in size.
 
-A document's length is its tokens by the tokenizer of op8 and op9, plus an end token; null texts are empty and have length 1. `pack_documents` takes any
-column for a length, or estimates it as UTF-8 bytes over BYTES_PER_TOKEN, rounded up, plus an end token. Of bins with equal room, the one changed last is taken; pieces of one length are taken in order of id and piece. Repeated rows are packed each. An empty table gives an empty
-result; other columns take no part.
+A document's length is its tokens by the tokenizer of op8 and op9, plus an end token; null texts are empty and have length 1. `start` counts the same
+tokens, so that `sequences` can cut the pieces out of op9's ids. `pack_documents` takes any column for a length, or estimates it as UTF-8 bytes over
+BYTES_PER_TOKEN, rounded up, plus an end token. Of bins with equal room, the one changed last is taken; pieces of one length are taken in order of id and
+piece. Repeated rows are packed each. An empty table gives an empty result; other columns take no part.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crossweave.llm.common import binary_text, slices, stored
+from crossweave.llm.common import portioned, stored, tidied, whole_text
 from crossweave.llm.tokens import default_path, word_ids
 
 LENGTHS = (512, 1024, 2048, 4096, 8192)
@@ -74,11 +75,11 @@ def token_lengths(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = word_ids(path)
-        for batch in slices(batches):
-            n = np.array(encoder.lengths(batch.column("body").to_pylist()), np.int64) + 1
+        for batch in portioned(batches):
+            n = encoder.lengths(batch.column("body")) + 1
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n)], ["doc_id", "n"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), binary_text(text_col).alias("body")).mapInArrow(run, "doc_id long, n long")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("body")).mapInArrow(tidied(run), "doc_id long, n long")
 
 
 def pack_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, lengths: tuple[int, ...] = LENGTHS, group: int = GROUP) -> DataFrame:
@@ -122,6 +123,17 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", length: Column | Non
     return dealt.mapInArrow(run, "doc_id long, piece long, start long, n_tokens long, bin_id long, bin_offset long, bin_length long")
 
 
+def sequences(pieces: DataFrame, ids: DataFrame) -> DataFrame:
+    """bin_id, bin_length, n_tokens, ids (binary, u32) of every bin: its pieces' ids end to end. ids: doc_id and ids, as `token_ids.read_ids` gives them.
+
+    Pieces go to their documents by id, so ids must be there once and not null; a bin holds `bin_length` ids at most, which bounds what meets in a row.
+    """
+    cut = F.expr("substring(ids, cast(start * 4 + 1 as int), cast(n_tokens * 4 as int))")
+    rows = pieces.join(ids.select("doc_id", "ids"), "doc_id").select("bin_id", "bin_length", "bin_offset", "n_tokens", cut.alias("part"))
+    bins = rows.groupBy("bin_id", "bin_length").agg(F.sum("n_tokens").alias("n_tokens"), F.array_sort(F.collect_list(F.struct("bin_offset", "part"))).alias("parts"))
+    return bins.select("bin_id", "bin_length", "n_tokens", F.aggregate("parts", F.lit(b""), lambda a, x: F.concat(a, x["part"])).alias("ids"))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_tokens(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
