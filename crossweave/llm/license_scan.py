@@ -120,20 +120,33 @@ class Automaton:
 
 
 def chains(matches: list[tuple[int, int, int]], ends: list[list[tuple[int, int]]]) -> dict[int, list[tuple[int, int, int]]]:
-    """matches (start, words, state) in order -> for each template its chains (first word, last word + 1, words covered)."""
-    made: dict[int, list[list[int]]] = {}
+    """matches (start, words, state), by start -> for each template its chains (first word, last word + 1, template words covered).
+
+    A match goes on from the chain that was changed last of those it follows within LARGEST_GAP words, in text and template; words that it shares with the
+    chain, in either, are trimmed off it. A chain that no later match can reach is closed, so that the time is linear in the text.
+    """
+    opened: dict[int, list[list[int]]] = {}
+    closed: dict[int, list[tuple[int, int, int]]] = {}
     for start, n, state in matches:
         for t, end in ends[state]:
-            open_ = made.setdefault(t, [])
-            for c in reversed(open_):
-                if start < c[1] + 0 or start - c[1] > LARGEST_GAP:
-                    continue
-                if 0 < end - c[3] and end - n + 1 > c[3] and end - n - c[3] <= LARGEST_GAP:
-                    c[1], c[2], c[3] = start + n, c[2] + n, end
+            mine = opened.setdefault(t, [])
+            if mine and start - mine[0][1] > LARGEST_GAP:
+                closed.setdefault(t, []).extend((a, b, k) for a, b, k, _ in mine if start - b > LARGEST_GAP)
+                mine[:] = [c for c in mine if start - c[1] <= LARGEST_GAP]
+            first = end - n + 1
+            for i in range(len(mine) - 1, -1, -1):
+                _, stop, _, last = mine[i]
+                trim = max(0, stop - start, last + 1 - first)
+                if trim < n and start + trim - stop <= LARGEST_GAP and first + trim - last - 1 <= LARGEST_GAP:
+                    c = mine.pop(i)
+                    c[1], c[2], c[3] = start + n, c[2] + n - trim, end
+                    mine.append(c)  # in order of their last words
                     break
             else:
-                open_.append([start, start + n, n, end])
-    return {t: [(a, b, k) for a, b, k, _ in v] for t, v in made.items()}
+                mine.append([start, start + n, n, end])
+    for t, mine in opened.items():
+        closed.setdefault(t, []).extend((a, b, k) for a, b, k, _ in mine)
+    return closed
 
 
 def scan(text: bytes, auto: Automaton) -> dict:
