@@ -1,11 +1,15 @@
 """Main text of web pages: flat text blocks, features of each and its neighbours, and a decision tree trained on a small labelled table.
 
 A page is read once, front to back, into blocks: runs of text between block-level tags, with white space made one space and character references
-decoded. Each block has words, the share of its words in links, what it stands in, and the same of the blocks before and after it. A decision tree,
-grown from the small table LABELLED below when the module is loaded, keeps or drops each block.
+decoded. Each block has its words, the share of them in links, whether it is a sentence, what it stands in, and words and link density of the blocks before and
+after it. A decision tree, grown from the small table LABELLED below when the module is loaded, keeps or drops each block.
 
-Markup may be cut off or unclosed anywhere; what can't be a tag is text. Null and empty pages have the text "". Equal rows give equal rows. An
-empty table gives an empty result; other columns take no part.
+What an element is named is evidence of its place, and so is what it holds: names beside the article count unless they are negated ("no-sidebar",
+"has-sidebar"), stand beside the article's own name, or are loose ones ("legal-text", "sharing", a form) of an element that holds most of the page's
+running text.
+
+Markup may be cut off or unclosed anywhere; what can't be a tag is text. Time is linear in a page's length. Null and empty pages have the text "". Equal
+rows give equal rows. An empty table gives an empty result; other columns take no part.
 """
 
 from __future__ import annotations
@@ -19,26 +23,34 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(?P<raw>script|style|noscript|template|svg|iframe|object|textarea|select|button|title|math|canvas)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*(?:>.*?(?:</(?P=raw)\b[^>]*>?|\Z)|\Z)"
-    r"|<(?P<close>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^<>]*>",
-    re.S | re.I,
-)
+_NAME = re.compile(r"[a-zA-Z][a-zA-Z0-9:-]*")
+_PLAIN = re.compile(r"[^>\"']*")
 _ATTR = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 _NAMING = frozenset("class id role aria-label itemprop".split())
 _NOT_SHOWN = re.compile(r"display\s*:\s*none", re.I)
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+#: Elements whose content is no text of the page, up to their end tag; of the first ones up to the page's end where that is missing.
+RAW = frozenset("script style title textarea iframe".split())
+SKIPPED = RAW | frozenset("noscript template svg object select button canvas".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr math mrow mi mo mn msup msub mfrac".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-AROUND = frozenset("nav header footer aside form menu dialog fieldset".split())
+AROUND = frozenset("nav header footer aside menu dialog".split())
+LOOSE_AROUND = frozenset("form fieldset".split())
 MAIN = frozenset("article main".split())
 CLOSES_P = frozenset("p div ul ol dl table section article aside header footer nav form h1 h2 h3 h4 h5 h6 pre blockquote hr main figure fieldset".split())
-#: Parts of class and id names.
+#: Parts of class and id names: of things that are never the article, and of things that may hold it.
 AROUND_NAMES = frozenset(
-    "ad ads advert adverts advertisement adbox adsense sponsor sponsored promo promoted banner cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe signup login nav navbar navigation menu breadcrumb breadcrumbs "
-    "sidebar aside footer header masthead topbar toolbar comment comments disqus replies reply respond share sharing social related recommended recommendations more-posts widget pagination pager copyright legal disclaimer skip tags taboola outbrain hidden".split()
+    "ads advert adverts advertisement adbox adsense cookie cookies consent gdpr popup modal newsletter subscribe signup login nav navbar navigation menu breadcrumb breadcrumbs "
+    "sidebar comment comments disqus replies reply respond pagination pager taboola outbrain".split()
+)
+LOOSE_NAMES = frozenset(
+    "ad sponsor sponsored promo promoted banner notice alert overlay aside footer header masthead topbar toolbar share sharing social related recommended recommendations more-posts widget "
+    "copyright legal disclaimer skip tags hidden".split()
 )
 MAIN_NAMES = frozenset("article main content post story entry articlebody entry-content post-content article-body main-content".split())
+NEGATED = frozenset("no non not without has with hide show".split())
 _SPACE = re.compile(r"\s+")
+_SENTENCE = re.compile(r"[.!?…:;][\"')\]»”’]*$")
+MOST = 0.5  # share of a page's words outside links, beyond which an element can't be beside the article by a loose name
 
 
 @dataclass
@@ -49,118 +61,206 @@ class Block:
     around: bool  # in something beside the article
     main: bool  # in the article
     heading: bool
+    loose: tuple[int, ...] = ()  # elements around it that are beside the article unless they hold most of the page
 
     @property
     def density(self) -> float:
         return self.linked / self.words if self.words else 0.0
 
 
-def _names(attrs: str) -> tuple[bool, bool]:
-    """Whether the attributes name something beside the article, or the article."""
-    around = main = part_around = article = False
+def _names(attrs: str) -> tuple[bool, bool, bool]:
+    """Whether the attributes surely or loosely name something beside the article, or name the article."""
+    around = loose = main = article = False
     for name, value in _ATTR.findall(attrs):
         name, found = name.lower(), value.strip("\"' ").lower()
         if name in _NAMING:
-            whole = {x.replace("_", "-") for x in found.split()}
-            parts = set(re.split(r"[\s_-]+", found))
-            around |= bool(whole & AROUND_NAMES)
-            part_around |= bool(parts & AROUND_NAMES)
-            article |= bool(whole & MAIN_NAMES)
-            main |= bool((whole | parts) & MAIN_NAMES)
+            for whole in found.replace("_", "-").split():
+                parts = whole.split("-")
+                own = {x for i, x in enumerate(parts) if not (i and parts[i - 1] in NEGATED)}
+                article |= whole in MAIN_NAMES
+                main |= whole in MAIN_NAMES or bool(own & MAIN_NAMES)
+                around |= whole in AROUND_NAMES or whole in LOOSE_NAMES and len(parts) == 1 and whole in _SURE
+                loose |= bool(own & (AROUND_NAMES | LOOSE_NAMES))
         else:
             around |= name == "hidden" or (name == "aria-hidden" and found == "true") or bool(name == "style" and _NOT_SHOWN.search(found))
     # a part of a compound name ("has-sidebar") says nothing of an element with an article's name
-    return around or (part_around and not article), main
+    return around, loose and not article, main
+
+
+#: Loose names that are sure where they are the whole name.
+_SURE = LOOSE_NAMES - {"header", "tags", "notice", "legal", "overlay"}
+
+
+class _Tags:
+    """The tags of a page, found in one pass: (start, end, closing, name, attributes); name is empty for comments and the like."""
+
+    def __init__(self, html: str):
+        self.html, self.n = html, len(html)
+        self.last = {q: html.rfind(q) for q in "\"'>"}
+        self.unclosed: set[str] = set()
+
+    def _end(self, at: int) -> int:
+        """The place of the `>` that ends a tag whose attributes start at `at`; the page's end if there is none. A quote that nothing closes is a letter."""
+        while True:
+            at = _PLAIN.match(self.html, at).end()
+            if at >= self.n or self.html[at] == ">":
+                return at
+            close = self.html.find(self.html[at], at + 1) if at < self.last[self.html[at]] else -1
+            at = close + 1 if close >= 0 else at + 1
+
+    def __iter__(self) -> Iterator[tuple[int, int, bool, str, str]]:
+        html, at = self.html, 0
+        while (at := html.find("<", at)) >= 0:
+            for mark, stop in (("<!--", "-->"), ("<![CDATA[", "]]>")):
+                if html.startswith(mark, at):
+                    end = html.find(stop, at + len(mark))
+                    end = self.n if end < 0 else end + len(stop)
+                    break
+            else:
+                closing = html.startswith("/", at + 1)
+                m = _NAME.match(html, at + 1 + closing)
+                if m:
+                    name, stop = m[0].lower(), self._end(m.end())
+                    end = min(self.n, stop + 1)
+                    if not closing and name in SKIPPED:
+                        end, name = self._skip(name, end)
+                    yield at, end, closing, name, html[m.end() : stop] if name else ""
+                    at = end
+                    continue
+                if not html.startswith(("!", "?", "/"), at + 1):
+                    at += 1
+                    continue
+                end = html.find(">", at) + 1 or self.n
+            yield at, end, False, "", ""
+            at = end
+
+    def _skip(self, name: str, at: int) -> tuple[int, str]:
+        """Where the element that opened before `at` ends, with no name, as it has no text; or `at` and its name, if nothing closes it."""
+        if name not in self.unclosed:
+            if m := re.compile(rf"</{name}\b[^>]*>?", re.I).search(self.html, at):
+                return m.end(), ""
+            self.unclosed.add(name)
+        return (self.n, "") if name in RAW else (at, name)
 
 
 def blocks(html: str) -> list[Block]:
     """The text blocks of a page, in order."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = [("", False, False)]  # name, around, main
+    stack: list[tuple[str, bool, bool, tuple[int, ...]]] = [("", False, False, ())]  # name, around, main, loose elements
+    places: dict[str, list[int]] = {}  # in the stack, by name
+    outer = [0]  # places of the elements that are not inline
     parts: list[str] = []
     linked: list[str] = []
-    links = 0
+    links = elements = 0
 
     def end() -> None:
         if parts:
             text = _SPACE.sub(" ", unescape("".join(parts))).strip()
             if text:
                 n = len(text.split())
-                out.append(Block(text, n, min(n, len(unescape(" ".join(linked)).split())), stack[-1][1], stack[-1][2], any(re.fullmatch("h[1-6]", s[0]) for s in stack[-3:])))
+                _, around, main, loose = stack[-1]
+                out.append(Block(text, n, min(n, len(unescape(" ".join(linked)).split())), around, main, any(len(s[0]) == 2 and s[0][0] == "h" and s[0][1].isdigit() for s in stack[-3:]), loose))
         parts.clear()
         linked.clear()
 
     def pop(to: int) -> None:
         nonlocal links
-        links -= sum(s[0] == "a" for s in stack[to:])
+        for s in reversed(stack[to:]):
+            links -= s[0] == "a"
+            places[s[0]].pop()
         del stack[to:]
+        while outer[-1] >= to:
+            outer.pop()
 
     at = 0
-    for m in _TOKEN.finditer(html):
-        if m.start() > at:
-            parts.append(html[at : m.start()])
+    for start, stop, closing, name, attrs in _Tags(html):
+        if start > at:
+            parts.append(html[at:start])
             if links:
-                linked.append(html[at : m.start()])
-        at = m.end()
-        if m["raw"] or not m["name"]:
-            if m["raw"]:
-                parts.append(" ")
-            continue
-        name = m["name"].lower()
-        if name == "br":
+                linked.append(html[at:start])
+        at = stop
+        if not name or name == "br":
             parts.append(" ")
             continue
         if name not in INLINE:
             end()
-        if m["close"]:
-            k = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == name), 0)
-            if k and (name not in INLINE or all(s[0] in INLINE for s in stack[k:])):
+        if closing:
+            k = places[name][-1] if places.get(name) else 0
+            if k and (name not in INLINE or outer[-1] < k):
                 pop(k)
             continue
         if name in CLOSES_P or name == "li":
-            k = len(stack) - 1
-            while k and stack[k][0] in INLINE:
-                k -= 1
-            if stack[k][0] == ("li" if name == "li" else "p") and k:
+            k = outer[-1]
+            if k and stack[k][0] == ("li" if name == "li" else "p"):
                 pop(k)
         if name in VOID:
             continue
-        around, main = _names(m["attrs"]) if m["attrs"].strip() else (False, False)
-        was = stack[-1]
-        if name in MAIN or (main and name not in ("body", "html")):
-            now = (name, was[1] or (around and name not in MAIN), True)
+        around, loose, main = _names(attrs) if attrs.strip() else (False, False, False)
+        _, was_around, was_main, was_loose = stack[-1]
+        if name in ("body", "html"):
+            now = (name, was_around, was_main, was_loose)
+        elif name in MAIN:
+            now = (name, was_around, True, was_loose)
         else:
             # a header of the article itself is part of it
-            now = (name, was[1] or (name in AROUND and not (name == "header" and was[2])) or (around and name not in ("body", "html")), was[2])
+            around |= name in AROUND and not (name == "header" and was_main)
+            loose |= name in LOOSE_AROUND
+            elements += 1
+            now = (name, was_around or around, was_main or (main and not around), (*was_loose, elements) if loose and len(was_loose) < 8 else was_loose)
+        places.setdefault(name, []).append(len(stack))
+        if name not in INLINE:
+            outer.append(len(stack))
         stack.append(now)
         links += name == "a"
     if at < len(html):
         parts.append(html[at:])
     end()
+    own: dict[int, int] = {}
+    marked: dict[int, int] = {}
+    for b in out:
+        for e in b.loose:
+            own[e] = own.get(e, 0) + b.words - b.linked
+            marked[e] = marked.get(e, 0) + (b.main and not b.around)
+    most, main = MOST * sum(b.words - b.linked for b in out if not b.around), sum(b.main and not b.around for b in out)
+    for b in out:  # what holds most of the page, and all that is marked as the article, is not beside it
+        b.around |= any(own[e] <= most or marked[e] < main for e in b.loose)
     return out
 
 
-FEATURES = ("around", "main", "page_has_main", "words", "density", "heading", "words_before", "density_before", "words_after", "density_after")
+FEATURES = ("around", "main", "page_has_main", "words", "density", "heading", "sentence", "words_before", "density_before", "words_after", "density_after")
 
 #: Labelled neighbourhoods: words and link density of the block before and of the one after.
 NEAR = ((0, 0.0, 60, 0.0), (1, 1.0, 9, 0.0), (40, 0.0, 30, 0.0), (12, 0.0, 1, 1.0), (90, 0.05, 0, 0.0), (2, 0.0, 14, 0.9), (1, 1.0, 2, 1.0), (300, 0.0, 200, 0.0))
-#: Labelled blocks of pages that mark their article, or of things beside it: the other features and the label (1: of the article), for any neighbours.
+#: Labelled blocks of pages that mark their article, or what is beside it: whether a block is in something beside the article, in the article, whether the page marks its
+#: article, words, link density, heading; the label (1: of the article). The marks decide, beside any neighbours, sentence or not.
 MARKED = (
     ((0, 1, 1, 40, 0.0, 0), 1), ((0, 1, 1, 1, 0.0, 0), 1), ((0, 1, 1, 9, 0.0, 1), 1), ((0, 1, 1, 25, 0.3, 0), 1), ((0, 1, 1, 6, 1.0, 0), 1), ((0, 1, 1, 300, 0.02, 0), 1),
     ((1, 0, 1, 1, 1.0, 0), 0), ((1, 0, 1, 30, 0.0, 0), 0), ((1, 0, 1, 120, 0.0, 0), 0), ((1, 1, 1, 40, 0.0, 0), 0), ((1, 1, 1, 5, 0.6, 0), 0), ((1, 1, 1, 4, 0.0, 1), 0),
     ((0, 0, 1, 11, 0.0, 0), 0), ((0, 0, 1, 60, 0.0, 0), 0), ((0, 0, 1, 2, 1.0, 0), 0), ((0, 0, 1, 5, 0.0, 1), 0), ((1, 0, 0, 35, 0.0, 0), 0), ((1, 0, 0, 4, 0.9, 0), 0), ((1, 0, 0, 200, 0.0, 0), 0),
 )
-#: Labelled blocks of pages that don't: here the neighbours tell.
+#: Labelled blocks of pages that don't mark their article: the same numbers, whether the block ends as a sentence does, its neighbourhood, the label.
 UNMARKED = (
-    ((45, 0.0, 0, 8, 0.0, 50, 0.0), 1), ((33, 0.1, 0, 41, 0.0, 2, 1.0), 1), ((90, 0.05, 0, 1, 1.0, 70, 0.0), 1), ((20, 0.0, 0, 3, 1.0, 35, 0.0), 1), ((8, 0.0, 1, 2, 1.0, 40, 0.0), 1), ((6, 0.0, 0, 40, 0.0, 38, 0.0), 1),
-    ((48, 0.0, 0, 1, 1.0, 1, 1.0), 1), ((120, 0.0, 0, 0, 0.0, 0, 0.0), 1), ((17, 0.0, 0, 60, 0.0, 2, 1.0), 1), ((2, 0.0, 0, 70, 0.0, 25, 0.0), 1), ((60, 0.2, 0, 2, 1.0, 2, 1.0), 1), ((25, 0.0, 0, 0, 0.0, 90, 0.0), 1),
-    ((3, 1.0, 0, 2, 1.0, 3, 1.0), 0), ((10, 0.8, 0, 9, 0.7, 12, 0.9), 0), ((4, 0.0, 0, 2, 1.0, 0, 0.0), 0), ((5, 0.0, 0, 2, 0.0, 3, 1.0), 0), ((16, 0.7, 0, 30, 0.0, 2, 1.0), 0), ((2, 0.0, 0, 1, 1.0, 1, 1.0), 0),
-    ((40, 0.9, 0, 3, 0.0, 50, 0.0), 0), ((1, 1.0, 0, 48, 0.0, 0, 0.0), 0), ((3, 0.6, 0, 48, 0.0, 0, 0.0), 0), ((2, 1.0, 0, 0, 0.0, 48, 0.0), 0), ((9, 1.0, 0, 80, 0.0, 80, 0.0), 0), ((4, 0.0, 0, 1, 1.0, 6, 0.0), 0),
+    # running text, also short, beside running text
+    ((0, 0, 0, 45, 0.0, 0, 1, 8, 0.0, 50, 0.0), 1), ((0, 0, 0, 33, 0.1, 0, 1, 41, 0.0, 2, 1.0), 1), ((0, 0, 0, 90, 0.05, 0, 1, 1, 1.0, 70, 0.0), 1), ((0, 0, 0, 20, 0.0, 0, 1, 3, 1.0, 35, 0.0), 1),
+    ((0, 0, 0, 8, 0.0, 1, 0, 2, 1.0, 40, 0.0), 1), ((0, 0, 0, 6, 0.0, 0, 1, 40, 0.0, 38, 0.0), 1), ((0, 0, 0, 48, 0.0, 0, 1, 1, 1.0, 1, 1.0), 1), ((0, 0, 0, 120, 0.0, 0, 1, 0, 0.0, 0, 0.0), 1),
+    ((0, 0, 0, 17, 0.0, 0, 1, 60, 0.0, 2, 1.0), 1), ((0, 0, 0, 2, 0.0, 0, 1, 70, 0.0, 25, 0.0), 1), ((0, 0, 0, 1, 0.0, 0, 1, 2, 0.0, 9, 0.0), 1), ((0, 0, 0, 2, 0.0, 0, 1, 1, 0.0, 30, 0.0), 1),
+    ((0, 0, 0, 3, 0.0, 0, 1, 25, 0.0, 2, 0.0), 1), ((0, 0, 0, 60, 0.2, 0, 1, 2, 1.0, 2, 1.0), 1), ((0, 0, 0, 25, 0.0, 0, 0, 0, 0.0, 90, 0.0), 1), ((0, 0, 0, 4, 0.0, 1, 0, 70, 0.0, 60, 0.0), 1),
+    ((0, 0, 0, 3, 0.0, 0, 0, 45, 0.0, 50, 0.0), 1), ((0, 0, 0, 12, 0.0, 0, 1, 4, 0.0, 3, 0.0), 1), ((0, 0, 0, 5, 0.0, 0, 1, 0, 0.0, 0, 0.0), 1), ((0, 0, 0, 2, 0.0, 0, 1, 12, 0.0, 0, 0.0), 1),
+    # and what stands there beside links
+    ((0, 0, 0, 3, 1.0, 0, 0, 2, 1.0, 3, 1.0), 0), ((0, 0, 0, 10, 0.8, 0, 0, 9, 0.7, 12, 0.9), 0), ((0, 0, 0, 4, 0.0, 0, 0, 2, 1.0, 0, 0.0), 0), ((0, 0, 0, 5, 0.0, 0, 0, 2, 0.0, 3, 1.0), 0),
+    ((0, 0, 0, 16, 0.7, 0, 0, 30, 0.0, 2, 1.0), 0), ((0, 0, 0, 2, 0.0, 0, 0, 1, 1.0, 1, 1.0), 0), ((0, 0, 0, 40, 0.9, 0, 0, 3, 0.0, 50, 0.0), 0), ((0, 0, 0, 1, 1.0, 0, 0, 48, 0.0, 0, 0.0), 0),
+    ((0, 0, 0, 3, 0.6, 0, 0, 48, 0.0, 0, 0.0), 0), ((0, 0, 0, 2, 1.0, 0, 0, 0, 0.0, 48, 0.0), 0), ((0, 0, 0, 9, 1.0, 0, 0, 80, 0.0, 80, 0.0), 0), ((0, 0, 0, 4, 0.0, 0, 0, 1, 1.0, 6, 0.0), 0),
+    ((0, 0, 0, 4, 0.0, 0, 1, 3, 1.0, 2, 1.0), 0), ((0, 0, 0, 6, 0.0, 0, 0, 50, 0.0, 2, 1.0), 0), ((0, 0, 0, 3, 0.0, 1, 0, 30, 0.0, 2, 1.0), 0), ((0, 0, 0, 3, 0.0, 0, 1, 2, 1.0, 0, 0.0), 0),
+    ((0, 0, 0, 5, 0.0, 0, 0, 4, 0.0, 0, 0.0), 0), ((0, 0, 0, 90, 0.0, 0, 1, 120, 0.0, 80, 0.0), 1), ((0, 0, 0, 150, 0.02, 0, 1, 200, 0.0, 2, 1.0), 1), ((0, 0, 0, 7, 0.0, 0, 1, 110, 0.0, 95, 0.0), 1),
+    ((0, 0, 0, 10, 0.0, 0, 1, 6, 1.0, 40, 0.0), 1), ((0, 0, 0, 9, 0.0, 0, 1, 30, 1.0, 15, 0.0), 1), ((0, 0, 0, 5, 0.0, 0, 1, 3, 1.0, 22, 0.0), 1),
+    # long text without an end mark
+    ((0, 0, 0, 30, 0.0, 0, 0, 0, 0.0, 6, 0.0), 1), ((0, 0, 0, 40, 0.0, 0, 0, 2, 1.0, 3, 1.0), 1), ((0, 0, 0, 70, 0.1, 0, 0, 30, 0.0, 0, 0.0), 1), ((0, 0, 0, 35, 0.0, 0, 0, 3, 1.0, 12, 0.0), 1),
+    ((0, 0, 0, 14, 0.0, 0, 0, 2, 1.0, 2, 1.0), 0), ((0, 0, 0, 11, 0.0, 0, 0, 40, 0.0, 3, 1.0), 0),
 )
-LABELLED = tuple(((*x, *near), y) for x, y in MARKED for near in NEAR) + tuple(((0, 0, 0, *x), y) for x, y in UNMARKED)
+LABELLED = tuple(((*x, sentence, *near), y) for x, y in MARKED for near in NEAR for sentence in (0, 1)) + UNMARKED
 
 
-def grow(rows: tuple, depth: int = 7) -> tuple | int:
+def grow(rows: tuple, depth: int = 12) -> tuple | int:
     """A decision tree by Gini impurity: (feature, threshold, tree up to it, tree above it) or a label."""
     ones = sum(label for _, label in rows)
     if depth == 0 or ones in (0, len(rows)):
@@ -194,10 +294,10 @@ def classify(features: tuple, tree: tuple | int = TREE) -> int:
 
 def main_blocks(found: list[Block], tree: tuple | int = TREE) -> list[Block]:
     none = Block("", 0, 0, False, False, False)
-    has = any(b.main for b in found)
+    has = any(b.main and not b.around for b in found)
     out = []
     for p, b, n in zip([none, *found], found, [*found[1:], none], strict=False):
-        x = (int(b.around), int(b.main), int(has), b.words, b.density, int(b.heading), p.words, p.density, n.words, n.density)
+        x = (int(b.around), int(b.main), int(has), b.words, b.density, int(b.heading), int(bool(_SENTENCE.search(b.text))), p.words, p.density, n.words, n.density)
         if classify(x, tree):
             out.append(b)
     return out

@@ -1,5 +1,8 @@
 """Attributes that tell of an element's place on a page."""
 
+import random
+import time
+
 import pytest
 
 from crossweave.llm import html_text
@@ -14,5 +17,52 @@ def test_an_articles_element_is_kept(attrs):
 
 @pytest.mark.parametrize("attrs", ["hidden", 'hidden=""', 'class="post-content" hidden', 'aria-hidden="true"', 'style="display: none"', 'class="post-share"', 'class="content sidebar"'])
 def test_an_element_beside_the_article_is_dropped(attrs):
-    assert html_text._names(attrs)[0]
+    assert any(html_text._names(attrs)[:2])
     assert html_text.main_text(f"<body><article><p>{ARTICLE}</p></article><div {attrs}><p>Other {ARTICLE}</p></div></body>") == ARTICLE
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        '<div class="content no-sidebar"><p>%s</p></div>', '<div class="site no-banner"><p>%s</p></div>', '<div class="post sharing-economy"><p>%s</p></div>',
+        '<div id="main"><section class="legal-text"><p>%s</p></section></div>', "<form><div><p>%s</p></div></form>", '<form id="aspnetForm"><article><p>%s</p></article></form>',
+        '<div class="has_banner"><nav><a href=x>Home</a></nav><p>%s</p></div>',
+    ],
+)
+def test_loose_names_and_forms_dont_cost_the_article(page):
+    assert html_text.main_text(f"<html><body>{page % ARTICLE}</body></html>") == ARTICLE
+
+
+def test_inline_mathematics_stay():
+    assert html_text.main_text(f"<article><p>{ARTICLE} <math><mi>x</mi><mo>=</mo><mn>2</mn></math></p></article>") == f"{ARTICLE} x=2"
+
+
+def test_neighbours_decide_on_pages_without_marks():
+    menu = "<ul>" + "".join(f"<li><a href=/{i}>Part {i}</a>" for i in range(6)) + "</ul>"
+    page = f"<html><body>{menu}<div>{ARTICLE}</div><p>\"Yes.\"</p><p>He left.</p><p>{ARTICLE}</p>{menu}<div>Contact us</div><ul><li><a href=/q>Imprint</a></ul></body></html>"
+    assert html_text.main_text(page) == f'{ARTICLE}\n"Yes."\nHe left.\n{ARTICLE}'
+    assert html_text.main_text(f"<body>{menu}<p>He left</p>{menu}</body>") == ""
+
+
+def test_generated_pages_give_their_article_back():
+    """Pages put together from known parts, with the article marked in many ways or not at all."""
+    rnd = random.Random(11)
+    word = lambda: "".join(rnd.choices("abcdefghijk", k=rnd.randint(2, 9)))
+    sentence = lambda: " ".join(word() for _ in range(rnd.randint(9, 60))).capitalize() + rnd.choice(".!?")
+    marks = [("<article>", "</article>"), ("<main>", "</main>"), ('<div class="post-content">', "</div>"), ('<div id="content" class="has-sidebar"><section>', "</section></div>"), ("<div>", "</div>")]
+    beside = ['<nav><ul><li><a href="/">{}</a></ul></nav>', '<div class="cookie-banner">{}</div>', "<aside><p>{}</p></aside>", "<footer>{}</footer>", '<div class="ads">{}</div>', "<script>var x = '{}';</script>", "<!-- {} -->", '<section id="comments"><p>{}</p></section>', '<div hidden>{}</div>', "<form><input><p>{}</p></form>"]
+    for _ in range(300):
+        paragraphs = [sentence() for _ in range(rnd.randint(3, 9))]
+        a, b = rnd.choice(marks)
+        some = ["".join(x.format(sentence()) for x in rnd.sample(beside, rnd.randint(0, 4))) for _ in range(2)]
+        inner = "".join(f"<p>{x}</p>" if rnd.random() < 0.8 else f"<div>{x}</div>" for x in paragraphs)
+        page = f"<html><head><title>t</title></head><body>{some[0]}{a}{inner}{b}{some[1]}</body></html>"
+        assert html_text.main_text(page) == "\n".join(paragraphs), page
+
+
+@pytest.mark.parametrize("part", ["<script", "<a b='", "<div>", "</x>", "<p class='", "<", "<!--", "<svg>", "<button>", "<p>x", "<b><div>", "&#", '<form class="ad">x'])
+def test_hostile_pages_take_linear_time(part):
+    page = part * (1_000_000 // len(part)) + '"' + "</x></b>" * 1000
+    began = time.process_time()
+    html_text.main_text(page)
+    assert time.process_time() - began < 12
