@@ -16,6 +16,7 @@ have equal scores. An empty table gives an empty result; other columns take no p
 from __future__ import annotations
 
 import re
+import unicodedata
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -28,20 +29,42 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crossweave.llm.common import binary_text, words
+from crossweave.llm.common import binary_text, stored, tidied, words
 
 SAMPLE = 8_000
+PARTS = 32  # that the labelled rows are dealt to while learning
 THRESHOLD = 0.3
 STEM_LENGTHS = tuple(range(3, 12))  # letters
 LEAST_DOCS, LEAST_SHARE = 5, 0.9
 MOST_UNMATCHED = 0.1  # score of a text without a match, whatever share of the labels is toxic
-MOST_CACHED = 400_000
-_CLAUSE = re.compile(rb"[.!?;:\n|]+")
+MOST_CACHED = 150_000
+_CLAUSE = re.compile(rb"[.!?;\n|]+")  # no colon: what is said after one belongs to who says it
 
-THREAT = frozenset(b"kill hurt destroy crush smash stab shoot burn beat punch toten umbringen schlagen zerstoren tuer frapper detruire matar golpear destruir".split())
-TARGET = frozenset("you your yours u he she they him her them his their people du dich dir ihr euch dein deine er sie tu toi vous te votre ton ta il elle ils vosotros usted ustedes tú él ella ellos su tus".encode().split())
-NEGATION = frozenset("not no never nobody isn aren wasn don doesn nicht kein keine nie pas jamais aucun ne ni nunca jamás tampoco".encode().split())
-REPORT = frozenset("said says say called calls wrote writes claimed quoted reported told sagte sagt nannte schrieb dit disait écrit appelé dijo dice llamó escribió".encode().split())
+
+def fold(word: bytes) -> bytes:
+    """A word without accents, so that lists and texts meet however they are spelled."""
+    if word.isascii():
+        return word
+    return "".join(c for c in unicodedata.normalize("NFD", word.decode(errors="replace").lower()) if not unicodedata.combining(c)).encode()
+
+
+def _list(text: str) -> frozenset[bytes]:
+    return frozenset(fold(w.encode()) for w in text.split())
+
+
+def _english(verb: str) -> str:
+    stem = verb.removesuffix("e")
+    return f"{verb} {verb}{'es' if verb.endswith(('sh', 'ch')) else 's'} {stem}ed {stem}ing"
+
+
+THREAT = _list(" ".join(map(_english, "kill hurt destroy crush smash burn beat punch murder strangle shoot".split())) + """ stab stabs stabbed stabbing shot hurting
+    töten töte tötet tötest getötet umbringen umbringe umgebracht schlagen schlage schlägt geschlagen zerstören zerstöre zerstört verprügeln verprügle
+    tuer tue tues tuerai tuerons tué frapper frappe frapperai frappé détruire détruis détruirai détruit
+    matar mato mataré matamos mataremos matado golpear golpeo golpearé golpeado destruir destruyo destruiré destruido""")
+TARGET = _list("you your yours u he she they him her them his their people du dich dir ihr euch dein deine er sie tu toi vous te votre ton ta il elle ils vosotros usted ustedes tú él ella ellos su tus")
+#: Contractions are cut at their apostrophe: "can't" reads can, t.
+NEGATION = _list("not no never nobody cannot without t isn aren wasn weren don doesn didn won wouldn couldn shouldn hasn haven hadn ain nicht kein keine keinen nie niemals ohne pas jamais aucun aucune sans ne ni nunca jamás tampoco sin")
+REPORT = _list("said says say called calls wrote writes claimed quoted reported told asked shouted sagte sagt nannte schrieb behauptete dit disait écrit appelé dijo dice llamó escribió")
 INSULT_, THREAT_, TARGET_, NEGATION_, REPORT_ = 1, 2, 4, 8, 16
 CLASSES = 32
 NEGATION_REACH = 3
@@ -136,7 +159,8 @@ class Grammar:
         for i in np.flatnonzero(got < 0).tolist():
             w = found[i]
             if w not in self.cache:
-                kind = (w in THREAT) * THREAT_ + (w in TARGET) * TARGET_ + (w in NEGATION) * NEGATION_ + (w in REPORT) * REPORT_
+                plain = fold(w)
+                kind = (plain in THREAT) * THREAT_ + (plain in TARGET) * TARGET_ + (plain in NEGATION) * NEGATION_ + (plain in REPORT) * REPORT_
                 if weight := self.insult(w):
                     self.arcs[w] = weight
                     kind += INSULT_
@@ -187,33 +211,29 @@ def _sketch(found: list[bytes], n: int = 4) -> list[int]:
     return [int(((h * np.uint64(2 * 7919 * k + 1) + np.uint64(104729 * k)) & np.uint64(0xFFFFFFFF)).min()) for k in range(n)]
 
 
-def learn(rows: list[tuple[bytes, int]]) -> Grammar:
-    """A grammar from texts and labels. Near copies among the toxic texts count once, so that their other words don't pass for insults."""
-    bad: list[set[bytes]] = []
-    good: list[bytes] = []
-    seen: set[tuple[int, int]] = set()
-    for text, toxic in rows:
-        found = words(text)
-        if toxic and found:
-            marks = list(enumerate(_sketch(found)))
-            if seen.isdisjoint(marks):
-                bad.append(set(found))
-            seen.update(marks)
-        elif found:
-            good.append(text)
-
-    def parts(found: set[bytes]) -> set[bytes]:
-        """Stems, and whole words with an end mark."""
-        return {w[:n] for w in found for n in STEM_LENGTHS if n < len(w)} | {w + b"$" for w in found}
-
-    hits = Counter(p for found in bad for p in parts(found))
-    hits = {p: n for p, n in hits.items() if n >= LEAST_DOCS}
-    misses = Counter(p for text in good for p in parts(set(words(text))) if p in hits)
+def parts(found: set[bytes]) -> set[bytes]:
+    """Stems of words, and whole words with an end mark."""
+    return {w[:n] for w in found for n in STEM_LENGTHS if n < len(w)} | {w + b"$" for w in found}
+
+
+def new_ones(sketches: list[list[int]]) -> list[int]:
+    """Places of the texts, by their sketches in order, that are no near copy of an earlier one."""
+    out, seen = [], set()
+    for i, sketch in enumerate(sketches):
+        marks = list(enumerate(sketch))
+        if seen.isdisjoint(marks):
+            out.append(i)
+        seen.update(marks)
+    return out
+
+
+def insults(hits: dict[bytes, int], misses: dict[bytes, int], n_bad: int, n_good: int) -> Grammar:
+    """The insult transducer's paths. hits, misses: how many toxic and clean texts have a part, for the parts of LEAST_DOCS toxic texts and more."""
     g = Grammar()
     keep = {}
     for p, n in hits.items():
-        if n >= LEAST_SHARE * (n + misses[p]):
-            keep[p] = float(np.log((n + 0.5) / (misses[p] + 0.5)) + np.log((len(good) + 1) / (len(bad) + 1)))
+        if n >= LEAST_SHARE * (n + misses.get(p, 0)):
+            keep[p] = float(np.log((n + 0.5) / (misses.get(p, 0) + 0.5)) + np.log((n_good + 1) / (n_bad + 1)))
     #: A stem that always goes on with the same letter, or is always the whole word, says no more than what goes on.
     longer = {p[:-1] for p in keep if hits[p] == hits.get(p[:-1], 0)}
     for p, weight in keep.items():
@@ -221,13 +241,28 @@ def learn(rows: list[tuple[bytes, int]]) -> Grammar:
             g.whole[p[:-1]] = weight
         elif p not in longer and not any(p[:n] in keep and p[:n] not in longer for n in STEM_LENGTHS if n < len(p)):
             g.stems[p] = weight
-    x = np.array([np.append(g.features(t), 1.0) for t, _ in rows]).reshape(-1, FEATURES + 1)
-    y = np.array([float(toxic) for _, toxic in rows])
-    g.weights = fit(x, y)
+    return g
+
+
+def weigh(g: Grammar, x: np.ndarray, y: np.ndarray) -> Grammar:
+    """The grammar with its document model fitted to features and labels."""
+    g.weights = fit(np.column_stack([x.reshape(-1, FEATURES), np.ones(len(y))]), y)
     g.weights[-1] = min(g.weights[-1], float(np.log(MOST_UNMATCHED / (1 - MOST_UNMATCHED))))
     return g
 
 
+def learn(rows: list[tuple[bytes, int]]) -> Grammar:
+    """A grammar from texts and labels. Near copies among the toxic texts count once, so that their other words don't pass for insults."""
+    bad = [found for text, toxic in rows if toxic and (found := words(text))]
+    good = [found for text, toxic in rows if not toxic and (found := words(text))]
+    bad = [bad[i] for i in new_ones([_sketch(found) for found in bad])]
+    hits = Counter(p for found in bad for p in parts(set(found)))
+    hits = {p: n for p, n in hits.items() if n >= LEAST_DOCS}
+    misses = Counter(p for found in good for p in parts(set(found)) if p in hits)
+    g = insults(hits, misses, len(bad), len(good))
+    return weigh(g, np.array([g.features(t) for t, _ in rows]), np.array([float(toxic) for _, toxic in rows]))
+
+
 def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 30) -> np.ndarray:
     """Logistic regression by Newton's method."""
     w = np.zeros(x.shape[1])
@@ -244,16 +279,57 @@ def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 30) -> n
 
 
 def held_out(id_col: str = "doc_id") -> Column:
-    return F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2
+    """Whether a row is never learned from; false for a null id, which no label names."""
+    return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Grammar:
-    """A grammar from at most `sample` labelled rows; only those go to the driver."""
+    """A grammar, as by `learn`, from at most `sample` labelled rows: one for each of so many ids, the first by a hash of its text.
+
+    Texts stay on the executors. The driver gets four checksums of each toxic text, the counts of word parts that LEAST_DOCS toxic texts or more
+    have, and the FEATURES numbers of each row.
+    """
     own = labels.select(F.col("doc_id").alias("k"), F.col("toxic").alias("y")).filter("k is not null and y is not null").filter(~held_out("k"))
     own = own.groupBy("k").agg(F.max("y").alias("y"))
     chosen = own.orderBy(F.xxhash64("k"), "k").limit(sample)
     rows = docs.select(F.col("doc_id").alias("k"), binary_text().alias("t")).join(F.broadcast(chosen), "k")  # at most `sample` pairs of numbers
-    return learn(sorted((bytes(r.t), int(r.y > 0)) for r in rows.select("t", "y").collect()))
+    rows = rows.groupBy("k").agg(F.min(F.struct(F.xxhash64("t").alias("h"), "t")).alias("r"), F.first("y").alias("y"))
+    rows = stored(rows.select("k", F.col("r.t").alias("t"), (F.col("y") > 0).alias("y")).repartition(PARTS, "k"), "labelled")
+
+    def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [words(x.as_py()) for x in b.column("t")]
+            yield pa.RecordBatch.from_arrays([b.column("k"), b.column("y"), pa.array([_sketch(f) if f and bad else None for f, bad in zip(found, b.column("y").to_pylist(), strict=True)], pa.list_(pa.int64())), pa.array([bool(f) for f in found])], ["k", "y", "sketch", "any"])
+
+    heads = rows.mapInArrow(sketches, "k long, y boolean, sketch array<long>, any boolean").filter("any").orderBy(F.xxhash64("k"), "k").collect()
+    bad, n_good = [r for r in heads if r.y], sum(not r.y for r in heads)
+    bad = {bad[i].k for i in new_ones([r.sketch for r in bad])}
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hits, misses = Counter(), Counter()
+        for b in batches:
+            for k, y, t in zip(b.column("k").to_pylist(), b.column("y").to_pylist(), b.column("t"), strict=True):
+                if not y or k in bad:
+                    (hits if y else misses).update(parts(set(words(t.as_py()))))
+        for some, kind in ((hits, 0), (misses, 1)):
+            names = list(some)
+            for i in range(0, len(names), 10_000):
+                now = names[i : i + 10_000]
+                n = pa.array([some[p] for p in now], pa.int64())
+                zero = pa.array([0] * len(now), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(now, pa.binary()), *((zero, n) if kind else (n, zero))], ["p", "hits", "misses"])
+
+    known = rows.mapInArrow(tidied(counted), "p binary, hits long, misses long").groupBy("p").agg(F.sum("hits").alias("hits"), F.sum("misses").alias("misses"))
+    known = known.filter(F.col("hits") >= LEAST_DOCS).collect()
+    g = insults({bytes(r.p): r.hits for r in known}, {bytes(r.p): r.misses for r in known}, len(bad), n_good)
+
+    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = np.array([g.features(t.as_py()) for t in b.column("t")], np.float64).reshape(-1, FEATURES)
+            yield pa.RecordBatch.from_arrays([b.column("k"), b.column("y"), pa.array(x.tolist(), pa.list_(pa.float64()))], ["k", "y", "x"])
+
+    rows = sorted(rows.mapInArrow(features, "k long, y boolean, x array<double>").collect(), key=lambda r: r.k)
+    return weigh(g, np.array([r.x for r in rows], np.float64), np.array([float(r.y) for r in rows]))
 
 
 def score(docs: DataFrame, grammar: Grammar, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -264,7 +340,7 @@ def score(docs: DataFrame, grammar: Grammar, id_col: str = "doc_id", text_col: s
             s = np.array([grammar.score(x.as_py()) for x in batch.column("body")], np.float64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(s), pa.array((s >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), binary_text(text_col).alias("body")).mapInArrow(run, "doc_id long, score double, predicted int")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), binary_text(text_col).alias("body")).mapInArrow(tidied(run), "doc_id long, score double, predicted int")
 
 
 def drop_toxic(docs: DataFrame, grammar: Grammar, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -274,7 +350,7 @@ def drop_toxic(docs: DataFrame, grammar: Grammar, text_col: str = "text", thresh
         for batch in batches:
             yield batch.filter(pa.array([grammar.score((x.as_py() or "").encode()) < threshold for x in batch.column(text_col)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidied(run), docs.schema)
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
