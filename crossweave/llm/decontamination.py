@@ -5,7 +5,7 @@ runs of such words that are long enough to hold a test phrase are indexed (words
 - 10 consecutive words of an item, or the whole of a shorter one - are searched backwards by wavelet-tree ranks, occurrences are located by
 sampled suffix positions, and the spans of each document are merged.
 
-The benchmark goes to the executors in parts of at most ITEM_BYTES of text; a larger one takes several passes, which add up.
+The benchmark goes to the executors in parts of at most ITEM_WORDS words (or one item); a larger one takes several passes, which add up.
 
 Null or empty texts have no words; an item without words has no phrase; an item with a null id counts as an item named by the empty string.
 Equal rows, of documents or items, give equal results; items that share an id count once. Empty tables give empty or clean results. Other
@@ -24,34 +24,59 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crossweave.llm.common import binary_text, stored, words
+from crossweave.llm.common import binary_text, stored, tidied, words
 from crossweave.llm.fm_index import FMIndex
 
 WINDOW = 10
 SHARD_WORDS = 1_000_000
-ITEM_BYTES = 32 << 20
+ITEM_WORDS = 1_000_000
 HITS = "struct<n_words:long,spans:array<struct<start:int,stop:int>>,items:array<string>>"
 _WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 
 
 class Phrases:
-    """The test phrases of some items."""
+    """The test phrases of some items, as arrays. A pickled one has the items' words only, four bytes each."""
 
     def __init__(self, items: list[tuple[str, bytes]], window: int = WINDOW):
-        self.vocabulary: dict[bytes, int] = {}
-        found: dict[tuple[int, ...], set[str]] = {}
+        vocabulary: dict[bytes, int] = {}
+        self.names = sorted({name for name, _ in items})
+        index = {name: i for i, name in enumerate(self.names)}
+        held = []
         for name, text in items:
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words(text)]
-            for i in range(max(1, len(ids) - window + 1) if ids else 0):
-                found.setdefault(tuple(ids[i : i + window]), set()).add(name)
-        self.least = min(map(len, found), default=0)
-        self.groups = []  # by length: the phrases as an array, and the items of each
-        for n in sorted({len(p) for p in found}):
-            some = sorted(p for p in found if len(p) == n)
-            self.groups.append((np.array(some, np.int64), [sorted(found[p]) for p in some]))
-
-    def search(self, ids: np.ndarray) -> Iterator[tuple[np.ndarray, int, list[list[str]], np.ndarray]]:
-        """For each length of phrase: starts of occurrences in ids (0: no benchmark word), the length, items by phrase, phrase of each start."""
+            if ws := words(text):
+                held.append((index[name], np.fromiter((vocabulary.setdefault(w, len(vocabulary) + 1) for w in ws), np.int32, len(ws))))
+        self.window, self.vocabulary = window, vocabulary
+        self.item = np.array([i for i, _ in held], np.int32)
+        self.size = np.array([len(x) for _, x in held], np.int64)
+        self.flat = np.concatenate([np.empty(0, np.int32), *(x for _, x in held)])
+        self._index()
+
+    def _index(self) -> None:
+        begin = np.cumsum(self.size) - self.size
+        many = np.maximum(self.size - self.window + 1, 1)  # phrases of each item
+        upto = np.cumsum(many)
+        start = np.repeat(begin - (upto - many), many) + np.arange(many.sum())
+        length, item = np.repeat(np.minimum(self.size, self.window), many), np.repeat(self.item, many)
+        self.least = int(length.min(initial=self.window))
+        self.groups = []  # by length: the phrases, and the items of each, as items from `first` of a phrase to that of the next
+        for n in np.unique(length).tolist():
+            some = length == n
+            rows = self.flat[start[some][:, None] + np.arange(n)]
+            order = np.lexsort((item[some], *rows.T[::-1]))
+            rows, items = rows[order], item[some][order]
+            new = np.concatenate([[True], (rows[1:] != rows[:-1]).any(axis=1)])
+            keep = new | np.concatenate([[True], items[1:] != items[:-1]])
+            self.groups.append((rows[new], np.append(np.flatnonzero(new[keep]), int(keep.sum())), items[keep]))
+
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k not in ("groups", "least")}
+
+    def __setstate__(self, state):
+        self.__dict__.update(state)
+        self._index()
+
+    def search(self, ids: np.ndarray) -> Iterator[tuple[np.ndarray, int, np.ndarray, np.ndarray, np.ndarray]]:
+        """For each length of phrase: starts of occurrences in ids (0: no benchmark word), the length, the phrase of each start, and the items of phrases as `groups` has them."""
         if not self.groups or not len(ids):
             return
         edge = np.flatnonzero(np.diff(np.concatenate([[0], (ids > 0).view(np.int8), [0]])))
@@ -62,11 +87,11 @@ class Phrases:
         starts = np.cumsum(size) - size
         origin = np.repeat(first - starts, size) + np.arange(size.sum())
         index = FMIndex(ids[origin], starts, len(self.vocabulary))
-        for patterns, items in self.groups:
+        for patterns, firsts, items in self.groups:
             which, lo, hi = index.ranges(patterns)
             many = hi - lo
             rows = np.repeat(lo - (np.cumsum(many) - many), many) + np.arange(many.sum())
-            yield origin[index.locate(rows)], patterns.shape[1], items, np.repeat(which, many)
+            yield origin[index.locate(rows)], patterns.shape[1], np.repeat(which, many), firsts, items
 
 
 def scan(texts: list[bytes], phrases: Phrases, shard_words: int = SHARD_WORDS) -> Iterator[tuple[int, list[tuple[int, int]], list[str]]]:
@@ -79,18 +104,18 @@ def scan(texts: list[bytes], phrases: Phrases, shard_words: int = SHARD_WORDS) -
         begins = np.cumsum(sizes + 1) - sizes - 1
         ids = np.concatenate([np.append(x, 0) for x in held]) if held else np.empty(0, np.int64)
         change = np.zeros(len(ids) + 1, np.int32)
-        items: dict[int, set[str]] = {}
-        for at, length, names, phrase in phrases.search(ids):
+        found: dict[int, set[int]] = {}
+        for at, length, phrase, firsts, items in phrases.search(ids):
             np.add.at(change, at, 1)
             np.add.at(change, at + length, -1)
             docs = np.searchsorted(begins, at, side="right") - 1
             for d, p in np.unique(np.stack([docs, phrase]), axis=1).T.tolist():
-                items.setdefault(d, set()).update(names[p])
+                found.setdefault(d, set()).update(items[firsts[p] : firsts[p + 1]].tolist())
         hit = np.cumsum(change)[:-1] > 0
         for d, (b, n) in enumerate(zip(begins.tolist(), sizes.tolist(), strict=True)):
-            if d in items:
+            if d in found:
                 edge = np.flatnonzero(np.diff(np.concatenate([[0], hit[b : b + n].view(np.int8), [0]]))).tolist()
-                yield n, list(zip(edge[::2], edge[1::2], strict=True)), sorted(items[d])
+                yield n, list(zip(edge[::2], edge[1::2], strict=True)), [phrases.names[i] for i in sorted(found[d])]
             else:
                 yield n, [], []
         held.clear()
@@ -126,24 +151,25 @@ def cut_spans(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"\n".join(x for x in [*out, text[last:].strip()] if x)
 
 
-def batched_items(items: DataFrame, id_col: str = "item_id", text_col: str = "text", most: int = ITEM_BYTES) -> Iterator[list[tuple[str, bytes]]]:
-    """The items in parts of about `most` bytes of text, read one partition at a time."""
+def batched_items(items: DataFrame, id_col: str = "item_id", text_col: str = "text", most: int = ITEM_WORDS) -> Iterator[list[tuple[str, bytes]]]:
+    """The items in parts of at most `most` words, or one item, read one partition at a time."""
     part, size = [], 0
     for r in items.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("i"), binary_text(text_col).alias("t")).toLocalIterator():
-        if part and size + len(r.t) > most:
+        n = len(words(r.t))
+        if part and size + n > most:
             yield part
             part, size = [], 0
         part.append((r.i, bytes(r.t)))
-        size += len(r.t)
+        size += n
     yield part
 
 
-def find(docs: DataFrame, items: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), most: int = ITEM_BYTES) -> DataFrame:
+def find(docs: DataFrame, items: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), most: int = ITEM_WORDS) -> DataFrame:
     """The columns `keep` and `hits`: n_words, spans of hit words [start, stop), items found."""
     df = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), binary_text(text_col).alias("body"), F.lit(None).cast(HITS).alias("hits"))
     schema = df.schema
     for part in batched_items(items, most=most):
-        df = df.mapInArrow(_finder(Phrases(part)), schema)
+        df = df.mapInArrow(tidied(_finder(Phrases(part))), schema)
     return df.select("row.*", "hits")
 
 
@@ -162,7 +188,7 @@ def _finder(phrases: Phrases) -> Callable:
     return run
 
 
-def remove_spans(docs: DataFrame, items: DataFrame, text_col: str = "text", chars_col: str = "n_chars", most: int = ITEM_BYTES) -> DataFrame:
+def remove_spans(docs: DataFrame, items: DataFrame, text_col: str = "text", chars_col: str = "n_chars", most: int = ITEM_WORDS) -> DataFrame:
     """docs with the spans cut from their texts (and the count of characters, where there is such a column, set anew); all columns stay.
 
     A text is searched again after a cut, until nothing is found: what a cut brings together may match. A document left without words goes. Items of
@@ -208,7 +234,7 @@ def remove_spans(docs: DataFrame, items: DataFrame, text_col: str = "text", char
     parts = batched_items(items, most=most)
     first = next(parts)
     if next(parts, None) is None:
-        return docs.mapInArrow(cutter(Phrases(first)), schema)
+        return docs.mapInArrow(tidied(cutter(Phrases(first))), schema)
     clean, todo = [], docs
     while True:
         whole = todo.select(F.struct(*[F.col(f"`{c}`") for c in schema.names]).alias("doc"), F.col(text_col).alias("text"))

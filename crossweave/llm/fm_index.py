@@ -104,7 +104,7 @@ class FMIndex:
         which = np.arange(len(patterns))
         lo, hi = np.zeros(len(patterns), np.int64), np.full(len(patterns), self.n, np.int64)
         for j in reversed(range(patterns.shape[1])):
-            c = patterns[which, j]
+            c = patterns[which, j].astype(np.int64)
             lo, hi = self.start[c] + self.wavelet.rank(c, lo), self.start[c] + self.wavelet.rank(c, hi)
             some = lo < hi
             which, lo, hi = which[some], lo[some], hi[some]
