@@ -6,6 +6,8 @@ objects the last counts. Values stay strings until they are cast, so that one od
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -26,11 +28,15 @@ def answer(content: Column) -> Column:
     return F.trim(F.substring_index(content, "</think>", -1), F.lit(" \n\t\r"))
 
 
+def _once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with the value computed once: what from_json reads is not compiled, and shares no expressions."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def object_text(content: Column) -> Column:
     """The JSON object of a reply, '{}' where there is none; trailing commas removed."""
     said = answer(F.coalesce(content, F.lit("")))
-    fenced = F.regexp_extract(said, _FENCE, 1)
-    body = F.when(fenced != "", fenced).otherwise(said)
+    body = _once(said, lambda s: _once(F.regexp_extract(s, _FENCE, 1), lambda f: F.when(f != "", f).otherwise(s)))
     found = F.regexp_extract_all(body, F.lit(_OBJECT), F.lit(0))
     return F.regexp_replace(F.coalesce(F.try_element_at(found, F.lit(-1)), F.lit("{}")), r",\s*\}", "}")
 

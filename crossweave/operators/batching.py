@@ -48,10 +48,18 @@ def build_turns(df: DataFrame, keys: list[str], n: int, strategy: str, seed: str
     return snake(df, keys, n) if strategy == "confidence" and scored else random_turns(df, keys, n, seed)
 
 
-def within_budget(df: DataFrame, keys: list[str], length: str, budget: Column, order: list) -> DataFrame:
-    """Items while what stands before them is below the budget; the one that crosses it stays."""
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return df.withColumn("before", F.coalesce(F.sum(length).over(w), F.lit(0))).filter(F.col("before") < budget)
+def within_budget(df: DataFrame, keys: list[str], length: str, budget: Column, order: list, parts: int = 64) -> DataFrame:
+    """Items while what stands before them is below the budget; the one that crosses it stays. order: columns; lengths are not negative.
+
+    A key may hold most rows, so each part of its rows is cut at the budget first. That loses nothing: what stands before a row that is cut there fills the
+    budget by itself, and stays.
+    """
+    def cut(rows: DataFrame, *by: str) -> DataFrame:
+        w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        return rows.withColumn("before", F.coalesce(F.sum(length).over(w), F.lit(0))).filter(F.col("before") < budget)
+
+    some = cut(df.withColumn("_part", F.pmod(F.xxhash64(*order), F.lit(parts))), *keys, "_part").drop("_part")
+    return cut(some, *keys)
 
 
 def turns_at(epoch: Column, most: int, schedule: str) -> Column:
