@@ -106,6 +106,8 @@ def components(edges: DataFrame) -> DataFrame:
     rounds at most, whatever its shape; pointers are followed in steps that double. Links and labels never leave the executors.
     """
     links = stored(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct(), "links")
+    if not links.counted["rows"]:
+        return links.select(F.col("a").alias("id"), F.col("b").alias("root"))
     names: DataFrame | None = None
     while True:
         hooks = _ends(stored(links.groupBy("a").agg(F.least("a", F.min("b")).alias("up")).withColumnRenamed("a", "id"), "hooks"))

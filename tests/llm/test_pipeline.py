@@ -3,8 +3,8 @@
 import pytest
 
 import corpus_pipeline as cp
-from crossweave.llm import packing, toxicity
-from tests.llm.test_dedup_and_shards import brute_components, brute_fingerprint
+from crossweave.llm import tokens, toxicity
+from tests.llm.test_near_texts import brute_kept
 from tests.llm.test_texts import brute_decontaminate
 
 SF = "/root/testdata/sf0.001"
@@ -26,8 +26,7 @@ def test_stages_match_brute_force(spark):
             want = {d: t for d, t in want.items() if last[t] == d}
         elif k == 2:
             ids = list(want)
-            roots = brute_components(ids, [brute_fingerprint(want[d]) for d in ids])
-            want = {d: want[d] for d, r in zip(ids, roots, strict=True) if d == r}
+            want = {d: want[d] for d in brute_kept(ids, [want[d] for d in ids])}
         got = {r.doc_id: r.text for r in docs.collect()}
         if k < 3:
             assert got == want, name
@@ -38,8 +37,9 @@ def test_stages_match_brute_force(spark):
             assert all(r.n_chars == len(r.text) for r in docs.collect() if r.doc_id in hit)
             want = got
     pieces = cp.packing(spark, docs, SF).collect()
+    tokenizer = tokens.word_ids(tokens.default_path()).tokenizer
     for d, t in want.items():
-        assert sum(p.n_tokens for p in pieces if p.doc_id == d) == -(-len(t.encode()) // packing.BYTES_PER_TOKEN) + 1
+        assert sum(p.n_tokens for p in pieces if p.doc_id == d) == len(tokenizer.encode(t, add_special_tokens=False).ids) + 1
     assert {p.doc_id for p in pieces} == set(want)
 
 
