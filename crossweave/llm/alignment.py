@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import zlib
 from collections.abc import Iterator
 from functools import cache
 from itertools import chain
@@ -44,7 +45,7 @@ _SPLITS[[*range(0x80, 0x8B), 0x9F, 0xA0, 0xA8, 0xA9, 0xAF]] = False
 _COUNTS = ("n_a", "n_b", "n_groups", "n_links")
 BLOCKS = (
     "block long, doc_id array<long>, n_a array<long>, n_b array<long>, n_groups array<long>, n_links array<long>, groups array<string>, "
-    "first array<int>, chunks binary, bounds binary, slots binary, pairs array<long>, counts array<long>"
+    "first array<int>, chunks binary, links binary, slots binary, pairs array<long>, counts array<long>"
 )
 
 
@@ -137,6 +138,16 @@ def _per(bounds_: np.ndarray, values: np.ndarray) -> np.ndarray:
     return upto[1:] - upto[:-1]
 
 
+def _packed(values: np.ndarray) -> bytes:
+    """Numbers from 0 up in as few bytes as they need."""
+    kind = np.min_scalar_type(int(values.max(initial=0)))
+    return kind.char.encode() + zlib.compress(values.astype(kind).tobytes(), 1)
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(data[1:]), np.dtype(data[:1].decode()))
+
+
 def split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """A space and each text, for texts without nulls or empties, as chunks; and where each text's chunks begin, the end of the last besides."""
     spaced = pc.binary_join_element_wise(pa.scalar("", texts.type), texts, pa.scalar(" ", texts.type)).cast(pa.large_string())
@@ -219,11 +230,9 @@ def _block(number: int, ids: pa.Array, texts: pa.Array, a: ByteLevel, b: Pieces,
     used = np.repeat(times > 0, found.n_links)
     pairs, slots = np.unique(found.pairs[used], return_inverse=True)
     link_counts = np.bincount(slots, weights=np.repeat(times, found.n_links)[used], minlength=len(pairs)).astype(np.int64)
-    where = np.concatenate([[0], np.cumsum(np.where(times > 0, found.n_links, 0))])
     return {
         "block": number, "doc_id": ids, **counts, "groups": groups, "first": np.concatenate([[0], np.cumsum(n)]).astype(np.int32),
-        "chunks": each.astype(np.uint16 if len(times) <= 1 << 16 else np.uint32).tobytes(), "bounds": where.astype(np.int64).tobytes(),
-        "slots": slots.astype(np.int32).tobytes(), "pairs": pairs, "counts": link_counts,
+        "chunks": _packed(each), "links": _packed(np.where(times > 0, found.n_links, 0)), "slots": _packed(slots), "pairs": pairs, "counts": link_counts,
     }
 
 
@@ -232,7 +241,7 @@ def aligned_blocks(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (a, b), part, n = tokenizers(path_a, path_b), TaskContext.get().partitionId(), 0
-        kinds = {"block": pa.int64(), "groups": pa.list_(pa.string()), "first": pa.list_(pa.int32()), **dict.fromkeys(("chunks", "bounds", "slots"), pa.binary())}
+        kinds = {"block": pa.int64(), "groups": pa.list_(pa.string()), "first": pa.list_(pa.int32()), **dict.fromkeys(("chunks", "links", "slots"), pa.binary())}
         for batch in batches:
             for i, k in bounds(batch.column("body"), most):
                 row = _block(part << 32 | n, batch.column("id").slice(i, k), batch.column("body").slice(i, k), a, b, whole_groups)
@@ -268,8 +277,8 @@ def align(docs: DataFrame, path_a: str | None = None, path_b: str | None = None,
             for i in range(batch.num_rows):
                 row = {c: batch.column(c)[i] for c in batch.schema.names}
                 first = row["first"].values.to_numpy()
-                chunks, links, slots = row["chunks"].as_py(), np.frombuffer(row["bounds"].as_py(), np.int64), np.frombuffer(row["slots"].as_py(), np.int32)
-                chunks = np.frombuffer(chunks, np.uint16 if len(chunks) == 2 * first[-1] else np.uint32)
+                chunks, links, slots = (_unpacked(row[c].as_py()) for c in ("chunks", "links", "slots"))
+                links = np.concatenate([[0], np.cumsum(links, dtype=np.int64)])
                 total, best = np.zeros(len(slots), np.int64), np.zeros(len(slots), np.int64)
                 if (x := row["told"].values) is not None:
                     slot = x.field("slot").to_numpy()
