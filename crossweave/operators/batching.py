@@ -19,8 +19,9 @@ def fixed(df: DataFrame, keys: list[str], n: int, order: list) -> DataFrame:
     return df.withColumn("_at", at).withColumns({"batch_id": F.floor(F.col("_at") / n).cast("int"), "pos": (F.col("_at") % n).cast("int")}).drop("_at")
 
 
-def random_turns(df: DataFrame, keys: list[str], n: int, seed: str, item: str = "pid", order: str = "ord") -> DataFrame:
-    return fixed(df, keys, n, [shuffle_key(seed, *keys, item), F.col(order)])
+def random_turns(df: DataFrame, keys: list[str], n: int, seed: str, item: str | list[str] = "pid", order: str = "ord") -> DataFrame:
+    """item: what tells the rows of a key apart."""
+    return fixed(df, keys, n, [shuffle_key(seed, *keys, *([item] if isinstance(item, str) else item)), F.col(order)])
 
 
 def snake(df: DataFrame, keys: list[str], n: int, pred: str = "pred", order: str = "ord") -> DataFrame:
@@ -41,19 +42,21 @@ def snake(df: DataFrame, keys: list[str], n: int, pred: str = "pred", order: str
     return out.withColumn("pos", F.when(r < F.ceil(m / 2), 2 * r).otherwise(2 * (m - 1 - r) + 1).cast("int")).drop("_i", "_n", "_b", "_cycle", "_at")
 
 
-def build_turns(df: DataFrame, keys: list[str], n: int, strategy: str, seed: str, scored: bool) -> DataFrame:
+def build_turns(df: DataFrame, keys: list[str], n: int, strategy: str, seed: str, scored: bool, item: str | list[str] = "pid") -> DataFrame:
     """strategy: random, or confidence, which needs scores."""
     if strategy not in ("random", "confidence"):
         raise ValueError(f"unknown strategy {strategy}")
-    return snake(df, keys, n) if strategy == "confidence" and scored else random_turns(df, keys, n, seed)
+    return snake(df, keys, n) if strategy == "confidence" and scored else random_turns(df, keys, n, seed, item)
 
 
-def within_budget(df: DataFrame, keys: list[str], length: str, budget: Column, order: list, parts: int = 64) -> DataFrame:
+def within_budget(df: DataFrame, keys: list[str], length: str, budget: Column, order: list, parts: int | None = None) -> DataFrame:
     """Items while what stands before them is below the budget; the one that crosses it stays. order: columns; lengths are not negative.
 
-    A key may hold most rows, so each part of its rows is cut at the budget first. That loses nothing: what stands before a row that is cut there fills the
+    A key may hold most rows, so each part of its rows, of as many parts as a shuffle has partitions, is cut at the budget first. That loses nothing: what stands before a row that is cut there fills the
     budget by itself, and stays.
     """
+    parts = parts or max(64, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
     def cut(rows: DataFrame, *by: str) -> DataFrame:
         w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
         return rows.withColumn("before", F.coalesce(F.sum(length).over(w), F.lit(0))).filter(F.col("before") < budget)

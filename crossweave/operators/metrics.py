@@ -39,3 +39,17 @@ def minmax(df: DataFrame, value: str, keys: list[str], low: float = 0.0, high: f
     w = Window.partitionBy(*keys)
     a, b = F.min(value).over(w), F.max(value).over(w)
     return df.withColumn(out, F.when(a == b, F.lit((low + high) / 2)).otherwise(F.lit(low) + (F.col(value) - a) / (b - a) * (high - low)))
+
+
+def stopping(log: DataFrame, runs: list[str], step: str, metric: str, patience: int = 3, threshold: float = 0.0) -> DataFrame:
+    """Evaluations of each run up to the one after which it stops: better (than all before by more than the threshold), waited (evaluations since the last better one), is_best (the run's checkpoint),
+    stopped (the run ends here). A run stops once it has waited for `patience` evaluations. Equal metrics are not better; evaluations without a metric take no part.
+    """
+    w = Window.partitionBy(*runs).orderBy(step)
+    before = F.max(metric).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    out = log.filter(F.col(metric).isNotNull()).withColumns({"_n": F.row_number().over(w), "better": before.isNull() | (F.col(metric) - before > threshold)})
+    out = out.withColumn("waited", F.col("_n") - F.max(F.when(F.col("better"), F.col("_n"))).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    all_ = Window.partitionBy(*runs)
+    out = out.withColumn("_stop", F.min(F.when(F.col("waited") >= patience, F.col("_n"))).over(all_)).filter(F.col("_stop").isNull() | (F.col("_n") <= F.col("_stop")))
+    best = F.max(F.when(F.col("better"), F.col("_n"))).over(all_)
+    return out.withColumns({"is_best": F.col("_n") == best, "stopped": F.coalesce(F.col("_n") == F.col("_stop"), F.lit(False))}).drop("_n", "_stop")

@@ -94,6 +94,12 @@ def prompt_batches(batches: Column) -> Column:
     return F.array_join(F.transform(batches, one), "\n")
 
 
+def chat_context(name: Column, inner: Column, outer: Column, sim: Column) -> Column:
+    """What the first turn opens with: the name, both profiles, none for one that is missing, and their similarity."""
+    part = lambda items: F.when(F.size(items) > 0, F.array_join(items, "\n")).otherwise("none")
+    return F.concat(F.lit("Name: "), name, F.lit("\nInternal profile:\n"), part(inner), F.lit("\nExternal profile:\n"), part(outer), F.lit("\n"), similarity_line(sim))
+
+
 def chat(system: Column, context: Column, items: Column) -> Column:
     """Messages: system, then a user turn and an empty assistant turn for each item; the first user turn opens with the context."""
     said = lambda role, text: F.struct(F.lit(role).alias("role"), text.alias("content"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from crossweave.config import EngineConfig
 from crossweave.functions import replies, text
-from crossweave.operators import batching, labels, metrics, objective, profiles, refine, render, scorer
+from crossweave.operators import batching, labels, lengths, metrics, objective, ordering, profiles, refine, render, scorer, vectors
 from crossweave.plans import pipeline
 from crossweave.plans import proxies as px
 from crossweave.plans.proxies import INNER, OUTER, SCORED, TIED, table
@@ -282,12 +282,25 @@ def token_budget_prefix(spark, d):
     return batching.within_budget(docs, ["source"], "n_chars", F.lit(20000), [F.col("doc_id")]).select("source", "doc_id", "before")
 
 
-@query("""SELECT CAST(epoch AS INT) AS epoch, schedule, CAST(CASE WHEN schedule = 'exponential' THEN least(power(4, epoch), 10) ELSE least(epoch + 1, 10) END AS INT) AS num_turn
-FROM range(0, 8) t(epoch), (VALUES ('exponential'), ('linear')) s(schedule)""")
+@query("""WITH x AS (SELECT event_id, date_diff('day', (SELECT min(CAST(ts AS DATE)) FROM events), CAST(ts AS DATE)) AS epoch FROM events)
+SELECT event_id, CAST(epoch AS INT) AS epoch, CAST(least(power(4, epoch), 10) AS INT) AS exponential, CAST(least(epoch + 1, 10) AS INT) AS linear FROM x""")
 def curriculum_num_turn(spark, d):
-    e = spark.range(8).select(F.col("id").cast("int").alias("epoch"))
-    both = [e.select("epoch", F.lit(s).alias("schedule"), batching.turns_at(F.col("epoch"), 10, s).alias("num_turn")) for s in ("exponential", "linear")]
-    return both[0].union(both[1])
+    """Each day is an epoch."""
+    e = table(spark, d, "events").select("event_id", F.to_date("ts").alias("day"))
+    first = e.agg(F.min("day")).scalar()
+    e = e.select("event_id", F.datediff("day", first).alias("epoch"))
+    return e.select("event_id", "epoch", *[batching.turns_at(F.col("epoch"), 10, k).alias(k) for k in ("exponential", "linear")])
+
+
+@query(f"""WITH {SCORED}, r AS (SELECT *, unnest([0, 1, 2]) AS epoch FROM scored),
+t AS (SELECT *, CAST(least(power(4, epoch), 10) AS INT) AS turns, row_number() OVER (PARTITION BY epoch, aid1 ORDER BY md5(concat(42 + epoch, '-', aid1, '-', pid)), ord) - 1 AS i FROM r),
+b AS (SELECT epoch, aid1, pid, CAST(i // turns AS INT) AS batch_id, CAST(i % turns AS INT) AS pos FROM t), u AS (SELECT DISTINCT epoch, aid1, batch_id FROM b),
+v AS (SELECT *, CAST((row_number() OVER (PARTITION BY epoch ORDER BY md5(concat(42 + epoch, '-', aid1, '-', batch_id)), aid1, batch_id) - 1) // 8 AS INT) AS step FROM u)
+SELECT epoch, aid1, pid, batch_id, pos, step FROM b JOIN v USING (epoch, aid1, batch_id) WHERE step < 20""")
+def curriculum_epochs(spark, d):
+    """Three epochs of growing batches, each in an order of its own and cut after 20 steps of eight batches."""
+    out = ordering.curriculum(px.scored(spark, d), 3, ["aid1"], 10, "exponential", 42, 8, 20)
+    return out.select("epoch", "aid1", "pid", "batch_id", "pos", "step")
 
 
 @query("""WITH x AS (SELECT conv_id, turn, list_transform(range(0, length(text) % 7 + 1), lambda i: CAST(i AS INT)) AS ids FROM conversations), y AS (SELECT *, max(len(ids)) OVER (PARTITION BY conv_id) AS m FROM x)
@@ -334,26 +347,26 @@ def render_paper(spark, d):
 
 
 def _picked(name: str, source: str, k: int) -> str:
-    """SQL for `_sampled`: the titles of at most k papers of each profile, and the mean size of these papers over 50, as a similarity."""
+    """SQL for `_sampled`: the titles of at most k papers of each profile, and the mean size of these papers over 50.3, as a similarity that two decimals don't hold."""
     shuffled = f"SELECT *, row_number() OVER (PARTITION BY aid ORDER BY md5(concat('42-', aid, '-', pid)), ord) AS nth FROM {source}"
-    return f"{name} AS (SELECT aid, list(title ORDER BY nth) AS t, avg(p_size) / 50 AS sim FROM ({shuffled}) JOIN papers USING (pid) WHERE nth <= {k} GROUP BY aid)"
+    return f"{name} AS (SELECT aid, list(title ORDER BY nth) AS t, avg(p_size) / 50.3 AS sim FROM ({shuffled}) JOIN papers USING (pid) WHERE nth <= {k} GROUP BY aid)"
 
 
 def _dealt(name: str, source: str, n: int) -> str:
     """SQL for `_batches`: the titles of all papers of each profile, dealt to batches of n at random."""
     shuffled = f"SELECT *, row_number() OVER (PARTITION BY aid ORDER BY md5(concat('42-', aid, '-', pid)), ord) - 1 AS i FROM {source}"
-    return f"{name} AS (SELECT aid, CAST(i // {n} AS INT) AS batch_id, list(title ORDER BY i) AS b, list(p_size / 50.0::DOUBLE ORDER BY i) AS s FROM ({shuffled}) JOIN papers USING (pid) GROUP BY 1, 2)"
+    return f"{name} AS (SELECT aid, CAST(i // {n} AS INT) AS batch_id, list(title ORDER BY i) AS b, list(p_size / 50.3::DOUBLE ORDER BY i) AS s FROM ({shuffled}) JOIN papers USING (pid) GROUP BY 1, 2)"
 
 
 def _sampled(spark, d, status, k):
     rows = profiles.sample(px.assignments(spark, d, status), k, "42").join(_papers(spark, d), "pid")
-    rows = rows.groupBy("aid").agg(F.array_sort(F.collect_list(F.struct("nth", "title"))).alias("x"), (F.avg("p_size") / 50).alias("sim"))
+    rows = rows.groupBy("aid").agg(F.array_sort(F.collect_list(F.struct("nth", "title"))).alias("x"), (F.avg("p_size") / 50.3).alias("sim"))
     return rows.select("aid", F.col("x.title").alias("t"), "sim")
 
 
 def _batches(spark, d, n):
     rows = batching.random_turns(px.assignments(spark, d, "O"), ["aid"], n, "42").join(_papers(spark, d), "pid")
-    rows = rows.groupBy("aid", "batch_id").agg(F.array_sort(F.collect_list(F.struct("pos", "title", (F.col("p_size") / 50).alias("s")))).alias("x"))
+    rows = rows.groupBy("aid", "batch_id").agg(F.array_sort(F.collect_list(F.struct("pos", "title", (F.col("p_size") / 50.3).alias("s")))).alias("x"))
     return rows.select("aid", "batch_id", F.col("x.title").alias("b"), F.col("x.s").alias("s"))
 
 
@@ -362,29 +375,40 @@ _NUMBERED = "list_transform(b, lambda x, k: CAST(k - 1 AS VARCHAR) || ': ' || x)
 
 @query(f"""WITH {INNER}, {OUTER}, {_PAPERS}, {_picked("i", "inn", 20)}, {_picked("o", "outr", 20)}, {_dealt("dealt", "inn", 20)}
 SELECT aid, batch_id, 'Name: ' || aid || chr(10) || 'Internal profile: ' || array_to_string(i.t, '; ') || chr(10) || 'External profile: ' || array_to_string(o.t, '; ') || chr(10) || 'Profile similarity: ' ||
-CASE WHEN i.sim > 0.5 THEN printf('%.2f', round(o.sim * 4) / 4) ELSE 'unknown' END || chr(10) || 'Targets: ' || array_to_string({_NUMBERED}, '; ') AS prompt FROM dealt JOIN i USING (aid) JOIN o USING (aid)""")
+CASE WHEN i.sim > 0.5 THEN printf('%.2f', o.sim) ELSE 'unknown' END || chr(10) || 'Targets: ' || array_to_string({_NUMBERED}, '; ') AS prompt FROM dealt JOIN i USING (aid) JOIN o USING (aid)""")
 def prompt_two_source(spark, d):
     """All targets in batches, each with a sample of both profiles; some pairs have no similarity."""
-    outer = _sampled(spark, d, "F", 20).select("aid", F.col("t").alias("outer"), (F.round(F.col("sim") * 4) / 4).alias("outer_sim"))
+    outer = _sampled(spark, d, "F", 20).select("aid", F.col("t").alias("outer"), F.col("sim").alias("outer_sim"))
     both = _batches(spark, d, 20).join(_sampled(spark, d, "O", 20), "aid").join(outer, "aid")
     sim = F.when(F.col("sim") > 0.5, F.col("outer_sim"))
     return both.select("aid", "batch_id", render.prompt_two_sources(F.col("aid"), F.col("t"), F.col("outer"), sim, F.col("b")).alias("prompt"))
 
 
-@query("""WITH c AS (SELECT conv_id, list(text ORDER BY turn) AS t FROM conversations GROUP BY conv_id)
+@query("""WITH c AS (SELECT conv_id, list(text ORDER BY turn) AS t, list(role ORDER BY turn) AS r FROM conversations GROUP BY conv_id),
+o AS (SELECT *, 'Name: C' || conv_id || chr(10) || 'Internal profile:' || chr(10) || array_to_string(r, chr(10)) || chr(10) || 'External profile:' || chr(10) || 'none' || chr(10) || 'Profile similarity: ' ||
+    CASE WHEN conv_id % 3 = 0 THEN 'unknown' ELSE printf('%.2f', len(t) / 7.3) END AS opening FROM c)
 SELECT conv_id, CAST(i AS INT) AS pos, CASE WHEN i = 0 THEN 'system' WHEN i % 2 = 1 THEN 'user' ELSE 'assistant' END AS role,
-CASE WHEN i = 0 THEN 'Judge each item.' WHEN i = 1 THEN 'Conversation' || chr(10) || t[1] WHEN i % 2 = 1 THEN t[(i + 1) // 2] ELSE '' END AS content
-FROM (SELECT conv_id, t, unnest(range(0, 2 * len(t) + 1)) AS i FROM c)""")
+CASE WHEN i = 0 THEN 'Judge each item.' WHEN i = 1 THEN opening || chr(10) || t[1] WHEN i % 2 = 1 THEN t[(i + 1) // 2] ELSE '' END AS content
+FROM (SELECT conv_id, t, opening, unnest(range(0, 2 * len(t) + 1)) AS i FROM o)""")
 def chat_transcript(spark, d):
-    c = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("t"))
-    return c.select("conv_id", F.posexplode(render.chat(F.lit("Judge each item."), F.lit("Conversation"), F.col("t.text"))).alias("pos", "m")).select("conv_id", "pos", "m.role", "m.content")
+    """The first turn opens with both profiles and their similarity, rounded; some have none."""
+    c = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text", "role"))).alias("t"))
+    sim = F.when(F.col("conv_id") % 3 != 0, F.size("t") / 7.3)
+    opening = render.chat_context(F.concat(F.lit("C"), F.col("conv_id").cast("string")), F.col("t.role"), F.lit(None).cast("array<string>"), sim)
+    return c.select("conv_id", F.posexplode(render.chat(F.lit("Judge each item."), opening, F.col("t.text"))).alias("pos", "m")).select("conv_id", "pos", "m.role", "m.content")
 
 
 # ---- replies
 
-@query("SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k FROM events")
+@query("SELECT event_id, CASE event_id % 7 WHEN 5 THEN NULL WHEN 6 THEN NULL ELSE TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE) END AS k FROM events")
 def llm_json_parse(spark, d):
-    said = F.concat(F.lit("<think>so {</think>Here it is:\n```json\n"), F.col("props"), F.lit("\n```\n"))
+    """Replies in a fence, with single quotes, with a trailing comma, with an object before the last and prose around, on several lines; without an object, or cut off."""
+    p = F.col("props")
+    forms = [
+        F.concat(F.lit("<think>so {</think>Here it is:\n```json\n"), p, F.lit("\n```\n")), F.translate(p, '"', "'"), F.regexp_replace(p, r"\}$", ",}"),
+        F.concat(F.lit('first {"k": 1000}, no: '), p, F.lit(" is right.")), F.concat(F.lit("```\n"), F.regexp_replace(p, ": ", ":\n  "), F.lit("\n```")), F.lit("no scores"), F.substring(p, 1, 4),
+    ]
+    said = F.element_at(F.array(*forms), (F.col("event_id") % 7 + 1).cast("int"))
     return table(spark, d, "events").select("event_id", F.try_element_at(replies.scores(said), F.lit("k")).try_cast("double").alias("k"))
 
 
@@ -423,10 +447,12 @@ def refine_change_stats(spark, d):
     return refine.change_stats(px.scored(spark, d).select(F.col("pred").alias("old_pred"), (1 - F.col("pred")).alias("new_pred"))).select(*r6("mean_change", "max_change"), "n_papers")
 
 
-@query("""WITH x AS (SELECT CAST(user_id AS VARCHAR) AS aid1, event_type AS aid2, CAST(event_id AS VARCHAR) AS pid, value, CAST(row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) - 1 AS BIGINT) AS i FROM events)
-SELECT aid1, aid2, 'unknown' AS name, CAST(i AS INT) AS batch_idx, pid, value AS old_pred FROM x""")
+@query("""WITH x AS (SELECT CAST(user_id AS VARCHAR) AS aid1, event_type AS aid2, CAST(event_id AS VARCHAR) AS pid, value, CAST(row_number() OVER w - 1 AS BIGINT) AS i,
+    first_value(event_id) OVER w AS f FROM events WINDOW w AS (PARTITION BY user_id, event_type ORDER BY event_id))
+SELECT aid1, aid2, CASE WHEN f % 2 = 0 THEN 'unknown' ELSE concat('N', f) END AS name, CAST(i AS INT) AS batch_idx, pid, value AS old_pred FROM x""")
 def group_batches(spark, d):
-    e = table(spark, d, "events").select(F.col("user_id").cast("string").alias("aid1"), F.col("event_type").alias("aid2"), F.lit(None).cast("string").alias("name"), F.col("event_id").alias("ord"), F.array(F.col("event_id").cast("string")).alias("pids"), F.array("value").alias("preds"))
+    """The first batch of a pair gives its name, and some have none."""
+    e = table(spark, d, "events").select(F.col("user_id").cast("string").alias("aid1"), F.col("event_type").alias("aid2"), F.when(F.col("event_id") % 2 == 1, F.concat(F.lit("N"), "event_id")).alias("name"), F.col("event_id").alias("ord"), F.array(F.col("event_id").cast("string")).alias("pids"), F.array("value").alias("preds"))
     return refine.flatten_batches(refine.group_batches(e)).select("aid1", "aid2", "name", "batch_idx", "pid", "old_pred")
 
 
@@ -481,9 +507,11 @@ def resume_pending(spark, d):
 @query("""WITH x AS (SELECT CAST(l_suppkey AS VARCHAR) AS aid1, l_returnflag AS aid2, list(CAST(l_partkey AS VARCHAR) ORDER BY l_partkey) AS p, sum(l_linenumber) AS s FROM lineitem GROUP BY 1, 2)
 SELECT aid1, aid2, CAST(len(p) AS INT) AS n_pids, CASE WHEN aid2 <> 'A' THEN CAST(s AS VARCHAR) END AS content FROM x""")
 def result_reorder(spark, d):
+    """Two replies came for most requests, with their ids in other orders; the later one counts."""
     x = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").cast("string").alias("aid1"), F.col("l_returnflag").alias("aid2")).agg(F.collect_list(F.col("l_partkey").cast("string")).alias("pids"), F.sum("l_linenumber").cast("string").alias("content"))
-    done = x.filter("aid2 <> 'A'").withColumn("pids", F.reverse("pids"))
-    return scorer.with_replies(x.drop("content"), done).select("aid1", "aid2", F.size("pids").alias("n_pids"), "content")
+    last = x.filter("aid2 <> 'A'").withColumns({"pids": F.reverse("pids"), "ord": F.lit(2)})
+    first = last.withColumns({"pids": F.array_sort("pids"), "content": F.lit("zz superseded"), "ord": F.lit(1)})
+    return scorer.with_replies(x.drop("content"), first.unionByName(last), order="ord").select("aid1", "aid2", F.size("pids").alias("n_pids"), "content")
 
 
 @query(f"""WITH {SCORED}, p AS (SELECT aid1, pid, ord, CASE WHEN event_type <> 'view' THEN pred ELSE 0.5 END AS pred FROM scored),
@@ -689,13 +717,23 @@ def voted_clean_profiles(spark, d):
 @query(f"""WITH {SCORED}, s AS (SELECT aid1, pid, ord, label AS ori_label, CAST(1 - pred >= 0.9 AS INT) AS label FROM scored),
 k AS (SELECT greatest(1, CAST(floor(count(*) FILTER (label = 1) / nullif(count(*) FILTER (label = 0), 0)) AS BIGINT)) AS k FROM s),
 c AS (SELECT *, unnest(range(1, CASE WHEN label = 0 THEN coalesce(k, 1) ELSE 1 END + 1)) AS copy FROM s, k),
-x AS (SELECT *, row_number() OVER (PARTITION BY aid1, copy ORDER BY md5(concat('42-', aid1, '-', copy, '-', pid)), ord) - 1 AS i FROM c)
+x AS (SELECT *, row_number() OVER (PARTITION BY aid1 ORDER BY md5(concat('42-', aid1, '-', pid, '-', copy)), ord) - 1 AS i FROM c)
 SELECT aid1, pid, copy, ori_label, label, CAST(i // 10 AS INT) AS batch_id, CAST(i % 10 AS INT) AS pos FROM x""")
 def training_examples(spark, d):
     t = px.scored(spark, d).select("aid1", "pid", "ord", "label", (1 - F.col("pred")).alias("soft_label"))
     return pipeline.examples(t).select("aid1", "pid", "copy", "ori_label", "label", "batch_id", "pos")
 
 
+@query(f"""WITH {SCORED}, s AS (SELECT aid1, pid, ord, CAST(1 - pred >= 0.9 AS INT) AS label FROM scored),
+k AS (SELECT greatest(1, CAST(floor(count(*) FILTER (label = 1) / nullif(count(*) FILTER (label = 0), 0)) AS BIGINT)) AS k FROM s),
+c AS (SELECT *, unnest(range(1, CASE WHEN label = 0 THEN coalesce(k, 1) ELSE 1 END + 1)) AS copy FROM s, k)
+SELECT aid1, pid, copy, label, row_number() OVER (ORDER BY md5(concat('42-', aid1, '-', pid, '-', copy)), aid1, pid, copy, ord) - 1 AS batch_id, 0 AS pos FROM c""")
+def shuffled_examples(spark, d):
+    """With one target a batch, the whole set, copies and all, is put in one order."""
+    t = px.scored(spark, d).select("aid1", "pid", "ord", "label", (1 - F.col("pred")).alias("soft_label"))
+    return pipeline.examples(t, num_turn=1).select("aid1", "pid", "copy", "label", "batch_id", "pos")
+
+
 @query("""WITH x AS (SELECT source, doc_id, n_chars, coalesce(sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM documents)
 SELECT source, doc_id FROM x WHERE before < 40000 - 500 - length(source)""")
 def budgeted_profile(spark, d):
@@ -775,11 +813,9 @@ SELECT request_id, CAST(pos AS INT) AS pos, CASE WHEN event_type = 'click' THEN
 def resumed_scores(spark, d):
     """Some replies are there from a run before; the others are scored, in parts that are saved one by one; then the progress goes, and the replies stay."""
     progress, out = storage.table_path(spark, "progress"), storage.table_path(spark, "replies")
-    before = resume.completed(spark, progress)
     kept = _done(spark, d).filter("content <> ''").withColumn("content", F.lit('{"0": 2, "1": 2}'))
-    before.unionByName(kept).write.parquet(progress)
-    n = table(spark, d, "events").count()
-    done = resume.run_pending(_requests(spark, d), progress, scorer.call, every=max(1, n // 3))
+    resume.save(kept, progress, 3)
+    done = resume.run_pending(_requests(spark, d), progress, scorer.call)
     sinks.dump(done, out)
     sinks.remove(spark, progress)
     left = resume.completed(spark, progress)
@@ -826,3 +862,136 @@ def scan_scored_requests(spark, d):
     e = table(spark, d, "events")
     one = F.struct(F.col("event_id").alias("aid1"), F.array(F.lit("a"), F.lit("b")).alias("pids"), F.col("value").alias("author_sim"), F.col("event_type").alias("inputs"), F.when(F.col("event_type") == "error", "").otherwise(F.col("props")).alias("content"))
     return readers.parse_scored(e.select(F.to_json(F.array(one)).alias("value"))).select("aid1", F.array_join("pids", ",").alias("pids"), "author_sim", "prompt", "content")
+
+
+# ---- large files
+
+@query(f"WITH {INNER} SELECT 'in' AS source, 'raw' AS variant, aid, ord, pid FROM inn")
+def scan_split_profiles(spark, d):
+    """Maps of many profiles in files, each one JSON value, read by the entry."""
+    at, files = storage.table_path(spark, "maps"), 8
+    lists = profiles.lists(px.assignments(spark, d, "O")).withColumn("file", F.pmod(F.xxhash64("aid"), F.lit(files)).cast("int"))
+    w = Window.partitionBy("file").orderBy("aid")
+    lists = lists.withColumns({"nth": F.row_number().over(w), "last": F.lead("aid").over(w).isNull()})
+    text = F.concat(F.when(F.col("nth") == 1, "{").otherwise(","), F.lit('"'), "aid", F.lit('": '), F.to_json("pids"), F.when(F.col("last"), "}").otherwise(""))
+    lists.repartitionById(files, F.col("file")).sortWithinPartitions("nth").select(text.alias("value")).write.option("lineSep", " ").text(at)
+    return readers.flat_profiles(spark, at, "in").drop("name")
+
+
+# ---- scores at label places, heads, means, stopping
+
+@query("""WITH t AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e, unnest(range(0, len(embedding))) AS i FROM embeddings)
+SELECT vec_id, CAST(i AS INT) AS place, CASE WHEN i > 0 THEN round(1 / (1 + exp(e[i] - e[len(e) - i + 1])), 6) END AS p FROM t WHERE CAST(floor(abs(e[i + 1]) * 50) AS INT) % 5 = 3""")
+def label_positions(spark, d):
+    """Several label tokens a row, some at its first place."""
+    e = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
+    ids = F.transform("e", lambda x: (F.floor(F.abs(x) * 50) % 5).cast("int"))
+    return e.select("vec_id", F.explode(vectors.label_scores(ids, F.col("e"), F.reverse("e"), 3)).alias("s")).select("vec_id", "s.place", F.round("s.p", 6).alias("p"))
+
+
+@query("""WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+l AS (SELECT vec_id, list_dot_product(e, (SELECT e FROM e WHERE vec_id = 0)) AS no, list_dot_product(e, (SELECT e FROM e WHERE vec_id = 1)) AS yes FROM e)
+SELECT vec_id, round(no, 6) AS no, round(yes, 6) AS yes, round(1 / (1 + exp(no - yes)), 6) AS p, CAST(yes > no AS INT) AS predicted FROM l""")
+def head_projection(spark, d):
+    """A binary head of two rows, and the scores it gives."""
+    e = table(spark, d, "embeddings")
+    x = vectors.projected(e, e.filter("vec_id < 2").withColumnRenamed("vec_id", "row"), ["no", "yes"])
+    return x.select("vec_id", *r6("no", "yes"), F.round(objective.p_yes(F.col("no"), F.col("yes")), 6).alias("p"), objective.argmax(F.col("no"), F.col("yes")).alias("predicted"))
+
+
+@query("""WITH x AS (SELECT label, unnest(range(0, len(embedding))) AS pos, unnest(embedding) AS v FROM embeddings)
+SELECT label, CAST(pos AS INT) AS pos, round(avg(CAST(v AS DOUBLE)), 6) AS mean FROM x GROUP BY 1, 2""")
+def mean_embeddings(spark, d):
+    m = vectors.mean_vectors(table(spark, d, "embeddings"), ["label"])
+    return m.select("label", F.posexplode("embedding").alias("pos", "m")).select("label", "pos", F.round("m", 6).alias("mean"))
+
+
+@query("""WITH x AS (SELECT unnest(range(0, len(embedding))) AS pos, unnest(embedding) AS v FROM embeddings), m AS (SELECT pos, CAST(avg(CAST(v AS DOUBLE)) AS FLOAT) AS v FROM x GROUP BY 1),
+n AS (SELECT DISTINCT -1 - label AS vec_id FROM embeddings)
+SELECT vec_id, CAST(pos AS INT) AS pos, round(CAST(v AS DOUBLE), 4) + 0.0 AS v FROM n, m UNION ALL SELECT vec_id, CAST(pos AS INT), round(CAST(v AS DOUBLE), 4) + 0.0 FROM (SELECT vec_id, unnest(range(0, len(embedding))) AS pos, unnest(embedding) AS v FROM embeddings)""")
+def new_token_vectors(spark, d):
+    """New tokens get the mean of all vectors."""
+    e = table(spark, d, "embeddings").select("vec_id", "embedding", "label")
+    new = e.select((-1 - F.col("label")).cast("long").alias("vec_id")).distinct()
+    out = vectors.with_new_rows(e.drop("label"), new)
+    return out.select("vec_id", F.posexplode("embedding").alias("pos", "v")).select("vec_id", "pos", (F.round(F.col("v").cast("double"), 4) + 0.0).alias("v"))
+
+
+@query("""WITH l AS (SELECT event_type AS run, date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS step, floor(avg(value) / 20) AS metric FROM events GROUP BY 1, 2),
+b AS (SELECT *, row_number() OVER w AS n, coalesce(metric > max(metric) OVER (PARTITION BY run ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS better FROM l WINDOW w AS (PARTITION BY run ORDER BY step)),
+c AS (SELECT *, n - max(CASE WHEN better THEN n END) OVER (PARTITION BY run ORDER BY step ROWS UNBOUNDED PRECEDING) AS waited FROM b),
+s AS (SELECT *, min(CASE WHEN waited >= 3 THEN n END) OVER (PARTITION BY run) AS stop FROM c)
+SELECT run, CAST(step AS INT) AS step, CAST(metric AS BIGINT) AS metric, better, CAST(waited AS INT) AS waited, n = max(CASE WHEN better THEN n END) OVER (PARTITION BY run) AS is_best, coalesce(n = stop, false) AS stopped
+FROM s WHERE stop IS NULL OR n <= stop""")
+def early_stopping(spark, d):
+    """Metrics by day, many of them equal, of a run for each type of event."""
+    log = table(spark, d, "events").groupBy(F.col("event_type").alias("run"), F.datediff(F.to_date("ts"), F.lit("2024-01-01").cast("date")).alias("step")).agg(F.floor(F.avg("value") / 20).alias("metric"))
+    return metrics.stopping(log, ["run"], "step", "metric").select("run", "step", "metric", "better", "waited", "is_best", "stopped")
+
+
+# ---- lengths in tokens
+
+_TOKENS = f"list_transform(regexp_extract_all(coalesce(text, ''), '{lengths.PIECES}', 0), lambda p: regexp_extract_all(p, '(?s).{{1,4}}', 0))"
+
+
+@query(f"SELECT doc_id, CAST(len(flatten({_TOKENS})) AS BIGINT) AS n_tokens FROM documents")
+def token_lengths(spark, d):
+    return lengths.token_lengths(table(spark, d, "documents"), ["doc_id"])
+
+
+@query(f"WITH x AS (SELECT doc_id, flatten({_TOKENS})[1:33] AS t FROM documents) SELECT doc_id, array_to_string(t, '') AS text, CAST(len(t) AS INT) AS n_tokens FROM x")
+def truncated_texts(spark, d):
+    """The first 33 tokens of each text; the cut may fall within a piece."""
+    return lengths.first_tokens(table(spark, d, "documents"), ["doc_id"], 33)
+
+
+@query(f"""WITH n AS (SELECT source, doc_id, CAST(len(flatten({_TOKENS})) AS BIGINT) AS n FROM documents WHERE source IS NOT NULL),
+x AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM n)
+SELECT source, doc_id, n AS length FROM x WHERE before < 20000 - 500 - length(source)""")
+def token_budgeted_profile(spark, d):
+    """A profile's items while their tokens have room beside what is used."""
+    docs = table(spark, d, "documents").filter("source is not null").select("source", F.col("doc_id").alias("ord"), "text")
+    used = docs.select("source").distinct().withColumn("used", F.char_length("source"))
+    long = lengths.token_lengths(docs, ["source", "ord"], out="length")
+    return pipeline.budgeted(long, used, ["source"], 20000).select("source", F.col("ord").alias("doc_id"), "length")
+
+
+# ---- evaluation, calls, names
+
+@query(f"""WITH scored AS (SELECT CAST(user_id AS VARCHAR) AS aid1, 1 / (1 + exp(0 - (value - 100) / 50)) AS pred, CAST(event_type <> 'error' AS INT) AS label FROM events), {_AUTHORS}
+SELECT 'final' AS prefix, round(avg(ap), 6) AS "MAP", round(avg(auc), 6) AS "AUC", round(avg(auc) + avg(ap), 6) AS "AUC_MAP", count(*) AS n_authors,
+(SELECT round(avg(CAST(CAST(pred >= 0.5 AS INT) = label AS INT)), 6) FROM scored) AS accuracy, (SELECT count(*) FROM scored) AS n, 1 AS version, 2 * (SELECT count(*) FROM scored) AS dumped FROM authors""")
+def evaluation_run(spark, d):
+    """Logits to scores, predictions dumped, metrics logged; the evaluation during training is dumped, but not logged."""
+    log, dumps = storage.table_path(spark, "log"), storage.table_path(spark, "predictions")
+    e = table(spark, d, "events")
+    logits = e.select(F.col("user_id").cast("string").alias("aid1"), F.col("event_id").alias("pid"), (F.col("event_type") != "error").cast("int").alias("label"), F.lit(0.0).alias("no"), ((F.col("value") - 100) / 50).alias("yes"))
+    for prefix in ("eval", "final"):
+        pipeline.evaluation(logits, prefix, log, dumps)
+    rows = spark.read.schema('prefix string, MAP double, AUC double, AUC_MAP double, n_authors long, accuracy double, n long, version int').json(log)
+    dumped = spark.read.parquet(dumps).agg(F.count("*")).scalar()
+    return rows.select("prefix", *r6("MAP", "AUC", "AUC_MAP"), "n_authors", *r6("accuracy"), "n", "version", dumped.alias("dumped"))
+
+
+_KIND = "(CAST(('0x' || substr(md5('Targets: ' || event_type || '; ' || props), 1, 2)) AS INT) % 101) % 3"
+
+
+@query(f"SELECT CAST(event_id AS VARCHAR) AS request_id, CAST(CASE WHEN {_KIND} = 2 THEN 1 ELSE 3 END AS INT) AS attempts, {_KIND} < 2 AS empty FROM events")
+def failed_calls(spark, d):
+    """Calls that fail or say nothing are tried three times, and end as empty replies."""
+    return scorer.call(_requests(spark, d), scorer.sometimes, attempts=3).select("request_id", "attempts", (F.col("content") == "").alias("empty"))
+
+
+@query("""SELECT event_id, '{"model":"judge-1","messages":[{"role":"system","content":"Judge each item."},{"role":"user","content":' || CAST(to_json('Targets: ' || event_type || '; ' || props) AS VARCHAR) || '}],"temperature":0.0}' AS body FROM events""")
+def chat_payloads(spark, d):
+    r = _requests(spark, d)
+    return r.select(F.col("request_id").cast("long").alias("event_id"), scorer.payload("judge-1", F.col("prompt"), "Judge each item.").alias("body"))
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 'in' ELSE 'out' END AS source, concat(o_custkey, CASE WHEN o_orderstatus = 'P' THEN '' ELSE '_' || o_orderstatus END) AS name FROM orders""")
+def output_names(spark, d):
+    """Sources of files, and the names of what is made of them, as their paths tell."""
+    o = table(spark, d, "orders")
+    kind = F.when(F.col("o_orderstatus") == "F", "in").otherwise("out")
+    path = F.concat(F.lit("/data/name_aid_to_pids_"), kind, F.lit(".v2/"), F.col("o_custkey").cast("string"), F.when(F.col("o_orderstatus") == "P", ".raw.json/").otherwise(F.concat(F.lit("_"), "o_orderstatus", F.lit(".json"))))
+    return o.select("o_orderkey", readers.sources_of(path).alias("source"), sinks.save_names(path).alias("name"))

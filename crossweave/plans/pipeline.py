@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from crossweave.config import EngineConfig
 from crossweave.functions import replies
-from crossweave.operators import batching, labels, metrics, profiles, refine, render, scorer
+from crossweave.operators import batching, labels, metrics, objective, ordering, profiles, refine, render, scorer
+from crossweave.sources import sinks
 
 
 def requests(triples: DataFrame, inner: DataFrame, outer: DataFrame, papers: DataFrame, config: EngineConfig = EngineConfig()) -> DataFrame:
@@ -73,16 +74,33 @@ def examples(triples: DataFrame, prior: DataFrame | None = None, mode: str = "tr
     if mode == "train":
         rows = labels.threshold(rows, config.label_threshold)
         rows = labels.upsample(rows) if config.upsample else rows
-    keys = ["aid1", *(["aid2"] if "aid2" in triples.columns else []), *(["copy"] if "copy" in rows.columns else [])]
+    keys = ["aid1", *(["aid2"] if "aid2" in triples.columns else [])]
+    item = ["pid", *(["copy"] if "copy" in rows.columns else [])]  # copies are dealt among the other targets of their profile
     scored = prior is not None and mode == "test"
     rows = profiles.prior(rows, prior) if scored else rows
-    return batching.build_turns(rows, keys, num_turn or config.num_turn, config.batching, config.seed, scored)
+    turns = num_turn or config.num_turn
+    if turns == 1:  # no batches to deal: the whole set is shuffled
+        placed = ordering.shuffled(rows, config.seed, [*keys, *item], [*keys, *item, "ord"], "batch_id")
+        return placed.withColumn("pos", F.lit(0))
+    return batching.build_turns(rows, keys, turns, config.batching, config.seed, scored, item)
 
 
 def evaluate(predictions: DataFrame) -> DataFrame:
     return metrics.macro(metrics.author_metrics(predictions))
 
 
+def evaluation(logits: DataFrame, prefix: str, log: str, dumps: str) -> DataFrame:
+    """An evaluation as a whole: scores from logits (no, yes) of triples, the predictions dumped as the next version, the metrics logged, unless they are of the
+    evaluations during training, and returned with their prefix and the version's number."""
+    scored = logits.withColumn("pred", objective.p_yes(F.col("no"), F.col("yes"))).drop("no", "yes")
+    version = sinks.dump_version(scored, dumps)
+    kept = scored.sparkSession.read.schema(scored.schema).parquet(f"{dumps}/version={version}")
+    right = metrics.accuracy(kept).select(F.struct("accuracy", "n")).scalar()
+    row = evaluate(kept).select("*", right["accuracy"].alias("accuracy"), right["n"].alias("n"), F.lit(version).alias("version"))
+    sinks.log_metrics(row, log, prefix)
+    return row.select(F.lit(prefix).alias("prefix"), "*")
+
+
 def budgeted(profile: DataFrame, used: DataFrame, keys: list[str], most: int, reserve: int = 500, length: str = "length") -> DataFrame:
     """Profile items while the model's context has room beside what is used; used: keys and used."""
     rows = profile.join(used, keys)

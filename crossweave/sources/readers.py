@@ -54,6 +54,13 @@ def source_of(path: str) -> str:
     return found[0]
 
 
+def sources_of(path: Column) -> Column:
+    """`source_of` of a column of paths; rows without a source raise."""
+    inner, outer = (path.contains(f"name_aid_to_pids_{s}") for s in ("in", "out"))
+    none = F.raise_error(F.concat(F.lit("no source named in "), path)).cast("string")
+    return F.when(inner & ~outer, "in").when(outer & ~inner, "out").otherwise(none)
+
+
 def flat_profiles(spark: SparkSession, path: str, source: str, variant: str = "raw", lines: bool = False) -> DataFrame:
     return parse_flat(_values(spark, path, lines, "{}"), source, variant)
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crossweave import schema
-from crossweave.sources.storage import delete
+from crossweave.sources.storage import delete, names_in
 
 _COLUMNS = [c.split()[0] for c in schema.REFINED.split(", ")]
 
@@ -25,22 +26,25 @@ def save_name(path: str) -> str:
     return path.rstrip("/").rpartition("/")[2].partition(".")[0]
 
 
+def save_names(path: Column) -> Column:
+    """`save_name` of a column of paths."""
+    return F.substring_index(F.element_at(F.split(F.rtrim(path, F.lit("/")), "/"), -1), ".", 1)
+
+
 def snapshot(done: DataFrame, path: str) -> int:
     """Writes finished rows below path, in a folder named by their number, and returns it."""
-    n = done.count()
-    done.write.mode("overwrite").parquet(f"{path}/completed={n}")
+    kept = done.persist(StorageLevel.DISK_ONLY)
+    try:
+        n = kept.count()
+        kept.write.mode("overwrite").parquet(f"{path}/completed={n}")
+    finally:
+        kept.unpersist()
     return n
 
 
 def versions(spark: SparkSession, path: str) -> list[int]:
     """Numbers of the folders version=N below path."""
-    jvm = spark._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(at):
-        return []
-    names = [s.getPath().getName() for s in fs.listStatus(at)]
-    return sorted(int(n.partition("=")[2]) for n in names if n.startswith("version="))
+    return sorted(int(n.partition("=")[2]) for n in names_in(spark, path) if n.startswith("version="))
 
 
 def dump_version(df: DataFrame, path: str) -> int:

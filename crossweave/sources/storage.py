@@ -34,6 +34,13 @@ def delete(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def names_in(spark: SparkSession, path: str) -> list[str]:
+    """Names of the files and folders in a folder; none where there is no such folder."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [s.getPath().getName() for s in fs.listStatus(at)] if fs.exists(at) else []
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """df, written to a new table in the shared folder and read from there."""
     path = table_path(df.sparkSession, name)
