@@ -13,14 +13,14 @@ from crossweave import schema
 from crossweave.sources import json_entries
 
 
-def _values(spark: SparkSession, path: str, lines: bool, kind: str) -> DataFrame:
-    """value, place: JSON values of one kind, '{}' or '[]', each with one entry of the file, or a line of it; a line may hold an array's item by itself."""
+def _values(spark: SparkSession, path: str, lines: bool, kind: str, end: str) -> DataFrame:
+    """value, place: JSON values of one kind, '{}' or '[]', each with one entry of the file, or a line of it; a line may hold an array's item by itself. end: a bracket that entries have."""
     e = F.col("entry")
     if lines:
         found = json_entries.lines(spark, path)
         value = F.when(F.ltrim(e).startswith(kind[0]), e).otherwise(F.concat(F.lit(kind[0]), e, F.lit(kind[1]))) if kind == "[]" else e
     else:
-        found, value = json_entries.entries(spark, path), F.concat(F.lit(kind[0]), e, F.lit(kind[1]))
+        found, value = json_entries.entries(spark, path, end), F.concat(F.lit(kind[0]), e, F.lit(kind[1]))
     return found.select(value.alias("value"), "place")
 
 
@@ -62,17 +62,17 @@ def sources_of(path: Column) -> Column:
 
 
 def flat_profiles(spark: SparkSession, path: str, source: str, variant: str = "raw", lines: bool = False) -> DataFrame:
-    return parse_flat(_values(spark, path, lines, "{}"), source, variant)
+    return parse_flat(_values(spark, path, lines, "{}", "]"), source, variant)
 
 
 def named_profiles(spark: SparkSession, path: str, source: str | None = None, variant: str = "raw", lines: bool = False) -> DataFrame:
     """source: in or out; by default what the path tells. With `lines`, a line holds the profiles of whole names, and names have its place."""
-    return parse_named(_values(spark, path, lines, "{}"), source or source_of(path), variant)
+    return parse_named(_values(spark, path, lines, "{}", "]"), source or source_of(path), variant)
 
 
 def profiles(spark: SparkSession, path: str, source: str, variant: str = "raw") -> DataFrame:
     """Either shape: a file whose values aren't lists is taken as named."""
-    values = _values(spark, path, False, "{}")
+    values = _values(spark, path, False, "{}", "]")
     flat = _json(values, "map<string,string>").select(F.explode("v").alias("k", "t")).limit(1).first()
     return parse_named(values, source, variant) if flat and flat.t.lstrip().startswith("{") else parse_flat(values, source, variant)
 
@@ -83,7 +83,7 @@ def parse_papers(texts: DataFrame) -> DataFrame:
 
 
 def papers(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
-    return parse_papers(_values(spark, path, lines, "{}"))
+    return parse_papers(_values(spark, path, lines, "{}", "}"))
 
 
 def parse_triples(texts: DataFrame) -> DataFrame:
@@ -95,12 +95,12 @@ def parse_triples(texts: DataFrame) -> DataFrame:
 
 def triples(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """With `lines`, an object in each line; of a line that holds an array, all have the line's place."""
-    return parse_triples(_values(spark, path, lines, "[]"))
+    return parse_triples(_values(spark, path, lines, "[]", "}"))
 
 
 def scored_requests(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """Requests with their replies, an array of objects: what an earlier step has written."""
-    return parse_scored(_values(spark, path, lines, "[]"))
+    return parse_scored(_values(spark, path, lines, "[]", "}"))
 
 
 def parse_scored(texts: DataFrame) -> DataFrame:
@@ -111,7 +111,7 @@ def parse_scored(texts: DataFrame) -> DataFrame:
 
 def prior_scores(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """pid, pred; the last entry of a pid wins."""
-    return parse_prior(_values(spark, path, lines, "[]"))
+    return parse_prior(_values(spark, path, lines, "[]", "}"))
 
 
 def parse_prior(texts: DataFrame) -> DataFrame:
