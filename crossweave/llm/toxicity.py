@@ -2,8 +2,10 @@
 
 Transducers read the word classes of a clause: an insult transducer (its arcs are stems and words, with weights learned from labels), a threat, a
 target, a negation and a reported-speech transducer (function words). Each is a table of states; they are composed once, by product, into one
-transducer that reads a clause in a single pass. It weighs a clause by its insults and, if a target stands in it, threats: more if a
-target stands in the clause, less if a negation stands shortly before, less if the clause reports speech. A document's matched clauses give a few
+transducer that reads a clause in a single pass. A threat is a speaker, then a verb of harm with whom it is to harm right before or behind it: "I will kill you", "je vais te frapper", but not
+"the film was shot in their town". A clause weighs more if a target stands in it, less if it reports speech, an insult less shortly behind a negation; a threat with
+a negation in its clause counts for nothing, and so does an insult right behind "the" where nothing is said to be it ("he took out the trash"). A clause goes on over
+the end of a quotation, so that who said it is part of it. A document's matched clauses give a few
 sums, and a logistic function, fitted on the same labelled rows, turns them into a score.
 
 Learning takes at most SAMPLE labelled rows, chosen by a hash of their id among the rows it may learn from (crc32 of the id as text, mod 4, not 2).
@@ -36,9 +38,12 @@ PARTS = 32  # that the labelled rows are dealt to while learning
 THRESHOLD = 0.3
 STEM_LENGTHS = tuple(range(3, 12))  # letters
 LEAST_DOCS, LEAST_SHARE = 5, 0.9
+#: Share of a stem's texts that one whole word of the same letters may have; beyond it the word says all that the stem does.
+ONE_WORD = 0.5
 MOST_UNMATCHED = 0.1  # score of a text without a match, whatever share of the labels is toxic
 MOST_CACHED = 150_000
-_CLAUSE = re.compile(rb"[.!?;\n|]+")  # no colon: what is said after one belongs to who says it
+#: No colon: what is said after one belongs to who says it; nor what ends a quotation.
+_CLAUSE = re.compile(rb"[.!?]+(?![.!?]*(?:[\"']|\xe2\x80[\x9c\x9d\x99]|\xc2\xbb))|[;\n|]+")
 
 
 def fold(word: bytes) -> bytes:
@@ -57,16 +62,25 @@ def _english(verb: str) -> str:
     return f"{verb} {verb}{'es' if verb.endswith(('sh', 'ch')) else 's'} {stem}ed {stem}ing"
 
 
-THREAT = _list(" ".join(map(_english, "kill hurt destroy crush smash burn beat punch murder strangle shoot".split())) + """ stab stabs stabbed stabbing shot hurting
-    töten töte tötet tötest getötet umbringen umbringe umgebracht schlagen schlage schlägt geschlagen zerstören zerstöre zerstört verprügeln verprügle
-    tuer tue tues tuerai tuerons tué frapper frappe frapperai frappé détruire détruis détruirai détruit
-    matar mato mataré matamos mataremos matado golpear golpeo golpearé golpeado destruir destruyo destruiré destruido""")
+#: Verbs of harm, in four languages; those of the speaker's own form, which need no pronoun; who speaks; whom it is to harm.
+HARM = _list(" ".join(map(_english, "kill hurt destroy crush smash burn beat punch murder strangle shoot bomb slaughter torture".split())) + """ stab stabs stabbed stabbing shot hurting beaten cut slit
+    töten tötet tötest getötet umbringen umgebracht schlagen geschlagen zerstören zerstört verprügeln erschießen erstechen
+    tuer tue frapper frappe détruire détruis égorger
+    matar matarte matarlos golpear golpearte destruir destruirte""")
+OWN_HARM = _list("töte zerstöre verprügle schlage tuerai frapperai détruirai tuerons mataré mato mataremos matamos golpearé golpeo destruiré destruyo")
+SPEAKER = _list("i we ich wir je j nous yo voy vamos gonna")
+HARMED = _list("you your yourself him her them his their dich dir dein deine deinen euch ihn te ti vous votre ton tes los les matarte golpearte destruirte matarlos")
 TARGET = _list("you your yours u he she they him her them his their people du dich dir ihr euch dein deine er sie tu toi vous te votre ton ta il elle ils vosotros usted ustedes tú él ella ellos su tus")
 #: Contractions are cut at their apostrophe: "can't" reads can, t.
 NEGATION = _list("not no never nobody cannot without t isn aren wasn weren don doesn didn won wouldn couldn shouldn hasn haven hadn ain nicht kein keine keinen nie niemals ohne pas jamais aucun aucune sans ne ni nunca jamás tampoco sin")
 REPORT = _list("said says say called calls wrote writes claimed quoted reported told asked shouted sagte sagt nannte schrieb behauptete dit disait écrit appelé dijo dice llamó escribió")
-INSULT_, THREAT_, TARGET_, NEGATION_, REPORT_ = 1, 2, 4, 8, 16
-CLASSES = 32
+DEFINITE = _list("the")
+BEING = _list("is are am was were be being been re s m ist sind bist seid est sont es son eres")
+INSULT_, HARM_, TARGET_, NEGATION_, REPORT_, SPEAKER_, HARMED_, DEFINITE_, BEING_ = (1 << i for i in range(9))
+#: Classes of words by the list that names them.
+LISTS = ((HARM_, HARM | OWN_HARM), (TARGET_, TARGET), (NEGATION_, NEGATION), (REPORT_, REPORT), (SPEAKER_, SPEAKER | OWN_HARM), (HARMED_, HARMED), (DEFINITE_, DEFINITE), (BEING_, BEING))
+CLASSES = 1 << 9
+HARM_REACH = 3  # words from a verb of harm to whom it harms, or back: "te voy a matar"
 NEGATION_REACH = 3
 FEATURES = 7
 
@@ -99,9 +113,30 @@ def _has(kind: int) -> np.ndarray:
     return np.arange(CLASSES) & kind > 0
 
 
-def _words(insult: np.ndarray, threat: np.ndarray) -> Transducer:
-    """One state, which takes the words of each tape."""
-    return Transducer(np.zeros((1, CLASSES), np.int64), np.stack([insult, threat], axis=-1)[None].astype(float), np.ones((1, 2)), np.zeros(1, np.int64))
+def _insults() -> Transducer:
+    """Insults, but not right behind "the" unless something was said to be one. States: behind "the" or not, with a word of being before or not."""
+    being = np.array([0, 0, 1, 1])[:, None] | _has(BEING_)
+    emit = np.where(_has(INSULT_) & ~((np.array([0, 1, 0, 1])[:, None] == 1) & (being == 0)), 1.0, 0.0)
+    return Transducer(2 * being + _has(DEFINITE_), np.stack([emit, np.ones_like(emit)], axis=-1), np.ones((4, 2)), np.zeros(4, np.int64))
+
+
+def _threats() -> Transducer:
+    """A speaker, then a verb of harm, with whom it harms no more than HARM_REACH words before or behind it. States: whether a speaker stands before, and how many
+    words the last verb and the last harmed one are away, as far as they are in reach."""
+    n = HARM_REACH + 1
+    step, emit = np.zeros((2 * n * n, CLASSES), np.int64), np.zeros((2 * n * n, CLASSES, 2))
+    emit[..., 0] = 1.0
+    for speaker in (0, 1):
+        for verb in range(n):
+            for harmed in range(n):
+                for kind in range(CLASSES):
+                    now = speaker or bool(kind & SPEAKER_)
+                    harms = bool(kind & HARM_) and now
+                    whom = bool(kind & HARMED_)
+                    at = (speaker * n + verb) * n + harmed
+                    emit[at, kind, 1] = float((harms and (harmed > 0 or whom)) or (whom and verb > 0))
+                    step[at, kind] = (now * n + (HARM_REACH if harms else max(verb - 1, 0))) * n + (HARM_REACH if whom else max(harmed - 1, 0))
+    return Transducer(step, emit, np.ones((2 * n * n, 2)), np.zeros(2 * n * n, np.int64))
 
 
 def _seen(kind: int, final: tuple[tuple[float, float], tuple[float, float]]) -> Transducer:
@@ -117,14 +152,23 @@ def _after(kind: int, reach: int, factor: float) -> Transducer:
     return Transducer(step, np.stack([emit, emit], axis=-1), np.ones((reach + 1, 2)), np.zeros(reach + 1, np.int64))
 
 
-INSULTS = _words(_has(INSULT_), ~_has(INSULT_))
-THREATS = _words(np.ones(CLASSES), _has(THREAT_))
-TARGETS = _seen(TARGET_, ((1.0, 0.0), (1.25, 1.25)))  # without a target, threats count for nothing
-NEGATIONS = _after(NEGATION_, NEGATION_REACH, 0.5)
+INSULTS, THREATS = _insults(), _threats()
+TARGETS = _seen(TARGET_, ((1.0, 1.0), (1.25, 1.25)))
+NEGATIONS = _after(NEGATION_, NEGATION_REACH, 0.5).compose(_seen(NEGATION_, ((1.0, 1.0), (1.0, 0.0))))
 REPORTS = _seen(REPORT_, ((1.0, 1.0), (0.6, 0.6)))
 CLAUSE = reduce(Transducer.compose, (INSULTS, THREATS, TARGETS, NEGATIONS, REPORTS))
-#: The composed tables as lists, which the loop over words reads: by state and class, the next state and the factors of both tapes.
-_ARCS = [[(int(t), float(a), float(b)) for t, (a, b) in zip(row, factors, strict=True)] for row, factors in zip(CLAUSE.step, CLAUSE.emit, strict=True)]
+#: The arcs that texts have used so far, by state and class: the next state and the factors of both tapes.
+_ARCS: dict[int, tuple[int, float, float]] = {}
+
+
+def _arc(state: int, kind: int) -> tuple[int, float, float]:
+    at = state * CLASSES + kind
+    if at not in _ARCS:
+        insult, threat = CLAUSE.emit[state, kind]
+        _ARCS[at] = int(CLAUSE.step[state, kind]), float(insult), float(threat)
+    return _ARCS[at]
+
+
 _FINAL = [(float(a), float(b), int(m)) for (a, b), m in zip(CLAUSE.final, CLAUSE.marks, strict=True)]
 
 
@@ -134,6 +178,7 @@ class Grammar:
 
     stems: dict[bytes, float] = field(default_factory=dict)
     whole: dict[bytes, float] = field(default_factory=dict)
+    threat: float = 1.0  # weight of a threat: the median of the insults', as labels say which texts are toxic, but not why
     weights: np.ndarray = field(default_factory=lambda: np.zeros(FEATURES + 1))
     cache: dict[bytes, int] = field(default_factory=dict)
     arcs: dict[bytes, float] = field(default_factory=dict)
@@ -160,7 +205,7 @@ class Grammar:
             w = found[i]
             if w not in self.cache:
                 plain = fold(w)
-                kind = (plain in THREAT) * THREAT_ + (plain in TARGET) * TARGET_ + (plain in NEGATION) * NEGATION_ + (plain in REPORT) * REPORT_
+                kind = sum(bit for bit, list_ in LISTS if plain in list_)
                 if weight := self.insult(w):
                     self.arcs[w] = weight
                     kind += INSULT_
@@ -172,13 +217,13 @@ class Grammar:
         """Weight of a clause's path, matches, and whether it has a target, a negation before a match, or reports speech."""
         state, insults, threats, n_insults, n_threats, near_insult, near_threat = 0, 0.0, 0.0, 0, 0, False, False
         for word, kind in zip(found, self.classes(found).tolist(), strict=True):
-            state, insult, threat = _ARCS[state][kind]
+            state, insult, threat = _arc(state, kind)
             if insult:
                 insults += insult * self.arcs[word]
                 n_insults += 1
                 near_insult |= insult < 1
             elif threat:
-                threats += threat
+                threats += threat * self.threat
                 n_threats += 1
                 near_threat |= threat < 1
         by_insult, by_threat, marks = _FINAL[state]
@@ -189,7 +234,7 @@ class Grammar:
     def features(self, text: bytes) -> np.ndarray:
         out = np.zeros(FEATURES)
         ws = words(text)
-        if ws and (self.classes(ws) & (INSULT_ | THREAT_)).any():
+        if ws and (self.classes(ws) & (INSULT_ | HARM_)).any():
             for part in _CLAUSE.split(text):
                 if found := words(part):
                     score, matches, target, negated, report = self.clause(found)
@@ -212,8 +257,8 @@ def _sketch(found: list[bytes], n: int = 4) -> list[int]:
 
 
 def parts(found: set[bytes]) -> set[bytes]:
-    """Stems of words, and whole words with an end mark."""
-    return {w[:n] for w in found for n in STEM_LENGTHS if n < len(w)} | {w + b"$" for w in found}
+    """Stems of words, themselves among them, and whole words with an end mark."""
+    return {w[:n] for w in found for n in STEM_LENGTHS if n <= len(w)} | {w + b"$" for w in found}
 
 
 def new_ones(sketches: list[list[int]]) -> list[int]:
@@ -234,13 +279,15 @@ def insults(hits: dict[bytes, int], misses: dict[bytes, int], n_bad: int, n_good
     for p, n in hits.items():
         if n >= LEAST_SHARE * (n + misses.get(p, 0)):
             keep[p] = float(np.log((n + 0.5) / (misses.get(p, 0) + 0.5)) + np.log((n_good + 1) / (n_bad + 1)))
-    #: A stem that always goes on with the same letter, or is always the whole word, says no more than what goes on.
-    longer = {p[:-1] for p in keep if hits[p] == hits.get(p[:-1], 0)}
+    #: A stem that always goes on with the same letter, or mostly is the whole word, says no more than what goes on.
+    longer = {p[:-1] for p, n in hits.items() if n == hits.get(p[:-1], 0)} | {p[:-1] for p, n in hits.items() if p.endswith(b"$") and n > ONE_WORD * hits.get(p[:-1], 0)}
     for p, weight in keep.items():
         if p.endswith(b"$"):
             g.whole[p[:-1]] = weight
         elif p not in longer and not any(p[:n] in keep and p[:n] not in longer for n in STEM_LENGTHS if n < len(p)):
             g.stems[p] = weight
+    if keep:
+        g.threat = float(np.median(list(keep.values())))
     return g
 
 

@@ -211,10 +211,14 @@ def test_toxicity_grammar():
 
 def brute_clause(g, found):
     """The rules of a clause, word by word."""
-    target, report = any(w in toxicity.TARGET for w in found), any(w in toxicity.REPORT for w in found)
+    target, report, no = (any(w in kind for w in found) for kind in (toxicity.TARGET, toxicity.REPORT, toxicity.NEGATION))
     total, matches, negated = 0.0, 0, False
     for i, w in enumerate(found):
-        weight = g.insult(w) or (1.0 if w in toxicity.THREAT and target else 0.0)
+        harmed = [j for j, x in enumerate(found) if x in toxicity.HARMED and j <= i]
+        harm = [j for j, x in enumerate(found) if x in toxicity.HARM | toxicity.OWN_HARM and j <= i and any(y in toxicity.SPEAKER | toxicity.OWN_HARM for y in found[: j + 1])]
+        weight = g.insult(w) if not (i and found[i - 1] == b"the" and not any(x in toxicity.BEING for x in found[:i])) else 0.0
+        if not weight and not no:
+            weight = g.threat * float((i in harm and any(i - j <= toxicity.HARM_REACH for j in harmed)) or (i in harmed and any(i - j <= toxicity.HARM_REACH for j in harm)))
         if weight:
             near = any(x in toxicity.NEGATION for x in found[max(0, i - toxicity.NEGATION_REACH) : i + 1])
             total, matches, negated = total + weight * (0.5 if near else 1.0), matches + 1, negated or near
@@ -222,21 +226,58 @@ def brute_clause(g, found):
 
 
 def test_composed_transducers_match_the_rules():
-    g = toxicity.Grammar(stems={b"gron": 2.0, b"ki": 1.5}, whole={b"zed": 3.0, b"you": 0.7})
+    g = toxicity.Grammar(stems={b"gron": 2.0, b"ki": 1.5}, whole={b"zed": 3.0, b"you": 0.7}, threat=1.75)
     rnd = random.Random(8)
-    pool = [b"gronk", b"kill", b"zed", b"you", b"hurt", b"not", b"said", b"they", b"a", b"b", b"c", b"d"]
-    for _ in range(3000):
-        found = rnd.choices(pool, weights=[1, 1, 1, 1, 2, 1, 0.5, 0.5, 3, 3, 3, 3], k=rnd.randint(1, 12))
+    pool = [b"gronk", b"kill", b"zed", b"you", b"hurt", b"not", b"said", b"they", b"i", b"the", b"is", b"him", b"b", b"c", b"d"]
+    for _ in range(6000):
+        found = rnd.choices(pool, weights=[1, 1, 1, 1, 2, 0.5, 0.5, 0.5, 1, 1, 0.5, 1, 2, 2, 2], k=rnd.randint(1, 12))
         got, want = g.clause(found), brute_clause(g, found)
         assert abs(got[0] - want[0]) < 1e-9 and got[1:] == want[1:], found
     both = toxicity.NEGATIONS.compose(toxicity.TARGETS)
-    assert len(both.step) == len(toxicity.NEGATIONS.step) * len(toxicity.TARGETS.step) and len(toxicity.CLAUSE.step) == 16
+    assert len(both.step) == len(toxicity.NEGATIONS.step) * len(toxicity.TARGETS.step)
+    sizes = [len(t.step) for t in (toxicity.INSULTS, toxicity.THREATS, toxicity.TARGETS, toxicity.NEGATIONS, toxicity.REPORTS)]
+    assert len(toxicity.CLAUSE.step) == sizes[0] * sizes[1] * sizes[2] * sizes[3] * sizes[4]
+
+
+INNOCENT = (
+    "An idiom is a fixed phrase.", "In Morocco, she studied sculpture.", "El trastorno se produjo tras el trasero.", "He took out the trash.", "The film was shot in their town.",
+    "the storm will destroy their homes", "They killed time.", "Ich töte dich nicht", "I will not hurt you",
+)
+THREATS = ("I will kill you", "I have beaten you", "I'll bomb your house", "I'll cut your throat", "Ich töte dich", "te voy a matar", "je vais te frapper", "You are trash", '"You are an idiot!" he said.')
+
+
+def test_words_that_only_begin_like_insults():
+    """Learned on a table whose toxic texts hold plain insults, whole words among many that others share."""
+    rnd = random.Random(5)
+    bad = "idiot moron scum trash stupid pathetic clown".split()
+    words = [f"w{i}" for i in range(200)]
+    rows = [(" ".join(rnd.choices(words, k=12) + rnd.choices(bad, k=2) + rnd.choices(words, k=6)).encode(), 1) for _ in range(120)]
+    rows += [(" ".join(rnd.choices(words, k=20)).encode(), 0) for _ in range(600)]
+    g = toxicity.learn(rows)
+    assert {w.decode() for w in g.whole} == set(bad)
+    assert not g.stems  # each would be one word's
+    for text in INNOCENT:
+        assert g.score(text.encode()) < 0.3, text
+    for text in THREATS:
+        assert g.score(text.encode()) >= 0.3, text
+
+
+def test_a_stem_stands_for_several_words():
+    hits = {b"gron": 20, b"gronk": 9, b"gronk$": 9, b"grons": 11, b"grons$": 5, b"idio": 12, b"idiot": 12, b"idiot$": 11}
+    g = toxicity.insults(hits, {}, 40, 400)
+    assert set(g.stems) == {b"gron"}
+    assert set(g.whole) == {b"gronk", b"grons", b"idiot"}
+
+
+def test_a_quotation_belongs_to_who_says_it():
+    parts = [p.strip() for p in toxicity._CLAUSE.split('"You fool!" he said. Next; “Go away!” she said! Yes?'.encode()) if p.strip()]
+    assert [p.decode() for p in parts] == ['"You fool!" he said', "Next", "“Go away!” she said", "Yes"]
 
 
 def test_spelling_inflection_and_reported_speech():
     g = toxicity.Grammar(stems={b"idiot": 3.0})
     score = lambda t: g.features(t.encode())[0]
-    for text in ("Ich werde dich töten", "ich werde dich toten", "they killed him", "I am killing you", "je vais te détruire", "te mataré"):
+    for text in ("Ich werde dich töten", "ich werde dich toten", "I killed him", "I am killing you", "je vais te détruire", "te mataré"):
         assert score(text) > 0, text
     assert score("you can't be an idiot") < score("you must be an idiot")
     assert score('He said: "you are an idiot"') < score("you are an idiot")
