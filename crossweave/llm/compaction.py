@@ -12,7 +12,7 @@ smallest number among the ranks from a file's own up is that of the earliest gro
 5. Results are read off the final files, each as a stream through one task.
 
 The driver gets paths and numbers of files, and the number of rows. Rows without an id hash as 0 and are empty in a digest; rows without a day are a day of their own. Rows that are equal in
-all sort columns have no order among them, but a written file's order is kept. An empty table gives no file and no rows. Every call writes a new folder and leaves it there.
+all sort columns have no order among them, but a written file's order is kept. Columns of any names are kept. An empty table gives no file and no rows. Every call writes a new folder and leaves it there.
 """
 
 from __future__ import annotations
@@ -90,12 +90,17 @@ def part(rows: int, x: int) -> int:
     return 1 + rows // x
 
 
+def whole_rows(df: DataFrame) -> DataFrame:
+    """A table's rows as one column, so that no name of theirs meets one of ours."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"))
+
+
 def by_day(clicks: DataFrame) -> tuple[Callable[[DataFrame], DataFrame], int]:
-    """What adds _file (day, lot, piece) to rows with click_id and arrived_at of a table, and the table's number of rows."""
-    day = F.datediff(F.to_date("arrived_at"), F.lit("1970-01-01").cast("date")).cast("long")
+    """What adds _file (day, lot, piece) to rows (_row) of a table with click_id and arrived_at, and the table's number of rows. clicks: by `whole_rows`."""
+    day = F.datediff(F.to_date("_row.arrived_at"), F.lit("1970-01-01").cast("date")).cast("long")
     days = stored(clicks.groupBy(day.alias("_day")).agg(F.count("*").alias("_rows")), "days")
     total = days.agg(F.sum("_rows")).first()[0] or 0
-    h = F.coalesce(F.crc32(F.col("click_id").cast("string").cast("binary")), F.lit(0).cast("long"))
+    h = F.coalesce(F.crc32(F.col("_row.click_id").cast("string").cast("binary")), F.lit(0).cast("long"))
     lots = 1 + F.floor(F.col("_rows") / part(total, LOT))
     keys = F.struct(F.col("_day").alias("day"), (F.floor(h / 16) % lots).alias("lot"), F.least(h % 4, F.floor(h / 4) % 4).alias("piece"))
 
@@ -106,24 +111,26 @@ def by_day(clicks: DataFrame) -> tuple[Callable[[DataFrame], DataFrame], int]:
 
 
 def write_files(rows: DataFrame, folder: str, order: list[str]) -> int:
-    """Writes a file for each value of the column _file, sorted, without that column; returns how many."""
+    """Writes a file for each value of the column _file, with the fields of _row, sorted by some of them; returns how many."""
     files = stored(rows.groupBy("_file").count(), "files")
     n = files.counted["rows"]
     if n:
         numbers = files.select(F.col("_file").alias("_of"), (F.row_number().over(Window.orderBy("_file")) - 1).alias("_number"))
         dealt = rows.join(F.broadcast(numbers) if n <= SMALL_TABLE else numbers, F.col("_file").eqNullSafe(F.col("_of")))
-        _written(dealt, "_number", n, order, [c for c in rows.columns if c != "_file"], folder)
+        _written(dealt, n, [f"_row.{c}" for c in order], folder)
     return n
 
 
-def _written(rows: DataFrame, number: str, n: int, order: list[str], columns: list[str], folder: str) -> None:
-    """Adds n files to a folder, one for each number, sorted."""
-    rows.repartitionById(n, F.col(number).cast("int")).sortWithinPartitions(*order).select(*[F.col(f"`{c}`") for c in columns]).write.mode("append").option("maxRecordsPerFile", 0).parquet(folder)
+def _written(rows: DataFrame, n: int, order: list[str], folder: str) -> None:
+    """Adds n files to a folder, one for each _number, sorted."""
+    rows.repartitionById(n, F.col("_number").cast("int")).sortWithinPartitions(*order).select("_row.*").write.mode("append").option("maxRecordsPerFile", 0).parquet(folder)
 
 
 def _placed(spark: SparkSession, columns: list[str], schema, paths: list[str]) -> DataFrame:
     """Rows of files with their file and their place in it."""
-    return spark.read.schema(schema).parquet(*paths).select(*[F.col(f"`{c}`") for c in columns], F.col("_metadata.file_path").alias("_path"), F.col("_metadata.row_index").alias("_place"))
+    df = spark.read.schema(schema).parquet(*paths)
+    at = df.metadataColumn("_metadata")
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row"), at["file_path"].alias("_path"), at["row_index"].alias("_place"))
 
 
 def packed(files: DataFrame, section: str, small: int, most: int) -> DataFrame:
@@ -149,9 +156,9 @@ def compact(spark: SparkSession, folder: str, schema, files: DataFrame, section:
     if firsts:
         sources = [r.path for r in plan.select("path").collect()]
         numbers = spark.createDataFrame(list(enumerate(firsts)), "_number int, first string")
-        of = plan.join(F.broadcast(numbers), "first").select(F.col("path").alias("_path"), "nth", "_number")
+        of = plan.join(F.broadcast(numbers), "first").select(F.col("path").alias("_path"), "nth", "_number")  # a row for each file
         rows = _placed(spark, schema.names, schema, [unquote(p) for p in sources]).join(F.broadcast(of), "_path")
-        _written(rows, "_number", len(firsts), ["nth", "_place"], schema.names, folder)
+        _written(rows, len(firsts), ["nth", "_place"], folder)
         for p in sources:
             delete(spark, unquote(p))
     return plan
@@ -160,8 +167,8 @@ def compact(spark: SparkSession, folder: str, schema, files: DataFrame, section:
 def file_digests(spark: SparkSession, paths: list[str], schema, key: str, amount: str) -> DataFrame:
     """path, n_rows, least and most of the key, amounts in hundredths, SHA-256 of the keys in order, of each file: each is a stream through one task. paths: as `files_of` gives them."""
     numbers = spark.createDataFrame(list(enumerate(paths)), "_number int, _path string")
-    hundredths = F.coalesce(F.floor(F.col(amount) * 100 + 0.5), F.lit(0).cast("long"))
-    rows = _placed(spark, [key, amount], schema, [unquote(p) for p in paths]).join(F.broadcast(numbers), "_path").select("_number", "_path", "_place", F.col(key).cast("long").alias("id"), hundredths.alias("amount"))
+    hundredths = F.coalesce(F.floor(F.col(f"_row.{amount}") * 100 + 0.5), F.lit(0).cast("long"))
+    rows = _placed(spark, [key, amount], schema, [unquote(p) for p in paths]).join(F.broadcast(numbers), "_path").select("_number", "_path", "_place", F.col(f"_row.{key}").cast("long").alias("id"), hundredths.alias("amount"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         path, n, low, high, amount, digest = None, 0, None, None, 0, hashlib.sha256()
@@ -197,8 +204,8 @@ OUT = (
 def op13_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     clicks = spark.read.parquet(f"{sf_dir}/clicks.parquet")
     folder, needs = table_path(spark, "clicks"), ["click_id", "arrived_at"]
-    filed, total = by_day(clicks)
-    if not write_files(filed(clicks), folder, ["arrived_at", "click_id"]):
+    filed, total = by_day(whole_rows(clicks))
+    if not write_files(filed(whole_rows(clicks)), folder, ["arrived_at", "click_id"]):
         return spark.createDataFrame([], OUT)
     files = stored(files_of(spark, folder, clicks.schema, filed, needs), "starts")
     plan = compact(spark, folder, clicks.schema, files, "day", part(total, SMALL), part(total, LARGE))

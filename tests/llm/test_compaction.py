@@ -99,8 +99,8 @@ def test_the_query(spark):
 def test_files_that_stay_are_not_touched(spark):
     clicks = spark.read.parquet(f"{SF}/clicks.parquet")
     folder = co.table_path(spark, "clicks")
-    filed, total = co.by_day(clicks)
-    co.write_files(filed(clicks), folder, ["arrived_at", "click_id"])
+    filed, total = co.by_day(co.whole_rows(clicks))
+    co.write_files(filed(co.whole_rows(clicks)), folder, ["arrived_at", "click_id"])
     at = folder.removeprefix("file:")
     before = {p: (os.stat(p).st_mtime_ns, open(p, "rb").read()) for p in glob.glob(f"{at}/*.parquet")}
     files = co.stored(co.files_of(spark, folder, clicks.schema, filed, ["click_id", "arrived_at"]), "starts")
@@ -116,8 +116,8 @@ def test_files_that_stay_are_not_touched(spark):
 def test_nulls_ties_and_other_columns(spark, tmp_path, n):
     rng = random.Random(n)
     day = datetime.datetime(2024, 1, 1)
-    rows = [(rng.choice([None, *range(n)]), rng.choice([None, day + datetime.timedelta(hours=rng.choice([-20_000_000 // 24, 1, 2, 30, 99]))]), rng.choice([None, 1.005, -2.5, 10.0]), "x", i) for i in range(n)]
+    rows = [(rng.choice([None, *range(n)]), rng.choice([None, day + datetime.timedelta(hours=rng.choice([-20_000_000 // 24, 1, 2, 30, 99]))]), rng.choice([None, 1.005, -2.5, 10.0]), "x", i, i, "y", None) for i in range(n)]
     rows += rows[: n // 5]
-    spark.createDataFrame(rows, "click_id long, arrived_at timestamp_ntz, value double, day string, lot int").repartition(3).write.parquet(f"{tmp_path}/clicks.parquet")
+    spark.createDataFrame(rows, "click_id long, arrived_at timestamp_ntz, value double, day string, lot int, nth int, _path string, _row string").repartition(3).write.parquet(f"{tmp_path}/clicks.parquet")
     got = check(spark, str(tmp_path))
-    assert {r.columns for r in got} == ({"click_id,arrived_at,value,day,lot"} if n else set())
+    assert {r.columns for r in got} == ({"click_id,arrived_at,value,day,lot,nth,_path,_row"} if n else set())
