@@ -973,6 +973,17 @@ def evaluation_run(spark, d):
     return rows.select("prefix", *r6("MAP", "AUC", "AUC_MAP"), "n_authors", *r6("accuracy"), "n", "version", dumped.alias("dumped"))
 
 
+@query("""SELECT 'eval' AS prefix, event_id AS pid, 0.0::DOUBLE AS no, value / 50 AS yes FROM events UNION ALL SELECT 'final', event_id, 0.0::DOUBLE, (value - 100) / 50 FROM events""")
+def raw_buffers(spark, d):
+    """Logits as evaluations have seen them; a second evaluation during training takes the place of the first."""
+    log, dumps, buffers = (storage.table_path(spark, n) for n in ("log", "predictions", "buffers"))
+    e = table(spark, d, "events")
+    base = e.select(F.col("user_id").cast("string").alias("aid1"), F.col("event_id").alias("pid"), (F.col("event_type") != "error").cast("int").alias("label"), F.lit(0.0).alias("no"), "value")
+    for prefix, yes in (("eval", F.col("value")), ("eval", F.col("value") / 50), ("final", (F.col("value") - 100) / 50)):
+        pipeline.evaluation(base.withColumn("yes", yes).drop("value"), prefix, log, dumps, buffers)
+    return spark.read.parquet(buffers).select("prefix", "pid", "no", "yes")
+
+
 _KIND = "(CAST(('0x' || substr(md5('Targets: ' || event_type || '; ' || props), 1, 2)) AS INT) % 101) % 3"
 
 

@@ -89,9 +89,12 @@ def evaluate(predictions: DataFrame) -> DataFrame:
     return metrics.macro(metrics.author_metrics(predictions))
 
 
-def evaluation(logits: DataFrame, prefix: str, log: str, dumps: str) -> DataFrame:
+def evaluation(logits: DataFrame, prefix: str, log: str, dumps: str, buffers: str | None = None) -> DataFrame:
     """An evaluation as a whole: scores from logits (no, yes) of triples, the predictions dumped as the next version, the metrics logged, unless they are of the
-    evaluations during training, and returned with their prefix and the version's number."""
+    evaluations during training, and returned with their prefix and the version's number. buffers: where the logits themselves are kept, by prefix."""
+    if buffers:
+        sinks.dump_buffers(logits, buffers, prefix)
+        logits = logits.sparkSession.read.schema(logits.schema).parquet(f"{buffers}/prefix={prefix}")
     scored = logits.withColumn("pred", objective.p_yes(F.col("no"), F.col("yes"))).drop("no", "yes")
     version = sinks.dump_version(scored, dumps)
     kept = scored.sparkSession.read.schema(scored.schema).parquet(f"{dumps}/version={version}")

@@ -54,6 +54,11 @@ def dump_version(df: DataFrame, path: str) -> int:
     return n
 
 
+def dump_buffers(df: DataFrame, path: str, prefix: str) -> None:
+    """What an evaluation has seen, as it is, below path: the last of those with the same prefix stays. Other prefixes are not touched."""
+    dump(df, f"{path}/prefix={prefix}")
+
+
 def log_metrics(metrics: DataFrame, path: str, prefix: str) -> None:
     """Appends the row, unless it is of the evaluations during training."""
     if prefix != "eval":
