@@ -37,6 +37,7 @@ from crossweave.llm.common import binary_text, bounds, stored, table_path, tidie
 THRESHOLD, STARTS, RUNS = 50, 9, 3
 #: Bytes of text that are handled at once, and that a bucket of the stored texts holds at least once there are more than a shuffle has partitions.
 BLOCK, BUCKET, MOST_BUCKETS = 1 << 20, 256 << 20, 100_000
+STRIP = 1 << 14  # places whose hashes are compared at once
 #: Low bits of a hash that give way to the place, so that the first of equal ones is the smallest.
 PLACE = np.uint64((1 << 31) - 1)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -63,8 +64,11 @@ def _powers(which: int, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * _ODD
-    return x ^ (x >> np.uint64(29))
+    """x, a new array, with its bits mixed."""
+    x ^= x >> np.uint64(31)
+    x *= _ODD
+    x ^= x >> np.uint64(29)
+    return x
 
 
 class Hashes:
@@ -79,9 +83,9 @@ class Hashes:
     def of(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
         return _mixed((self.sums[stop] - self.sums[start]) * self.inverse[start])
 
-    def all(self, n: int) -> np.ndarray:
-        """Of all stretches of n bytes."""
-        return _mixed((self.sums[n:] - self.sums[:-n]) * self.inverse[: len(self.sums) - n])
+    def all(self, n: int, a: int, b: int) -> np.ndarray:
+        """Of the stretches of n bytes that begin from a to before b."""
+        return _mixed((self.sums[a + n : b + n] - self.sums[a:b]) * self.inverse[a:b])
 
 
 class Block:
@@ -110,14 +114,16 @@ class Block:
             self.text = self.lo = self.hi = self.sync = np.empty(0, np.int64)
             self.digit = np.empty(0, np.uint64)
             return
-        grams = self.hashed(0).all(self.first)
-        least = (grams & ~PLACE) | np.arange(len(grams), dtype=np.uint64)
-        width = 1
-        while 2 * width <= most:
-            least = np.minimum(least[:-width], least[width:])
-            width *= 2
-        least = np.minimum(least[: n], least[most - width : most - width + n])
-        place = (least & PLACE).astype(np.int64)
+        place, grams = np.empty(n, np.int64), self.hashed(0)
+        for a in range(0, n, STRIP):  # in strips that stay in a processor's cache
+            b = min(n, a + STRIP)
+            least = (grams.all(self.first, a, b + most - 1) & ~PLACE) | np.arange(a, b + most - 1, dtype=np.uint64)
+            width = 1
+            while 2 * width <= most:
+                least = np.minimum(least[:-width], least[width:])
+                width *= 2
+            least = np.minimum(least[: b - a], least[most - width : most - width + b - a])
+            place[a:b] = least & PLACE
         new = np.empty(n, bool)
         new[0], new[1:] = True, place[1:] != place[:-1]
         new[self.begin[self.begin < n]] = True
@@ -128,7 +134,7 @@ class Block:
         keep = (hi >= lo) & self.known[text]
         self.text, self.lo, self.hi = text[keep], lo[keep], hi[keep]
         self.sync = place[self.lo]
-        self.digit = grams[self.sync].view(np.int64)
+        self.digit = grams.of(self.sync, self.sync + self.first).view(np.int64)
 
     def doc(self) -> np.ndarray:
         """Of each cell, its document's id."""
@@ -167,17 +173,28 @@ class Block:
         return tuple(self.hashed(i).of(start, start + self.threshold).view(np.int64) for i in (0, 1))
 
 
-def smallest(keys: tuple[np.ndarray, ...], doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of rows by key: one row of each key, that of its smallest document; whether the key has more than one; and each row's key by number."""
-    order = np.lexsort((doc, *reversed(keys)))
-    new = np.empty(len(order), bool)
-    new[:1] = True
-    new[1:] = np.any([k[order[1:]] != k[order[:-1]] for k in keys], axis=0)
+def smallest(keys: tuple[np.ndarray, ...], doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of rows by key: a row of each key, in order of keys; the key's smallest document; whether it has more than one; and each row's key by number."""
+    order = np.argsort(keys[0])
+    new, rest = _changes(keys[0][order]), np.zeros(len(order), bool)
+    for k in keys[1:]:
+        rest |= _changes(k[order])
+    if (rest & ~new).any():  # keys that differ in their second half only
+        order = np.lexsort(keys[::-1])
+        new = np.any([_changes(k[order]) for k in keys], axis=0)
     at = np.flatnonzero(new)
     number = np.empty(len(order), np.int64)
     number[order] = np.cumsum(new) - 1
-    last = np.append(at[1:], len(order))[: len(at)] - 1
-    return order[at], doc[order[at]] != doc[order[last]], number
+    if not len(at):
+        return at, doc[at], new, number
+    least = np.minimum.reduceat(doc[order], at)
+    return order[at], least, least != np.maximum.reduceat(doc[order], at), number
+
+
+def _changes(values: np.ndarray) -> np.ndarray:
+    out = np.ones(len(values), bool)
+    out[1:] = values[1:] != values[:-1]
+    return out
 
 
 def _blocks(docs: DataFrame, id_col: str, text_col: str, most: int) -> DataFrame:
@@ -283,8 +300,7 @@ def _smaller_elsewhere(rows: DataFrame) -> DataFrame:
 
 def _least(keys: tuple[np.ndarray, np.ndarray], doc: np.ndarray, told: dict | None) -> tuple[np.ndarray, np.ndarray]:
     """Of rows by key: the smallest document that has the key, in this block or as told; and whether this block has that document."""
-    first, _, number = smallest(keys, doc)
-    least = doc[first].copy()
+    first, least, _, number = smallest(keys, doc)
     here = np.ones(len(first), bool)
     if told is not None and len(first):
         mine = np.zeros(len(first), [("k1", np.int64), ("k2", np.int64)])
@@ -309,22 +325,22 @@ def _first_cells(block: Block, told: dict) -> None:
 
 
 def _digits(block: Block, told: dict) -> dict[str, np.ndarray]:
-    first, several, _ = smallest((block.digit,), block.doc())
+    first, _, several, _ = smallest((block.digit,), block.doc())
     return {"k": block.digit[first], "several": several}
 
 
 def _cells(block: Block, told: dict) -> dict[str, np.ndarray]:
     _candidates(block, told)
     k1, k2 = block.contents()
-    first, _, _ = smallest((k1, k2), block.doc())
-    return {"k1": k1[first], "k2": k2[first], "doc": block.doc()[first]}
+    first, least, _, _ = smallest((k1, k2), block.doc())
+    return {"k1": k1[first], "k2": k2[first], "doc": least}
 
 
 def _stretches(block: Block, told: dict) -> dict[str, np.ndarray]:
     _first_cells(block, told)
     cell, k = block.stretches()
     digit = block.shared(cell, k)
-    first, several, _ = smallest((digit,), block.doc()[cell])
+    first, _, several, _ = smallest((digit,), block.doc()[cell])
     return {"k": digit[first], "several": several}
 
 
@@ -339,8 +355,8 @@ def _open_windows(block: Block, told: dict) -> tuple[np.ndarray, np.ndarray]:
 def _windows(block: Block, told: dict) -> dict[str, np.ndarray]:
     cell, start = _open_windows(block, told)
     (k1, k2), doc = block.window_keys(start), block.doc()[cell]
-    first, _, _ = smallest((k1, k2), doc)
-    return {"k1": k1[first], "k2": k2[first], "doc": doc[first]}
+    first, least, _, _ = smallest((k1, k2), doc)
+    return {"k1": k1[first], "k2": k2[first], "doc": least}
 
 
 def _spans(block: Block, told: dict) -> np.ndarray:

@@ -109,3 +109,18 @@ def test_the_query(spark):
 def test_windows_must_be_longer_than_their_starts(spark):
     with pytest.raises(ValueError, match="more than"):
         sd.remove_repeats(spark.createDataFrame([], "doc_id long, text string"), threshold=27)
+
+
+def test_keys_that_differ_in_their_second_half():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    k1, k2, doc = rng.integers(0, 4, 200), rng.integers(0, 3, 200), rng.integers(0, 9, 200)
+    at, least, several, number = sd.smallest((k1, k2), doc)
+    groups = {}
+    for a, b, d in zip(k1.tolist(), k2.tolist(), doc.tolist(), strict=True):
+        groups.setdefault((a, b), []).append(d)
+    assert list(zip(k1[at].tolist(), k2[at].tolist(), strict=True)) == sorted(groups)
+    assert least.tolist() == [min(groups[k]) for k in sorted(groups)]
+    assert several.tolist() == [len(set(groups[k])) > 1 for k in sorted(groups)]
+    assert [sorted(groups)[n] for n in number.tolist()] == list(zip(k1.tolist(), k2.tolist(), strict=True))
