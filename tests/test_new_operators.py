@@ -124,7 +124,7 @@ def library(pieces):
     return [[t.replace("Ġ", " ").replace("Ċ", "\n") for t in e.tokens] for e in bpe().encode_batch(pieces, add_special_tokens=False)]
 
 
-GPT = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+BYTE_LEVEL = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 def test_lengths_are_those_of_the_whole_text(spark):
@@ -132,9 +132,9 @@ def test_lengths_are_those_of_the_whole_text(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
     t = bpe()
     want = {i: len(t.encode(x or "").ids) for i, x in enumerate(texts)}
-    assert {r.doc_id: r.n_tokens for r in lengths.token_lengths(df, ["doc_id"], cutter=library, library=True, pattern=GPT).collect()} == want
+    assert {r.doc_id: r.n_tokens for r in lengths.token_lengths(df, ["doc_id"], cutter=library, library=True, pattern=BYTE_LEVEL).collect()} == want
     for n in (0, 1, 7, 1000):
-        got = {r.doc_id: (r.text, r.n_tokens) for r in lengths.first_tokens(df, ["doc_id"], n, cutter=library, library=True, pattern=GPT).collect()}
+        got = {r.doc_id: (r.text, r.n_tokens) for r in lengths.first_tokens(df, ["doc_id"], n, cutter=library, library=True, pattern=BYTE_LEVEL).collect()}
         assert got == {i: (t.decode(t.encode(x or "").ids[:n]), min(n, want[i])) for i, x in enumerate(texts)}
 
 
