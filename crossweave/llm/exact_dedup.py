@@ -1,12 +1,14 @@
 """Exact deduplication by two passes over Bloom filters; DataFrame operations only.
 
-Pass 1 hashes every text to a few cells of a filter and counts hits per cell. Cells hit at least twice form the second filter, a bitmap.
-Pass 2 probes that bitmap: a row of which some cell was hit once has no equal and passes straight through, without a shuffle. Only the other
-rows shuffle, and are compared by SHA-256 of the whole text.
+A text has one bucket of a filter, and a few places in it. Pass 1 shuffles no rows: each task sorts the places of its own rows and puts every other one
+into a first bitmap, the rest into a second, so that a place that was hit twice is in both, and only these bitmaps shuffle. Bucket by bucket, each
+is compared with all before it; places in two of them form the second filter.
+Pass 2 probes that filter, which is broadcast: a row of which some place was hit once has no equal and passes straight through, without a shuffle. Only
+the other rows shuffle, and are compared by SHA-256 of the whole text.
 
-The bitmap grows with the rows, CELLS_PER_ROW bits each, up to `max_bits` bits (128 MB by default, enough for 64 million rows), which bounds what is
-broadcast. Beyond that bound more unique rows count as possible repeats and shuffle (texts have one cell then, instead of two, where that lets more of
-them pass); the result is the same.
+The filter grows with the rows, CELLS_PER_ROW bits each, up to `max_bits` bits (128 MB by default, enough for 64 million rows), which bounds what is
+broadcast. Beyond that bound more unique rows count as possible repeats and shuffle (texts have one place then, instead of two, where that lets more of
+them pass); the result is the same. A task sends two bitmaps of 4 KB for each bucket that it meets; sparse ones shrink when the shuffle compresses them.
 
 Null texts count as empty and equal each other. Null ids sort below all others. Of rows equal in id and text, one is kept. An empty table gives
 an empty result. Other columns take no part, whatever their names.
@@ -24,33 +26,51 @@ FEW_BITS = 2  # for a row; with fewer, one probe passes more unique rows than tw
 BITMAP_BITS = 32768  # of Spark's bitmap functions
 
 
-def cells(body: Column, bits: int, probes: int = PROBES) -> list[Column]:
-    """The filter cells of a text, from 1."""
-    return [F.pmod(F.xxhash64(body, F.lit(i)), F.lit(bits)) + F.lit(1) for i in range(probes)]
+def bucket(body: Column, bits: int) -> Column:
+    """The bucket of a text."""
+    return F.pmod(F.xxhash64(body, F.lit(-1)), F.lit(bits // BITMAP_BITS)).cast("int")
+
+
+def places(body: Column, probes: int = PROBES) -> list[Column]:
+    """A text's places in its bucket, from 0."""
+    return [F.pmod(F.xxhash64(body, F.lit(i)), F.lit(BITMAP_BITS)).cast("int") for i in range(probes)]
 
 
 def filter_bits(rows: int, max_bits: int = MAX_BITS) -> int:
-    return min(max_bits, max(BITMAP_BITS, 1 << (max(1, rows) * CELLS_PER_ROW - 1).bit_length()))
+    return max(BITMAP_BITS, min(max_bits, 1 << (max(1, rows) * CELLS_PER_ROW - 1).bit_length()))
+
+
+def task_bitmaps(bodies: DataFrame, bits: int, probes: int = PROBES) -> DataFrame:
+    """(bucket, lane, bitmap): for each task two lanes, which both have a place that the task's rows hit more than once.
+
+    Rows with the same place are neighbours once sorted, so that their numbers are odd and even in turn.
+    """
+    hits = bodies.select(bucket(F.col("body"), bits).alias("bucket"), F.spark_partition_id().alias("task"), F.explode(F.array_distinct(F.array(*places(F.col("body"), probes)))).alias("place"))
+    numbered = hits.sortWithinPartitions("bucket", "task", "place").withColumn("odd", F.monotonically_increasing_id() % 2 == 1)
+    some = F.bitmap_construct_agg(F.when(F.col("odd"), F.col("place").cast("long"))), F.bitmap_construct_agg(F.when(~F.col("odd"), F.col("place").cast("long")))
+    lanes = numbered.groupBy("bucket", "task").agg(some[0].alias("odd"), some[1].alias("even"))
+    return lanes.select("bucket", F.posexplode(F.array("odd", "even")).alias("lane", "bitmap"), "task").select("bucket", (F.col("task") * 2 + F.col("lane")).alias("lane"), "bitmap")
 
 
-def repeated_cells(bodies: DataFrame, bits: int, probes: int = PROBES) -> DataFrame:
-    """Pass 1: the bitmap of the cells that were hit at least twice, (bucket, bitmap), bits / 8 bytes at most."""
-    hits = bodies.select(F.explode(F.array(*cells(F.col("body"), bits, probes))).alias("cell"))
-    twice = hits.groupBy("cell").agg(F.count("*").alias("hits")).filter("hits > 1")
-    return twice.groupBy(F.bitmap_bucket_number("cell").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("cell")).alias("bitmap"))
+def repeated_places(bodies: DataFrame, bits: int, probes: int = PROBES) -> DataFrame:
+    """Pass 1: the bitmap of the places that were hit at least twice, (bucket, bitmap), bits / 8 bytes at most."""
+    before = Window.partitionBy("bucket").orderBy("lane").rowsBetween(Window.unboundedPreceding, -1)
+    seen = task_bitmaps(bodies, bits, probes).withColumn("seen", F.bitmap_or_agg("bitmap").over(before))
+    both = seen.select("bucket", "lane", F.explode(F.array("seen", "bitmap")).alias("bitmap")).groupBy("bucket", "lane").agg(F.bitmap_and_agg("bitmap").alias("bitmap"))
+    return both.filter(F.bitmap_count("bitmap") > 0).groupBy("bucket").agg(F.bitmap_or_agg("bitmap").alias("bitmap"))
 
 
 def mark_repeats(df: DataFrame, bitmap: DataFrame, bits: int, probes: int = PROBES) -> DataFrame:
     """Pass 2: df (with body) and `maybe`, false where the row certainly has no equal."""
-    out, small = df, F.broadcast(bitmap)  # at most bits / 8 bytes
-    for i, cell in enumerate(cells(F.col("body"), bits, probes)):
-        out = out.withColumn(f"_at{i}", F.bitmap_bit_position(cell))
-        out = out.withColumn(f"_bucket{i}", F.bitmap_bucket_number(cell)).join(small.select(F.col("bucket").alias(f"_bucket{i}"), F.col("bitmap").alias(f"_map{i}")), f"_bucket{i}", "left")
-    set_ = [F.expr(f"coalesce(shiftright(cast(conv(hex(substring(_map{i}, cast(_at{i} div 8 as int) + 1, 1)), 16, 10) as int), cast(_at{i} % 8 as int)) & 1, 0) = 1") for i in range(probes)]
-    maybe = set_[0]
-    for x in set_[1:]:
+    small = F.broadcast(bitmap.select(F.col("bucket").alias("_bucket"), F.col("bitmap").alias("_bitmap")))  # at most bits / 8 bytes
+    at = F.array(*places(F.col("body"), probes))
+    out = df.withColumn("_at", at).withColumn("_bucket", bucket(F.col("body"), bits)).join(small, "_bucket", "left")
+    byte = [F.conv(F.hex(F.substring("_bitmap", F.shiftright(F.col("_at")[i], 3) + 1, 1)), 16, 10).cast("int") for i in range(probes)]
+    bit = [b.bitwiseAND(F.expr(f"shiftleft(1, cast(_at[{i}] % 8 as int))")) > 0 for i, b in enumerate(byte)]
+    maybe = F.col("_bitmap").isNotNull()
+    for x in bit:
         maybe = maybe & x
-    return out.withColumn("maybe", maybe).drop(*[f"{p}{i}" for i in range(probes) for p in ("_at", "_bucket", "_map")])
+    return out.withColumn("maybe", F.coalesce(maybe, F.lit(False))).drop("_at", "_bucket", "_bitmap")
 
 
 def _marked(docs: DataFrame, id_col: str, text_col: str, max_bits: int, *more: Column) -> DataFrame:
@@ -59,7 +79,7 @@ def _marked(docs: DataFrame, id_col: str, text_col: str, max_bits: int, *more: C
     bits = filter_bits(rows, max_bits)
     probes = PROBES if bits >= FEW_BITS * rows else 1
     base = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("body"), *more)
-    return mark_repeats(base, repeated_cells(bodies, bits, probes), bits, probes)
+    return mark_repeats(base, repeated_places(bodies, bits, probes), bits, probes)
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS) -> DataFrame:

@@ -47,6 +47,21 @@ def test_unique_rows_do_not_reach_the_shuffle(spark):
     assert 20 <= marked.filter("maybe").count() <= 40
 
 
+def test_first_pass_finds_the_places_hit_twice_and_shuffles_bitmaps_only(spark):
+    rows = 200_000
+    ids = spark.range(rows, numPartitions=8)
+    unique = ids.select(F.concat(F.lit("text "), "id").alias("body"))
+    bits = exact_dedup.filter_bits(rows)
+    assert exact_dedup.task_bitmaps(unique, bits).count() <= 2 * 8 * bits // exact_dedup.BITMAP_BITS <= rows // 50
+    assert exact_dedup.mark_repeats(unique, exact_dedup.repeated_places(unique, bits), bits).filter("maybe").count() < rows // 20
+    few = ids.select(F.concat(F.lit("text "), F.when(F.col("id") % 3 == 0, F.col("id") % 11).otherwise(F.col("id") % 3000)).alias("body")).limit(5000).repartition(5)
+    for bits in (exact_dedup.BITMAP_BITS, 8 * exact_dedup.BITMAP_BITS):
+        hit = few.select(exact_dedup.bucket(F.col("body"), bits).alias("b"), F.explode(F.array_distinct(F.array(*exact_dedup.places(F.col("body"))))).alias("p")).groupBy("b", "p").count().filter("count > 1")
+        want = {(r.b, r.p) for r in hit.collect()}
+        got = {(r.bucket, 8 * i + k) for r in exact_dedup.repeated_places(few, bits).collect() for i, x in enumerate(r.bitmap) for k in range(8) if x >> k & 1}
+        assert got == want and want
+
+
 def test_drop_exact_keeps_columns_and_one_row(docs):
     got = exact_dedup.drop_exact(docs)
     assert got.columns == docs.columns
