@@ -1,17 +1,20 @@
 """Token ids of whole texts by a chunk cache: white-space chunks are encoded once, then looked up.
 
 The tokenizer drops white space and never merges across it, so a text's ids are those of its chunks in order. Chunks are split at ASCII white
-space, made distinct and looked up in Arrow, batch by batch, so that Python sees new chunks only; a cached chunk takes its bytes and some 20 more.
+space and made distinct in Arrow, batch by batch; the distinct ones are looked up in a dictionary, whose size in bytes is bounded, however long chunks are.
 A-Z is lower-cased first, as the tokenizer does itself, unless the text may hold a special token. A chunk of lower-case Latin letters and then ASCII
 punctuation is two pre-tokens, which the tokenizer's model encodes directly; all other chunks go through the whole tokenizer. The cache is emptied when it
-is full; results don't depend on it.
+is full, before a batch is looked up, so that it never holds more than CACHE_BYTES and what one batch brings (4 MB of text, or one text); results don't
+depend on it.
 """
 
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Iterator
 from functools import cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +22,8 @@ import pyarrow.compute as pc
 
 from crossweave.llm.common import bounds
 
-MOST_CACHED = 1_000_000
+CACHE_BYTES = 96 << 20
+ENTRY_BYTES = 128  # of a chunk in the dictionary and its place, beside the chunk itself
 BYTES = 4 << 20  # of texts looked up at once
 BETWEEN = "\x01"  # one id, and no white space
 #: Letters that stay as they are under NFC and lower-casing, whatever stands beside them, then ASCII punctuation, which never goes on from a letter.
@@ -46,11 +50,10 @@ class WordIds:
         self._clear()
 
     def _clear(self) -> None:
-        self.keys = pa.array([""], pa.string())  # a chunk's place is its cache place
-        self.new: list[str] = []
+        self.place = {"": 0}  # of each chunk, in `start`
         self.flat = np.empty(1 << 16, np.uint32)
         self.start = np.zeros(1 << 14, np.int64)
-        self.used, self.known = 0, 1
+        self.used, self.known, self.bytes = 0, 1, 0
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -62,7 +65,8 @@ class WordIds:
             self.start = np.concatenate([self.start, np.zeros_like(self.start)])
         self.flat[self.used : self.used + len(ids)] = ids
         self.start[self.known + 1 : self.known + len(keys) + 1] = self.used + np.cumsum(sizes)
-        self.new += keys
+        self.place.update(zip(keys, range(self.known, self.known + len(keys)), strict=True))
+        self.bytes += sum(map(sys.getsizeof, keys)) + ENTRY_BYTES * len(keys) + ids.nbytes
         self.used += len(ids)
         self.known += len(keys)
 
@@ -102,19 +106,15 @@ class WordIds:
 
     def look_up(self, found: pa.Array) -> np.ndarray:
         """Cache places of distinct chunks."""
-        if self.known > MOST_CACHED:
+        if self.bytes > CACHE_BYTES:
             self._clear()
-        got = pc.index_in(found, value_set=self.keys)
-        if got.null_count:
-            missing, base = found.filter(got.is_null()), self.known
-            self._learn(missing.to_numpy(zero_copy_only=False).tolist())
-            new, self.new = pa.array(self.new, pa.string()), []
-            self.keys = pa.concat_arrays([self.keys, new])
-            places = pc.index_in(missing, value_set=new).to_numpy().astype(np.int64) + base
-            out = got.fill_null(0).to_numpy().astype(np.int64)
-            out[got.is_null().to_numpy(zero_copy_only=False)] = places
-            return out
-        return got.to_numpy().astype(np.int64)
+        keys = found.to_numpy(zero_copy_only=False).tolist()
+        out = np.fromiter(map(self.place.get, keys, repeat(-1)), np.int64, len(keys))
+        if len(new := np.flatnonzero(out < 0)):
+            missing = [keys[i] for i in new.tolist()]
+            self._learn(missing)
+            out[new] = np.fromiter(map(self.place.__getitem__, missing), np.int64, len(missing))
+        return out
 
     def chunks(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """For a string array without nulls, all chunks in order: where the ids of each begin in `flat`, how many they are, where each text's chunks begin and end."""

@@ -320,11 +320,29 @@ def test_word_ids_of_every_letter_and_mark():
 
 
 def test_ids_dont_depend_on_the_cache(monkeypatch):
-    monkeypatch.setattr(tokens, "MOST_CACHED", 3)
+    monkeypatch.setattr(tokens, "CACHE_BYTES", 300)
     monkeypatch.setattr(tokens, "BYTES", 40)
     test_word_ids_equal_the_library()
 
 
+def test_cache_is_bounded_by_bytes(monkeypatch):
+    monkeypatch.setattr(tokens, "CACHE_BYTES", 1 << 20)
+    enc, rnd = tokens.WordIds(tokens.default_path()), random.Random(3)
+    for _ in range(12):  # texts without white space, far more of them than the cache holds
+        texts = ["".join(chr(rnd.randrange(0x4E00, 0x9FFF)) for _ in range(20_000)) for _ in range(6)]
+        for t, got in zip(texts, enc.encode(pa.array(texts)), strict=True):
+            assert got.tolist() == enc.tokenizer.encode(t, add_special_tokens=False).ids
+        assert enc.bytes <= (1 << 20) + 6 * 20_000 * 12 and sum(map(len, enc.place)) * 2 <= enc.bytes + 200
+
+
+def test_a_full_cache_is_looked_up_at_once():
+    enc = tokens.WordIds(tokens.default_path())
+    enc.encode(pa.array([" ".join(f"{i:x}" for i in range(200_000))]))
+    a = time.perf_counter()
+    enc.look_up(pa.array(["1f", "2b"]))
+    assert time.perf_counter() - a < 0.005
+
+
 def test_word_ids_of_documents(spark):
     enc = tokens.WordIds(tokens.default_path())
     texts = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
