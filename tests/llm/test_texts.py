@@ -148,6 +148,41 @@ def test_licence_chains_close_gaps_and_trim_overlaps():
     assert time.process_time() - began < 12
 
 
+LICENCES_TOLD_APART = {
+    "licensed under the GNU Free Documentation License, version 3": set(), "the Eclipse Public License version 2.0": {"epl-2.0"}, "under the Mozilla Public License version 2": set(),
+    "Licensed under the GNU Library General Public License version 2.": {"lgpl-2.0"}, "under the GNU General Public License version 1": set(), "CC BY-ND 4.0": {"cc-by-nd-4.0"},
+    "Creative Commons Attribution-ShareAlike 4.0 International": {"cc-by-sa-4.0"}, "under a Creative Commons attribution-noncommercial 4.0 license": {"cc-by-nc-4.0"},
+    "licensed under CC BY 4.0": {"cc-by-4.0"}, "Licensed under CC BY-NC-SA 3.0": {"cc-by-nc-sa-3.0"}, "SPDX-License-Identifier: Apache-2.0": {"apache-2.0"}, "SPDX-License-Identifier: GPL-3.0-or-later": {"gpl-or-later"},
+    "Licensed under the GNU Lesser General Public License version 2.1": {"lgpl-2.1"}, "the GNU Affero General Public License, version 3": {"agpl-3.0"},
+    "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.": {"mpl-2.0"}, "covered by the Mozilla Public License, v. 2.0.": {"mpl-2.0"},
+    "You can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.": {"lgpl-or-later"},
+}
+
+
+def test_licences_are_told_apart():
+    auto = license_scan.Automaton()
+    for text, want in LICENCES_TOLD_APART.items():
+        for around in ("{}", "see here {} and more of it"):
+            assert {s[0] for s in license_scan.scan(around.format(text).encode(), auto)["spans"]} == want, text
+
+
+def test_licence_spans_match_brute_force():
+    """Every whole template in a text is a span, or a better one overlaps it; what a span covers stands in it in the template's order, with its names and numbers."""
+    rnd = random.Random(9)
+    for _ in range(150):
+        templates = [(f"{rnd.choice('pqr')}-{i}", " ".join(rnd.choice("abcdef1") for _ in range(rnd.randint(2, 7)))) for i in range(5)]
+        auto = license_scan.Automaton((), templates)
+        text = [w for _ in range(8) for w in [*rnd.choice(templates)[1].split()[: rnd.randint(1, 7)], *rnd.choice(["", "x", "x y", "a"]).split()]]
+        spans = license_scan.scan(" ".join(text).encode(), auto)["spans"]
+        whole = [(label, i, i + len(t)) for label, t in ((a, b.split()) for a, b in templates) for i in range(len(text)) if text[i : i + len(t)] == t]
+        for label, a, b in whole:
+            assert (label, a, b, 1.0) in spans or any(o[0] != label and o[1] < b and a < o[2] and o[3] == 1.0 and len(dict(templates)[o[0]].split()) > b - a for o in spans)
+        for label, a, b, share in spans:
+            assert share == 1.0  # short templates are covered whole
+            rest = iter(text[a:b])
+            assert all(w in rest for w in dict(templates)[label].split())
+
+
 def test_matching_statistics_match_brute_force():
     rnd = random.Random(2)
     for _ in range(20):
