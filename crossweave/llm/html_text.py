@@ -5,8 +5,9 @@ decoded. Each block has its words, the share of them in links, whether it is a s
 after it. A decision tree, grown from the small table LABELLED below when the module is loaded, keeps or drops each block.
 
 What an element is named is evidence of its place, and so is what it holds: names beside the article count unless they are negated ("no-sidebar",
-"has-sidebar"), stand beside the article's own name, or are loose ones ("legal-text", "sharing", a form) of an element that holds most of the page's
-running text.
+"has-sidebar"), stand beside the article's own name, or are loose ones ("legal-text", "sharing", a form, a header) of an element that holds most of the page's
+running text. An `article` may be named as something else ("ad", "comment") or hidden; articles inside another one are comments unless they hold most of the
+running text together. Texts in scripts without spaces count two letters as a word.
 
 Markup may be cut off or unclosed anywhere; what can't be a tag is text. Time is linear in a page's length. Null and empty pages have the text "". Equal
 rows give equal rows. An empty table gives an empty result; other columns take no part.
@@ -33,23 +34,26 @@ RAW = frozenset("script style title textarea iframe".split())
 SKIPPED = RAW | frozenset("noscript template svg object select button canvas".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr math mrow mi mo mn msup msub mfrac".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-AROUND = frozenset("nav header footer aside menu dialog".split())
-LOOSE_AROUND = frozenset("form fieldset".split())
+AROUND = frozenset("nav footer aside menu dialog".split())
+LOOSE_AROUND = frozenset("form fieldset header".split())
 MAIN = frozenset("article main".split())
 CLOSES_P = frozenset("p div ul ol dl table section article aside header footer nav form h1 h2 h3 h4 h5 h6 pre blockquote hr main figure fieldset".split())
 #: Parts of class and id names: of things that are never the article, and of things that may hold it.
 AROUND_NAMES = frozenset(
-    "ads advert adverts advertisement adbox adsense cookie cookies consent gdpr popup modal newsletter subscribe signup login nav navbar navigation menu breadcrumb breadcrumbs "
-    "sidebar comment comments disqus replies reply respond pagination pager taboola outbrain".split()
+    "ads advert adverts advertisement adbox adsense cookie cookies consent gdpr popup modal newsletter subscribe signup login nav navbar menu breadcrumb breadcrumbs "
+    "sidebar comment comments commentlist disqus replies reply respond pagination pager taboola outbrain".split()
 )
 LOOSE_NAMES = frozenset(
     "ad sponsor sponsored promo promoted banner notice alert overlay aside footer header masthead topbar toolbar share sharing social related recommended recommendations more-posts widget "
-    "copyright legal disclaimer skip tags hidden".split()
+    "copyright legal disclaimer skip tags hidden navigation responses".split()
 )
+LIST_NAMES = frozenset(["discussion"])  # of a list, that of readers; else it may be a section of the article
 MAIN_NAMES = frozenset("article main content post story entry articlebody entry-content post-content article-body main-content".split())
 NEGATED = frozenset("no non not without has with hide show".split())
 _SPACE = re.compile(r"\s+")
-_SENTENCE = re.compile(r"[.!?…:;][\"')\]»”’]*$")
+_SENTENCE = re.compile(r"[.!?…:;。！？；：｡।؟។][\"')\]»”’」』）]*$")
+_UNSPACED = re.compile(r"[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]+")  # Thai, Lao, Burmese, Khmer, Japanese, Chinese
+_CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 MOST = 0.5  # share of a page's words outside links, beyond which an element can't be beside the article by a loose name
 
 
@@ -61,34 +65,42 @@ class Block:
     around: bool  # in something beside the article
     main: bool  # in the article
     heading: bool
-    loose: tuple[int, ...] = ()  # elements around it that are beside the article unless they hold most of the page
+    loose: int = 0  # the innermost element around it that is beside the article unless it holds most of the page
 
     @property
     def density(self) -> float:
         return self.linked / self.words if self.words else 0.0
 
 
-def _names(attrs: str) -> tuple[bool, bool, bool]:
-    """Whether the attributes surely or loosely name something beside the article, or name the article."""
-    around = loose = main = article = False
+def count_words(text: str) -> int:
+    """Words between white space; two letters of a script without spaces are one."""
+    n = len(text.split())
+    return n if text.isascii() else n + sum(len(run) // 2 for run in _UNSPACED.findall(text))
+
+
+def _names(attrs: str, tag: str = "") -> tuple[bool, bool, bool, bool]:
+    """Whether the attributes surely or loosely name something beside the article, name the article, or hide the element."""
+    around = loose = alone = main = article = hidden = False
+    loose_names = LOOSE_NAMES | LIST_NAMES if tag in ("ul", "ol") else LOOSE_NAMES
     for name, value in _ATTR.findall(attrs):
-        name, found = name.lower(), value.strip("\"' ").lower()
+        name, value = name.lower(), value.strip("\"' ")
         if name in _NAMING:
-            for whole in found.replace("_", "-").split():
+            for whole in _CAMEL.sub("-", value).lower().replace("_", "-").split():
                 parts = whole.split("-")
                 own = {x for i, x in enumerate(parts) if not (i and parts[i - 1] in NEGATED)}
                 article |= whole in MAIN_NAMES
                 main |= whole in MAIN_NAMES or bool(own & MAIN_NAMES)
-                around |= whole in AROUND_NAMES or whole in LOOSE_NAMES and len(parts) == 1 and whole in _SURE
-                loose |= bool(own & (AROUND_NAMES | LOOSE_NAMES))
+                around |= whole in AROUND_NAMES
+                alone |= whole in loose_names and whole not in _UNSURE
+                loose |= bool(own & (AROUND_NAMES | loose_names))
         else:
-            around |= name == "hidden" or (name == "aria-hidden" and found == "true") or bool(name == "style" and _NOT_SHOWN.search(found))
+            hidden |= name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or bool(name == "style" and _NOT_SHOWN.search(value))
     # a part of a compound name ("has-sidebar") says nothing of an element with an article's name
-    return around, loose and not article, main
+    return around or hidden, alone or (loose and not article), main, hidden
 
 
-#: Loose names that are sure where they are the whole name.
-_SURE = LOOSE_NAMES - {"header", "tags", "notice", "legal", "overlay"}
+#: Loose names that say little of an element with an article's name, even where they are a whole name.
+_UNSURE = frozenset(["header", "tags", "notice", "legal", "overlay"])
 
 
 class _Tags:
@@ -146,20 +158,22 @@ class _Tags:
 def blocks(html: str) -> list[Block]:
     """The text blocks of a page, in order."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool, tuple[int, ...]]] = [("", False, False, ())]  # name, around, main, loose elements
+    stack: list[tuple[str, bool, bool, int, int]] = [("", False, False, 0, 0)]  # name, around, main, innermost loose element, outermost article
+    outside = [0]  # of each loose element, the loose one around it, a smaller number
+    inner: dict[tuple[int, int], int] = {}  # articles inside another one, which are a loose element together, by that and what is around them
     places: dict[str, list[int]] = {}  # in the stack, by name
     outer = [0]  # places of the elements that are not inline
     parts: list[str] = []
     linked: list[str] = []
-    links = elements = 0
+    links = articles = 0
 
     def end() -> None:
         if parts:
             text = _SPACE.sub(" ", unescape("".join(parts))).strip()
             if text:
-                n = len(text.split())
-                _, around, main, loose = stack[-1]
-                out.append(Block(text, n, min(n, len(unescape(" ".join(linked)).split())), around, main, any(len(s[0]) == 2 and s[0][0] == "h" and s[0][1].isdigit() for s in stack[-3:]), loose))
+                n = count_words(text)
+                _, around, main, loose, _ = stack[-1]
+                out.append(Block(text, n, min(n, count_words(unescape(" ".join(linked)))), around, main, any(len(s[0]) == 2 and s[0][0] == "h" and s[0][1].isdigit() for s in stack[-3:]), loose))
         parts.clear()
         linked.clear()
 
@@ -195,18 +209,31 @@ def blocks(html: str) -> list[Block]:
                 pop(k)
         if name in VOID:
             continue
-        around, loose, main = _names(attrs) if attrs.strip() else (False, False, False)
-        _, was_around, was_main, was_loose = stack[-1]
+        around, loose, main, hidden = _names(attrs, name) if attrs.strip() else (False, False, False, False)
+        _, was_around, was_main, was_loose, article = stack[-1]
         if name in ("body", "html"):
-            now = (name, was_around, was_main, was_loose)
+            now = (name, was_around, was_main, was_loose, article)
         elif name in MAIN:
-            now = (name, was_around, True, was_loose)
+            around = hidden or (around or loose) and not main
+            within = was_loose
+            if name == "article" and article:
+                if (article, was_loose) not in inner:
+                    inner[article, was_loose] = len(outside)
+                    outside.append(was_loose)
+                within = inner[article, was_loose]
+            elif name == "article":
+                articles += 1
+                article = articles
+            now = (name, was_around or around, was_main or not around, within, article)
         else:
             # a header of the article itself is part of it
-            around |= name in AROUND and not (name == "header" and was_main)
-            loose |= name in LOOSE_AROUND
-            elements += 1
-            now = (name, was_around or around, was_main or (main and not around), (*was_loose, elements) if loose and len(was_loose) < 8 else was_loose)
+            around |= name in AROUND
+            loose |= name in LOOSE_AROUND and not (name == "header" and was_main)
+            within = was_loose
+            if loose:
+                within = len(outside)
+                outside.append(was_loose)
+            now = (name, was_around or around, was_main or (main and not around), within, article)
         places.setdefault(name, []).append(len(stack))
         if name not in INLINE:
             outer.append(len(stack))
@@ -215,15 +242,19 @@ def blocks(html: str) -> list[Block]:
     if at < len(html):
         parts.append(html[at:])
     end()
-    own: dict[int, int] = {}
-    marked: dict[int, int] = {}
+    own, marked = [0] * len(outside), [0] * len(outside)  # running words of each loose element, and blocks marked as the article
+    for b in out:
+        own[b.loose] += b.words - b.linked
+        marked[b.loose] += b.main and not b.around
+    for e in range(len(outside) - 1, 0, -1):
+        own[outside[e]] += own[e]
+        marked[outside[e]] += marked[e]
+    most, together = MOST * sum(b.words - b.linked for b in out if not b.around), set(inner.values())
+    beside = [False] * len(outside)
+    for e in range(1, len(outside)):  # what holds most of the page, and all that is marked as the article, is not beside it
+        beside[e] = beside[outside[e]] or own[e] <= most or (e not in together and marked[e] < marked[0])
     for b in out:
-        for e in b.loose:
-            own[e] = own.get(e, 0) + b.words - b.linked
-            marked[e] = marked.get(e, 0) + (b.main and not b.around)
-    most, main = MOST * sum(b.words - b.linked for b in out if not b.around), sum(b.main and not b.around for b in out)
-    for b in out:  # what holds most of the page, and all that is marked as the article, is not beside it
-        b.around |= any(own[e] <= most or marked[e] < main for e in b.loose)
+        b.around |= beside[b.loose]
     return out
 
 

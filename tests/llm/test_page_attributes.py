@@ -33,6 +33,46 @@ def test_loose_names_and_forms_dont_cost_the_article(page):
     assert html_text.main_text(f"<html><body>{page % ARTICLE}</body></html>") == ARTICLE
 
 
+COMMENT = "Nice post, thank you for it."
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<article><p>%s</p><section><article><p>%s</p></article><article><p>So do I.</p></article></section></article>", '<main><article><p>%s</p></article><article class="comment"><p>%s</p></article></main>',
+        '<article><p>%s</p><div class="responses"><p>%s</p></div></article>', '<article><p>%s</p><ul class="discussion"><li>%s</li></ul></article>', '<article><p>%s</p></article><article class="ad"><p>%s</p></article>',
+        "<article><p>%s</p></article><article hidden><p>%s</p></article>", '<div><p>%s</p></div><div class="CookieConsent"><p>%s</p></div>', '<div><p>%s</p></div><ol class="commentlist"><li>%s</li></ol>',
+        "<article><p>%s</p>" + '<div class="social-wrap">' * 12 + "<p>%s</p>" + "</div>" * 12 + "</article>",
+    ],
+)
+def test_comments_adverts_and_hidden_articles_go(page):
+    assert html_text.main_text(f"<html><body>{page % (ARTICLE, COMMENT)}</body></html>") == ARTICLE
+
+
+@pytest.mark.parametrize("name", ["social", "widget", "banner", "promo", "navigation"])
+def test_a_wrapper_of_the_whole_page_is_kept(name):
+    assert html_text.main_text(f'<body><div class="{name}"><p>{ARTICLE}</p></div></body>') == ARTICLE
+    assert html_text.main_text(f"<body><header><p>{ARTICLE}</p></header></body>") == ARTICLE
+
+
+@pytest.mark.parametrize("depth", [7, 8, 40])
+def test_a_box_beside_the_article_goes_at_any_depth(depth):
+    page = '<div class="social-wrap">' * depth + f'<p>{ARTICLE}</p><div class="related-box"><p>{COMMENT}</p></div>' + "</div>" * depth
+    assert html_text.main_text(f"<body>{page}</body>") == ARTICLE
+
+
+def test_articles_inside_an_empty_one_are_kept():
+    assert html_text.main_text(f"<article><h1>News</h1><article><p>{ARTICLE}</p></article><article><p>{ARTICLE}</p></article></article>") == f"News\n{ARTICLE}\n{ARTICLE}"
+    assert html_text.main_text(f'<article><p>{ARTICLE}</p><section id="discussion"><p>{COMMENT}</p></section></article>') == f"{ARTICLE}\n{COMMENT}"
+    assert html_text.main_text(f'<main class="main sidebar"><p>{ARTICLE}</p></main>') == ARTICLE
+
+
+def test_scripts_without_spaces():
+    text = "这是一篇关于天气的文章，它足够长，可以算作正文，而且没有任何空格。"
+    menu = "<ul>" + "".join(f"<li><a href=/{i}>栏目</a>" for i in range(6)) + "</ul>"
+    assert html_text.main_text(f"<body>{menu}<div><p>{text}</p><p>{text}</p></div>{menu}</body>") == f"{text}\n{text}"
+
+
 def test_inline_mathematics_stay():
     assert html_text.main_text(f"<article><p>{ARTICLE} <math><mi>x</mi><mo>=</mo><mn>2</mn></math></p></article>") == f"{ARTICLE} x=2"
 
