@@ -624,7 +624,7 @@ SELECT aid, array_to_string(CASE WHEN len(a) > 10 THEN list_concat(a[1:8], a[-2:
 def authors_by_sequence(spark, d):
     """Authors in order of their sequence number, the middle of a long list left out."""
     none = F.lit(None).cast("string")
-    number = ((F.col("pid").cast("int") * 7919) % 1000).alias("AuthorSequenceNumber")
+    number = ((F.col("pid").cast("long") * 7919) % 1000).cast("int").alias("AuthorSequenceNumber")  # an int holds the product of ids up to 271,181 only
     author = F.struct(none.alias("name"), none.alias("org"), F.concat(F.lit("A"), "pid").alias("OriginalAuthor"), none.alias("OriginalAffiliation"), number)
     x = px.assignments(spark, d, "O").groupBy("aid").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", author.alias("a")))), lambda e: e["a"]).alias("authors"))
     return x.select("aid", F.array_join(render.names(render.authors_in_order(F.col("authors"))), ", ").alias("authors"))
