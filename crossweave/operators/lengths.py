@@ -1,8 +1,8 @@
-"""Lengths of texts in tokens, and their first tokens, by a dictionary of distinct pieces.
+"""Lengths of texts in tokens, and their first tokens, by the pieces of a text.
 
-A tokenizer first cuts a text into pieces, and then each piece into tokens, whatever stands around it. So each distinct piece is cut once, and what it gives is joined back. How a piece is
-cut is a column of it, or a function of many pieces (for a tokenizer library) that runs on the executors. A piece that most texts hold would be one key of that
-join; pieces are dealt by piece and by a part of the rows, and each part gets its own copy.
+A tokenizer first cuts a text into pieces, and then each piece into tokens, whatever stands around it. How a piece is cut is a column of it, or a function of many
+pieces (for a tokenizer library) that runs on the executors. Pieces stay with their text: a column cuts them in place, and a library gets the distinct pieces of a batch of rows.
+No piece is shuffled or joined; of a row, its keys and a number go on, or its first tokens.
 """
 
 from __future__ import annotations
@@ -10,12 +10,13 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, LongType, StringType, StructField, StructType
 
 #: Letters, digits or other characters, each with a space before it, or white space: a fixed pattern.
 PIECES = " ?[A-Za-z]+| ?[0-9]+| ?[^ \\t\\n\\rA-Za-z0-9]+|[ \\t\\n\\r]+"
-PARTS = 32
 
 #: What cuts pieces: a column of tokens from a column of pieces, or lists of tokens from a list of pieces.
 Cutter = Callable[[Column], Column] | Callable[[list[str]], list[list[str]]]
@@ -30,40 +31,59 @@ def pieces(text: Column, pattern: str = PIECES) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(pattern), F.lit(0))
 
 
-def _cut(rows: DataFrame, cutter: Cutter, library: bool) -> DataFrame:
-    """rows (piece, _part and others) with the tokens of their piece."""
-    distinct = rows.select("piece", "_part").distinct()
-    if not library:
-        return rows.join(distinct.withColumn("tokens", cutter(F.col("piece"))), ["piece", "_part"])
+def _by_library(rows: DataFrame, cutter: Cutter, name: str, kind: DataType, each: Callable[[pa.Array, pa.Array, pa.Array], pa.Array]) -> DataFrame:
+    """rows, with what `each` makes of the column _pieces in its place, as `name`. each: offsets of the rows in their pieces, places of these among the batch's distinct pieces, tokens of those."""
+    keys = [c for c in rows.columns if c != "_pieces"]
+    schema = StructType([*(rows.schema[c] for c in keys), StructField(name, kind)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            tokens = pa.array(cutter(batch.column("piece").to_pylist()), pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays([batch.column("piece"), batch.column("_part"), tokens], ["piece", "_part", "tokens"])
+            column = batch.column("_pieces")
+            coded = column.flatten().dictionary_encode()
+            tokens = pa.array(cutter(coded.dictionary.to_pylist()) if len(coded) else [], pa.list_(pa.string()))
+            begins = pc.cumulative_sum(pc.list_value_length(column))
+            offsets = pa.concat_arrays([pa.array([0], begins.type), begins])
+            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in keys], each(offsets, coded.indices, tokens)], [*keys, name])
 
-    return rows.join(distinct.mapInArrow(run, "piece string, _part int, tokens array<string>"), ["piece", "_part"])
+    return rows.mapInArrow(run, schema)
+
+
+def _numbers(offsets: pa.Array, places: pa.Array, tokens: pa.Array) -> pa.Array:
+    """How many tokens the pieces of each row have."""
+    each = pc.cast(pc.take(pc.list_value_length(tokens), places), pa.int64())
+    before = pa.concat_arrays([pa.array([0], pa.int64()), pc.cumulative_sum(each)])
+    at = pc.take(before, offsets)
+    return pc.subtract(at[1:], at[:-1])
+
+
+def _lists(offsets: pa.Array, places: pa.Array, tokens: pa.Array) -> pa.Array:
+    """The tokens of the pieces of each row."""
+    cut = pc.take(tokens, places)
+    before = pa.concat_arrays([pa.array([0], pa.int32()), pc.cumulative_sum(pc.list_value_length(cut))])
+    return pa.ListArray.from_arrays(pc.take(before, offsets), cut.flatten())
 
 
 def _part(keys: list[str], parts: int) -> Column:
+    """A part of the rows, by their keys."""
     return F.pmod(F.xxhash64(*keys), F.lit(parts)).cast("int")
 
 
-def token_lengths(df: DataFrame, keys: list[str], text: str = "text", cutter: Cutter = by_fours, library: bool = False, pattern: str = PIECES, out: str = "n_tokens", parts: int = PARTS) -> DataFrame:
+def token_lengths(df: DataFrame, keys: list[str], text: str = "text", cutter: Cutter = by_fours, library: bool = False, pattern: str = PIECES, out: str = "n_tokens") -> DataFrame:
     """keys and the number of tokens of the texts of each; 0 for texts that are null or empty. library: whether cutter takes lists."""
-    rows = df.select(*keys, F.explode_outer(pieces(F.col(text), pattern)).alias("piece")).groupBy(*keys, "piece").agg(F.count("piece").alias("_n"))
-    empty = rows.groupBy(*keys).agg(F.lit(0).cast("long").alias("_m"))
-    cut = _cut(rows.filter("piece is not null").withColumn("_part", _part(keys, parts)), cutter, library)
-    every = empty.unionByName(cut.select(*keys, (F.col("_n") * F.size("tokens")).alias("_m")))
-    return every.groupBy(*keys).agg(F.sum("_m").alias(out))
+    if library:
+        each = _by_library(df.select(*keys, pieces(F.col(text), pattern).alias("_pieces")), cutter, "_m", LongType(), _numbers)
+    else:
+        number = F.aggregate(pieces(F.col(text), pattern), F.lit(0).cast("long"), lambda n, p: n + F.size(cutter(p)))
+        each = df.select(*keys, number.alias("_m"))
+    return each.groupBy(*keys).agg(F.sum("_m").alias(out))
 
 
-def first_tokens(df: DataFrame, keys: list[str], n: int, text: str = "text", cutter: Cutter = by_fours, library: bool = False, pattern: str = PIECES, parts: int = PARTS) -> DataFrame:
+def first_tokens(df: DataFrame, keys: list[str], n: int, text: str = "text", cutter: Cutter = by_fours, library: bool = False, pattern: str = PIECES) -> DataFrame:
     """keys, text and n_tokens of each row: its first n tokens, as text. keys tell rows apart. A piece has one token at least, so that no more than n pieces are looked at."""
     some = F.slice(pieces(F.col(text), pattern), 1, n) if n > 0 else F.array().cast("array<string>")
-    rows = df.select(*keys, F.posexplode_outer(some).alias("_at", "piece"))
-    cut = _cut(rows.filter("piece is not null").withColumn("_part", _part(keys, parts)), cutter, library)
-    before = F.coalesce(F.sum(F.size("tokens")).over(Window.partitionBy(*keys).orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    cut = cut.withColumn("_before", before).filter(F.col("_before") < n).withColumn("tokens", F.slice("tokens", F.lit(1), (F.lit(n) - F.col("_before")).cast("int")))
-    every = rows.select(*keys).distinct().select(*keys, F.lit(-1).alias("_at"), F.array().cast("array<string>").alias("tokens")).unionByName(cut.select(*keys, "_at", "tokens"))
-    lists = every.groupBy(*keys).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("_at", "tokens"))), lambda x: x["tokens"])).alias("_t"))
-    return lists.select(*keys, F.array_join("_t", "").alias("text"), F.size("_t").alias("n_tokens"))
+    if library:
+        every = _by_library(df.select(*keys, some.alias("_pieces")), cutter, "_t", ArrayType(StringType()), _lists)
+    else:
+        every = df.select(*keys, F.flatten(F.transform(some, cutter)).alias("_t"))
+    first = every.select(*keys, F.slice("_t", 1, n).alias("_t"))
+    return first.select(*keys, F.array_join("_t", "").alias("text"), F.size("_t").alias("n_tokens"))
