@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from crossweave.operators import lengths
 from crossweave.plans import catalog
 
 SF = "/root/testdata/sf0.001"
@@ -17,3 +18,28 @@ def test_authors_by_sequence_with_large_ids(spark, tmp_path):
     spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_linestatus string").write.parquet(f"{tmp_path}/lineitem.parquet")
     want = ", ".join(f"A{p}" for p in sorted(pids, key=lambda p: p * 7919 % 1000))
     assert [tuple(r) for r in catalog.QUERIES["authors_by_sequence"](spark, str(tmp_path)).collect()] == [("7", want)]
+
+
+def halves(pieces):
+    """Each piece in two, as a library would give it."""
+    return [[p[: len(p) // 2], p[len(p) // 2 :]] if len(p) > 1 else [p] for p in pieces]
+
+
+def test_pieces_stay_with_their_text(spark):
+    """No piece is shuffled or joined; texts of one key are added up, in a batch of several or of one row."""
+    texts = ["one two, 333", "", None, "two two\n", "x", "one"]
+    df = spark.createDataFrame([(i % 4, i, t) for i, t in enumerate(texts)], "k int, id int, text string").repartition(1)
+    cut = {i: [t for p in halves(["one", " two", ",", " 333"] if i == 0 else ["two", " two", "\n"] if i == 3 else [t] if t else []) for t in p] for i, t in enumerate(texts)}
+    for rows in ("1", "10000"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+        try:
+            long = lengths.token_lengths(df, ["k"], cutter=halves, library=True)
+            assert {r.k: r.n_tokens for r in long.collect()} == {k: sum(len(cut[i]) for i in cut if i % 4 == k) for k in range(4)}
+            for n in (0, 3, 99):
+                first = lengths.first_tokens(df, ["id"], n, cutter=halves, library=True)
+                assert {r.id: (r.text, r.n_tokens) for r in first.collect()} == {i: ("".join(t[:n]), len(t[:n])) for i, t in cut.items()}
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for plan in map(plan_of, (long, first, lengths.token_lengths(df, ["k"]), lengths.first_tokens(df, ["id"], 3))):
+        assert "Join" not in plan
+        assert "Generate" not in plan
