@@ -13,6 +13,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from crossweave import schema
 from crossweave.functions import replies
@@ -56,8 +57,10 @@ def stub_lines(prompt: str, system: str = "") -> str:
     return json.dumps({line.partition(": ")[0]: _fixed(line) for line in lines if line.partition(": ")[0].isdigit()})
 
 
-def call(requests: DataFrame, scorer: Scorer = stub, system: str = "", attempts: int = 3, at_once: int = 8, tasks: int | None = None, valid: Callable[[str], bool] = bool) -> DataFrame:
-    """request_id, content, reasoning, attempts for requests (request_id, prompt). tasks: how many call at once, for a service that bears so many."""
+def call(requests: DataFrame, scorer: Scorer = stub, system: str = "", attempts: int = 3, at_once: int = 8, tasks: int | None = None, valid: Callable[[str], bool] = bool, keep: list[str] | None = None) -> DataFrame:
+    """request_id, content, reasoning, attempts for requests (request_id, prompt). tasks: how many call at once, for a service that bears so many. keep: columns of the requests that go
+    along, so that a reply needs no join to its request, and no request is made a second time for that."""
+    more = keep or []
 
     def ask(prompt: str) -> tuple[str, int]:
         for k in range(1, attempts + 1):
@@ -68,15 +71,22 @@ def call(requests: DataFrame, scorer: Scorer = stub, system: str = "", attempts:
                 continue
         return "", attempts
 
+    def ask_some(prompts: list[str]) -> list[tuple[str, int]]:
+        return [ask(p) for p in prompts]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with ThreadPoolExecutor(at_once) as pool:
             for batch in batches:
-                got = list(pool.map(ask, batch.column("prompt").to_pylist()))
-                yield pa.RecordBatch.from_arrays([batch.column("request_id"), pa.array([c for c, _ in got], pa.string()), pa.array([k for _, k in got], pa.int32())], ["request_id", "content", "attempts"])
+                prompts = batch.column("prompt").to_pylist()
+                few = max(1, min(16, len(prompts) // (8 * at_once)))  # a thread takes a few of many prompts at a time
+                got = [x for some in pool.map(ask_some, [prompts[i : i + few] for i in range(0, len(prompts), few)]) for x in some]
+                columns = [batch.column("request_id"), pa.array([c for c, _ in got], pa.string()), pa.array([k for _, k in got], pa.int32())]
+                yield pa.RecordBatch.from_arrays([*columns, *[batch.column(k) for k in more]], ["request_id", "content", "attempts", *more])
 
-    out = requests.select("request_id", F.coalesce("prompt", F.lit("")).alias("prompt"))
-    out = (out.repartition(tasks) if tasks else out).mapInArrow(run, "request_id string, content string, attempts int")
-    return out.select("request_id", replies.answer(F.col("content")).alias("content"), replies.reasoning(F.col("content")).alias("reasoning"), "attempts").to(_schema())
+    kept = [requests.schema[k] for k in more]
+    out = requests.select("request_id", F.coalesce("prompt", F.lit("")).alias("prompt"), *more)
+    out = (out.repartition(tasks) if tasks else out).mapInArrow(run, StructType([*StructType.fromDDL("request_id string, content string, attempts int"), *kept]))
+    return out.select("request_id", replies.answer(F.col("content")).alias("content"), replies.reasoning(F.col("content")).alias("reasoning"), "attempts", *more).to(StructType([*StructType.fromDDL(schema.REPLIES), *kept]))
 
 
 Positions = Callable[[str, list[str]], list[tuple[float, float]]]
@@ -101,12 +111,6 @@ def call_positions(requests: DataFrame, scorer: Positions = stub_positions) -> D
     return out.select("request_id", F.posexplode("logits").alias("pos", "l")).select("request_id", "pos", "l.no", "l.yes")
 
 
-def _schema():
-    from pyspark.sql.types import StructType
-
-    return StructType.fromDDL(schema.REPLIES)
-
-
 def unfinished(done: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Replies that are empty, and the others."""
     return done.filter("content = ''"), done.filter("content <> ''")

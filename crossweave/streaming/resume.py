@@ -45,8 +45,12 @@ def parts_of(spark: SparkSession, path: str) -> int | None:
 
 
 def _dealt(rows: DataFrame, parts: int, path: str) -> None:
-    """Writes rows in a folder for each part; a part's rows go to one task, and are some `every` of `run_pending`."""
-    rows.withColumn("part", part_of(parts)).repartition("part").write.mode("append").partitionBy("part").parquet(path)
+    """Writes rows in a folder for each part. A part is worked off alone, and may be large where the parts were made for fewer requests, so its rows are in as many files as there are
+    cores: one task writes each, and another reads it to score it."""
+    cores = max(1, rows.sparkSession.sparkContext.defaultParallelism)
+    of_part = F.pmod(F.xxhash64("request_id", F.lit("file")), F.lit(cores)).cast("int")
+    dealt = rows.withColumn("part", part_of(parts)).repartitionById(parts * cores, F.col("part") * cores + of_part)
+    dealt.write.mode("append").partitionBy("part").parquet(path)
 
 
 def save(replies: DataFrame, path: str, parts: int) -> None:

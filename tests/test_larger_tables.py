@@ -1,9 +1,12 @@
 """Faults that only larger tables show, on small ones that show them too."""
 
+import os
+
 from pyspark.sql import functions as F
 
-from crossweave.operators import lengths
-from crossweave.plans import catalog
+from crossweave.operators import lengths, scorer
+from crossweave.plans import catalog, pipeline
+from crossweave.streaming import resume
 
 SF = "/root/testdata/sf0.001"
 
@@ -43,3 +46,20 @@ def test_pieces_stay_with_their_text(spark):
     for plan in map(plan_of, (long, first, lengths.token_lengths(df, ["k"]), lengths.first_tokens(df, ["id"], 3))):
         assert "Join" not in plan
         assert "Generate" not in plan
+
+
+def test_a_part_is_worked_off_by_many_tasks(spark, tmp_path):
+    """Progress of few parts, and then many requests: a part's rows are in a file for each core, and each request is there once."""
+    rows = spark.range(2000).select(F.col("id").cast("string").alias("request_id"), F.concat(F.lit("Targets: "), F.col("id").cast("string")).alias("prompt"))
+    at, tasks = str(tmp_path / "done"), []
+    resume.save(scorer.call(rows.limit(500)), at, 3)
+
+    def score(df):
+        tasks.append(df.rdd.getNumPartitions())
+        return scorer.call(df)
+
+    done = resume.run_pending(rows, at, score)
+    assert len(tasks) == 3
+    assert min(tasks) == spark.sparkContext.defaultParallelism
+    assert [len([f for f in os.listdir(f"{at}/of=3/part={k}") if f.endswith(".parquet")]) >= 2 * min(tasks) for k in range(3)] == [True] * 3
+    assert sorted(r.request_id for r in done.collect()) == sorted(map(str, range(2000)))
