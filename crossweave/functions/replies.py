@@ -62,5 +62,5 @@ def in_order(found: Column) -> Column:
 
 def for_items(values: Column, n: Column, default: float = 0.5) -> Column:
     """The scores if there are as many as items and all are numbers, else the default for each item."""
-    good = (F.size(values) == n) & ~F.exists(values, lambda v: v.isNull())
-    return F.when(good, values).otherwise(F.array_repeat(F.lit(default), n.cast("int")))
+    good = lambda x: (F.size(x) == n) & ~F.exists(x, lambda v: v.isNull())
+    return _once(values, lambda x: F.when(good(x), x).otherwise(F.array_repeat(F.lit(default), n.cast("int"))))

@@ -12,10 +12,12 @@ def group_batches(df: DataFrame, order: str = "ord") -> DataFrame:
     return got.select("aid1", "aid2", F.coalesce("name", F.lit("unknown")).alias("name"), F.transform("_b", lambda x, i: F.struct(i.alias("batch_idx"), x["pids"].alias("pids"), x["preds"].alias("preds"))).alias("batches"))
 
 
-def flatten_batches(df: DataFrame) -> DataFrame:
-    """A row for each paper of each batch: aid1, aid2, name, batch_idx, pos, pid, old_pred."""
-    rows = df.select("aid1", "aid2", "name", F.explode("batches").alias("b")).select("aid1", "aid2", "name", "b.batch_idx", F.posexplode(F.arrays_zip("b.pids", "b.preds")).alias("pos", "x"))
-    return rows.select("aid1", "aid2", "name", "batch_idx", "pos", F.col("x.pids").alias("pid"), F.col("x.preds").alias("old_pred"))
+def flatten_batches(df: DataFrame, of_batch: dict[str, Column] | None = None) -> DataFrame:
+    """A row for each paper of each batch: aid1, aid2, name, batch_idx, pos, pid, old_pred. of_batch: more columns, by name, each made once a batch of df's columns and batch_idx."""
+    more = of_batch or {}
+    batches = df.withColumn("b", F.explode("batches")).select("*", "b.batch_idx").select("aid1", "aid2", "name", "batch_idx", "b", *[c.alias(n) for n, c in more.items()])
+    rows = batches.select("aid1", "aid2", "name", "batch_idx", *more, F.posexplode(F.arrays_zip("b.pids", "b.preds")).alias("pos", "x"))
+    return rows.select("aid1", "aid2", "name", "batch_idx", "pos", F.col("x.pids").alias("pid"), F.col("x.preds").alias("old_pred"), *more)
 
 
 def merged(scores: Column, pos: Column, old: Column) -> Column:

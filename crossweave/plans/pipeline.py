@@ -36,17 +36,16 @@ def requests(triples: DataFrame, inner: DataFrame, outer: DataFrame, papers: Dat
 
 def distill(requests: DataFrame, score: scorer.Scorer = scorer.stub, second: scorer.Scorer | None = None) -> DataFrame:
     """Replies as scores, batches of a pair refined together: rows name, aid1, aid2, pid, batch_idx, old_pred, new_pred."""
-    done = requests.join(scorer.call(requests, score), "request_id", "left")
+    done = scorer.call(requests, score, keep=["aid1", "aid2", "name", "batch_id", "pids"])
     values = replies.for_items(replies.in_order(replies.scores(F.col("content"))), F.size("pids"))
     grouped = refine.group_batches(done.select("aid1", "aid2", "name", F.col("batch_id").alias("ord"), "pids", values.alias("preds")))
-    rows = refine.flatten_batches(grouped)
     if second is None:
-        return rows.withColumn("new_pred", F.col("old_pred")).drop("pos")
+        return refine.flatten_batches(grouped).withColumn("new_pred", F.col("old_pred")).drop("pos")
     items = F.transform("batches", lambda b: F.struct(b["batch_idx"].alias("batch_idx"), F.transform(F.arrays_zip(b["pids"].alias("text"), b["preds"].alias("score")), lambda x: F.struct(x["text"].alias("text"), x["score"].alias("score"))).alias("items")))
-    again = grouped.select(F.concat_ws("-", "aid1", "aid2").alias("request_id"), "aid1", "aid2", render.prompt_batches(items).alias("prompt"))
-    said = again.join(scorer.call(again, second), "request_id").select("aid1", "aid2", replies.scores(F.col("content"), replies.NESTED).alias("said"))
+    again = grouped.withColumns({"request_id": F.concat_ws("-", "aid1", "aid2"), "prompt": render.prompt_batches(items)})
+    said = scorer.call(again, second, keep=grouped.columns).withColumn("said", replies.scores(F.col("content"), replies.NESTED))
     mine = F.coalesce(F.try_element_at("said", F.concat(F.lit("batch_"), F.col("batch_idx").cast("string"))), F.from_json(F.lit("{}"), replies.SCORES))
-    return rows.join(said, ["aid1", "aid2"], "left").withColumn("new_pred", refine.merged(mine, F.col("pos"), F.col("old_pred"))).drop("said", "pos")
+    return refine.flatten_batches(said, {"mine": mine}).withColumn("new_pred", refine.merged(F.col("mine"), F.col("pos"), F.col("old_pred"))).drop("mine", "pos")
 
 
 def clean_requests(triples: DataFrame, aid: str, assignments: DataFrame, papers: DataFrame, config: EngineConfig = EngineConfig()) -> DataFrame:
@@ -62,7 +61,7 @@ def clean_requests(triples: DataFrame, aid: str, assignments: DataFrame, papers:
 
 def clean(requests: DataFrame, assignments: DataFrame, score: scorer.Scorer = scorer.stub_lines) -> DataFrame:
     """The first step as a whole: replies to `clean_requests` as votes, and the assignments that the votes leave. Papers without a vote stay."""
-    done = requests.join(scorer.call(requests, score), "request_id", "left")
+    done = scorer.call(requests, score, keep=["aid", "pids"])
     values = replies.for_items(replies.in_order(replies.scores(F.col("content"))), F.size("pids"))
     votes = done.select("aid", F.explode(F.arrays_zip(F.col("pids").alias("pid"), values.alias("score"))).alias("v")).select("aid", "v.pid", "v.score")
     return labels.clean_profiles(assignments, votes)

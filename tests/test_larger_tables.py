@@ -63,3 +63,16 @@ def test_a_part_is_worked_off_by_many_tasks(spark, tmp_path):
     assert min(tasks) == spark.sparkContext.defaultParallelism
     assert [len([f for f in os.listdir(f"{at}/of=3/part={k}") if f.endswith(".parquet")]) >= 2 * min(tasks) for k in range(3)] == [True] * 3
     assert sorted(r.request_id for r in done.collect()) == sorted(map(str, range(2000)))
+
+
+def test_replies_need_no_join_to_their_requests(spark):
+    """Each request is made and scored once; a pair without an aid2 gets its second scores too."""
+    rows = [("a-0", "n", "a", "b", 0, ["p", "q"], 0.5, "Targets: 0: x; 1: y"), ("c-0", None, "c", None, 0, ["r"], 0.5, "Targets: 0: z")]
+    todo = spark.createDataFrame(rows, "request_id string, name string, aid1 string, aid2 string, batch_id int, pids array<string>, author_sim double, prompt string")
+    out = pipeline.distill(todo, second=scorer.stub_batches)
+    plan = plan_of(out)
+    assert "Join" not in plan
+    assert plan.count("MapInArrow") == 2
+    old = {"p": scorer._fixed("0: x"), "q": scorer._fixed("1: y"), "r": scorer._fixed("0: z")}
+    new = {p: scorer._fixed(f"{k}: {p} | {old[p]:.2f}") for k, p in ((0, "p"), (1, "q"), (0, "r"))}
+    assert {r.pid: (r.name, r.aid2, r.old_pred, r.new_pred) for r in out.collect()} == {p: ("unknown" if p == "r" else "n", None if p == "r" else "b", old[p], new[p]) for p in old}
