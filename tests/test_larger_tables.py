@@ -1,6 +1,7 @@
 """Faults that only larger tables show, on small ones that show them too."""
 
 import os
+import re
 
 from pyspark.sql import functions as F
 
@@ -48,6 +49,16 @@ def test_pieces_stay_with_their_text(spark):
         assert "Generate" not in plan
 
 
+def test_queries_on_lengths_shuffle_no_pieces(spark):
+    """As registered: of a text, its key and a number are shuffled once, and nothing of it where each row has its own first tokens."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
+    cut = {r.doc_id: [t for p in re.findall(lengths.PIECES, r.text or "") for t in re.findall("(?s).{1,4}", p)] for r in docs}
+    long, first = (catalog.QUERIES[n](spark, SF) for n in ("token_lengths", "truncated_texts"))
+    assert [plan_of(df).count("Exchange") for df in (long, first)] == [1, 0]
+    assert {r.doc_id: r.n_tokens for r in long.collect()} == {i: len(t) for i, t in cut.items()}
+    assert {r.doc_id: (r.text, r.n_tokens) for r in first.collect()} == {i: ("".join(t[:33]), len(t[:33])) for i, t in cut.items()}
+
+
 def test_a_part_is_worked_off_by_many_tasks(spark, tmp_path):
     """Progress of few parts, and then many requests: a part's rows are in a file for each core, and each request is there once."""
     rows = spark.range(2000).select(F.col("id").cast("string").alias("request_id"), F.concat(F.lit("Targets: "), F.col("id").cast("string")).alias("prompt"))
